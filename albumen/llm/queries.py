@@ -1,10 +1,13 @@
 """The registered queries of this folder, and their SQL where SQL can express them."""
 
-from albumen.llm import exact_dedup, simhash
+from albumen.llm import exact_dedup, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
+    "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE = {

@@ -1,16 +1,61 @@
-"""A cleaning pipeline over documents: toxicity, exact dedup, near-dedup, PII, packing."""
+"""A cleaning pipeline over documents: toxicity, exact dedup, near-dedup, PII, packing.
+
+Every stage but the last returns the columns of documents (and any others that the table has). Rows with a
+null text count as empty texts. Rows that repeat another one's id and text are one document: they are kept
+or dropped together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumen.llm import exact_dedup, simhash
+from albumen.llm import exact_dedup, packing, pii, simhash, toxicity
 from albumen.llm.common import materialise
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The names are chosen not to clash with columns of the table.
+_SCORE, _TEXT, _ID = "__albumen_score", "__albumen_text", "__albumen_id"
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under the threshold; no row moves between tasks."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels))
+    return toxicity.with_score(docs, model, name=_SCORE).where(F.col(_SCORE) < toxicity.THRESHOLD).drop(_SCORE)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the ids in `dropped`, a table of one column doc_id. Null ids match null."""
+    dropped = materialise(dropped.select(F.col("doc_id").alias(_ID)).distinct(), "dropped")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[_ID]), "left_anti")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id."""
+    return _without(docs, exact_dedup.exact_groups(docs).where("not kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the one with the smallest id. Texts without words aren't copies of each
+    other by this measure, yet share fingerprint zero: exact dedup leaves few, and one of them stays."""
+    groups = simhash.near_groups(docs)
+    return _without(docs, groups.where("not (doc_id <=> component_id)"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their personal data masked, and n_chars of the masked text."""
+    out = pii.with_masked(docs, name=_TEXT).withColumn("text", F.col(_TEXT)).drop(_TEXT)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a training sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", packed)]
 
-STAGES = []
+#: Compression lengths, covering codes and tokens are beyond SQL.
 ORACLE_SQL = None
 
 
