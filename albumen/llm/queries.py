@@ -1,9 +1,14 @@
 """The registered queries of this folder, and their SQL where SQL can express them."""
 
-from albumen.llm import exact_dedup, packing, pii, simhash, toxicity
+from albumen.llm import exact_dedup, fingerprint, packing, pii, piece_encoding, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_piece_encoding": piece_encoding.op2_piece_encoding,
+    "op3_warc": warc.op3_warc,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
@@ -11,5 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_url_filter": url_filter.SQL,
+    "op3_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
