@@ -10,6 +10,7 @@ Nothing is shuffled.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 
@@ -24,11 +25,11 @@ TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
 STEP_TOKENS = 1 << 16
 BLOCK_TOKENS = 1 << 21
-#: Words whose ids a worker remembers.
-MEMORY_WORDS = 600_000
-#: A worker's encoders, kept from task to task.
-_ENCODERS: dict[str, WordEncoder] = {}
-_ODD = tuple("\x1c\x1d\x1e\x1f")
+#: Words whose ids a worker remembers, in each of two generations.
+MEMORY_WORDS = 700_000
+#: A mark alone at the end of a word.
+MARK = re.compile(r"[,.](?<=[^\W_][,.])(?!\S)")
+_ODD = tuple("\x1c\x1d\x1e\x1fİ")
 
 
 def default_tokenizer() -> str:
@@ -37,6 +38,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A worker's encoders, kept from task to task.
+_ENCODERS: dict = {}
+
+
 class WordEncoder:
     """Ids of a tokenizer that drops white space and never joins across it: words are encoded once and
     remembered. Texts where white space may be read in another way are encoded whole."""
@@ -46,6 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -65,34 +71,36 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        memo, parts, letters = self.memo, {}, set()
-        for w in words:
-            # Letters and the marks that follow them are never one piece; letters are lower-cased one by one.
-            core, mark = (w[:-1], w[-1]) if w[-1] in ".," and len(w) > 1 else (w, "")
-            if core.isalpha() and max(core) < "Ͱ" and "İ" not in core:
-                parts[w] = core.lower(), mark
-                letters.add(parts[w][0])
-            else:
-                parts[w] = w, ""
-        new = {p for pair in parts.values() for p in pair if p and p not in memo}
-        letters &= new
-        known = dict(zip(rest := list(new - letters), self._encode(rest))) | dict(zip(some := list(letters), self._encode_letters(some)))
-        for w, (core, mark) in parts.items():
-            ids = known[core] if core in known else memo[core]
-            memo[w] = ids + (known[mark] if mark in known else memo[mark]) if mark else ids
-        memo.update(known)
+        """Words of the older generation move to the newer one; the others are encoded."""
+        if len(self.memo) > MEMORY_WORDS:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        memo.update((w, old[w]) for w in words if w in old)
+        words = {w for w in words if w not in memo}
+        letters = [w for w in words if w.isalpha()]
+        memo.update(zip(letters, self._encode_letters(letters)))
+        rest = [w for w in words if w not in memo]
+        memo.update(zip(rest, self._encode(rest)))
 
     def __call__(self, text: str) -> np.ndarray:
-        text = text.encode("utf-8", "replace").decode("utf-8")
+        try:
+            # Letters of one byte are lower-cased one by one here as in the tokenizer.
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            text = text.encode("utf-8", "replace").decode("utf-8")
         if "<|" in text or any(c in text for c in _ODD):
             return np.frombuffer(self._encode([text])[0], self.kind)
-        words, memo = text.split(), self.memo
+        # A letter or digit and the mark after it are never one piece.
+        words = MARK.sub(r" \g<0>", text).split()
         try:
-            found = b"".join([memo[w] for w in words])
+            memo = self.memo
+            found = b"".join(map(memo.__getitem__, words))
         except KeyError:
-            if len(memo) > MEMORY_WORDS:
-                memo.clear()
             self._learn({w for w in words if w not in memo})
+            memo = self.memo
+            if not all(w in memo for w in words):  # a new generation has begun
+                self._learn({w for w in words if w not in memo})
             found = b"".join([memo[w] for w in words])
         return np.frombuffer(found, self.kind)
 
