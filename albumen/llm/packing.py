@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumen.llm.common import kept
+
 #: Context sizes, the id that ends a document, tokens of a step group, and tokens packed together.
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
 STEP_TOKENS = 1 << 16
 BLOCK_TOKENS = 1 << 21
 #: Words whose ids a worker remembers, in each of two generations.
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 500_000
 #: A mark alone at the end of a word.
 MARK = re.compile(r"[,.](?<=[^\W_][,.])(?!\S)")
 _ODD = tuple("\x1c\x1d\x1e\x1fİ")
@@ -38,10 +40,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A worker's encoders, kept from task to task.
-_ENCODERS: dict = {}
-
-
 class WordEncoder:
     """Ids of a tokenizer that drops white space and never joins across it: words are encoded once and
     remembered. Texts where white space may be read in another way are encoded whole."""
@@ -66,8 +64,9 @@ class WordEncoder:
         out: list[bytes] = []
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            out += [x.tobytes() for x in np.split(ids, cuts)[:-1]] if len(cuts) == len(line) else self._encode(line)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(line) else self._encode(line)
         return out
 
     def _learn(self, words: set[str]) -> None:
@@ -178,9 +177,7 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...]):
         return frame, sequence
 
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = WordEncoder(path)
-        encode, base = _ENCODERS[path], TaskContext.get().partitionId() << 33
+        encode, base = kept("packing", path, lambda: WordEncoder(path)), TaskContext.get().partitionId() << 33
         sequence, steps, block, tokens = base, _Steps(base), [], 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):

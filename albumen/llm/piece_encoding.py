@@ -19,15 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumen.llm.common import kept
+
 #: White space's stand-in in pieces.
 SPACE = "▁"
 #: Kinds of pieces in a model file: fixed values of its format.
 NORMAL, BYTE = 1, 6
 #: Characters indexed together, words a worker remembers, and the length from which a word is relaxed by a heap.
-BATCH_CHARS, MEMORY_WORDS, LONG_WORD = 400_000, 600_000, 64
+BATCH_CHARS, MEMORY_WORDS, LONG_WORD = 400_000, 500_000, 64
 _NONE = np.int32(1 << 30)
-#: A worker's vocabularies, kept from task to task.
-_LOADED: dict[str, "Vocabulary"] = {}
 
 
 def default_model() -> str:
@@ -266,9 +266,7 @@ def _words(line: str) -> list[str]:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    return kept("pieces", path, lambda: Vocabulary(path))
 
 
 def _encode(path: str):

@@ -257,7 +257,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = materialise(with_fingerprint(docs, "text", words).select("doc_id", "fp"), "fingerprints")
     fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(near_links(fps, most)).withColumnRenamed("node", "fp")
+    # Written first: two Python stages in one task would need twice the workers.
+    roots = connected_components(materialise(near_links(fps, most), "links")).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")

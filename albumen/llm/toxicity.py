@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumen.llm.common import kept
+
 #: Bounds of the labelled sample that the model is fitted on: rows of either class, and characters of a row.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 3000, 4000, 20_000
 #: Bytes of the dictionaries, and ordinary words used to train one.
@@ -27,10 +29,8 @@ TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WORDS = 2048, 65_536, 400_000
 TAIL = b" that with from this und der des que les para"
 GRAM, ROUNDS, HARD, TOP = 5, 2, 3, 8
 #: Words whose difference a worker remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 300_000
 THRESHOLD = 0.7
-#: A worker's distances, by model, kept from task to task.
-_HELD: dict[str, object] = {}
 
 
 def _words(text: str | None) -> list[str]:
@@ -178,10 +178,8 @@ def with_score(df: DataFrame, model: dict, text_col: str = "text", name: str = "
         m = shared.value
         if "constant" in m:
             return pd.Series(np.full(len(texts), m["constant"]))
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Distance(*m["dictionaries"])
-        x = np.array([_HELD[key].features(t) for t in texts]).reshape(len(texts), len(m["mean"]))
+        distance = kept("toxicity", key, lambda: Distance(*m["dictionaries"]))
+        x = np.array([distance.features(t) for t in texts]).reshape(len(texts), len(m["mean"]))
         z = ((x - m["mean"]) / m["scale"]) @ m["weights"][:-1] + m["weights"][-1]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
