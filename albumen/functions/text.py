@@ -44,11 +44,9 @@ def singularize(w: Column) -> Column:
     )
 
 
-def _canonical(w: Column, otherwise) -> Column:
-    out = None
-    for k, v in V.CANONICAL.items():
-        out = F.when(w == k, v) if out is None else out.when(w == k, v)
-    return out.otherwise(otherwise)
+def _canonical(w: Column, otherwise: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in V.CANONICAL.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, w), otherwise)
 
 
 def normalize_token(c: Column) -> Column:

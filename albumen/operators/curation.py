@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from albumen import vocabulary as V
 from albumen.functions import text
+from albumen.operators.once import computed_once
 
 
 def union_sources(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -32,7 +33,8 @@ def with_model_scores(records: DataFrame, scores: DataFrame, key: str) -> DataFr
 def scored(records: DataFrame) -> DataFrame:
     """tag, confidence, bucket, role, low_value and importance of records with label, source and confidence."""
     source = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("ai_tag"))
-    rows = records.withColumn("source", source).withColumn("tag", F.trim(F.left(text.normalize_token(F.coalesce("label", F.lit(""))), F.lit(V.TAG_LENGTH)))).where("tag <> ''")
+    rows = records.withColumn("source", source).withColumn("tag", F.trim(F.left(text.normalize_token(F.coalesce("label", F.lit(""))), F.lit(V.TAG_LENGTH))))
+    rows = computed_once(rows).where("tag <> ''")
     rows = rows.withColumn("confidence", text.coerce_confidence(F.col("confidence").cast("string"), F.col("source")))
     rows = rows.withColumn("bucket", text.tag_bucket(F.col("tag"), F.col("source"))).withColumn("low_value", F.col("tag").isin(*V.GENERIC))
     rows = rows.withColumn("role", F.when(F.col("bucket").isin(*V.SUBJECT_BUCKETS), "subject").otherwise("background"))

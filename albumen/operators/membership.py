@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Members of a library, seconds between invites, invites an hour, and the lockout's numbers.
 MOST_MEMBERS, INVITE_GAP, INVITES_PER_HOUR = 15, 30, 30
@@ -79,7 +80,7 @@ def lockouts(times, free: int = FREE_TRIES, base: int = LOCK_SECONDS, most: int
 
 def rate_limited(events: DataFrame, by: str, time_col: str, gap: int = INVITE_GAP, per_window: int = INVITES_PER_HOUR) -> DataFrame:
     """events with `allowed`, decided per key in the order of time; each decision depends on those before."""
-    schema = events.schema.add("allowed", "boolean")
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([time_col, *[c for c in pdf.columns if c.endswith("_id")]], ignore_index=True)
@@ -89,7 +90,7 @@ def rate_limited(events: DataFrame, by: str, time_col: str, gap: int = INVITE_GA
 
 
 def locked_out(failures: DataFrame, by: str, time_col: str) -> DataFrame:
-    schema = failures.schema.add("lock_seconds", "int")
+    schema = T.StructType([*failures.schema.fields, T.StructField("lock_seconds", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([time_col, *[c for c in pdf.columns if c.endswith("_id")]], ignore_index=True)

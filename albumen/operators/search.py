@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from albumen import vocabulary as V
 from albumen.functions import text, vectors
+from albumen.operators.once import computed_once
 
 # How scores are mixed, and the least semantic score that counts.
 SEMANTIC_WEIGHT, PERSON_WEIGHT, PLACE_WEIGHT, CONTEXT_CUT, SEMANTIC_MIN = 10.0, 8.0, 5.0, 12.0, 0.16
@@ -142,7 +143,7 @@ def candidates(limit: int) -> int:
 def hybrid(scored: DataFrame, q: Query, semantic: DataFrame | None, people_groups: int = 0, places: int = 0, key: str = "photo_id") -> DataFrame:
     """key, lexical and score > 0. scored: key, lexical. With a modifier and a thing, rows under the lexical cut are
     a fallback, used only if no row is over it."""
-    rows = scored
+    rows = computed_once(scored)
     if semantic is not None:
         rows = rows.join(semantic.select(key, "semantic"), key, "left")
     else:

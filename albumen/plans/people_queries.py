@@ -211,7 +211,7 @@ def reviewed_faces(spark, sf_dir):
     return out.select("face_id", "person_id", "review")
 
 
-@query("SELECT vec_id, round(1.0, 6)::DOUBLE AS len, 80 AS aligned, CASE WHEN vec_id % 10 = 0 THEN 0.0 ELSE round(list_dot_product(embedding::DOUBLE[][1:32], embedding::DOUBLE[][1:32]) / (sqrt(list_dot_product(embedding::DOUBLE[][1:32], embedding::DOUBLE[][1:32])) * sqrt(list_dot_product(embedding::DOUBLE[][1:32], embedding::DOUBLE[][1:32]))), 6) END AS cosine FROM embeddings")
+@query("SELECT vec_id, round(1.0, 6)::DOUBLE AS len, 80 AS aligned, CASE WHEN vec_id % 10 = 0 THEN 0.0 ELSE round(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]) / (sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[])) * sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]))), 6) END AS cosine FROM embeddings")
 def vector_values(spark, sf_dir):
     """M1, M4, M5, M6: shared dimensions, alignment and unit length."""
     v, half = F.col("embedding"), F.slice("embedding", 1, 32)

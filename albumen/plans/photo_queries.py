@@ -216,7 +216,7 @@ def name_conflicts(spark, sf_dir):
     return df.join(rows.select("nm", "library_id", "file_hash"), ["nm", "library_id", "file_hash"], "left_semi").select("photo_id")
 
 
-@query(f"{W} SELECT photo_id, array_to_string(list_sort(list_distinct(list_concat(tags, people))), ',') AS added, array_to_string(list_sort(list_filter(tags, lambda t: t NOT IN ('red', 'ring'))), ',') AS removed, array_to_string(list_sort(list_filter(tags, lambda t: t IN ('red', 'ring'))), ',') AS chosen FROM photo")
+@query(f"{W} SELECT photo_id, array_to_string(list_sort(list_distinct(list_concat(tags, people))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(tags, lambda t: t NOT IN ('red', 'ring')))), ',') AS removed, array_to_string(list_sort(list_distinct(list_filter(tags, lambda t: t IN ('red', 'ring')))), ',') AS chosen FROM photo")
 def album_set_operations(spark, sf_dir):
     """Union, difference and intersection of lists."""
     some = F.array(F.lit("red"), F.lit("ring"))

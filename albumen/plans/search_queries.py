@@ -11,6 +11,7 @@ from albumen.functions import text
 from albumen.operators import curation as C
 from albumen.operators import ranking
 from albumen.operators import search as Q
+from albumen.operators.once import computed_once
 from albumen.plans import standins as S
 from albumen.plans.registry import query
 from albumen.sources import files
@@ -152,7 +153,7 @@ def effective_tags(spark, sf_dir):
 @query(_EFFECTIVE + " SELECT photo_id, array_to_string(list_sort(tags), ' ') AS semantic_text FROM e")
 def semantic_text(spark, sf_dir):
     """X15."""
-    return _effective(spark, sf_dir).select("photo_id", text.semantic_text(F.col("effective"), [F.col("filename"), F.col("country")]).alias("semantic_text"))
+    return computed_once(_effective(spark, sf_dir)).select("photo_id", text.semantic_text(F.col("effective"), [F.col("filename"), F.col("country")]).alias("semantic_text"))
 
 
 @query("SELECT p_partkey AS photo_id, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title, lower(p_brand[1:5]) || p_brand[7:] AS tag, p_name AS clean FROM part")
@@ -162,7 +163,7 @@ def text_values(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("photo_id"), text.title_case(F.regexp_replace("p_name", " ", "__")).alias("title"), text.sanitize_tag(F.concat(F.lit(" "), "p_brand")).alias("tag"), text.sanitize_text(F.concat(F.lit("\x00"), "p_name", F.lit(" ")), 100).alias("clean"))
 
 
-@query("SELECT term FROM (SELECT DISTINCT lower(trim(term)) AS term FROM (SELECT r_name AS term FROM region UNION ALL SELECT replace(n_name, '_', ' ') FROM nation UNION ALL SELECT 'nation' UNION ALL SELECT unnest(string_split(replace(n_name, '_', ' '), ' ')) FROM nation) WHERE length(term) >= 3)")
+@query("SELECT term FROM (SELECT DISTINCT lower(trim(term)) AS term FROM (SELECT r_name AS term FROM region UNION ALL SELECT replace(n_name, '_', ' ') FROM nation UNION ALL SELECT 'nation' UNION ALL SELECT unnest(string_split(replace(n_name, '_', ' '), ' ')) FROM nation UNION ALL SELECT unnest(string_split(r_name, ' ')) FROM region) WHERE length(term) >= 3)")
 def place_terms(spark, sf_dir):
     """A21."""
     df = S.read(spark, sf_dir, "nation").join(F.broadcast(S.read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -221,9 +222,11 @@ _FIELDS = f"""{_EFFECTIVE}, f AS (SELECT p.photo_id, e.tags, array_to_string(lis
 
 
 def _fields(spark, sf_dir):
-    df = _effective(spark, sf_dir)
+    df = computed_once(_effective(spark, sf_dir))
     semantic = text.semantic_text(F.col("effective"), [F.col("country")])
-    return df.select("photo_id", F.col("effective").alias("tags"), semantic.alias("semantic"), F.concat(text.normalize_phrase(F.col("filename")), F.lit(" "), semantic, F.lit(" ")).alias("subject"), F.lower(F.concat_ws(" ", "address", "city", "country", F.array_join("effective", " "))).alias("place"))
+    df = computed_once(df.withColumn("said", semantic))
+    semantic = F.col("said")
+    return computed_once(df.select("photo_id", F.col("effective").alias("tags"), semantic.alias("semantic"), F.concat(text.normalize_phrase(F.col("filename")), F.lit(" "), semantic, F.lit(" ")).alias("subject"), F.lower(F.concat_ws(" ", "address", "city", "country", F.array_join("effective", " "))).alias("place")))
 
 
 for _name, _text in SEARCHES.items():
@@ -255,8 +258,8 @@ def vector_search(spark, sf_dir):
     return top.select("vec_id", F.round("semantic", 6).alias("semantic"))
 
 
-@query(f"""{_FIELDS}, v AS (SELECT vec_id AS photo_id, {_COS} AS semantic FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY semantic DESC, photo_id LIMIT 500),
-s AS (SELECT f.photo_id, {lexical_sql(Q.parse('widgets and rings'))} + CASE WHEN semantic >= 0.16 THEN semantic * 10 ELSE 0 END AS score FROM f LEFT JOIN v USING (photo_id)) SELECT photo_id, round(score, 6) AS score FROM s WHERE score > 0""")
+@query(f"""{_FIELDS}, v AS (SELECT vec_id AS photo_id, {_COS} AS sim FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY sim DESC, photo_id LIMIT 500),
+s AS (SELECT f.photo_id, {lexical_sql(Q.parse('widgets and rings'))} + CASE WHEN sim >= 0.16 THEN sim * 10 ELSE 0 END AS score FROM f LEFT JOIN v USING (photo_id)) SELECT photo_id, round(score, 6) AS score FROM s WHERE score > 0""")
 def hybrid_search(spark, sf_dir):
     """Words and vectors; the vector of a photo is that of its number."""
     q = Q.parse("widgets and rings")
