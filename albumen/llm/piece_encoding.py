@@ -25,8 +25,9 @@ from albumen.llm.common import kept
 SPACE = "▁"
 #: Kinds of pieces in a model file: fixed values of its format.
 NORMAL, BYTE = 1, 6
-#: Characters indexed together, words a worker remembers, and the length from which a word is relaxed by a heap.
-BATCH_CHARS, MEMORY_WORDS, LONG_WORD = 400_000, 500_000, 64
+#: Characters indexed together, words a worker remembers in each of two generations, the length from which a
+#: word is relaxed by a heap, and the characters of texts whose words are learned together.
+BATCH_CHARS, MEMORY_WORDS, LONG_WORD, TEXT_CHARS = 400_000, 500_000, 64, 4_000_000
 _NONE = np.int32(1 << 30)
 
 
@@ -91,6 +92,7 @@ class Vocabulary:
         #: Letters that stand side by side in some piece; symbols are never joined across others.
         self.side_by_side = {p[i : i + 2] for p in self.ranked for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def suffixes(self, line: np.ndarray) -> np.ndarray:
         """The places of `line` in the order of what follows them, as far as the longest piece reaches."""
@@ -219,31 +221,39 @@ class Vocabulary:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
-        words = [SPACE + w for w in text.split(" ")]
-        if SPACE in words or SPACE in text:
-            words = _words(SPACE + text.replace(" ", SPACE))
-        memo = self.memo
+        words = units_of(text)
         try:
-            found = b"".join([memo[w] for w in words])
+            found = b"".join(map(self.memo.__getitem__, words))
         except KeyError:
-            self.learn(words)
-            found = b"".join([memo[w] for w in words])
+            self.learn(set(words))
+            found = b"".join(map(self.memo.__getitem__, words))
         return np.frombuffer(found, self.kind)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
+        """Afterwards all these words are remembered: those of the older generation move to the newer one, and the
+        others are indexed together."""
         if len(self.memo) > MEMORY_WORDS:
-            self.memo.clear()
-        parts = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-2:] not in self.side_by_side else (w, "") for w in words if w not in self.memo}
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        memo.update((w, old[w]) for w in words if w not in memo and w in old)
+        # A last letter that no piece has beside the one before it is encoded apart.
+        parts = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-2:] not in self.side_by_side else (w, "") for w in words if w not in memo}
+        cores = {core for core, _ in parts.values() if core not in memo}
+        known: dict[str, bytes] = {}
         batch, size = [], 0
-        for w in {x for pair in parts.values() for x in pair if x and x not in self.memo}:
+        for w in cores:
             batch.append(w)
-            size += len(w)
+            size += len(w) + 2
             if size > BATCH_CHARS:
-                self.memo.update(zip(batch, self.encode_words(batch)))
+                known.update(zip(batch, self.encode_words([_spaced(x) for x in batch])))
                 batch, size = [], 0
-        if batch:
-            self.memo.update(zip(batch, self.encode_words(batch)))
-        self.memo.update((w, self.memo[a] + self.memo[b]) for w, (a, b) in parts.items() if b)
+        # Single letters without a space before them are known by a leading zero.
+        marks = [m for m in {m for _, m in parts.values() if m} if "\0" + m not in memo]
+        encoded = self.encode_words([_spaced(x) for x in batch] + marks) if batch or marks else []
+        known.update(zip(batch, encoded))
+        memo.update(zip(("\0" + m for m in marks), encoded[len(batch) :]))
+        memo.update(known)
+        memo.update((w, (known[core] if core in known else memo[core]) + memo["\0" + mark]) for w, (core, mark) in parts.items() if mark)
 
     def decode(self, ids: np.ndarray) -> str:
         """Spelled pieces laid end to end, without the space before the text; bytes that are no UTF-8 read as U+FFFD."""
@@ -252,6 +262,18 @@ class Vocabulary:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def units_of(text: str) -> list[str]:
+    """What is encoded by itself: words without the space sign before them, where the text has none and single
+    spaces only; else runs of space signs with what follows."""
+    if SPACE in text or "  " in text or text[0] == " " or "\0" in text:
+        return _words(SPACE + text.replace(" ", SPACE))
+    return text.split(" ")
+
+
+def _spaced(word: str) -> str:
+    return word if word[:1] == SPACE else SPACE + word
+
+
 def _words(line: str) -> list[str]:
     """Runs of space signs, each with what follows up to the next one."""
     out, at = [], 0
@@ -275,12 +297,17 @@ def _encode(path: str):
         for pdf in batches:
             texts = [(t or "").encode("utf-8", "replace").decode() for t in pdf["text"]]
             # New words of many texts are indexed together.
-            fresh, size = set(), 0
-            for t in texts:
-                if SPACE not in t and "  " not in t:
-                    fresh.update(w for w in (SPACE + x for x in t.split(" ")) if w not in v.memo and w != SPACE)
-            v.learn(list(fresh))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": texts, "ids": [v.encode(t).astype(np.int32) for t in texts]})
+            sizes = np.cumsum([len(t) for t in texts])
+            for rows in np.split(np.arange(len(texts)), np.searchsorted(sizes, np.arange(TEXT_CHARS, sizes[-1] if len(sizes) else 0, TEXT_CHARS))):
+                if not len(rows):
+                    continue
+                some, words = [texts[k] for k in rows], set()
+                for t in some:
+                    if t:
+                        words.update(units_of(t))
+                v.learn(words)
+                ids = [v.encode(t).astype(np.int32) for t in some]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows].astype("Int64").to_numpy(), "text": some, "ids": ids}).astype({"doc_id": "Int64"})
 
     return run
 
