@@ -30,7 +30,7 @@ TAIL = b" that with from this und der des que les para"
 GRAM, ROUNDS, HARD, TOP = 5, 2, 3, 8
 #: Words whose difference a worker remembers.
 MEMORY_WORDS = 300_000
-THRESHOLD = 0.7
+THRESHOLD, LEAST_SPREAD = 0.7, 0.5
 
 
 def _words(text: str | None) -> list[str]:
@@ -143,7 +143,8 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
             x += [distance.features(t) for t in texts]
             y += [label] * len(texts)
     x, y = np.array(x), np.array(y)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    # A feature that hardly varies in the sample must not decide by itself.
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_SPREAD)
     weights = _logistic(np.c_[(x - mean) / scale, np.ones(len(x))], y)
     return {"dictionaries": _dictionaries(toxic, ordinary), "mean": mean, "scale": scale, "weights": weights}
 
