@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumen.llm import exact_dedup, packing, pii, simhash, toxicity
+from albumen.llm import exact_dedup, near_copies, packing, pii, toxicity
 from albumen.llm.common import materialise
 
 #: The names are chosen not to clash with columns of the table.
@@ -36,10 +36,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest id. Texts without words aren't copies of each
-    other by this measure, yet share fingerprint zero: exact dedup leaves few, and one of them stays."""
-    groups = simhash.near_groups(docs)
-    return _without(docs, groups.where("not (doc_id <=> component_id)"))
+    """Of each group of near copies (five words, similarity 0.8), the one with the smallest id. Texts without
+    words count as copies of each other: one of them stays."""
+    return _without(docs, near_copies.copies(docs).select("doc_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
