@@ -2,19 +2,19 @@
 
 Every stage but the last returns the columns of documents (and any others that the table has). Rows with a
 null text count as empty texts. Rows that repeat another one's id and text are one document: they are kept
-or dropped together.
+or dropped together. Rows that share only an id (or have none) are documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumen.llm import exact_dedup, near_copies, packing, pii, toxicity
 from albumen.llm.common import materialise
 
 #: The names are chosen not to clash with columns of the table.
-_SCORE, _TEXT, _ID = "__albumen_score", "__albumen_text", "__albumen_id"
+_SCORE, _TEXT, _ID, _DIGEST = "__albumen_score", "__albumen_text", "__albumen_id", "__albumen_digest"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,21 +24,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_score(docs, model, name=_SCORE).where(F.col(_SCORE) < toxicity.THRESHOLD).drop(_SCORE)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in `dropped`, a table of one column doc_id. Null ids match null."""
-    dropped = materialise(dropped.select(F.col("doc_id").alias(_ID)).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[_ID]), "left_anti")
+def _without(docs: DataFrame, dropped: DataFrame, of_text: Column) -> DataFrame:
+    """docs without the rows in `dropped`, a table of two columns: doc_id and a digest of the text, which is
+    `of_text` in docs. Null ids match null; another text of the same id stays."""
+    dropped = materialise(dropped.toDF(_ID, _DIGEST).distinct(), "dropped")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[_ID]) & (of_text == dropped[_DIGEST]), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id."""
-    return _without(docs, exact_dedup.exact_groups(docs).where("not kept"))
+    dropped = exact_dedup.exact_groups(docs).where("not kept").select("doc_id", "text_sha256")
+    return _without(docs, dropped, F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8), the one with the smallest id. Texts without
     words count as copies of each other: one of them stays."""
-    return _without(docs, near_copies.copies(docs).select("doc_id"))
+    return _without(docs, near_copies.copies(docs), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

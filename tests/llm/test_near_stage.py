@@ -40,3 +40,15 @@ def test_near_copies_at_similarity_of_four_fifths(spark):
 def test_buckets_searched_by_pivots(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "EACH", 0)
     test_near_copies_at_similarity_of_four_fifths(spark)
+
+
+def test_only_the_copy_of_an_id_goes(spark):
+    text = lambda k, n=40: " ".join(f"x{k}y{i}" for i in range(n))
+    same, long = text(0), text(1, 400)
+    unique = [(None, text(2)), (None, text(3)), (5, text(4)), (30, text(5)), (None, None)]
+    rows = [(1, same), (None, same), (9, same), (5, same), (20, long), (None, long + " end"), (30, long + " fin"), (20, long), *unique]
+    after = corpus_pipeline.exact(spark, frame(spark, rows), "")
+    show = lambda rows: sorted(map(tuple, rows), key=str)
+    want = [r for r in rows if r[1] != same or r[0] == 9]
+    assert show(after.collect()) == show(want)
+    assert show(corpus_pipeline.near(spark, after, "").collect()) == show([(9, same), (20, long), (20, long), *unique])
