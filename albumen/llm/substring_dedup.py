@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from albumen.llm.common import materialise
 
-#: A unit of fewer words is no evidence of copying and always stays.
-MIN_WORDS = 5
+#: A unit of fewer words always stays: at 1, only units without words do.
+MIN_WORDS = 1
 #: A unit ends after a line end, or after white space that follows the end of a sentence.
 UNIT = re.compile(r"[^\n.!?]*+(?:[.!?]++(?![ \t\n])[^\n.!?]*+)*+(?:[.!?]++[ \t]*+\n?|\n|$)")
 

@@ -1,0 +1,9 @@
+"""Lines of few words, or without spaces."""
+
+from albumen.llm import substring_dedup
+
+
+def test_short_lines_are_units(spark):
+    rows = [(1, "Read more\nAn own line here\n\n"), (2, "Another\nread  MORE\n\n"), (3, "本文書是一個測試\n"), (4, "其他\n本文書是一個測試\n")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in got} == {1: (0, rows[0][1]), 2: (1, "Another\n\n"), 3: (0, rows[2][1]), 4: (1, "其他\n")}
