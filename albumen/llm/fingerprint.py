@@ -2,7 +2,7 @@
 
 Every window of B bytes has an entropy; the rarer its entropy is among all windows of the corpus, the rarer
 the window. In each run of W windows the rarest one (leftmost of equals) gets a vote; windows of T or more
-votes are a text's features. Their hashes go, in the order of the text, into a chain of Bloom filters, and
+votes are a text's features; in stretches without any, the windows of any vote are. Their hashes go, in the order of the text, into a chain of Bloom filters, and
 two chains are compared by normalised overlap of bits.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 B, W, T, FEW = 32, 64, 16, 128
 #: Short texts use all windows of SMALL bytes; texts of a length between these use both kinds.
 SHORT, SMALL = (144, 256), 8
+#: Windows with no feature this near on either side are in a stretch without features.
+BARE = 2 * W
 #: Bits of a filter, features it holds, bits a feature sets, classes of entropy.
 BITS, HELD, SET, CLASSES = 2048, 160, 5, 1001
 #: Windows with less than this share of the highest entropy (runs of a few bytes) are never features.
@@ -107,8 +109,14 @@ def chains(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
             low, reach = np.minimum(low[:-reach], low[reach:]), reach * 2
         runs = _within(starts[many], counts[many] - W + 1)
         votes = np.bincount(low[runs] & ((1 << 40) - 1), minlength=len(worth))
-        chosen = np.flatnonzero(votes >= T)
-        picked.append(chosen[worth[chosen] < CLASSES])
+        chosen = np.flatnonzero(votes)
+        voted = (votes[chosen] >= T) & (worth[chosen] < CLASSES)
+        # Where a text is too repetitive for T votes, windows of any vote are features, flat ones too: never none.
+        place = chosen + 2 * BARE * (np.searchsorted(starts[many], chosen, side="right") - 1)
+        known = np.concatenate([[-BARE - 1], place[voted], [place[-1] + BARE + 1]])
+        after = np.searchsorted(known, place)
+        bare = np.minimum(place - known[np.maximum(after - 1, 0)], known[after] - place) > BARE
+        picked.append(chosen[voted | bare])
     at = np.concatenate(picked)
     view = np.lib.stride_tricks.sliding_window_view
     h = _hash(view(buf, B)[at]) if len(at) else np.zeros(0, np.uint64)
