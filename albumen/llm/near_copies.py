@@ -1,29 +1,35 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-dedup of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity SimHash's bits differ too much for a radius that tells copies from strangers, so candidates
-come from MinHash: 40 bands of 6 minima miss a pair at 0.8 with probability (1 - 0.8**6)**40 = 5e-6, and more
-similar ones less. Every candidate is decided by the similarity of the whole sets. In each band's buckets,
+At that similarity 15 % of a fingerprint's bits differ on average, too many for one fingerprint of 64 bits and
+a fixed radius. So fingerprints have 256 bits, and anchors are chosen in many blocks: each block is a draw of
+bits, its anchors are the words of Hamming(15,11) on 15 of them and every word on the rest, and a fingerprint is
+replicated to every anchor within the covering radius. Those that meet at an anchor and differ in few of 128
+bits are candidates; candidates are decided by the similarity of the whole sets. In each group of candidates,
 texts meet one pivot first; pairs that are then linked through others need no comparison.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumen.llm.common import connected_components, materialise
-from albumen.llm.simhash import LOWER
+from albumen.llm.common import connected_components, materialise, release
+from albumen.llm.simhash import LOWER, _compare, meet, near_anchors
 
 WORDS, SIMILAR = 5, 0.8
-BANDS, MINIMA = 40, 6
-#: Shingles worked on together, comparisons a text on average from which buckets are searched by pivots, and most such rounds.
-CHUNK, EACH, ROUNDS = 2048, 4, 8
-_RNG = np.random.default_rng(8)
-_FLIP = _RNG.integers(0, 1 << 32, (BANDS * MINIMA, 1), dtype=np.uint32)
-_TIMES = _RNG.integers(0, 1 << 32, (BANDS * MINIMA, 1), dtype=np.uint32) | np.uint32(1)
+#: Bits of a fingerprint, of a comparison, and that candidates may differ in: at 0.8, 19.4 on average, deviation 4.1.
+BITS, COMPARED, MOST = 256, 128, 36
+#: Bits of a block: 18 at least, and as many as it takes to number the texts. Blocks: so many that at 0.8, where a
+#: bit is equal with probability EQUAL, a pair meets in none with probability exp(-SURE). Anchors hold WIDER times
+#: the pairs that are equal in all bits of a block.
+LEAST_BITS, MOST_BITS, EQUAL, WIDER, SURE = 18, 38, 0.8485, 1.65, 5.0
+#: Shingles worked on together, comparisons a text on average from which groups are searched by pivots, and most such rounds.
+CHUNK, EACH, ROUNDS = 255, 4, 8
 _PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
 
 
@@ -47,14 +53,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    x, low = (h >> np.uint64(32)).astype(np.uint32), None
-    for at in range(0, len(x), CHUNK):
-        y = x[at : at + CHUNK] ^ _FLIP
-        y *= _TIMES
-        m = y.min(axis=1)
-        low = m if low is None else np.minimum(low, m)
-    return low
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """BITS // 64 words: a bit is 1 if over half of the set's hashes have it."""
+    stirred = np.stack([_mixed(h * np.uint64(c)) for c in _PLACE[: BITS // 64]], axis=1)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), CHUNK):
+        bits = np.unpackbits(stirred[at : at + CHUNK].view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,20 +68,67 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def layout(n: int) -> tuple[int, int]:
+    """Bits of a block, and number of blocks, for n texts."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 2)))))
+    return bits, math.ceil(SURE / (WIDER * EQUAL**bits))
+
+
+def draws(bits: int, blocks: int) -> np.ndarray:
+    """BITS x blocks: a fingerprint's bits times this are its blocks' words. Each shuffle of the bits is dealt out in turn."""
+    rng, out = np.random.default_rng(8), np.zeros((BITS, blocks))
+    for k in range(blocks):
+        at = k % (BITS // bits) * bits
+        order = rng.permutation(BITS) if not at else order
+        out[order[at : at + bits], k] = 2.0 ** np.arange(bits)
+    return out
+
+
 def _sign(batches):
-    bands = np.arange(BANDS, dtype=np.uint64)
     for pdf in batches:
-        for at in range(0, len(pdf), 4096):
-            part = pdf.iloc[at : at + 4096]
+        for at in range(0, len(pdf), 2048):
+            part = pdf.iloc[at : at + 2048]
             sizes, rows = [], []
             for text in part["text"]:
                 h = shingles(text)
-                sizes.append(len(h)), rows.append(minima(h))
-            sig = np.array(rows).astype(np.uint64).reshape(-1, BANDS, MINIMA)
-            key = np.broadcast_to(_mixed(bands + np.uint64(1)), sig.shape[:2])
-            for k in range(MINIMA):
-                key = _mixed((key ^ sig[:, :, k]) * np.uint64(_PLACE[0]))
-            yield pd.DataFrame({"node": part["node"].to_numpy(), "size": np.array(sizes, np.int64), "buckets": list(key.view(np.int64))})
+                sizes.append(len(h)), rows.append(fingerprint(h).view(np.int64))
+            frame = pd.DataFrame(np.array(rows).reshape(-1, BITS // 64), columns=FP)
+            frame.insert(0, "size", np.array(sizes, np.int64))
+            frame.insert(0, "node", part["node"].to_numpy())
+            yield frame
+
+
+FP = [f"f{k}" for k in range(BITS // 64)]
+_COMPARED = FP[: COMPARED // 64]
+
+
+def _spread(bits: int, blocks: int):
+    def run(batches):
+        deal = draws(bits, blocks)
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                fp = np.ascontiguousarray(part[FP].to_numpy())
+                words = np.unpackbits(fp.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little") @ deal
+                keep = part.drop(columns=FP[COMPARED // 64 :])
+                for k in range(blocks):
+                    rows, anchor, home = near_anchors(words[:, k].astype(np.uint64), (0, bits, 1), 0)
+                    frame = keep.iloc[rows].reset_index(drop=True)
+                    frame.insert(0, "home", home)
+                    frame.insert(0, "anchor", anchor | np.int64(k) << 40)
+                    yield frame
+
+    return run
+
+
+def candidates(signed: DataFrame, n: int, root: str | None = None) -> DataFrame:
+    """(a, b): links that span the groups of nodes that meet and differ in at most MOST bits; with `root`, a column
+    of signed, all such pairs of different roots. signed: node, FP and n rows about."""
+    bits, blocks = layout(n)
+    extra = f", {root} long" if root else ""
+    rows = signed.select("node", *FP, *([root] if root else []))
+    rows = rows.mapInPandas(_spread(bits, blocks), f"anchor long, home byte, node long, {', '.join(f'{c} long' for c in _COMPARED)}{extra}")
+    return meet(rows).mapInPandas(_compare(MOST, _COMPARED, "node", root), "a long, b long")
 
 
 def _decide(batches):
@@ -94,52 +147,57 @@ def _decide(batches):
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b, size_a, size_b) those similar enough; sizes alone rule some out."""
-    pairs = pairs.where(f"least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b)").select("a", "b").distinct()
-    pairs = materialise(pairs, "pairs")
+    """Of pairs (a, b) those similar enough."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = materialise(both.select("a", "b", "text_a", "text_b"), "both")
-    return materialise(both.mapInPandas(_decide, "a long, b long"), "links")
+    links = materialise(both.mapInPandas(_decide, "a long, b long"), "links")
+    release(pairs)
+    release(both)
+    return links
 
 
 def near_roots(docs: DataFrame) -> DataFrame:
     """(node, root) of each text that has a near copy: components of pairs at 0.8 or more. docs: node (long, the
     same for the same text), text."""
-    signed = docs.select("node", "text").mapInPandas(_sign, "node long, size long, buckets array<long>")
-    signed = materialise(signed, "signed").groupBy("node").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets"))
-    members = materialise(signed.select("node", "size", F.explode("buckets").alias("bucket")), "members")
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    pivots = materialise(pivots.select("bucket", F.col("pivot.node").alias("b"), F.col("pivot.size").alias("size_b")), "pivots")
-    shared = materialise(members.join(pivots, "bucket").select("bucket", "node", "size", "b", "size_b"), "shared")
-    wanted = shared.select("node").distinct()
-    texts = materialise(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = _links(shared.where("node <> b").select(F.col("node").alias("a"), "b", F.col("size").alias("size_a"), "size_b"), texts)
-    n = max(1, texts.count())
-    for k in range(ROUNDS + 1):
-        roots = materialise(connected_components(links), "roots")
-        rooted = shared.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    signed = docs.select("node", "text").mapInPandas(_sign, f"node long, size long, {', '.join(f'{c} long' for c in FP)}")
+    signed = materialise(signed.dropDuplicates(["node"]), "signed")
+    n = signed.count()
+    groups = materialise(connected_components(materialise(candidates(signed, n), "met")), "groups")
+    # Few of the texts: all that follows is about these.
+    members = signed.join(groups.withColumnRenamed("root", "bucket"), "node")
+    members = materialise(members, "members")
+    texts = docs.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "texts")
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("p_" + c))) for c in _COMPARED), F.lit(0))
+    alike = (F.least("size", "p_size") >= SIMILAR * F.greatest("size", "p_size")) & (far <= MOST)
+    links = texts.sparkSession.createDataFrame([], "a long, b long")
+    k = 0
+    while True:
+        roots = connected_components(links) if k else None
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if k else members.withColumn("root", F.col("node"))
         rooted = materialise(rooted, "rooted")
         counts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        open_ = counts.groupBy("bucket").agg(F.count("*").alias("roots"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("work"))
-        open_ = materialise(open_.where("roots > 1").select("bucket", "work"), "open")
-        work = open_.agg(F.sum("work")).first()[0] or 0
+        left = counts.groupBy("bucket").agg(F.count("*").alias("roots"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("work"))
+        left = materialise(left.where("roots > 1").select("bucket", "work"), "open")
+        work = left.agg(F.sum("work")).first()[0] or 0
         if not work:
-            return roots
-        last = k == ROUNDS or work <= 2 * EACH * n
-        x = rooted.select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-        if last:
-            y = rooted.join(open_.select("bucket"), "bucket", "left_semi")
-        else:
-            # Another pivot for each bucket that has more than one component.
-            order = F.xxhash64("node", "bucket", F.lit(k))
-            y = rooted.join(open_.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.min_by(F.struct("node", "size", "root"), order).alias("p"))
-            y = materialise(y.select("bucket", "p.node", "p.size", "p.root"), "pivots")
-        y = y.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-        pairs = x.join(y, "bucket").where("root_a <> root_b" + (" and a < b" if last else ""))
-        links = materialise(links.unionByName(_links(pairs.select("a", "b", "size_a", "size_b"), texts)), "links")
-        if last:
-            return materialise(connected_components(links), "roots")
+            break
+        rows = rooted.join(left.select("bucket"), "bucket", "left_semi")
+        if k and (k > ROUNDS or work <= 2 * EACH * n):
+            # What pivots have left: every pair of different components that meets at an anchor.
+            rows = materialise(rows, "rest")
+            links = links.unionByName(_links(candidates(rows, n, "root"), texts))
+            return materialise(connected_components(materialise(links, "links")), "roots")
+        # Another pivot for each group that has more than one component.
+        order = F.xxhash64("node", F.lit(k))
+        pivot = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "root", *_COMPARED), order).alias("p"))
+        pivot = pivot.select("bucket", *(F.col(f"p.{c}").alias("p_" + c) for c in ("node", "size", "root", *_COMPARED)))
+        pairs = rooted.join(materialise(pivot, "pivots"), "bucket").where(F.col("root") != F.col("p_root")).where(alike)
+        links = materialise(links.unionByName(_links(pairs.select(F.col("node").alias("a"), F.col("p_node").alias("b")), texts)), "links")
+        k += 1
+    return materialise(rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root").join(rooted.select("node", "root"), "root"), "roots")
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,9 @@ from albumen.llm.common import connected_components, local_components, materiali
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingles hashed at a time, pairs compared at a time, and the size from which a group is searched by frontier.
-HASHES, PAIRS, LARGE = 1 << 16, 1 << 22, 1 << 20
+HASHES, PAIRS, LARGE = 1 << 16, 1 << 21, 1 << 20
+#: Rows of an anchor from which it is cut into cells.
+HOT = 1 << 16
 #: XXH64's seed.
 SEED = 42
 
@@ -142,88 +144,100 @@ def anchors(fp: np.ndarray, block: tuple[int, int, int], near: int):
                     yield rows[more], (rest[rows[more]] << 30) | (word2 << 15) | word[more]
 
 
+def near_anchors(words: np.ndarray, block: tuple[int, int, int], near: int):
+    """(rows, anchor, home): each fingerprint's anchors, its home among them, each once."""
+    home = home_anchor(words, block)
+    got = [(rows, a) for rows, a in anchors(words, block, near) if len(rows)]
+    rows, at = np.concatenate([r for r, _ in got]), np.concatenate([a for _, a in got])
+    return rows, at, (at == home[rows]).astype(np.int8)
+
+
 def _spread(blocks: int, near: int):
     def run(batches):
         layout = _layout(blocks)
         for pdf in batches:
             for at in range(0, len(pdf), 8192):
                 fp = pdf["fp"].to_numpy()[at : at + 8192]
-                u = fp.view(np.uint64)
                 for k, block in enumerate(layout):
-                    key = np.int64(k) << 40
-                    yield pd.DataFrame({"anchor": home_anchor(u, block) | key, "home": np.int8(1), "fp": fp})
-                    got = [(rows, a) for rows, a in anchors(u, block, near) if len(rows)]
-                    if got:
-                        yield pd.DataFrame(
-                            {"anchor": np.concatenate([a for _, a in got]) | key, "home": np.int8(0), "fp": fp[np.concatenate([r for r, _ in got])]}
-                        )
+                    rows, anchor, home = near_anchors(fp.view(np.uint64), block, near)
+                    yield pd.DataFrame({"anchor": anchor | np.int64(k) << 40, "home": home, "fp": fp[rows]})
 
     return run
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+    """Bits that differ, of fingerprints of one or more words (rows)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _frontier(fps: np.ndarray, most: int) -> tuple[list, list]:
+def _frontier(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list, list]:
     """Links that span the components of a large group: each fingerprint is compared with those not reached yet."""
-    rest, a, b = np.unique(fps), [], []
+    nodes, first = np.unique(nodes, return_index=True)
+    rest, a, b = np.arange(len(nodes)), [], []
+    fps = fps[first]
     while len(rest):
         queue, rest = [rest[:1]], rest[1:]
         while queue:
             for x in queue.pop():
-                hit = _differing(rest, np.array([x])) <= most
+                hit = _differing(fps[rest], fps[x]) <= most
                 if hit.any():
                     found, rest = rest[hit], rest[~hit]
-                    a.append(np.full(len(found), x)), b.append(found)
+                    a.append(np.full(len(found), nodes[x])), b.append(nodes[found])
                     queue.append(found)
     return a, b
 
 
-def _compare(most: int):
-    """Spanning links among the fingerprints that meet at an anchor; the partition is sorted by anchor."""
+def _compare(most: int, bits: list[str], node: str, root: str | None = None):
+    """Among the fingerprints (columns `bits`) that meet at an anchor, spanning links; with `root`, all near pairs
+    of different roots instead. The partition is sorted by anchor and cell, homes first."""
 
-    def links(anchor: np.ndarray, home: np.ndarray, fp: np.ndarray):
-        cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        ends = np.r_[cuts[1:], len(anchor)]
-        # homes come first within an anchor
+    def links(key: np.ndarray, home: np.ndarray, ids: np.ndarray, fp: np.ndarray, roots: np.ndarray):
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        ends = np.r_[cuts[1:], len(key)]
         homes = np.add.reduceat(home.astype(np.int64), cuts)
-        probes = ends - cuts - homes
+        sizes = ends - cuts
         a, b = [], []
-        large = homes * probes > LARGE
+        large = (homes * sizes > LARGE) & (root is None)
         for k in np.flatnonzero(large):
-            x, y = _frontier(fp[cuts[k] : ends[k]], most)
+            x, y = _frontier(ids[cuts[k] : ends[k]], fp[cuts[k] : ends[k]], most)
             a += x
             b += y
-        use = np.flatnonzero(~large & (homes > 0) & (probes > 0))
-        cost = np.cumsum(homes[use] * probes[use])
-        for part in np.split(use, np.searchsorted(cost, np.arange(PAIRS, cost[-1] if len(cost) else 0, PAIRS))):
+        use = np.flatnonzero(~large & (homes > 0) & (sizes > 1))
+        # One row for each home, so that no step takes more than PAIRS comparisons or one home's.
+        of = np.repeat(cuts[use], homes[use]) + np.arange(homes[use].sum()) - np.repeat(np.cumsum(homes[use]) - homes[use], homes[use])
+        group = np.repeat(use, homes[use])
+        cost = np.cumsum(sizes[group])
+        for part in np.split(np.arange(len(of)), np.searchsorted(cost, np.arange(PAIRS, cost[-1] if len(cost) else 0, PAIRS))):
             if not len(part):
                 continue
-            h, p = homes[part], probes[part]
-            n = h * p
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            of = np.repeat(np.arange(len(part)), n)
-            x = fp[cuts[part][of] + within % h[of]]
-            y = fp[cuts[part][of] + h[of] + within // h[of]]
-            hit = (x != y) & (_differing(x, y) <= most)
-            a.append(x[hit]), b.append(y[hit])
+            n = sizes[group[part]]
+            x = np.repeat(of[part], n)
+            y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cuts[group[part]], n)
+            hit = np.flatnonzero(roots[x] != roots[y])
+            hit = hit[_differing(fp[x[hit]], fp[y[hit]]) <= most]
+            a.append(ids[x[hit]]), b.append(ids[y[hit]])
         if a and len(x := np.concatenate(a)):
-            nodes, root = local_components(x, np.concatenate(b))
-            far = nodes != root
-            yield pd.DataFrame({"a": nodes[far], "b": root[far]})
+            y = np.concatenate(b)
+            if root is not None:
+                pairs = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)], axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                return
+            nodes, least = local_components(x, y)
+            far = nodes != least
+            yield pd.DataFrame({"a": nodes[far], "b": least[far]})
 
     def run(batches):
         held: list = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            anchor = pdf["anchor"].to_numpy()
-            part = anchor, pdf["home"].to_numpy(), pdf["fp"].to_numpy()
-            if held and held[0][0][0] == anchor[-1]:
+            key = pdf[["anchor", "cell"]].to_numpy()
+            fp = np.stack([pdf[c].to_numpy().view(np.uint64) for c in bits], axis=1)
+            part = key, pdf["home"].to_numpy(), pdf[node].to_numpy(), fp, pdf[root or node].to_numpy()
+            if held and (held[0][0][0] == key[-1]).all():
                 held.append(part)
                 continue
-            last = int(np.searchsorted(anchor, anchor[-1]))
+            last = len(key) - int((key[::-1] == key[-1]).all(axis=1).argmin()) if (key != key[-1]).any() else 0
             held.append(tuple(x[:last] for x in part))
             whole = tuple(np.concatenate(x) for x in zip(*held))
             if len(whole[0]):
@@ -235,7 +249,31 @@ def _compare(most: int):
     return run
 
 
-def near_links(fps: DataFrame, most: int = 4, blocks: int | None = None) -> DataFrame:
+def meet(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """rows (anchor, home, ...) dealt out so that each partition has whole anchors, homes first.
+
+    An anchor of more than `hot` rows is cut into cells: its rows are dealt to g parts, a home goes to the cells
+    of its part with all others and every row to those of all parts with its own, so each home still meets each
+    row, and no task holds more than about twice `hot` rows of an anchor.
+    """
+    many = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    many = materialise(many.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("g")), "hot")
+    if many.isEmpty():
+        rows = rows.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        g = F.coalesce("g", F.lit(1))
+        part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("anchor", "home")]), g)
+        other = F.sequence(F.lit(0), g - 1)
+        # (part as a home, all) with home 1, and (all, part) with home 0.
+        cells = F.transform(other, lambda k: F.struct((k * g + part).cast("long").alias("cell"), F.lit(0).cast("byte").alias("home")))
+        own = F.transform(other, lambda k: F.struct((part * g + k).cast("long").alias("cell"), F.lit(1).cast("byte").alias("home")))
+        dealt = F.when(g == 1, F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.col("home")))).when(F.col("home") == 1, F.concat(own, cells)).otherwise(cells)
+        rest = [c for c in rows.columns if c != "home"]
+        rows = rows.join(many, "anchor", "left").select(*rest, F.explode(dealt).alias("to")).select(*rest, "to.home", "to.cell")
+    return rows.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", F.desc("home"))
+
+
+def near_links(fps: DataFrame, most: int = 4, blocks: int | None = None, hot: int = HOT) -> DataFrame:
     """(a, b): links that span the components of distinct fingerprints (fp long) at `most` or fewer differing bits.
 
     Exact: with b blocks some block differs in at most floor(most / b) bits. Blocks are chosen by the number of
@@ -243,8 +281,7 @@ def near_links(fps: DataFrame, most: int = 4, blocks: int | None = None) -> Data
     """
     blocks = blocks or (3 if fps.count() < 1 << 25 else 2)
     rows = fps.select("fp").mapInPandas(_spread(blocks, most // blocks), "anchor long, home byte, fp long")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"))
-    return rows.mapInPandas(_compare(most), "a long, b long")
+    return meet(rows, hot).mapInPandas(_compare(most, ["fp"], "fp"), "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4) -> DataFrame:

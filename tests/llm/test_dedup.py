@@ -89,8 +89,8 @@ def test_anchor_cover_finds_every_near_pair(blocks):
         assert met.all()
 
 
-@pytest.mark.parametrize("blocks", [3, 2])
-def test_near_links_against_brute_force(spark, blocks, monkeypatch):
+@pytest.mark.parametrize("blocks,hot", [(3, simhash.HOT), (2, simhash.HOT), (3, 5)])
+def test_near_links_against_brute_force(spark, blocks, hot):
     random.seed(blocks)
     fps = [random.getrandbits(64) for _ in range(150 if blocks == 3 else 40)]
     for f in fps[:60] if blocks == 3 else fps[:20]:
@@ -101,7 +101,7 @@ def test_near_links_against_brute_force(spark, blocks, monkeypatch):
             fps.append(g)
     fps = list(dict.fromkeys(fps))
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    roots = {r.node: r.root for r in connected_components(simhash.near_links(df, 4, blocks)).collect()}
+    roots = {r.node: r.root for r in connected_components(simhash.near_links(df, 4, blocks, hot)).collect()}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want, got = groups_brute(fps), [roots.get(f, f) for f in signed]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
@@ -112,7 +112,7 @@ def test_frontier_equals_pairs():
     base = random.getrandbits(63)
     fps = [base ^ (1 << random.randrange(60)) ^ (1 << random.randrange(60)) for _ in range(200)] + [random.getrandbits(63) for _ in range(50)]
     fps = sorted(set(fps))
-    a, b = simhash._frontier(np.array(fps, np.int64), 4)
+    a, b = simhash._frontier(np.array(fps, np.int64), np.array(fps, np.uint64)[:, None], 4)
     nodes, root = simhash.local_components(np.concatenate(a), np.concatenate(b))
     got = dict(zip(nodes.tolist(), root.tolist()))
     want = groups_brute(fps)

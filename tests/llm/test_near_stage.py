@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from albumen.llm import near_copies
+import numpy as np
+from albumen.llm import near_copies, simhash
 
 
 def shingle_set(text):
@@ -37,11 +38,52 @@ def test_near_copies_at_similarity_of_four_fifths(spark):
     assert pairs and got == {k for k in docs if root[k] == k}
 
 
-def test_buckets_searched_by_pivots(spark, monkeypatch):
+def test_groups_searched_by_pivots(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "EACH", 0)
+    monkeypatch.setattr(near_copies, "ROUNDS", 2)
     test_near_copies_at_similarity_of_four_fifths(spark)
 
 
+def test_a_loose_group_is_told_apart(spark):
+    """Texts that SimHash joins into one group, of which only some are near copies."""
+    random.seed(6)
+    base = [f"w{k}" for k in range(200)]
+    docs = {}
+    for k in range(30):
+        words = list(base)
+        for _ in range(1 + k // 5):
+            words[random.randrange(200)] = f"z{random.random()}"
+        docs[k] = " ".join(words)
+    sets = {k: shingle_set(t) for k, t in docs.items()}
+    root = {k: k for k in docs}
+    for _ in docs:
+        for a in docs:
+            for b in docs:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id for r in corpus_pipeline.near(spark, frame(spark, list(docs.items())), "").collect()}
+    assert 1 < len(got) < 30 and got == {k for k in docs if root[k] == k}
+
+
+def test_recall_of_anchors_at_the_bound():
+    """Pairs of sets at a similarity of 0.8 that meet at an anchor and are near enough."""
+    rng = np.random.default_rng(3)
+    bits, blocks = near_copies.layout(200_000)
+    deal, met = near_copies.draws(bits, blocks), 0
+    for _ in range(300):
+        h = rng.integers(0, 1 << 63, 220, dtype=np.uint64)
+        a, b = (near_copies.fingerprint(x) for x in (h[:198], h[22:]))
+        words = np.unpackbits(np.array([a, b]).view(np.uint8).reshape(2, -1), axis=1, bitorder="little") @ deal
+        hit = False
+        for k in range(blocks):
+            rows, anchor, home = simhash.near_anchors(words[:, k].astype(np.uint64), (0, bits, 1), 0)
+            of = [set(anchor[rows == i].tolist()) for i in (0, 1)]
+            homes = set(anchor[home == 1].tolist())
+            hit |= bool(of[0] & of[1] & homes)
+        met += hit and int(np.bitwise_count(a[:2] ^ b[:2]).sum()) <= near_copies.MOST
+    assert met >= 291
+
+
 def test_only_the_copy_of_an_id_goes(spark):
     text = lambda k, n=40: " ".join(f"x{k}y{i}" for i in range(n))
     same, long = text(0), text(1, 400)
