@@ -44,11 +44,11 @@ class WordEncoder:
     """Ids of a tokenizer that drops white space and never joins across it: words are encoded once and
     remembered. Texts where white space may be read in another way are encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory_words: int = MEMORY_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, memory_words
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -71,7 +71,7 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Words of the older generation move to the newer one; the others are encoded."""
-        if len(self.memo) > MEMORY_WORDS:
+        if len(self.memo) > self.most:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
         memo.update((w, old[w]) for w in words if w in old)
@@ -161,7 +161,7 @@ class _Steps:
         return step
 
 
-def _pack(path: str, end_id: int, tiers: tuple[int, ...]):
+def _pack(path: str, end_id: int, tiers: tuple[int, ...], memory_words: int):
     def rows(block: list, sequence: int, steps: _Steps):
         out = []
         for pieces in pack_block([len(ids) for _, ids in block], tiers):
@@ -177,7 +177,7 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...]):
         return frame, sequence
 
     def run(batches):
-        encode, base = kept("packing", path, lambda: WordEncoder(path)), TaskContext.get().partitionId() << 33
+        encode, base = kept("packing", f"{path} {memory_words}", lambda: WordEncoder(path, memory_words)), TaskContext.get().partitionId() << 33
         sequence, steps, block, tokens = base, _Steps(base), [], 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -194,17 +194,18 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...]):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", memory_words: int = MEMORY_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step_id.
 
-    `tokenizer` is a file at the same path on all machines; its default is word_bpe_49k.json. Null and empty
+    `tokenizer` is a file at the same path on all machines; its default is word_bpe_49k.json. A worker remembers
+    the ids of up to twice `memory_words` words. Null and empty
     texts are the end id alone. Repeated rows and null ids are packed as rows of their own. Lone surrogates
     read as '?'. An empty table gives no rows. Every id lies in one piece, sequences have no padding, and only
     id and text are read. Sequence and step ids are unique, and depend on how the input is split into tasks.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInPandas(_pack(tokenizer or default_tokenizer(), end_id, tuple(sorted(tiers, reverse=True))), schema)
+    return docs.mapInPandas(_pack(tokenizer or default_tokenizer(), end_id, tuple(sorted(tiers, reverse=True)), memory_words), schema)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import math
 import random
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumen.llm.common import kept
+from albumen.llm.common import forget, kept
 
 #: Bounds of the labelled sample that the model is fitted on: rows of either class, and characters of a row.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 3000, 4000, 20_000
@@ -175,14 +176,17 @@ def with_score(df: DataFrame, model: dict, text_col: str = "text", name: str = "
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        if "constant" in m:
-            return pd.Series(np.full(len(texts), m["constant"]))
-        distance = kept("toxicity", key, lambda: Distance(*m["dictionaries"]))
-        x = np.array([distance.features(t) for t in texts]).reshape(len(texts), len(m["mean"]))
-        z = ((x - m["mean"]) / m["scale"]) @ m["weights"][:-1] + m["weights"][-1]
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        for texts in batches:
+            if "constant" in m:
+                yield pd.Series(np.full(len(texts), m["constant"]))
+                continue
+            distance = kept("toxicity", key, lambda: Distance(*m["dictionaries"]))
+            x = np.array([distance.features(t) for t in texts]).reshape(len(texts), len(m["mean"]))
+            z = ((x - m["mean"]) / m["scale"]) @ m["weights"][:-1] + m["weights"][-1]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        forget()
 
     return df.withColumn(name, run(F.col(text_col).cast("string")))
 
