@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from albumen.llm import exact_dedup, near_copies, packing, pii, toxicity
 from albumen.llm.common import materialise
 
+#: Words that a worker remembers while packing: fewer than by default, as executors have run other stages before.
+MEMORY_WORDS = 100_000
 #: The names are chosen not to clash with columns of the table.
 _SCORE, _TEXT, _ID, _DIGEST = "__albumen_score", "__albumen_text", "__albumen_id", "__albumen_digest"
 
@@ -51,7 +53,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a training sequence."""
-    return packing.pack(docs)
+    return packing.pack(docs, memory_words=MEMORY_WORDS)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", packed)]
