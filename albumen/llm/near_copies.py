@@ -5,7 +5,8 @@ a fixed radius. So fingerprints have 256 bits, and anchors are chosen in many bl
 bits, its anchors are the words of Hamming(15,11) on 15 of them and every word on the rest, and a fingerprint is
 replicated to every anchor within the covering radius. Those that meet at an anchor and differ in few of 128
 bits are candidates; candidates are decided by the similarity of the whole sets. In each group of candidates,
-texts meet one pivot first; pairs that are then linked through others need no comparison.
+texts meet a pivot first, then more; pairs that are then linked through others need no comparison, and what is left is
+decided pair by pair.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumen.llm.common import connected_components, materialise, release
@@ -23,13 +24,13 @@ from albumen.llm.simhash import LOWER, _compare, meet, near_anchors
 
 WORDS, SIMILAR = 5, 0.8
 #: Bits of a fingerprint, of a comparison, and that candidates may differ in: at 0.8, 19.4 on average, deviation 4.1.
-BITS, COMPARED, MOST = 256, 128, 36
+BITS, COMPARED, MOST = 256, 128, 34
 #: Bits of a block: 18 at least, and as many as it takes to number the texts. Blocks: so many that at 0.8, where a
 #: bit is equal with probability EQUAL, a pair meets in none with probability exp(-SURE). Anchors hold WIDER times
 #: the pairs that are equal in all bits of a block.
 LEAST_BITS, MOST_BITS, EQUAL, WIDER, SURE = 18, 38, 0.8485, 1.65, 5.0
-#: Shingles worked on together, comparisons a text on average from which groups are searched by pivots, and most such rounds.
-CHUNK, EACH, ROUNDS = 255, 4, 8
+#: Shingles worked on together; pivots of a group in each round; pairs a text, on average, that may be left by then.
+CHUNK, PIVOTS, EACH = 255, (1, 8, 64), 8
 _PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
 
 
@@ -151,13 +152,19 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = materialise(both.select("a", "b", "text_a", "text_b"), "both")
-    links = materialise(both.mapInPandas(_decide, "a long, b long"), "links")
+    links = materialise(both.select("a", "b", "text_a", "text_b").mapInPandas(_decide, "a long, b long"), "links")
     release(pairs)
-    release(both)
     return links
 
 
+def _alike(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b): members and pivots of one group that sizes and bits do not rule out."""
+    p = pivots.select("bucket", *(F.col(c).alias("p_" + c) for c in ("node", "size", *_COMPARED)))
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("p_" + c))) for c in _COMPARED), F.lit(0))
+    fit = (F.least("size", "p_size") >= SIMILAR * F.greatest("size", "p_size")) & (far <= MOST) & (F.col("node") != F.col("p_node"))
+    return members.join(p, "bucket").where(fit).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
+
+
 def near_roots(docs: DataFrame) -> DataFrame:
     """(node, root) of each text that has a near copy: components of pairs at 0.8 or more. docs: node (long, the
     same for the same text), text."""
@@ -166,38 +173,32 @@ def near_roots(docs: DataFrame) -> DataFrame:
     n = signed.count()
     groups = materialise(connected_components(materialise(candidates(signed, n), "met")), "groups")
     # Few of the texts: all that follows is about these.
-    members = signed.join(groups.withColumnRenamed("root", "bucket"), "node")
-    members = materialise(members, "members")
+    members = materialise(signed.join(groups.withColumnRenamed("root", "bucket"), "node"), "members")
     texts = docs.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts, "texts")
-    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("p_" + c))) for c in _COMPARED), F.lit(0))
-    alike = (F.least("size", "p_size") >= SIMILAR * F.greatest("size", "p_size")) & (far <= MOST)
-    links = texts.sparkSession.createDataFrame([], "a long, b long")
-    k = 0
-    while True:
-        roots = connected_components(links) if k else None
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if k else members.withColumn("root", F.col("node"))
-        rooted = materialise(rooted, "rooted")
-        counts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        left = counts.groupBy("bucket").agg(F.count("*").alias("roots"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("work"))
-        left = materialise(left.where("roots > 1").select("bucket", "work"), "open")
-        work = left.agg(F.sum("work")).first()[0] or 0
-        if not work:
+    links, alone = texts.sparkSession.createDataFrame([], "a long, b long"), members
+    for k, each in enumerate(PIVOTS):
+        # Pivots of a group come from its texts that no pivot is like so far.
+        order = F.struct(F.xxhash64("node", F.lit(k)), "node")
+        if each == 1:
+            pivots = alone.groupBy("bucket").agg(F.min_by(F.struct("node", "size", *_COMPARED), order).alias("p")).select("bucket", "p.*")
+        else:
+            pivots = alone.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where(F.col("k") <= each).drop("k")
+        pivots = materialise(pivots, "pivots")
+        links = materialise(links.unionByName(_links(_alike(members, pivots), texts)), "links")
+        linked = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
+        alone = materialise(alone.join(linked, "node", "left_anti"), "alone")
+        work = alone.groupBy("bucket").agg((F.count("*") * F.count("*")).alias("w")).agg(F.sum("w")).first()[0] or 0
+        if work <= EACH * n:
             break
-        rows = rooted.join(left.select("bucket"), "bucket", "left_semi")
-        if k and (k > ROUNDS or work <= 2 * EACH * n):
-            # What pivots have left: every pair of different components that meets at an anchor.
-            rows = materialise(rows, "rest")
-            links = links.unionByName(_links(candidates(rows, n, "root"), texts))
-            return materialise(connected_components(materialise(links, "links")), "roots")
-        # Another pivot for each group that has more than one component.
-        order = F.xxhash64("node", F.lit(k))
-        pivot = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "root", *_COMPARED), order).alias("p"))
-        pivot = pivot.select("bucket", *(F.col(f"p.{c}").alias("p_" + c) for c in ("node", "size", "root", *_COMPARED)))
-        pairs = rooted.join(materialise(pivot, "pivots"), "bucket").where(F.col("root") != F.col("p_root")).where(alike)
-        links = materialise(links.unionByName(_links(pairs.select(F.col("node").alias("a"), F.col("p_node").alias("b")), texts)), "links")
-        k += 1
-    return materialise(rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root").join(rooted.select("node", "root"), "root"), "roots")
+    roots = materialise(connected_components(links), "roots")
+    # What pivots have left: every pair of different components that meets at an anchor.
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "rooted")
+    left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    rest = materialise(rooted.join(left.select("bucket"), "bucket", "left_semi"), "rest")
+    more = _links(candidates(rest, n, "root"), texts)
+    return materialise(connected_components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")), "roots")
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,8 +39,8 @@ def test_near_copies_at_similarity_of_four_fifths(spark):
 
 
 def test_groups_searched_by_pivots(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "EACH", 0)
-    monkeypatch.setattr(near_copies, "ROUNDS", 2)
+    monkeypatch.setattr(near_copies, "EACH", -1)
+    monkeypatch.setattr(near_copies, "PIVOTS", (1, 2, 2))
     test_near_copies_at_similarity_of_four_fifths(spark)
 
 

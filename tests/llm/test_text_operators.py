@@ -152,38 +152,68 @@ def test_digests_against_one_by_one(spark):
 # -- substring dedup
 
 
-def repeats_brute(rows):
+def pieces_by_letters(text):
+    """The same cuts, letter by letter."""
+    out, at, i = [], 0, 0
+    while i < len(text):
+        if text[i] == "\n":
+            i += 1
+        elif text[i] in ".!?。！？":
+            wide = text[i] in "。！？"
+            while i < len(text) and text[i] in ".!?。！？":
+                wide |= text[i] in "。！？"
+                i += 1
+            if i < len(text) and text[i] not in " \t\n" and not wide:
+                continue
+            while i < len(text) and text[i] in " \t":
+                i += 1
+            i += i < len(text) and text[i] == "\n"
+        else:
+            i += 1
+            if i < len(text):
+                continue
+        out.append((at, i))
+        at = i
+    return out
+
+
+def repeats_brute(rows, least):
     seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        kept, n = [], 0
-        for s, e in substring_dedup.units(t or ""):
-            d = substring_dedup.digest((t or "")[s:e])
-            if d is not None and d in seen:
-                n += 1
-            else:
-                kept.append((t or "")[s:e])
-            if d is not None:
-                seen.add(d)
-        out[i] = (n, "".join(kept))
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        t = t or ""
+        cut = [(s, e, " ".join(t[s:e].casefold().split())) for s, e in pieces_by_letters(t)]
+        cut = [x for x in cut if x[2]]
+        gone = set()
+        for a in range(len(cut)):
+            group = next((cut[a : b + 1] for b in range(a, len(cut)) if sum(len(x[2]) for x in cut[a : b + 1]) >= least), cut if a == 0 else None)
+            if group:
+                key = tuple(x[2] for x in group)
+                if key in seen:
+                    gone.update(range(group[0][0], group[-1][1]))
+                seen.add(key)
+        out[i] = "".join(c for k, c in enumerate(t) if k not in gone)
     return out
 
 
-def test_units_cover_the_text():
-    for t in [*some_texts(), "a.b c. d!  e\n\nf... g", "", "\n", "x" * 100_000, ". . .", "1.5 2.5."]:
-        spans = substring_dedup.units(t)
-        assert "".join(t[s:e] for s, e in spans) == t and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+def test_pieces_cover_the_text():
+    for t in [*some_texts(), "a.b c. d!  e\n\nf... g", "", "\n", "x" * 100_000, ". . .", "1.5 2.5.", "一二。三！ 四\n五？六", "a.。b"]:
+        spans = substring_dedup.pieces(t)
+        assert spans == pieces_by_letters(t) and "".join(t[s:e] for s, e in spans) == t
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 30, 100])
+def test_repeats_against_brute_force(spark, least):
     random.seed(6)
     pool = [" ".join(random.choice("abcdefgh") * 3 for _ in range(random.randint(3, 9))) for _ in range(12)]
-    rows = [(k, random.choice(["", "Intro. "]) + random.choice(["\n", ". "]).join(random.choice(pool) for _ in range(6))) for k in range(60)] + [(90, None), (91, ""), (None, pool[0])]
-    got = substring_dedup.remove_repeats(docs_df(spark, rows).repartition(5)).collect()
-    assert {r.doc_id: (r.n_removed, r.kept_text) for r in got} == repeats_brute(rows)
+    rows = [(k, random.choice(["", "Intro. ", "mid sentence "]) + random.choice(["\n", ". ", "。"]).join(random.choice(pool) for _ in range(6))) for k in range(60)]
+    rows += [(90, None), (91, ""), (None, pool[0]), (92, "spam. " * 300), (93, "Read more\nAn own line\n\n"), (94, "Another\nread  MORE\n\n"), (95, "本文書是一個測試。" * 3), (96, "其他。" + "本文書是一個測試。" * 3)]
+    got = substring_dedup.remove_repeats(docs_df(spark, rows).repartition(5), min_chars=least).collect()
+    assert {r.doc_id: r.kept_text for r in got} == repeats_brute(rows, least)
     texts = dict(rows)
     for r in got:
         spans = [tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]
         t = texts[r.doc_id] or ""
+        assert r.n_removed == len(spans) and r.removed_chars == len(t) - len(r.kept_text)
         assert "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in spans)) == r.kept_text
     assert substring_dedup.remove_repeats(docs_df(spark, [])).collect() == []
 
