@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from albumen.functions.text import file_extension
 
 # File kinds by extension, and the least bytes of each.
-NATIVE = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff", "heic", "heif")
-RAW = ("nef", "cr2", "cr3", "arw", "dng", "raf", "orf", "rw2")
-VIDEO = ("mp4", "mov", "avi", "mkv", "webm", "m4v")
+NATIVE = ("tif", "tiff", "jpg", "jpeg", "png", "webp", "heic", "heif", "bmp", "gif")
+RAW = (
+    "cr2", "cr3", "crw", "nef", "nrw", "arw", "srf", "sr2", "dng", "orf", "rw2", "pef", "ptx", "raf", "raw", "rwl", "3fr", "fff", "mrw",
+    "x3f", "erf", "mef", "mos", "kdc", "k25", "dcr", "dcs", "drf", "mdc", "srw", "rwz", "bay", "cap", "eip", "gpr", "pxn", "iiq",
+)
+CINEMA = ("ari", "braw", "r3d")
+VIDEO = ("mp4", "mov", "m4v", "webm", "avi", "mkv", "3gp", "3g2", "mts", "m2ts", "mpg", "mpeg", "wmv")
 # Gates of what faces are stored.
 FACE_MIN, FACE_LOW, FACE_AREA, FACE_SIDE = 0.24, 0.32, 0.08, 0.42
 
@@ -49,15 +53,22 @@ def resolution(exif: Column) -> Column:
     return F.struct(F.coalesce(w, F.lit(0)).alias("width"), F.coalesce(h, F.lit(0)).alias("height"))
 
 
-def gps_decimal(text: Column, ref: Column) -> Column:
-    """Degrees from a decimal number or from degrees, minutes and seconds; south and west are negative; 7 places."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.try_cast("double"))
-    at = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(0.0))
+def gps_decimal(text: Column, ref: Column, most: float = 180.0) -> Column:
+    """Degrees, 7 places, from a decimal number within `most` or from degrees, minutes and seconds.
+
+    A positive decimal number is turned by the references S and W; three numbers are turned by them whatever their
+    sign. Six numbers are three fractions. Fewer than three numbers, or a fraction by 0, give null. A reference counts
+    by its first letter.
+    """
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.try_cast("double"))
+    number = lambda i: F.try_element_at(parts, F.lit(i))
+    ratio = lambda i: F.when(number(i + 1) != 0, number(i) / number(i + 1))
+    d, m, s = (F.when(F.size(parts) >= 6, ratio(2 * k + 1)).when(F.size(parts) >= 3, number(k + 1)) for k in range(3))
+    turned = F.left(F.upper(F.trim(F.coalesce(ref, F.lit("")))), F.lit(1)).isin("S", "W")
     plain = text.try_cast("double")
-    degrees = F.coalesce(plain, F.when(F.size(parts) >= 1, at(1) + at(2) / 60 + at(3) / 3600))
-    sign = F.when(F.upper(F.trim(F.coalesce(ref, F.lit("")))).isin("S", "W", "SOUTH", "WEST"), -1.0).otherwise(1.0)
-    signed = F.when(degrees < 0, degrees).otherwise(degrees * sign)
-    return F.when(F.abs(signed) <= 180, F.round(signed, 7))
+    plain = F.when(turned & (plain > 0), -plain).otherwise(plain)
+    dms = (d + m / 60 + s / 3600) * F.when(turned, -1.0).otherwise(1.0)
+    return F.round(F.when(F.abs(plain) <= most, plain).otherwise(dms), 7)
 
 
 def coordinate(text: Column, most: float) -> Column:
@@ -109,10 +120,23 @@ def clamp_box(left: Column, top: Column, width: Column, height: Column, image_wi
     return F.struct(x.alias("left"), y.alias("top"), F.greatest(F.lit(0.0), F.least(width, image_width - x)).alias("width"), F.greatest(F.lit(0.0), F.least(height, image_height - y)).alias("height"))
 
 
-def face_id(filename: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
-    """40 hex digits of the SHA-256 of a compact key: one identity for every way in."""
-    key = F.to_json(F.struct(filename.alias("filename"), height.cast("long").alias("height"), left.cast("long").alias("left"), top.cast("long").alias("top"), width.cast("long").alias("width")))
-    return F.left(F.sha2(key, 256), F.lit(40))
+# Fixed value: what identities of this form begin with.
+FACE_PREFIX = "face-v1-"
+
+
+def identity_key(user: Column, filename: Column, left: Column, top: Column, width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """A face's key: its owner, file and box in whole pixels (halves to even) within the image, as JSON by sorted names."""
+    px = lambda c: F.greatest(F.lit(0), F.bround(F.coalesce(c.cast("double"), F.lit(0.0))).cast("long"))
+    iw, ih = (F.greatest(F.lit(0), F.coalesce(c.cast("long"), F.lit(0))) for c in (image_width, image_height))
+    x, y = (F.when(size > 0, F.least(px(c), size)).otherwise(px(c)) for c, size in ((left, iw), (top, ih)))
+    w, h = (F.when(size > 0, F.least(px(c), F.greatest(F.lit(0), size - at))).otherwise(px(c)) for c, size, at in ((width, iw, x), (height, ih, y)))
+    fields = {"filename": filename, "height": h, "imageHeight": ih, "imageWidth": iw, "left": x, "top": y, "userId": user, "v": F.lit(1), "width": w}
+    return F.to_json(F.struct(*[c.cast("string" if k in ("filename", "userId") else "long").alias(k) for k, c in fields.items()]))
+
+
+def face_id(*of: Column) -> Column:
+    """The prefix and 40 hex digits of the SHA-256 of the identity key: one identity for every way in."""
+    return F.concat(F.lit(FACE_PREFIX), F.left(F.sha2(identity_key(*of), 256), F.lit(40)))
 
 
 def color_name(r: Column, g: Column, b: Column) -> Column:

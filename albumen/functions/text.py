@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,17 +34,29 @@ def normalize_phrase(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(ascii_fold(c)), r"[^a-z0-9]+", " "))
 
 
+# Endings and what they become, of which the first that fits a word counts. Singulars of stored words;
+# singulars and plurals of a query's words. A word of fewer letters than LEAST_LETTERS is its own singular.
+LEAST_LETTERS = 4
+SINGULARS = (("^(.{2,})ies$", "y"), ("^(.{2,})ves$", "f"), ("^(.*(?:s|x|z|ch|sh|o))es$", ""), ("^(.*[^s])s$", ""))
+QUERY_SINGULARS = (("^(.{2,})ies$", "y"), ("^(.*(?:s|x|z|ch|sh|o))es$", ""), ("^(.*[^s])s$", ""))
+PLURALS = (("^(.{2,})y$", "ies"), ("^(.*(?:s|x|z|ch|sh))$", "es"), ("^(.*)$", "s"))
+
+
+def _ended(word: str, rules) -> str:
+    return next((m[1] + end for pattern, end in rules if (m := re.match(pattern, word))), word)
+
+
 def singularize(w: Column) -> Column:
     """A word's singular by its ending."""
-    cut = lambda n: F.left(w, F.length(w) - n)
-    return (
-        F.when((F.length(w) <= 3) | w.endswith("ss"), w)
-        .when(w.endswith("ies") & (F.length(w) > 4), F.concat(cut(3), F.lit("y")))
-        .when(w.endswith("ves") & (F.length(w) > 4), F.concat(cut(3), F.lit("f")))
-        .when(w.endswith("es") & cut(2).rlike("(s|x|z|ch|sh|o)$"), cut(2))
-        .when(w.endswith("s"), cut(1))
-        .otherwise(w)
-    )
+    out = F.when(F.length(w) < LEAST_LETTERS, w)
+    for pattern, end in SINGULARS:
+        out = out.when(w.rlike(pattern), F.regexp_replace(w, F.lit(pattern), F.lit("$1" + end)))
+    return out.otherwise(w)
+
+
+def singular(word: str) -> str:
+    """singularize for one string on the driver."""
+    return word if len(word) < LEAST_LETTERS else _ended(word, SINGULARS)
 
 
 def _canonical(w: Column, otherwise: Column) -> Column:
@@ -67,21 +82,11 @@ def normalize_tags(tags: Column, most: int = V.TAGS_KEPT, length: int = V.TAG_LE
 
 
 def token_variants(token: str) -> list[str]:
-    """Singular forms of a query's word, then their plurals; a query is parsed on the driver."""
-    forms = [token] if token else []
-    if token.endswith("ies") and len(token) > 4:
-        forms.append(token[:-3] + "y")
-    elif token.endswith("es") and len(token) > 3:
-        forms.append(token[:-2] if re.search("(s|x|z|ch|sh|o)$", token[:-2]) else token[:-1])
-    elif token.endswith("s") and not token.endswith("ss") and len(token) > 3:
-        forms.append(token[:-1])
-    plurals = []
-    for form in forms:
-        if form.endswith("y") and len(form) > 2:
-            plurals.append(form[:-1] + "ies")
-        else:
-            plurals.append(form + ("es" if re.search("(s|x|z|ch|sh)$", form) else "s"))
-    return list(dict.fromkeys(forms + plurals))
+    """A query's word and its singular, then their plurals; a query is parsed on the driver."""
+    if not token:
+        return []
+    forms = [token, token if len(token) < LEAST_LETTERS else _ended(token, QUERY_SINGULARS)]
+    return list(dict.fromkeys(forms + [_ended(form, PLURALS) for form in forms]))
 
 
 def contains_term(text: Column, token: str, related: bool = True) -> Column:
@@ -148,6 +153,26 @@ def effective_tags(subjects, people, location, stored, objects, background, pred
     return F.concat(first, F.array_except(second, first))
 
 
+def semantic_candidates(subjects: Column, location: Column, effective: Column) -> Column:
+    """The normalised subject tags and places; the effective tags only where there are none."""
+    own = normalize_tags(F.concat(subjects, location))
+    return F.when(F.size(own) > 0, own).otherwise(effective)
+
+
+def semantic_layers(subjects: Column, location: Column, background: Column, weak: Column, effective: Column) -> Column:
+    """A struct of normalised tags by layer: subjects (or else the effective tags), locations, backgrounds and weak ones."""
+    return F.struct(
+        normalize_tags(F.when(F.size(subjects) > 0, subjects).otherwise(effective)).alias("subjects"), location.alias("locations"),
+        normalize_tags(background).alias("backgrounds"), normalize_tags(F.transform(weak, lambda t: F.coalesce(F.trim(t), F.lit("")))).alias("weak"),
+    )
+
+
+def merge_tags(*groups: Column) -> Column:
+    """The groups' tags in lower case, each once, in the order of groups."""
+    tags = F.flatten(F.array(*[F.coalesce(g, F.array().cast("array<string>")) for g in groups]))
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.trim(F.coalesce(t, F.lit(""))))), lambda t: t != ""))
+
+
 def semantic_text(candidates: Column, fields: list[Column], most: int = 10_000) -> Column:
     """The sorted candidates, and the fields' words among them, each once."""
     words = F.flatten(F.array(*[F.split(normalize_token(F.coalesce(f, F.lit(""))), " ") for f in fields]))
@@ -165,11 +190,48 @@ def title_case(c: Column) -> Column:
 
 
 def sanitize_tag(c: Column, length: int = 80) -> Column:
-    return F.left(F.trim(F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}\s_-]", "")), F.lit(length))
+    """Letters, digits, spaces, - and _ in lower case; empty where nothing is left or more than `length` characters."""
+    clean = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N} _-]", ""))
+    return F.when(F.length(clean) <= length, clean).otherwise("")
 
 
 def sanitize_tags(tags: Column, most: int = 400) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(tags, sanitize_tag), lambda t: t != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(tags, lambda t: sanitize_tag(t)), lambda t: t != "")), 1, most)
+
+
+def sanitize_predictions(predictions: Column, most: int = 400) -> Column:
+    """Of the first predictions (array of struct<label,score>) those with a label that is left by sanitize_tag, and
+    their scores within 0 and 1, 4 places; no number is 0."""
+    score = lambda p: F.coalesce(p["score"].try_cast("double"), F.lit(0.0))
+    clean = F.transform(F.slice(predictions, 1, most), lambda p: F.struct(sanitize_tag(p["label"]).alias("label"), F.round(F.least(F.greatest(score(p), F.lit(0.0)), F.lit(1.0)), 4).alias("score")))
+    return F.filter(clean, lambda p: p["label"] != "")
+
+
+#: The version of hashed_embedding; vectors of another version are not comparable.
+HASHED_VERSION = "albumen-hash-1"
+
+
+def hashed_embedding(c: Column, size: int = 1024) -> Column:
+    """A text's vector where there is no model: one half counts its words and pairs of words, the other the runs of 3
+    to 5 letters of its padded words, each hashed (CRC-32) to a place and scaled to length 1; then the whole is. Null
+    and empty texts give a vector of zeros."""
+    half = size // 2
+
+    def side(grams: list[str]) -> np.ndarray:
+        v = np.bincount([zlib.crc32(g.encode()) % half for g in grams], minlength=half).astype(float) if grams else np.zeros(half)
+        return v / (np.linalg.norm(v) or 1.0)
+
+    @F.pandas_udf("array<double>")
+    def run(phrases: pd.Series) -> pd.Series:
+        out = []
+        for phrase in phrases:
+            words = (phrase or "").split()
+            padded = [f" {w} " for w in words]
+            v = np.concatenate([side(words + [f"{a} {b}" for a, b in zip(words, words[1:])]), side([w[i : i + n] for w in padded for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))])])
+            out.append(v / (np.linalg.norm(v) or 1.0))
+        return pd.Series(out)
+
+    return run(normalize_phrase(F.coalesce(c, F.lit(""))))
 
 
 def sanitize_text(c: Column, length: int) -> Column:

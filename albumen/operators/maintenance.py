@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from albumen.operators.people import rejected
+from albumen.operators.people import clusterable, rejected
 
 
 def merge_people(people: DataFrame, faces: DataFrame, base: str, merged: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,6 +28,18 @@ def merge_people(people: DataFrame, faces: DataFrame, base: str, merged: list[st
     return rest.unionByName(target), moved, payload.select("person_id", "name", "face_ids")
 
 
+# What the kinds of rows begin with that are snapshots and no merges.
+SNAPSHOTS = ("recluster_snapshot", "face_dedupe_snapshot", "suspicious_face_snapshot", "face_membership_snapshot")
+
+
+def merge_history(rows: DataFrame) -> DataFrame:
+    """rows without snapshots; a target or names that a row lacks are taken from stored_target and stored_names."""
+    kind = F.coalesce("kind", F.lit(""))
+    rows = rows.where(~reduce(or_, [kind.startswith(s) for s in SNAPSHOTS]))
+    stored = F.filter("stored_names", lambda n: F.coalesce(n, F.lit("")) != "")
+    return rows.withColumns({"target": F.coalesce(F.nullif("target", F.lit("")), "stored_target"), "names": F.when(F.size("names") > 0, F.col("names")).otherwise(stored)}).drop("stored_target", "stored_names")
+
+
 def undo_merge(people: DataFrame, faces: DataFrame, undo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """People as they were, each face with who listed it; confirmation goes, and confidence is 0.95 at most."""
     ids = undo.select("person_id")
@@ -36,20 +51,29 @@ def undo_merge(people: DataFrame, faces: DataFrame, undo: DataFrame) -> tuple[Da
     return back, rows.withColumn("person_id", F.coalesce("was", "person_id")).select(*faces.columns)
 
 
-def split_person(people: DataFrame, faces: DataFrame, person: str, moved: list[str], new_id: str) -> tuple[DataFrame, DataFrame]:
-    """The moved faces become a person of their own."""
-    take = F.array(*map(F.lit, moved))
-    old = people.withColumn("face_ids", F.when(F.col("person_id") == person, F.array_except("face_ids", take)).otherwise(F.col("face_ids")))
-    new = people.where(F.col("person_id") == person).select(F.lit(new_id).alias("person_id"), F.lit("").alias("name"), F.array_intersect("face_ids", take).alias("face_ids"))
-    face = faces.withColumn("person_id", F.when((F.col("person_id") == person) & F.col("face_id").isin(moved), F.lit(new_id)).otherwise(F.col("person_id")))
-    return old.select("person_id", "name", "face_ids").unionByName(new.where(F.size("face_ids") > 0)), face
+def _marked(faces: DataFrame, ids: DataFrame) -> DataFrame:
+    """faces with __hit: whether a table of one column, face_id, has them."""
+    return faces.join(ids.select("face_id").distinct().withColumn("__hit", F.lit(True)), "face_id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
 
 
-def review(faces: DataFrame, ids: list[str], status: str) -> DataFrame:
-    """Confirm or reject faces; a rejected face has no owner."""
-    hit, confirm = F.col("face_id").isin(ids), status == "confirmed"
-    set_ = lambda c, v: F.when(hit, v).otherwise(F.col(c))
-    return faces.withColumns({"confirmed": set_("confirmed", F.lit(confirm)), "rejected": set_("rejected", F.lit(not confirm)), "review": set_("review", F.lit(status)), "person_id": F.col("person_id") if confirm else set_("person_id", F.lit(None))})
+def split_person(people: DataFrame, faces: DataFrame, person: str, moved: DataFrame, new_id: str) -> tuple[DataFrame, DataFrame]:
+    """The moved faces (face_id) become a person of their own; a person left without faces stays, with none."""
+    one = people.where(F.col("person_id") == person)
+    listed = _marked(one.select("name", F.posexplode("face_ids").alias("pos", "face_id")), moved)
+    pick = lambda hit: F.transform(F.array_sort(F.collect_list(F.when(F.col("__hit") == hit, F.struct("pos", "face_id")))), lambda x: x["face_id"])
+    parts = listed.agg(F.first("name").alias("name"), pick(False).alias("old"), pick(True).alias("new"))
+    rows = F.array(F.struct(F.lit(person).alias("person_id"), F.coalesce("name", F.lit("")).alias("name"), F.col("old").alias("face_ids")), F.struct(F.lit(new_id).alias("person_id"), F.lit("").alias("name"), F.col("new").alias("face_ids")))
+    split = parts.select(F.inline(rows)).where((F.col("person_id") == person) | (F.size("face_ids") > 0)).join(one.select(F.lit(True).alias("there")).limit(1), F.lit(True), "left_semi")
+    face = _marked(faces, moved).withColumn("person_id", F.when((F.col("person_id") == person) & F.col("__hit"), F.lit(new_id)).otherwise(F.col("person_id")))
+    return people.where(~F.col("person_id").eqNullSafe(person)).select("person_id", "name", "face_ids").unionByName(split), face.select(*faces.columns)
+
+
+def review(faces: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """Confirm or reject the faces of a table (face_id); a rejected face has no owner."""
+    confirm = status == "confirmed"
+    set_ = lambda c, v: F.when(F.col("__hit"), v).otherwise(F.col(c))
+    rows = _marked(faces, ids).withColumns({"confirmed": set_("confirmed", F.lit(confirm)), "rejected": set_("rejected", F.lit(not confirm)), "review": set_("review", F.lit(status)), "person_id": F.col("person_id") if confirm else set_("person_id", F.lit(None))})
+    return rows.select(*faces.columns)
 
 
 def label_person(people: DataFrame, person: str, name: str) -> DataFrame:
@@ -60,13 +84,28 @@ def delete_person(people: DataFrame, faces: DataFrame, person: str) -> tuple[Dat
     return people.where(F.col("person_id") != person), faces.withColumn("person_id", F.when(F.col("person_id") == person, F.lit(None)).otherwise(F.col("person_id")))
 
 
-def apply_plan(people: DataFrame, faces: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give faces to people by plan (face_id, person_id): others lose them, people left without faces go."""
-    new = plan.select("face_id", F.col("person_id").alias("to"))
-    face = faces.join(new, "face_id", "left").withColumn("person_id", F.coalesce("to", "person_id")).drop("to").select(*faces.columns)
-    listed = people.select("person_id", F.explode("face_ids").alias("face_id")).join(new, "face_id", "left_anti").unionByName(plan.select("person_id", "face_id"))
-    lists = listed.groupBy("person_id").agg(F.array_sort(F.collect_set("face_id")).alias("face_ids"))
-    return lists.join(people.select("person_id", "name"), "person_id", "left").select("person_id", F.coalesce("name", F.lit("")).alias("name"), "face_ids"), face
+def apply_plan(people: DataFrame, faces: DataFrame, planned: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, faces) after a plan of people (person_id, name, face_ids) and assignments (face_id, person_id).
+
+    Planned people get the plan's list, and its name or else the one they have. A clusterable face gets its person, and
+    goes from the lists of all others; faces that are not clusterable are skipped. Of the people outside the plan,
+    those go whose lists hold no face that is theirs and not rejected.
+    """
+    can = faces.where(clusterable()).select("face_id")
+    moved = assignments.join(can, "face_id", "left_semi").select("face_id", F.col("person_id").alias("to"))
+    face = faces.join(moved, "face_id", "left").withColumn("person_id", F.coalesce("to", "person_id")).drop("to").select(*faces.columns)
+    names = people.select("person_id", F.col("name").alias("old"))
+    blank = F.trim(F.coalesce("name", F.lit(""))) == ""
+    given = planned.select("person_id", "name", F.array_distinct("face_ids").alias("face_ids")).join(names, "person_id", "left")
+    given = given.select("person_id", F.when(blank, F.coalesce("old", F.lit(""))).otherwise(F.col("name")).alias("name"), "face_ids")
+    rest = people.join(planned.select("person_id"), "person_id", "left_anti").select("person_id", "name", F.posexplode("face_ids").alias("pos", "face_id"))
+    rest = rest.join(moved, "face_id", "left_anti")
+    alive = face.where(~rejected()).select("face_id", F.col("person_id").alias("owner"))
+    rest = rest.join(alive, "face_id", "left").groupBy("person_id").agg(
+        F.first("name").alias("name"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "face_id"))), lambda x: x["face_id"]).alias("face_ids"),
+        F.count_if(F.col("owner") == F.col("person_id")).alias("own"),
+    )
+    return given.unionByName(rest.where("own > 0").drop("own")), face
 
 
 def incomplete(candidates: DataFrame, assigned: DataFrame, key: str = "face_id") -> DataFrame:
@@ -98,12 +137,20 @@ def people_changes(before: Column, after: Column) -> Column:
     return F.struct(F.size(F.array_except(after, before)).alias("added"), F.size(F.array_except(before, after)).alias("removed"))
 
 
-def restore_snapshot(current: DataFrame, snapshot: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Rows in both get the snapshot's fields, rows only in current lose them, rows only in the snapshot come back."""
-    old = snapshot.select(F.col(key).alias("__key"), *[F.col(f).alias(f"__{f}") for f in fields])
-    rows = current.join(old, F.col(key) == F.col("__key"), "full_outer")
-    kind = F.when(F.col(key).isNull(), "inserted").when(F.col("__key").isNull(), "cleared").otherwise("restored")
-    return rows.select(F.coalesce(key, "__key").alias(key), *[F.col(f"__{f}").alias(f) for f in fields], kind.alias("what"))
+def restore_snapshot(current: DataFrame, snapshot: DataFrame, key: str = "face_id", fields=("person_id", "confirmed", "confidence"), cleared=("person_id", "confirmed")) -> DataFrame:
+    """current's columns and `what`. Rows in both keep their columns but for `fields`, which are the snapshot's; rows
+    only in current lose `cleared`; rows only in the snapshot come back whole, with what columns they have there."""
+    old = snapshot.select(*[F.col(c).alias(f"__{c}") for c in snapshot.columns])
+    rows = current.join(old, F.col(key) == F.col(f"__{key}"), "full_outer")
+    gone, added = F.col(key).isNull(), F.col(f"__{key}").isNull()
+    what = F.when(gone, "inserted").when(added, "cleared").otherwise("restored")
+
+    def value(c: str) -> Column:
+        then = F.col(f"__{c}") if c in snapshot.columns else F.lit(None).cast(current.schema[c].dataType)
+        both = then if c in fields else F.col(c)
+        return F.when(gone, then).when(added, F.lit(None) if c in cleared else F.col(c)).otherwise(both).alias(c)
+
+    return rows.select(*[value(c) for c in current.columns], what.alias("what"))
 
 
 def delete_photos(names: DataFrame, photos: DataFrame, faces: DataFrame, albums: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,28 +167,36 @@ def purge_library(tables: dict[str, DataFrame], library) -> dict[str, DataFrame]
     return {name: t.where(~F.col("library_id").eqNullSafe(F.lit(library))) for name, t in tables.items()}
 
 
-def clean_failed_uploads(photos: DataFrame) -> DataFrame:
-    """Rows with upload tracking: `clear` where the upload completed, else `delete`; others are not returned."""
-    tracked = F.coalesce("upload_id", F.lit("")) != ""
-    complete = (F.coalesce("file_hash", F.lit("")) != "") | (F.coalesce("thumbnail_status", F.lit("")) == "done")
-    return photos.where(tracked).select("photo_id", F.when(complete, "clear").otherwise("delete").alias("action"))
+# Columns that track an upload, and those that tell that it completed.
+TRACKING = ("received_ranges", "upload_total_size", "upload_started_at", "upload_last_chunk_at", "upload_sha256_expected", "upload_sha256_actual", "upload_sha256_match")
+EVIDENCE = ("file_hash", "perceptual_hash", "mime_type", "thumbnail_status", "verification_status")
 
 
-# What job keys of a photo begin with.
-JOB_PREFIXES = ("thumbnail:", "exif:", "ocr:", "ai_vision:", "face:")
+def clean_failed_uploads(photos: DataFrame) -> DataFrame:
+    """Rows with any upload tracking: `clear` (the tracking columns) where anything tells that the upload completed,
+    else `delete`; others are not returned. Columns that the table lacks count as absent."""
+    some = lambda names, test: reduce(or_, [test(F.col(c)) for c in names if c in photos.columns], F.lit(False))
+    tracked = some(TRACKING, lambda c: c.isNotNull())
+    complete = some(EVIDENCE, lambda c: F.coalesce(c.cast("string"), F.lit("")) != "")
+    return photos.where(tracked).select("photo_id", F.when(complete, "clear").otherwise("delete").alias("action"))
 
 
-def jobs_of(jobs: DataFrame, filename: str, correlation: str) -> DataFrame:
-    """Jobs that name the photo, share its correlation id, or have a key of one of its prefixes."""
-    hit = (F.col("filename") == filename) | (F.col("correlation_id") == correlation)
-    for p in JOB_PREFIXES:
-        hit = hit | F.col("job_key").startswith(p + filename)
+def jobs_of(jobs: DataFrame, user: str, filename: str) -> DataFrame:
+    """Jobs of a user's photo: its filename or correlation id is the photo's and its user this one or none, or one of
+    job id, row key and correlation id begins with a key of the photo. jobs: row_key, job_id, filename, user_id,
+    correlation_id."""
+    col = lambda c: F.coalesce(F.col(c), F.lit(""))
+    mine = (col("user_id") == "") | (col("user_id") == user)
+    hit = mine & ((col("filename") == filename) | (col("correlation_id") == filename))
+    for prefix in (f"processing:{user}:{filename}", f"{user}:{filename}", filename):
+        for c in ("job_id", "row_key", "correlation_id"):
+            hit = hit | col(c).startswith(prefix)
     return jobs.where(hit)
 
 
 def next_unnamed(people: DataFrame) -> DataFrame:
-    """The number after the largest of names like `Unnamed 7`: one row, next."""
-    n = F.regexp_extract(F.trim(F.coalesce("name", F.lit(""))), r"(?i)^unnamed\s+([0-9]+)$", 1).try_cast("int")
+    """The number after the largest of names like `Unnamed 7` or `unnamed7`: one row, next."""
+    n = F.regexp_extract(F.trim(F.coalesce("name", F.lit(""))), r"(?i)^unnamed\s*([0-9]+)$", 1).try_cast("long")
     return people.agg((F.coalesce(F.max(n), F.lit(0)) + 1).alias("next"))
 
 

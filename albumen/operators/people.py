@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from albumen.functions import vectors
+from albumen.functions import media, vectors
 from albumen.operators.graph import connected_components, materialise
 
 # Clustering presets: eps, largest pair distance, match threshold and margin, assign threshold and margin.
@@ -40,40 +41,51 @@ def clusterable() -> Column:
     return ~rejected() & (confirmed() | ((F.lower(F.coalesce("review", F.lit(""))) != "suspicious") & sure))
 
 
-def similar_pairs(df: DataFrame, key: str, col: str, least: float, rows_of_block: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, similarity), a < b, of all vectors with cosine of at least `least`.
+def similar_pairs(df: DataFrame, key: str, col: str, least: float, rows_of_block: int = BLOCK_ROWS, by: str | None = None) -> DataFrame:
+    """(a, b, similarity), a < b, of all vectors with cosine of at least `least`; with `by` (a library, say) only of
+    those that share it.
 
-    Blocks of vectors meet pairwise, each pair of blocks as one matrix product: memory is two blocks, and a
-    vector is sent once per block. Zero and non-finite vectors match nothing.
+    A group's vectors are dealt to blocks of about `rows_of_block`, by its size, and its blocks meet pairwise, each
+    pair as one matrix product: memory is two blocks, a small group is one block, and a vector is sent once per block
+    of its own group only. Zero and non-finite vectors match nothing.
     """
-    n = df.count()
-    blocks = max(1, -(-n // rows_of_block))
-    unit = vectors.unit(F.col(col))
-    rows = df.select(F.col(key).alias("k"), unit.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).where("v is not null")
+    group = F.col(by).cast("string") if by else F.lit("")
+    rows = df.select(F.col(key).alias("k"), F.col(col).cast("array<double>").alias("v"), F.coalesce(group, F.lit("")).alias("g"))
+    sizes = materialise(rows.groupBy("g").agg(F.ceil(F.count("*") / rows_of_block).cast("int").alias("blocks")), "sizes")
+    rows = rows.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     # Pair {i, j} is one group; a vector of block i goes to all pairs with i.
-    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    spread = rows.select("k", "v", "block", F.explode(meets).alias("pair")).select("k", "v", "block", "pair.i", "pair.j")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    spread = rows.select("g", "k", "v", "block", F.explode(meets).alias("pair")).select("g", "k", "v", "block", "pair.i", "pair.j")
 
     kind = df.schema[key].dataType.simpleString()
 
+    def units(vs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the vectors that have a direction, and those vectors at length 1, padded to one size."""
+        width = max(map(len, vs))
+        x = np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vs])
+        size = np.sqrt((x * x).sum(axis=1))
+        ok = np.flatnonzero(np.isfinite(size) & (size > 0))
+        return ok, x[ok] / size[ok, None]
+
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        ok, x = units(pdf["v"])
+        pdf = pdf.iloc[ok]
+        a, b = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in (i, j))
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        out = []
-        y, kb = np.stack(b["v"].to_list()), b["k"].to_numpy()
+        out, keys = [], pdf["k"].to_numpy()
         for at in range(0, len(a), 512):
-            s = np.stack(a["v"].iloc[at : at + 512].to_list()) @ y.T
+            s = x[a[at : at + 512]] @ x[b].T
             r, c = np.nonzero(s >= least)
-            out.append(pd.DataFrame({"x": a["k"].to_numpy()[at + r], "y": kb[c], "similarity": s[r, c]}))
+            out.append(pd.DataFrame({"x": keys[a[at + r]], "y": keys[b[c]], "similarity": s[r, c]}))
         got = pd.concat(out)
         got = got[got["x"] < got["y"]] if i == j else got
         x, y = got["x"].to_numpy(), got["y"].to_numpy()
         low = x < y
         return pd.DataFrame({"a": np.where(low, x, y), "b": np.where(low, y, x), "similarity": got["similarity"].to_numpy()})
 
-    return spread.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, similarity double")
+    return spread.groupBy("g", "i", "j").applyInPandas(product, f"a {kind}, b {kind}, similarity double")
 
 
 def similar_pairs_plain(df: DataFrame, key: str, col: str, least: float) -> DataFrame:
@@ -82,21 +94,42 @@ def similar_pairs_plain(df: DataFrame, key: str, col: str, least: float) -> Data
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", vectors.dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def dbscan(df: DataFrame, key: str, col: str, eps: float, min_samples: int = 2) -> DataFrame:
-    """(key, cluster): the smallest core key of each cluster; noise is a cluster of its own (its key).
+def dbscan(df: DataFrame, key: str, col: str, eps: float, min_samples: int = 2, by: str | None = None) -> DataFrame:
+    """(key, cluster): the smallest core key of each cluster; noise is a cluster of its own (its key). With `by`, each
+    library is clustered by itself.
 
     Cores have min_samples - 1 or more neighbours within eps; clusters are components of cores, and a border
     point joins the cluster of the smallest core key near it. With 2 samples all of it is components.
     """
-    pairs = materialise(similar_pairs(df, key, col, 1 - eps).select("a", "b"), "pairs")
+    pairs = materialise(similar_pairs(df, key, col, 1 - eps, by=by).select("a", "b"), "pairs")
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        return _named(df, key, pairs, min_samples)
+    found = _components(pairs, key, min_samples)
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
+
+
+def _named(df: DataFrame, key: str, pairs: DataFrame, min_samples: int) -> DataFrame:
+    """dbscan's result for keys that are no numbers: components are found over numbers that stand for them."""
+    ids = materialise(df.select(F.col(key).alias("k")).distinct().withColumn("n", F.monotonically_increasing_id()), "ids")
+    sides = {c: ids.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab"}
+    numbered = materialise(pairs.join(sides["a"], "a").join(sides["b"], "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b")), "numbered")
+    found = _components(numbered, "n", min_samples).join(ids, "n").select("k", F.col("cluster").alias("c"))
+    # A cluster goes by its smallest core, which is a core and not a border point: of those in it with enough neighbours.
+    both = numbered.select("a").unionByName(numbered.select(F.col("b").alias("a")))
+    cores = both.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") + 1 >= max(2, min_samples)).join(ids, F.col("a") == F.col("n")).select(F.col("k").alias("core"))
+    names = found.join(cores, F.col("k") == F.col("core")).groupBy("c").agg(F.min("k").alias("cluster"))
+    named = found.join(names, "c").select(F.col("k").alias(key), "cluster")
+    return df.select(key).join(named, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
+
+
+def _components(pairs: DataFrame, key: str, min_samples: int) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cores = materialise(both.groupBy("a").count().where(F.col("count") + 1 >= max(2, min_samples)).select(F.col("a").alias("core")), "cores")
     inner = pairs.join(cores.withColumnRenamed("core", "a"), "a", "left_semi").join(cores.withColumnRenamed("core", "b"), "b", "left_semi")
     roots = connected_components(inner)
     core = cores.join(roots, cores["core"] == roots["node"], "left").select("core", F.coalesce("root", "core").alias("cluster"))
     border = both.join(cores.withColumnRenamed("core", "a"), "a", "left_anti").join(core, F.col("b") == F.col("core")).groupBy("a").agg(F.min("cluster").alias("cluster"))
-    found = core.select(F.col("core").alias(key), "cluster").unionByName(border.select(F.col("a").alias(key), "cluster"))
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
+    return core.select(F.col("core").alias(key), "cluster").unionByName(border.select(F.col("a").alias(key), "cluster"))
 
 
 def split_by_diameter(matrix: np.ndarray, most: float) -> list[list[int]]:
@@ -129,11 +162,12 @@ def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float)
     """(key, cluster, part): clusters cut so that no pair in a part is further apart than `most`; part is the
     smallest key in it. One task holds a cluster's distances, as the greedy order needs them all."""
     kind = df.schema[key].dataType.simpleString()
-    rows = clusters.join(df.select(key, vectors.unit(F.col(col)).alias("v")), key)
+    rows = clusters.join(df.select(key, vectors.unit(F.col(col)).alias("v")), key).where("v is not null")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, ignore_index=True)
-        x = np.stack(pdf["v"].to_list())
+        width = max(map(len, pdf["v"]))
+        x = np.array([np.pad(v, (0, width - len(v))) for v in pdf["v"]])
         d = np.clip(1 - x @ x.T, 0, 2)
         part = np.empty(len(pdf), object)
         for group in split_by_diameter(d, most):
@@ -144,27 +178,87 @@ def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float)
 
 
 def face_weight() -> Column:
-    c = F.coalesce("confidence", F.lit(0.5))
+    """Confidence, where none or 0 is 0.5; 1 at least if confirmed, 0.35 at most if suspicious, 0.05 at least."""
+    c = F.coalesce(F.nullif(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.5))
     c = F.when(F.coalesce("confirmed", F.lit(False)), F.greatest(c, F.lit(1.0))).when(suspicious(), F.least(c, F.lit(0.35))).otherwise(c)
     return F.greatest(F.lit(0.05), c)
 
 
+#: Groups whose sums a task holds at a time.
+SUM_GROUPS = 2000
+
+
 def _mean(df: DataFrame, by: str, weight: str) -> DataFrame:
-    """The unit weighted mean of vectors v per group: (by, m)."""
-    sums = df.select(by, weight, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg((F.sum(F.col("x") * F.col(weight)) / F.sum(weight)).alias("x"))
+    """The unit weighted mean of vectors v per group: (by, m). Shorter vectors count as if they ended in zeros.
+
+    A task adds up its rows of each group, so a group of any size is a few rows of sums to shuffle.
+    """
+
+    def add(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, w, v in zip(pdf[by], pdf[weight], pdf["v"]):
+                x = np.asarray(v, float) * w
+                old = sums.get(key)
+                if old is not None and len(old) != len(x):
+                    n = max(len(old), len(x))
+                    old, x = np.pad(old, (0, n - len(old))), np.pad(x, (0, n - len(x)))
+                sums[key] = x if old is None else old + x
+            if len(sums) > SUM_GROUPS:
+                yield pd.DataFrame({by: list(sums), "v": list(sums.values())})
+                sums = {}
+        if sums:
+            yield pd.DataFrame({by: list(sums), "v": list(sums.values())})
+
+    kind = df.schema[by].dataType.simpleString()
+    parts = df.select(by, weight, "v").mapInPandas(add, f"{by} {kind}, v array<double>")
+    sums = parts.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
     whole = sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
+    # The weights' sum only scales the mean, which has length 1 in the end.
     return whole.withColumn("m", F.transform("m", lambda x: x / (vectors.norm(F.col("m")) + 1e-12)))
 
 
-def representatives(faces: DataFrame, by: str = "person_id", col: str = "embedding") -> DataFrame:
-    """(by, rep): weighted mean of a group's faces, then again with weights times how near each face is to it."""
-    rows = faces.where(~rejected()).select(by, face_weight().alias("w"), F.col(col).cast("array<double>").alias("v"))
+def representatives(faces: DataFrame, by: str = "person_id", col: str = "embedding", versions: tuple[str, ...] = ()) -> DataFrame:
+    """(by, rep): weighted mean of a group's faces, then again with weights times how near each face is to it.
+
+    Rejected faces, empty vectors and, where `versions` are given, vectors of others (column embedding_version) are
+    left out.
+    """
+    fit = F.col("embedding_version").isin(*versions) if versions else F.lit(True)
+    rows = faces.where(~rejected() & fit & (F.size(col) > 0) & F.col(by).isNotNull()).select(by, face_weight().alias("w"), F.col(col).cast("array<double>").alias("v"))
     first = _mean(rows, by, "w")
     near = rows.join(first, by).withColumn("s", vectors.dot(F.col("v"), F.col("m")) / (vectors.norm(F.col("v")) + 1e-12))
     again = near.withColumn("w2", F.col("w") * F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("s"))))
     return _mean(again.select(by, "v", "w2"), by, "w2").withColumnRenamed("m", "rep")
 
 
+def scores_of(faces: DataFrame, people: DataFrame, key: str, col: str, rep: str, rows_of_block: int = BLOCK_ROWS) -> DataFrame:
+    """(key, person_id, score): each face's best two people by dot product, rounded to 9 places, ties by person_id.
+
+    People are dealt to blocks of about `rows_of_block`, faces to blocks alike, and each face block meets each people
+    block as one matrix product that keeps two a face: what is shuffled is a vector once per block of the other side.
+    """
+    blocks = [max(1, -(-df.count() // rows_of_block)) for df in (faces, people)]
+    side = lambda df, k, v, own, other: df.select(F.col(k).alias("k"), F.col(v).cast("array<double>").alias("v"), F.pmod(F.xxhash64(k), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
+    a, b = side(faces, key, col, *blocks), side(people, "person_id", rep, *blocks[::-1])
+    kinds = faces.schema[key].dataType.simpleString(), people.schema["person_id"].dataType.simpleString()
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: [], "person_id": [], "score": []})
+        b, out = b.sort_values("k", ignore_index=True), []
+        y = np.stack(b["v"].to_list())
+        for at in range(0, len(a), 512):
+            s = (np.stack(a["v"].iloc[at : at + 512].to_list()) @ y.T).round(9)
+            for _ in range(min(2, len(b))):
+                best = s.argmax(axis=1)
+                out.append(pd.DataFrame({key: a["k"].to_numpy()[at : at + 512], "person_id": b["k"].to_numpy()[best], "score": s[np.arange(len(s)), best]}))
+                s[np.arange(len(s)), best] = -np.inf
+        return pd.concat(out)
+
+    return a.groupBy("own", "other").cogroup(b.groupBy("other", "own")).applyInPandas(product, f"{key} {kinds[0]}, person_id {kinds[1]}, score double")
+
+
 def best_match(scores: DataFrame, key: str, threshold: float, margin: float) -> DataFrame:
     """(key, person_id, score, second, accepted). scores: key, person_id, score."""
     w = W.partitionBy(key).orderBy(F.desc("score"), "person_id")
@@ -192,37 +286,77 @@ def representative_faces(active: DataFrame) -> DataFrame:
 
 
 def suggestion_pairs(people: DataFrame, least: float = SUGGEST) -> DataFrame:
-    """(source, target, similarity) of people alike enough whom neither declined; the target is the named one, then
-    the one with more faces, then the smaller id. people: person_id, name, faces, rep, declined."""
-    pairs = similar_pairs(people, "person_id", "rep", least)
+    """(library_id, source, target, similarity) of a library's people alike enough whom neither declined; the target is
+    the named one, then the one with more faces, then the smaller id. people: library_id, person_id (unique), name,
+    faces, rep, declined."""
+    pairs = similar_pairs(people, "person_id", "rep", least, by="library_id").join(people.select(F.col("person_id").alias("a"), "library_id"), "a")
     side = lambda n: people.select(F.col("person_id").alias(n), F.trim(F.coalesce("name", F.lit(""))).alias(f"name_{n}"), F.col("faces").alias(f"faces_{n}"), F.coalesce("declined", F.array().cast("array<string>")).alias(f"declined_{n}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     rows = rows.where(~F.array_contains("declined_a", F.col("b").cast("string")) & ~F.array_contains("declined_b", F.col("a").cast("string")))
     named_a, named_b = F.col("name_a") != "", F.col("name_b") != ""
     a_wins = F.when(named_a != named_b, named_a).when(F.col("faces_a") != F.col("faces_b"), F.col("faces_a") > F.col("faces_b")).otherwise(F.col("a") <= F.col("b"))
-    return rows.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("target"), "similarity")
-
-
-def suggestions(pairs: DataFrame, order: list, per_person: int = PER_PERSON, limit: int = SUGGESTIONS) -> pd.DataFrame:
-    """The report of at most `limit` suggestions: people in order each take their most alike, while neither is over
-    its number. Each choice depends on those before, so it is one pass over pairs sorted best first."""
-    rows, used, counts, out = {}, set(), {}, []
-    for r in pairs.orderBy(F.desc("similarity"), "source", "target").toLocalIterator():
-        for x in (r.source, r.target):
-            rows.setdefault(x, []).append(r)
-    for person in order:
-        if counts.get(person, 0) >= per_person or len(out) >= limit:
-            continue
-        for r in rows.get(person, []):
-            if (r.source, r.target) in used or counts.get(r.source, 0) >= per_person:
+    return rows.select("library_id", F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("target"), "similarity")
+
+
+def _suggest(per_person: int, limit: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, counts, out = set(), {}, []
+        pdf = pdf.sort_values(["person_id", "similarity", "other"], ascending=[True, False, True])
+        for person, ranked in pdf.groupby("person_id", sort=True):
+            if counts.get(person, 0) >= per_person:
                 continue
-            used.add((r.source, r.target))
-            for x in (r.source, r.target):
-                counts[x] = counts.get(x, 0) + 1
-            out.append((r.source, r.target, r.similarity))
+            for lib, source, target, s in zip(ranked["library_id"], ranked["source"], ranked["target"], ranked["similarity"]):
+                if (source, target) in used or counts.get(source, 0) >= per_person:
+                    continue
+                used.add((source, target))
+                for x in (source, target):
+                    counts[x] = counts.get(x, 0) + 1
+                out.append((lib, source, target, s))
+                if len(out) >= limit:
+                    break
             if len(out) >= limit:
                 break
-    return pd.DataFrame(sorted(out, key=lambda x: -x[2]), columns=["source", "target", "similarity"])
+        return pd.DataFrame(sorted(out, key=lambda x: -x[3]), columns=["library_id", "source", "target", "similarity"])
+
+    return run
+
+
+def suggestions(pairs: DataFrame, per_person: int = PER_PERSON, limit: int = SUGGESTIONS) -> DataFrame:
+    """Each library's report of at most `limit` suggestions: people in the order of their ids each take their most
+    alike, until `limit` is reached; no source is taken that has `per_person` already, and no person with as many
+    takes. pairs: library_id, source, target, similarity.
+
+    Each choice depends on those before it, so a library's candidates are one group of at most 8 * limit + 2 rows a
+    person: a pair is passed over only if it is used or its source is full, and by then there are at most `limit`
+    suggestions with 2 * limit people in them; so of the pairs in which a person has one role, no more can matter.
+    """
+    roles = F.array(*[F.struct(F.col(p).alias("person_id"), F.col(o).alias("other"), F.lit(p).alias("role")) for p, o in (("source", "target"), ("target", "source"))])
+    both = pairs.select("library_id", "source", "target", "similarity", F.explode(roles).alias("x")).select("library_id", "source", "target", "similarity", "x.*")
+    near = W.partitionBy("library_id", "person_id", "role").orderBy(F.desc("similarity"), "other")
+    both = both.withColumn("k", F.row_number().over(near)).where(F.col("k") <= 4 * limit + 1).drop("k", "role")
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("library_id", "source", "target")}
+    return both.groupBy("library_id").applyInPandas(_suggest(per_person, limit), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", similarity double")
+
+
+def assign_incrementally(faces: DataFrame, people: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """(library_id, face_id, person_id, created) of each library's new faces in the order of `pos`: see
+    assign_in_order. faces: library_id, pos, face_id, embedding (and the columns that tell a clusterable face);
+    people: library_id, person_id, rep. One task holds one library's new faces and its people's vectors, as each
+    face can become a person that later ones match."""
+    new = faces.where(clusterable() & (F.size("embedding") > 0)).select("library_id", "pos", "face_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    known = people.where(F.size("rep") > 0).select("library_id", "person_id", F.col("rep").cast("array<double>").alias("rep"))
+    kind = faces.schema["library_id"].dataType.simpleString()
+
+    def assign(key, new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        reps = {}
+        for person, v in zip(known["person_id"], known["rep"]):
+            v = np.asarray(v, float)
+            reps[person] = v / (np.linalg.norm(v) + 1e-12)
+        out = assign_in_order(new.sort_values(["pos", "face_id"]), reps, threshold, margin)
+        out.insert(0, "library_id", key[0])
+        return out
+
+    return new.groupBy("library_id").cogroup(known.groupBy("library_id")).applyInPandas(assign, f"library_id {kind}, face_id string, person_id string, created boolean")
 
 
 def assign_in_order(faces: pd.DataFrame, people: dict[str, np.ndarray], threshold: float, margin: float) -> pd.DataFrame:
@@ -234,6 +368,8 @@ def assign_in_order(faces: pd.DataFrame, people: dict[str, np.ndarray], threshol
         v = v / (np.linalg.norm(v) + 1e-12)
         best, second, who = 0.0, 0.0, None
         for person, rep in known.items():
+            if len(rep) != len(v):
+                continue
             s = float(v @ rep)
             if s > best:
                 best, second, who = s, best, person
@@ -267,23 +403,54 @@ def suppress(df: DataFrame, by: str, most: float = 0.35) -> DataFrame:
 
 
 def dedupe_faces(faces: DataFrame) -> DataFrame:
-    """Groups of faces of one identity key: the one that stays, their number, best confidence, and any confirmation."""
-    best = F.struct(F.coalesce("confirmed", F.lit(False)).cast("int").alias("c"), F.col("person_id").isNotNull().cast("int").alias("a"), F.coalesce("confidence", F.lit(0.0)).alias("s"), F.col("face_id"))
-    groups = faces.groupBy("identity_key").agg(F.count("*").alias("copies"), F.max_by("face_id", best).alias("canonical"), F.max("confidence").alias("confidence"), F.bool_or(F.coalesce("confirmed", F.lit(False))).alias("confirmed"))
-    return groups.where("copies > 1")
+    """Groups of faces of one identity key, as the entity that stays: the fields of the best face (confirmed, then
+    owned, then confident, then of a deterministic id, then first by id), the best confidence, any confirmation, and
+    the deterministic id, under which it is stored. `deleted` counts the faces of other ids, which go.
+
+    faces: library_id, face_id, filename, left, top, width, height, image_width, image_height, person_id, confidence, confirmed.
+    """
+    box = ("left", "top", "width", "height", "image_width", "image_height")
+    key = media.identity_key(*(F.col(c) for c in ("library_id", "filename", *box))).alias("identity_key")
+    flag = lambda c: (~c).cast("int")
+    order = F.struct(
+        flag(F.coalesce("confirmed", F.lit(False))).alias("c"), flag(F.coalesce("person_id", F.lit("")) != "").alias("a"),
+        (-F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))).alias("s"), flag(F.col("face_id").startswith(media.FACE_PREFIX)).alias("d"), F.col("face_id").alias("id"),
+    )
+    fields = F.struct("face_id", "filename", "person_id", *box)
+    rows = faces.withColumn("stored", media.face_id(*(F.col(c) for c in ("library_id", "filename", *box)))).withColumn("key", key)
+    groups = rows.groupBy("library_id", F.col("key").alias("identity_key"), F.col("stored").alias("face_id")).agg(
+        F.count("*").alias("copies"), F.count_if(F.col("face_id") != F.col("stored")).alias("deleted"), F.min_by(fields, order).alias("best"),
+        F.max(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))).alias("confidence"), F.bool_or(F.coalesce("confirmed", F.lit(False))).alias("confirmed"),
+    )
+    return groups.where("copies > 1").select("library_id", "face_id", "copies", "deleted", F.col("best.face_id").alias("canonical"), "best.filename", F.nullif("best.person_id", F.lit("")).alias("person_id"), "confidence", "confirmed")
 
 
 def repair_report(people: DataFrame, faces: DataFrame) -> DataFrame:
-    """Counts of what is wrong with memberships: one row. people: person_id, face_ids."""
-    listed = people.select("person_id", F.explode("face_ids").alias("face_id"))
-    side = faces.select("face_id", F.col("person_id").alias("owner"), rejected().alias("bad"))
-    members = listed.join(side, "face_id", "left")
-    a = members.agg(
-        F.count("*").alias("memberships"), F.count_if(F.col("bad").isNull()).alias("dangling"), F.count_if("bad").alias("rejected_members"),
-        F.count_if(F.col("owner").isNotNull() & (F.col("owner") != F.col("person_id"))).alias("owned_by_other"),
-        F.count_if(F.col("bad").isNotNull() & F.col("owner").isNull()).alias("unowned_members"),
+    """Counts of what a repair of memberships changes: one row. people: person_id, face_ids.
+
+    A listed face counts once, by the first of: listed again in the same list, missing, rejected, not owned by the
+    person. Faces that their owner does not list are added, owners that do not exist are cleared, and people left
+    without faces are deleted; a person is changed by any removal or addition.
+    """
+    listed = people.select("person_id", F.explode("face_ids").alias("face_id")).where(F.coalesce("face_id", F.lit("")) != "")
+    times = listed.groupBy("person_id", "face_id").agg((F.count("*") - 1).alias("again"))
+    side = faces.select("face_id", F.col("person_id").alias("owner"), "filename", rejected().alias("bad"))
+    what = F.when(F.col("bad").isNull(), "missing").when(F.col("bad"), "rejected").when(~F.coalesce(F.col("owner") == F.col("person_id"), F.lit(False)), "stale").otherwise("kept")
+    members = times.join(side, "face_id", "left").withColumn("what", what)
+    owned = faces.where(~rejected() & (F.coalesce("person_id", F.lit("")) != "")).select("face_id", "person_id", "filename")
+    ids = people.select("person_id").distinct().withColumn("there", F.lit(True))
+    owned = owned.join(ids, "person_id", "left").join(members.where("what = 'kept'").select("person_id", "face_id", F.lit(True).alias("listed")), ["person_id", "face_id"], "left")
+    owned = owned.withColumn("what", F.when(F.col("there").isNull(), "orphan").when(F.col("listed").isNull(), "added").otherwise("kept"))
+    rows = members.select("person_id", "face_id", "filename", "what", "again").unionByName(owned.where("what <> 'kept'").select("person_id", "face_id", "filename", "what", F.lit(0).cast("long").alias("again")))
+    files = rows.unionByName(owned.select("person_id", "face_id", "filename", "what", F.lit(0).cast("long").alias("again"))).where(F.coalesce("filename", F.lit("")) != "")
+    files = files.agg(F.count_distinct("filename").alias("affected_files"))
+    # One row per person, with partial counts before the shuffle; then one row.
+    n = lambda x: F.count_if(F.col("what") == x).alias(x)
+    per = rows.groupBy("person_id").agg(F.sum("again").alias("duplicate"), *map(n, ("missing", "rejected", "stale", "kept", "added", "orphan")))
+    per = ids.join(per, "person_id", "full_outer").fillna(0)
+    gone = F.col("duplicate") + F.col("missing") + F.col("rejected") + F.col("stale") + F.col("added")
+    sums = per.agg(
+        F.count_if("there").alias("scanned_people"), F.count_if(gone > 0).alias("changed_people"), F.count_if(F.col("there") & (F.col("kept") + F.col("added") == 0)).alias("deleted_people"),
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(f"{x}_faces") for x in ("duplicate", "missing", "rejected", "stale", "added", "orphan")],
     )
-    twice = listed.groupBy("face_id").agg(F.count_distinct("person_id").alias("n")).agg(F.count_if(F.col("n") > 1).alias("listed_twice"))
-    orphans = faces.where("person_id is not null").join(people.select("person_id"), "person_id", "left_anti").agg(F.count("*").alias("orphans"))
-    unlisted = faces.where("person_id is not null").join(listed, ["person_id", "face_id"], "left_anti").agg(F.count("*").alias("unlisted"))
-    return a.crossJoin(twice).crossJoin(orphans).crossJoin(unlisted)
+    return sums.crossJoin(files).crossJoin(faces.agg(F.count("*").alias("scanned_faces")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumen.functions import media
@@ -49,6 +52,44 @@ def page(df: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
     return df.offset(max(0, offset)).limit(max(0, limit))
 
 
+def page_with_total(df: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A slice of an ordered frame, each row with `total`, the number of rows before slicing."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, offset, limit).crossJoin(F.broadcast(total))
+
+
+def recent(df: DataFrame, limit: int, key: str = "photo_id") -> DataFrame:
+    """The latest uploads; those without a time come last, as of 1970."""
+    return df.withColumn("uploaded", F.coalesce("uploaded", F.lit("1970-01-01").cast("timestamp"))).orderBy(F.desc("uploaded"), F.col(key).asc()).limit(limit)
+
+
+def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
+    """Of rows that agree in the keys (columns; null agrees with null), the first in the given order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+# The part of an image that is sampled (left, right, top, bottom), the pixels aimed at, the least alpha,
+# weight and share of a color.
+COLOR_BOX, COLOR_PIXELS, COLOR_ALPHA, COLOR_WEIGHT, COLOR_SHARE = (0.22, 0.78, 0.36, 0.92), 12_000, 32, 40.0, 0.18
+
+
+def dominant_color(pixels: DataFrame, key: str = "photo_id") -> DataFrame:
+    """(key, color, share) of images with a color that is heavy enough in their lower middle; lower rows weigh more.
+    pixels: key, image_width, image_height, x, y, r, g, b and a (null: opaque)."""
+    edge = lambda c, share, up: (F.ceil if up else F.floor)(F.col(c) * F.lit(share))
+    left, right, top, bottom = (edge(c, s, up) for c, s, up in zip(("image_width", "image_width", "image_height", "image_height"), COLOR_BOX, (False, True, False, True)))
+    stride = F.greatest(F.lit(1), F.floor(F.sqrt((right - left) * (bottom - top) / F.lit(COLOR_PIXELS))))
+    inside = (F.col("x") >= left) & (F.col("x") < right) & (F.col("y") >= top) & (F.col("y") < bottom)
+    sampled = ((F.col("x") - left) % stride == 0) & ((F.col("y") - top) % stride == 0) & (F.coalesce("a", F.lit(255)) >= COLOR_ALPHA)
+    weight = F.lit(0.75) + (F.col("y") - top) / F.greatest(F.lit(1), bottom - top) * 0.5
+    rows = pixels.where(inside & sampled).select(key, media.color_name(F.col("r"), F.col("g"), F.col("b")).alias("color"), weight.alias("w"))
+    sums = rows.groupBy(key, "color").agg(F.sum("w").alias("w"))
+    best = sums.groupBy(key).agg(F.sum("w").alias("total"), F.max(F.struct("w", "color")).alias("best"))
+    share = F.col("best.w") / F.col("total")
+    return best.where((F.col("total") >= COLOR_WEIGHT) & (share >= COLOR_SHARE)).select(key, "best.color", share.alias("share"))
+
+
 def filtered(df: DataFrame, rating: int = 0, likes: int = 0, first: str | None = None, last: str | None = None, near: tuple | None = None) -> DataFrame:
     """All filters of the filter page, best first."""
     df = captured_between(rated(df, rating, likes), first, last)
@@ -124,17 +165,23 @@ def duplicates(df: DataFrame, hash_col: str, key: str) -> DataFrame:
 def near_duplicates(df: DataFrame, hash_col: str = "perceptual_hash", key: str = "photo_id", most: int = 5) -> DataFrame:
     """Pairs of hashes of one length at `most` or fewer differing characters, with 100 - 5 for each.
 
-    Cut into most + 1 bands, two such hashes are equal in one; so only hashes with a common band meet. Hashes
-    are made distinct first: copies meet once. Returns pairs of representatives (smallest key of each hash).
+    Cut into most + 1 bands, two such hashes are equal in one; so only hashes with a common band meet, and a pair is
+    made in the first band that it shares. Hashes of `most` or fewer characters have no band that must be equal: all of
+    one length are pairs, so each such length is one band. Hashes are made distinct first: copies meet once. Returns
+    pairs of representatives (smallest key of each hash).
     """
     from albumen.functions.vectors import hamming
 
     reps = df.where(F.coalesce(hash_col, F.lit("")) != "").groupBy(F.col(hash_col).alias("h")).agg(F.min(key).alias("k"))
     bands = most + 1
-    step = F.ceil(F.length("h") / bands).cast("int")
-    cut = F.array(*[F.struct(F.lit(i).alias("i"), F.length("h").alias("n"), F.substring(F.col("h"), step * i + 1, step).alias("part")) for i in range(bands)])
+    n = F.length("h")
+    edge = lambda i: F.floor(n * i / bands).cast("int")
+    part = lambda h, i: F.substring(h, edge(i) + 1, edge(i + 1) - edge(i))
+    cut = F.when(n < bands, F.array(F.struct(F.lit(0).alias("i"), n.alias("n"), F.lit("").alias("part")))).otherwise(F.array(*[F.struct(F.lit(i).alias("i"), n.alias("n"), part(F.col("h"), i).alias("part")) for i in range(bands)]))
     spread = reps.select("h", "k", F.explode(cut).alias("band"))
-    a, b = spread.select(F.col("h").alias("h1"), F.col("k").alias("k1"), "band"), spread.select(F.col("h").alias("h2"), F.col("k").alias("k2"), "band")
-    pairs = a.join(b, "band").where("k1 < k2").select("k1", "k2", "h1", "h2").distinct()
+    a, b = spread.select(F.col("h").alias("h1"), F.col("k").alias("k1"), "band"), spread.select("h", F.col("h").alias("h2"), F.col("k").alias("k2"), "band")
+    pairs = a.join(b, "band").where("k1 < k2")
+    earlier = [(F.col("band.i") > i) & (part(F.col("h1"), i) == part(F.col("h2"), i)) for i in range(bands - 1)]
+    pairs = pairs.where(~reduce(or_, earlier, F.lit(False)) | (n < bands)).select("k1", "k2", "h1", "h2")
     d = hamming(F.col("h1"), F.col("h2"))
     return pairs.select("k1", "k2", d.alias("distance"), (100 - 5 * d).alias("similarity")).where(F.col("distance") <= most)

@@ -11,31 +11,40 @@ from pyspark.sql import functions as F
 
 from albumen import vocabulary as V
 from albumen.functions import text, vectors
+from albumen.operators.graph import materialise
 from albumen.operators.once import computed_once
+from albumen.operators.photos import captured_between, in_places
 
 # How scores are mixed, and the least semantic score that counts.
 SEMANTIC_WEIGHT, PERSON_WEIGHT, PLACE_WEIGHT, CONTEXT_CUT, SEMANTIC_MIN = 10.0, 8.0, 5.0, 12.0, 0.16
 
 
+def phrase(s: str) -> str:
+    """text.normalize_phrase for one string on the driver."""
+    folded = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
+    return " ".join(re.sub("[^a-z0-9]+", " ", folded).split())
+
+
 def normalize(s: str) -> str:
     """text.normalize_token for one string on the driver."""
-    folded = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
     out = []
-    for w in re.sub("[^a-z0-9]+", " ", folded).split():
+    for w in phrase(s).split():
         w = V.CANONICAL.get(w, w)
-        out.append(V.CANONICAL.get(w) or _singular(w))
+        out.append(V.CANONICAL.get(w) or text.singular(w))
     return " ".join(out)
 
 
-def _singular(w: str) -> str:
-    if len(w) <= 3 or w.endswith("ss"):
-        return w
-    for end, to in (("ies", "y"), ("ves", "f")):
-        if w.endswith(end) and len(w) > 4:
-            return w[:-3] + to
-    if w.endswith("es") and re.search("(s|x|z|ch|sh|o)$", w[:-2]):
-        return w[:-2]
-    return w[:-1] if w.endswith("s") else w
+# Words that begin a place, words that end it, and the forms of a modifier m with its thing t.
+PLACE_OPENERS = ("in", "at", "near", "from")
+PLACE_CLOSERS = ("by", "with", "wearing", "holding", "beside", "next to")
+PHRASES = ("{m} {t}", "wearing {m} {t}", "{t} color {m}", "{t} colour {m}")
+#: Where a modifier and its thing stand, by the kinds of words (m a modifier, f a filler, o another), tried in order;
+#: the first form looks at all words, the others at those that are no fillers.
+FORMS = (
+    (True, re.compile("^(?P<thing>.)f(?P<modifier>m)")),
+    (False, re.compile("(?P<modifier>m)(?P<thing>o)")),
+    (False, re.compile("(?P<modifier>m).*(?P<thing>o)$")),
+)
 
 
 @dataclass
@@ -65,28 +74,26 @@ def parse(query: str) -> Query:
     clean = normalize(query)
     if not clean:
         return Query()
-    before, *after = re.split(r"\b(?:in|at|near|from)\b", clean, maxsplit=1)
-    q = Query(subject=before.split())
-    if after:
-        q.location = re.split(r"\b(?:by|with|wearing|holding|beside|next to)\b", after[0], maxsplit=1)[0].split()
-        q.subject = q.subject or list(q.location)
-    q.words = [w for w in clean.split() if w not in V.STOP] or clean.split()
-    terms = [w for w in q.words if w not in V.FILLER]
-    if len(q.words) > 2 and q.words[1] in V.FILLER and q.words[2] in V.MODIFIERS:
-        q.modifier, q.thing = q.words[2], q.words[0]
-    else:
-        pairs = [(a, b) for a, b in zip(terms, terms[1:]) if a in V.MODIFIERS and b not in V.MODIFIERS]
-        if pairs:
-            q.modifier, q.thing = pairs[0]
-        elif len(terms) > 1 and terms[-1] not in V.MODIFIERS and (early := [w for w in terms[:-1] if w in V.MODIFIERS]):
-            q.modifier, q.thing = early[0], terms[-1]
-    if q.thing:
-        m, t = q.modifier, q.thing
-        q.phrases = [f"{m} {t}", f"wearing {m} {t}", f"{t} color {m}", f"{t} colour {m}"]
-    q.expanded = expand(q.words)
+    said, place = _cut(clean, PLACE_OPENERS)
+    location = _cut(place, PLACE_CLOSERS)[0].split()
+    words = [w for w in clean.split() if w not in V.STOP] or clean.split()
+    q = Query(subject=said.split() or location, location=location, words=words, expanded=expand(words))
+    for every, form in FORMS:
+        seen = [w for w in words if every or w not in V.FILLER]
+        kinds = "".join("f" if w in V.FILLER else "m" if w in V.MODIFIERS else "o" for w in seen)
+        if m := form.search(kinds):
+            q.modifier, q.thing = (seen[m.start(k)] for k in ("modifier", "thing"))
+            q.phrases = [p.format(m=q.modifier, t=q.thing) for p in PHRASES]
+            break
     return q
 
 
+def _cut(line: str, at: tuple[str, ...]) -> tuple[str, str]:
+    """What stands before and after the first of some words."""
+    before, *after = re.split(rf"\b(?:{'|'.join(at)})\b", line, maxsplit=1)
+    return before, after[0] if after else ""
+
+
 def query_text(query: str, q: Query | None = None) -> str:
     q = q or parse(query)
     return " ".join([normalize(query), *q.expanded]).strip() if q.expanded else normalize(query) or query
@@ -141,24 +148,70 @@ def candidates(limit: int) -> int:
 
 
 def hybrid(scored: DataFrame, q: Query, semantic: DataFrame | None, people_groups: int = 0, places: int = 0, key: str = "photo_id") -> DataFrame:
-    """key, lexical and score > 0. scored: key, lexical. With a modifier and a thing, rows under the lexical cut are
-    a fallback, used only if no row is over it."""
+    """key, lexical, score > 0 and fallback. scored: key, lexical, and said (the modifier stands in the row's own text).
+
+    With a modifier and a thing, rows that score no words are left out; those whose text lacks the modifier, or that
+    are under the lexical cut, are a fallback, used only if there are no others. Rows are scored once: they are written,
+    narrow, before it is asked whether there are others.
+    """
     rows = computed_once(scored)
     if semantic is not None:
         rows = rows.join(semantic.select(key, "semantic"), key, "left")
     else:
         rows = rows.withColumn("semantic", F.lit(None).cast("double"))
     extra = F.when(F.col("semantic") >= SEMANTIC_MIN, F.col("semantic") * SEMANTIC_WEIGHT).otherwise(0.0)
-    rows = rows.withColumn("score", F.col("lexical") + extra + F.lit(PERSON_WEIGHT * people_groups + PLACE_WEIGHT * places)).where("score > 0")
-    if q.thing:
-        best = rows.agg(F.coalesce(F.max("lexical"), F.lit(0.0)).alias("top"))
-        rows = rows.crossJoin(F.broadcast(best)).where((F.col("lexical") >= CONTEXT_CUT) | (F.col("top") < CONTEXT_CUT)).drop("top")
-    return rows.select(key, "lexical", "score")
+    rows = rows.withColumn("score", F.col("lexical") + extra + F.lit(PERSON_WEIGHT * people_groups + PLACE_WEIGHT * bool(places))).where("score > 0")
+    if not q.thing:
+        return rows.select(key, "lexical", "score", F.lit(False).alias("fallback"))
+    rows = rows.where("lexical > 0").select(key, "lexical", "score", (~F.col("said") | (F.col("lexical") < CONTEXT_CUT)).alias("fallback"))
+    rows = materialise(rows, "scored")
+    others = rows.agg(F.coalesce(F.bool_or(~F.col("fallback")), F.lit(False)).alias("others"))
+    return rows.crossJoin(F.broadcast(others)).where(~F.col("fallback") | ~F.col("others")).drop("others")
+
+
+def search_fields(df: DataFrame) -> DataFrame:
+    """df with what scores look at: tags, semantic, subject and place, all normalised, and raw (the row's own text in
+    lower case). df: filename, effective and candidates (arrays), caption, ocr_text, address, city, country, model,
+    tags, objects, names (arrays)."""
+    word = lambda *c: text.normalize_token(F.concat_ws(" ", *c))
+    df = computed_once(df.withColumn("__said", text.semantic_text(F.col("candidates"), [F.col(c) for c in ("filename", "caption", "ocr_text", "address", "city", "country")])))
+    raw = F.lower(F.concat_ws(" ", "filename", "caption", "__said", "ocr_text", F.array_join("objects", " "), F.array_join("names", " "), "address", "city", "country", F.array_join("tags", " ")))
+    semantic = word("__said")
+    df = df.withColumns({"__semantic": semantic, "__subject": F.concat_ws(" ", word("filename"), semantic, word("model")), "__place": word("address", "city", "country", F.array_join("effective", " ")), "__raw": raw})
+    return computed_once(df)
+
+
+def search_photos(photos: DataFrame, query: str, people: DataFrame | None = None, semantic: DataFrame | None = None, first: str | None = None, last: str | None = None, key: str = "photo_id") -> DataFrame:
+    """key, lexical, score and fallback of the photos that a query finds, best first.
+
+    Photos must show every person that the query names (one of each name's people), lie in one of the places it
+    names, and be taken within the dates. photos: the columns of search_fields, people (ids), captured. people:
+    person_id, name. What is collected is bounded by the query: the names and places it spells.
+    """
+    q = parse(query)
+    rows = captured_between(photos, first, last)
+    groups = 0
+    if people is not None:
+        index = person_index(people)
+        named = index.join(known_terms(query, index), "term", "left_semi").select("term", F.explode("ids").alias("person_id"))
+        named = materialise(named, "named")
+        groups = named.select("term").distinct().count()
+        if groups:
+            shown = rows.select(key, F.explode("people").alias("person_id")).join(named, "person_id").groupBy(key).agg(F.count_distinct("term").alias("n"))
+            rows = rows.join(shown.where(F.col("n") == groups).select(key), key, "left_semi")
+    places = [r.term for r in known_terms(query, place_terms(photos, ["city", "country", "address"])).collect()]
+    if places:
+        rows = rows.where(in_places(F.col("address"), F.col("city"), F.col("country"), places))
+    fields = search_fields(rows)
+    lexical = lexical_score(q, F.col("effective"), F.col("__subject"), F.col("__semantic"), F.col("__place"))
+    said = F.col("__raw").contains(q.modifier) if q.thing else F.lit(True)
+    found = hybrid(fields.select(key, lexical.alias("lexical"), said.alias("said")), q, semantic, groups, len(places), key)
+    return found.orderBy(F.desc("score"), key)
 
 
 def known_terms(query: str, vocabulary: DataFrame, col: str = "term") -> DataFrame:
     """The terms of a vocabulary that the query has as whole words, the longest first."""
-    padded = F.lit(f" {normalize(query)} ")
+    padded = F.lit(f" {phrase(query)} ")
     term = text.normalize_phrase(F.col(col))
     hit = vocabulary.select(term.alias("term")).distinct().where((F.col("term") != "") & padded.contains(F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
     return hit.orderBy(F.length("term").desc(), "term")
@@ -174,5 +227,5 @@ def place_terms(df: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
 def person_index(people: DataFrame) -> DataFrame:
     """Normalised full and first names of named people, and the ids they stand for."""
     name = text.normalize_phrase(F.col("name"))
-    rows = people.where(F.trim(F.coalesce("name", F.lit(""))) != "").select("person_id", F.explode(F.array_distinct(F.array(name, F.substring_index(name, " ", 1)))).alias("term"))
+    rows = people.where((F.trim(F.coalesce("name", F.lit(""))) != "") & ~text.is_unnamed(F.col("name"))).select("person_id", F.explode(F.array_distinct(F.array(name, F.substring_index(name, " ", 1)))).alias("term"))
     return rows.where("term <> ''").groupBy("term").agg(F.array_sort(F.collect_set("person_id")).alias("ids"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from albumen.functions import media
+
 STAGES = ("thumbnail", "exif", "ocr", "ai_vision", "map_detection", "face", "verify")
+#: Stages that a client works on and reports.
+CLIENT_STAGES = STAGES[:-1]
 # States that nothing follows, and those counted by the matrix.
-TERMINAL = ("done", "failed", "no_data", "skipped", "unsupported")
+TERMINAL = ("done", "no_data", "deleted", "skipped", "unsupported", "failed", "timeout")
 COUNTED = ("queued", "pending", "running", "failed", "no_data")
 LEASE_SECONDS, STALE_SECONDS = 120, 900
 
@@ -47,24 +54,57 @@ def needs_attention(df: DataFrame, stages=STAGES) -> DataFrame:
     return df.where(F.exists(F.array(*[F.col(f"{s}_status") for s in stages]), lambda x: x.isin("failed", "no_data")))
 
 
-def pending(df: DataFrame, now: Column, stages=STAGES, key: str = "photo_id") -> DataFrame:
+# Report reasons after which an AI stage may succeed another time.
+RETRY_REASONS = (
+    "inference_timeout", "model_budget_exceeded", "model_download_timeout", "model_load_failed", "model_unavailable",
+    "raw_container_unsupported", "raw_preview_invalid", "raw_preview_missing", "upstream_incomplete",
+)
+
+
+def retry_ai(filename: Column, accepted: Column, fallback: Column, report: Column) -> Column:
+    """Whether a RAW photo's AI stage is to be tried again: what a browser gave is only the local fallback's, or, where
+    a browser gave nothing, the report (array of step, status, reason) tells of a failure that may pass."""
+    raw = media.file_extension(filename).isin(*media.RAW, *media.CINEMA)
+    failed = F.exists(report, lambda x: (x["step"] == "ai_vision") & x["status"].isin("failed", "skipped", "timeout") & x["reason"].isin(*RETRY_REASONS))
+    return raw & F.when(F.coalesce(accepted, F.lit(False)), F.coalesce(fallback, F.lit(False))).otherwise(F.coalesce(failed, F.lit(False)))
+
+
+def face_throttled(deferred: Column, report: Column) -> Column:
+    """Whether the face stage was put off as the client was in the background."""
+    item = F.exists(report, lambda x: (x["step"] == "face") & (F.lower(F.trim(x["reason"])) == "background_throttled"))
+    return F.coalesce(F.lower(F.trim(deferred)) == "background_throttled", F.lit(False)) | F.coalesce(item, F.lit(False))
+
+
+def pending(df: DataFrame, now: Column, stages=CLIENT_STAGES, key: str = "photo_id") -> DataFrame:
     """Photos with work left: not deleted, and a stage in a state that is not final. A running stage counts only
-    once its lease has expired; a RAW photo's AI stage that is to be retried counts, and a throttled face stage."""
+    once its lease has expired; an AI stage that is to be retried counts, and a throttled face stage that is not done.
+    df: filename, <stage>_status, lease_expires, processing_state, updated, accepted_ai, fallback_ai, deferred, report."""
     expired = F.coalesce(F.col("lease_expires") <= now, F.lit(True))
+    again = retry_ai(F.col("filename"), F.col("accepted_ai"), F.col("fallback_ai"), F.col("report"))
+    throttled = face_throttled(F.col("deferred"), F.col("report"))
     work = []
     for s in stages:
         status = F.lower(F.trim(F.coalesce(f"{s}_status", F.lit(""))))
         status = F.when((status == "running") & ~expired, "held").when(status == "running", "pending").otherwise(status)
         if s == "ai_vision":
-            status = F.when(F.coalesce("retry_ai", F.lit(False)) & status.isin("failed", "no_data", "skipped", "timeout"), "pending").otherwise(status)
+            status = F.when(again & status.isin("failed", "no_data", "skipped", "timeout"), "pending").otherwise(status)
         if s == "face":
-            status = F.when(F.coalesce("face_throttled", F.lit(False)) & (status != "done"), "pending").otherwise(status)
+            status = F.when(throttled & (status != "done"), "pending").otherwise(status)
         work.append(F.struct(F.lit(s).alias("stage"), status.alias("status")))
     open_ = F.filter(F.array(*work), lambda x: (x["status"] != "") & ~x["status"].isin("held", *TERMINAL))
     rows = df.where(F.coalesce(F.lower("processing_state"), F.lit("")) != "deleted").withColumn("open", open_).where(F.size("open") > 0)
     return rows.select(key, F.array_join(F.transform("open", lambda x: x["stage"]), ",").alias("stages"), "updated")
 
 
+def clustering_due(df: DataFrame) -> DataFrame:
+    """Photos, with `faces` as their number, whose face stage is done and found some: not deleted, and a count, or else
+    a list, of faces that is not 0. df: processing_state, face_status, face_count, faces."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    count = F.coalesce(F.col("face_count").try_cast("long"), F.lit(0))
+    n = F.when(count > 0, count).otherwise(F.greatest(F.size(F.filter("faces", lambda x: x.isNotNull())), F.lit(0)).cast("long"))
+    return df.where((low("processing_state") != "deleted") & (low("face_status") == "done")).withColumn("faces", n).where("faces > 0")
+
+
 def pending_queue(df: DataFrame, now: Column, limit: int, **how) -> DataFrame:
     """The photos that wait longest; the limit is held within 1 and 25."""
     return pending(df, now, **how).orderBy(F.col("updated").asc_nulls_first(), "photo_id").limit(min(25, max(1, limit)))
@@ -86,9 +126,9 @@ def requeue(status: Column, stale: Column, force: bool) -> Column:
 NO_DATA_REASONS = ("upstream_incomplete", "raw_container_unsupported", "raw_preview_missing", "raw_exif_only")
 
 
-def reported_status(step: Column, status: Column, reason: Column, retryable: tuple[str, ...] = ("model_unavailable", "timeout")) -> Column:
+def reported_status(step: Column, status: Column, reason: Column) -> Column:
     """A client's report as a state; null for what says nothing."""
-    retry = (step == "ai_vision") & reason.isin(*retryable)
+    retry = (step == "ai_vision") & reason.isin(*RETRY_REASONS)
     return (
         F.when(status == "done", "done")
         .when(status.isin("failed", "timeout"), F.when(retry, "pending").otherwise("failed"))
@@ -97,29 +137,51 @@ def reported_status(step: Column, status: Column, reason: Column, retryable: tup
     )
 
 
-def merge_reports(current: DataFrame, reports: DataFrame, most: int = 20, **how) -> DataFrame:
-    """current (key, stage, status) after reports (key, pos, step, status, reason).
+#: Items of a report that are read.
+REPORT_ITEMS = 20
+
+
+def merge_reports(current: DataFrame, reports: DataFrame, most: int = REPORT_ITEMS) -> DataFrame:
+    """current (key, stage, status) after reports (key, pos, step, status, reason), pos from 0.
 
-    Done and no_data stick, the last report of a stage wins, and a running stage that a report leaves out has no data.
+    Items are applied in order; a stage that is done or has no data stays so, whether before or by an item. A running
+    client stage that a report with any usable item leaves out has no data.
     """
-    used = reports.where(F.col("pos") < most).withColumn("new", reported_status(F.col("step"), F.col("status"), F.col("reason"), **how)).where("new is not null")
-    last = used.groupBy("key", F.col("step").alias("stage")).agg(F.max_by("new", "pos").alias("new"))
+    used = reports.where((F.col("pos") < most) & F.trim("step").isin(*CLIENT_STAGES))
+    used = used.select("key", F.trim("step").alias("stage"), "pos", reported_status(F.trim("step"), F.trim("status"), F.trim("reason")).alias("new")).where("new is not null")
+    final = F.when(F.col("new").isin("done", "no_data"), F.col("pos"))
+    last = used.groupBy("key", "stage").agg(F.coalesce(F.min_by("new", final), F.max_by("new", "pos")).alias("new"))
     seen = last.select("key").distinct().withColumn("seen", F.lit(True))
     rows = current.join(last, ["key", "stage"], "left").join(seen, "key", "left")
     low = F.lower(F.trim(F.coalesce(F.col("status"), F.lit(""))))
-    out = F.when(low.isin("done", "no_data"), F.col("status")).when(F.col("new").isNotNull(), F.col("new")).when(F.col("seen") & (low == "running"), "no_data").otherwise(F.col("status"))
+    left_out = F.col("seen") & (low == "running") & F.col("stage").isin(*CLIENT_STAGES)
+    out = F.when(low.isin("done", "no_data"), F.col("status")).when(F.col("new").isNotNull(), F.col("new")).when(left_out, "no_data").otherwise(F.col("status"))
     return rows.select("key", "stage", out.alias("status"))
 
 
-# Words that tell a failed stage, in the order tried.
-FAILURE_WORDS = (("exif", "exif"), ("thumbnail", "thumbnail"), ("ocr", "ocr"), ("vision", "ai_vision"), ("map", "map_detection"), ("face", "face"), ("upload", "upload"))
-
-
-def failure_stage(message: Column, started: Column, done: Column, stages=STAGES) -> Column:
-    """The stage a failure names, else the first that was started and not done."""
-    low, out = F.lower(F.coalesce(message, F.lit(""))), F
-    for word, stage in FAILURE_WORDS:
-        out = out.when(low.contains(word), stage)
-    for s in stages:
-        out = out.when(F.array_contains(started, s) & ~F.array_contains(done, s), s)
+# What a face failure's text tells, in the order tried; then stages that began and did not end.
+FAILURE_WORDS = (
+    ("background_throttled", ("background_throttled",)),
+    ("unsupported_runtime", ("unsupported_runtime",)),
+    ("timeout", ("blazeface_load_timeout", "model_budget_exceeded", "timeout")),
+    ("embedding_model_load_failed", ("arcface_model_load_failed", "embedding_model_load_failed")),
+    ("face_api_load_failed", ("face_model_load_failed", "face_api_load_failed")),
+    ("model_load_failed", ("blazeface_load_failed", "module_import_failed")),
+)
+FAILURE_STAGES = (
+    ("embedding_model_load_failed", "embedding_model_load"),
+    ("descriptor_failed", "descriptor"),
+    ("detection_failed", "detection"),
+    ("model_load_failed", "model_load"),
+)
+
+
+def failure_stage(stated: Column, message: Column, marks: Column) -> Column:
+    """Where a face run failed: as stated, else by words of its message, else by the stage of which `marks` has the
+    start and not the end (x_started, x_done)."""
+    low, out = F.lower(F.coalesce(message, F.lit(""))), F.when(F.coalesce(stated, F.lit("")) != "", stated)
+    for name, words in FAILURE_WORDS:
+        out = out.when(reduce(or_, (low.contains(w) for w in words)), name)
+    for name, stage in FAILURE_STAGES:
+        out = out.when(F.array_contains(marks, f"{stage}_started") & ~F.array_contains(marks, f"{stage}_done"), name)
     return out.otherwise("unknown")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from albumen.functions import media, vectors
 from albumen.operators import maintenance as X
 from albumen.operators import people as P
+from albumen.operators import recluster as R
 from albumen.plans import standins as S
 from albumen.plans.registry import query
 from albumen.sources import files, tables
@@ -49,7 +50,7 @@ def refined_clusters(spark, sf_dir):
     return P.refine(P.dbscan(e, "vec_id", "embedding", EPS), e, "vec_id", "embedding", 0.62)
 
 
-@query(f"""{WF}, w AS (SELECT person_id, embedding, greatest(0.05, CASE WHEN confirmed THEN greatest(confidence, 1.0) WHEN review = 'suspicious' OR confidence < 0.6 THEN least(confidence, 0.35) ELSE confidence END)::DOUBLE AS w FROM face WHERE NOT rejected AND person_id IS NOT NULL),
+@query(f"""{WF}, w AS (SELECT person_id, embedding, greatest(0.05, CASE WHEN confirmed THEN greatest(c, 1.0) WHEN review = 'suspicious' OR confidence < 0.6 THEN least(c, 0.35) ELSE c END)::DOUBLE AS w FROM (SELECT *, CASE WHEN confidence = 0 THEN 0.5 ELSE confidence END AS c FROM face) WHERE NOT rejected AND person_id IS NOT NULL),
  x AS (SELECT person_id, w, embedding, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM w), m AS (SELECT person_id, i, sum(x * w) / sum(w) AS x FROM x GROUP BY 1, 2), m1 AS (SELECT person_id, list(x ORDER BY i) AS m FROM m GROUP BY 1),
  n AS (SELECT w.person_id, embedding, w * least(1.0, greatest(0.1, list_dot_product(embedding, m1.m) / (sqrt(list_dot_product(m1.m, m1.m)) + 1e-12) / (sqrt(list_dot_product(embedding, embedding)) + 1e-12))) AS w FROM w JOIN m1 USING (person_id)),
  y AS (SELECT person_id, w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM n), z AS (SELECT person_id, i, sum(x * w) / sum(w) AS x FROM y GROUP BY 1, 2), l AS (SELECT person_id, sqrt(sum(x * x)) AS len FROM z GROUP BY 1)
@@ -60,15 +61,14 @@ def representative_vectors(spark, sf_dir):
     return reps.select("person_id", F.posexplode("rep").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""{WF}, s AS (SELECT face_id, label_id AS person_id, round(list_dot_product(f.embedding, c.v), 9) AS score FROM face f, (SELECT 'p' || label AS label_id, first(embedding::DOUBLE[] ORDER BY vec_id) AS v FROM embeddings GROUP BY 1) c WHERE f.pos % 3 = 1),
+@query(f"""{WF}, s AS (SELECT face_id, label_id AS person_id, round(list_dot_product(f.embedding, c.v), 9) AS score FROM face f, (SELECT 'p' || label AS label_id, first(embedding::DOUBLE[] ORDER BY vec_id) AS v FROM embeddings GROUP BY 1) c),
 r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY score DESC, person_id) AS k, lead(score) OVER (PARTITION BY face_id ORDER BY score DESC, person_id) AS second FROM s)
 SELECT face_id, person_id, round(score, 6) AS score, round(second, 6) AS second, score >= 0.2 AND score - second >= 0.05 AS accepted FROM r WHERE k = 1""")
 def best_match(spark, sf_dir):
     """Each face against one vector per person."""
     f = S.faces(spark, sf_dir)
     first = S.read(spark, sf_dir, "embeddings").groupBy(F.concat(F.lit("p"), F.col("label").cast("string")).alias("person_id")).agg(F.min_by("embedding", "vec_id").alias("v"))
-    scores = f.where("pos % 3 = 1").select("face_id", "embedding").crossJoin(F.broadcast(first)).select("face_id", "person_id", F.round(vectors.dot(F.col("embedding"), F.col("v")), 9).alias("score"))
-    out = P.best_match(scores, "face_id", 0.2, 0.05)
+    out = P.best_match(P.scores_of(f.select("face_id", "embedding"), first, "face_id", "embedding", "v"), "face_id", 0.2, 0.05)
     return out.withColumns({c: F.round(c, 6) for c in ("score", "second")})
 
 
@@ -86,19 +86,41 @@ def representative_faces(spark, sf_dir):
     return P.representative_faces(P.active_faces(S.people(spark, sf_dir), S.faces(spark, sf_dir)))
 
 
-@query(f"{WF} SELECT identity_key, count(*) AS copies, first(face_id ORDER BY confirmed DESC, person_id IS NOT NULL DESC, confidence DESC, face_id DESC) AS canonical, max(confidence)::DOUBLE AS confidence, bool_or(confirmed) AS confirmed FROM face GROUP BY 1 HAVING count(*) > 1")
-def face_dedupe(spark, sf_dir):
-    """A13, P14."""
-    return P.dedupe_faces(S.faces(spark, sf_dir))
+_DUPLICATE = f"""{S.FACES}, box AS (SELECT *, pos % 30 AS x, pos % 20 AS y FROM face),
+ident AS (SELECT *, 'face-v1-' || left(sha256('{{"filename":"' || filename || '","height":' || least(h, 90 - y) || ',"imageHeight":90,"imageWidth":100,"left":' || x || ',"top":' || y || ',"userId":"' || library_id || '","v":1,"width":' || least(w, 100 - x) || '}}'), 40) AS stored FROM (SELECT *, pos % 6 * 20 + 1 AS w, pos % 5 * 20 + 1 AS h FROM box)),
+renamed AS (SELECT *, CASE WHEN pos % 240 < 120 THEN face_id ELSE stored END AS own_id FROM ident)"""
+
+
+def _boxed(spark, sf_dir):
+    """Faces of which those 240 apart have one box, every other one under its deterministic id."""
+    k = F.col("pos")
+    f = S.faces(spark, sf_dir).withColumns({"left": k % 30, "top": k % 20, "width": k % 6 * 20 + 1, "height": k % 5 * 20 + 1})
+    stored = media.face_id(*(F.col(c) for c in ("library_id", "filename", "left", "top", "width", "height", "image_width", "image_height")))
+    return f.withColumn("face_id", F.when(k % 240 < 120, F.col("face_id")).otherwise(stored))
 
 
-@query(f"""{WP}, j AS (SELECT m.*, f.person_id AS owner, f.face_id AS found, f.rejected FROM member m LEFT JOIN face f USING (face_id))
-SELECT count(*) AS memberships, count(*) FILTER (found IS NULL) AS dangling, count(*) FILTER (rejected) AS rejected_members, count(*) FILTER (owner IS NOT NULL AND owner <> person_id) AS owned_by_other, count(*) FILTER (found IS NOT NULL AND owner IS NULL) AS unowned_members,
- (SELECT count(*) FROM (SELECT face_id FROM member GROUP BY 1 HAVING count(DISTINCT person_id) > 1)) AS listed_twice, (SELECT count(*) FROM face WHERE person_id IS NOT NULL AND person_id NOT IN (SELECT person_id FROM person)) AS orphans,
- (SELECT count(*) FROM face f WHERE person_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM member m WHERE m.person_id = f.person_id AND m.face_id = f.face_id)) AS unlisted FROM j""")
+@query(f"WITH {_DUPLICATE} SELECT library_id, stored AS face_id, count(*) AS copies, count(*) FILTER (own_id <> stored) AS deleted, first(own_id ORDER BY confirmed DESC, person_id IS NOT NULL DESC, confidence DESC, starts_with(own_id, 'face-v1-') DESC, own_id) AS canonical, min(filename) AS filename, first(person_id ORDER BY confirmed DESC, person_id IS NOT NULL DESC, confidence DESC, starts_with(own_id, 'face-v1-') DESC, own_id) AS person_id, max(confidence)::DOUBLE AS confidence, bool_or(confirmed) AS confirmed FROM renamed GROUP BY 1, 2 HAVING count(*) > 1")
+def face_dedupe(spark, sf_dir):
+    """A13, P14."""
+    return P.dedupe_faces(_boxed(spark, sf_dir))
+
+
+@query(f"""{WF}, l AS (SELECT pos, face_id, CASE WHEN pos % 11 = 0 THEN 'p4' ELSE person_id END AS person_id FROM face WHERE person_id IS NOT NULL AND person_id <> 'p8' AND pos % 13 <> 0),
+ entry AS (SELECT person_id, face_id FROM l UNION ALL SELECT person_id, face_id FROM l WHERE pos % 17 = 0 UNION ALL SELECT DISTINCT person_id, 'gone' || person_id FROM l UNION ALL SELECT 'ghost', 'f999999'),
+ once AS (SELECT e.person_id, face_id, count(*) - 1 AS again, CASE WHEN any_value(f.face_id) IS NULL THEN 'missing' WHEN bool_or(f.rejected) THEN 'rejected' WHEN e.person_id IS DISTINCT FROM any_value(f.person_id) THEN 'stale' ELSE 'kept' END AS what, any_value(f.filename) AS filename FROM entry e LEFT JOIN face f USING (face_id) GROUP BY 1, 2),
+ owned AS (SELECT f.person_id, f.face_id, f.filename, CASE WHEN f.person_id NOT IN (SELECT person_id FROM entry) THEN 'orphan' WHEN (f.person_id, f.face_id) IN (SELECT (person_id, face_id) FROM once WHERE what = 'kept') THEN 'kept' ELSE 'added' END AS what FROM face f WHERE NOT rejected AND f.person_id IS NOT NULL)
+SELECT (SELECT count(DISTINCT person_id) FROM entry) AS scanned_people, (SELECT count(*) FROM face) AS scanned_faces,
+ (SELECT count(DISTINCT person_id) FROM (SELECT person_id FROM once WHERE what <> 'kept' OR again > 0 UNION ALL SELECT person_id FROM owned WHERE what = 'added')) AS changed_people,
+ (SELECT count(DISTINCT person_id) FROM entry WHERE person_id NOT IN (SELECT person_id FROM once WHERE what = 'kept' UNION ALL SELECT person_id FROM owned WHERE what = 'added')) AS deleted_people,
+ (SELECT sum(again)::BIGINT FROM once) AS duplicate_faces, (SELECT count(*) FROM once WHERE what = 'missing') AS missing_faces, (SELECT count(*) FROM once WHERE what = 'rejected') AS rejected_faces, (SELECT count(*) FROM once WHERE what = 'stale') AS stale_faces,
+ (SELECT count(*) FROM owned WHERE what = 'added') AS added_faces, (SELECT count(*) FROM owned WHERE what = 'orphan') AS orphan_faces, (SELECT count(DISTINCT filename) FROM (SELECT filename FROM once UNION ALL SELECT filename FROM owned)) AS affected_files""")
 def repair_report(spark, sf_dir):
-    """What is wrong, without a change."""
-    return P.repair_report(S.people(spark, sf_dir), S.faces(spark, sf_dir))
+    """What a repair would change, over lists with strangers, repeats, gaps and a person of nobody."""
+    f = S.faces(spark, sf_dir)
+    lists = f.where("person_id is not null and person_id <> 'p8' and pos % 13 <> 0").select(F.when(F.col("pos") % 11 == 0, "p4").otherwise(F.col("person_id")).alias("person_id"), F.explode(F.when(F.col("pos") % 17 == 0, F.array("face_id", "face_id")).otherwise(F.array("face_id"))).alias("face_id"))
+    people = lists.groupBy("person_id").agg(F.collect_list("face_id").alias("face_ids")).withColumn("face_ids", F.concat("face_ids", F.array(F.concat(F.lit("gone"), "person_id"), F.lit(""))))
+    ghost = people.sparkSession.createDataFrame([("ghost", ["f999999"])], people.schema)
+    return P.repair_report(people.unionByName(ghost), f)
 
 
 @query(f"{WP} SELECT m.person_id, m.face_id FROM member m WHERE face_id NOT IN (SELECT face_id FROM face)")
@@ -130,14 +152,36 @@ def photo_people(spark, sf_dir):
     return rows.select("filename", F.array_join("faces", ",").alias("faces"), "face_count", F.array_join("names", ",").alias("names"))
 
 
-@query(f"""{WP}, t AS (SELECT vec_id, 'p' || label AS person_id FROM embeddings)
-SELECT a.l AS a, b.l AS b FROM (SELECT DISTINCT 'p' || label AS l FROM embeddings) a, (SELECT DISTINCT 'p' || label AS l FROM embeddings) b WHERE FALSE""")
+_ALIKE = 0.25
+_PERSONS = f"""who AS (SELECT vec_id, 'lib' || (vec_id % 4) AS library_id, 'v' || lpad(vec_id::VARCHAR, 6, '0') AS person_id, CASE WHEN vec_id % 3 = 0 THEN 'Ann' ELSE '' END AS name, vec_id % 7 AS faces, 'v' || lpad((vec_id + 4)::VARCHAR, 6, '0') AS declined, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"""
+
+
+def _persons(spark, sf_dir):
+    """Every vector a person of one of four libraries, who has declined the next one."""
+    k, name = F.col("vec_id"), lambda n: F.concat(F.lit("v"), F.lpad(n.cast("string"), 6, "0"))
+    return S.read(spark, sf_dir, "embeddings").select(F.concat(F.lit("lib"), (k % 4).cast("string")).alias("library_id"), name(k).alias("person_id"), F.when(k % 3 == 0, "Ann").otherwise("").alias("name"), (k % 7).alias("faces"), F.col("embedding").alias("rep"), F.array(name(k + 4)).alias("declined"))
+
+
+@query(f"""WITH {_PERSONS}, pair AS (SELECT a.library_id, CASE WHEN w THEN b.person_id ELSE a.person_id END AS source, CASE WHEN w THEN a.person_id ELSE b.person_id END AS target, s AS similarity FROM
+ (SELECT a, b, list_dot_product(a.v, b.v) AS s, CASE WHEN (a.name <> '') <> (b.name <> '') THEN a.name <> '' WHEN a.faces <> b.faces THEN a.faces > b.faces ELSE TRUE END AS w FROM who a JOIN who b ON a.library_id = b.library_id AND a.person_id < b.person_id WHERE a.declined <> b.person_id AND b.declined <> a.person_id) WHERE s >= {_ALIKE})
+SELECT library_id, source, target, round(similarity, 6) AS similarity FROM pair""")
 def merge_suggestions(spark, sf_dir):
-    """People alike by the default threshold; the given people are not."""
-    reps = P.representatives(S.faces(spark, sf_dir).where("person_id is not null"))
-    sizes = P.representative_faces(P.active_faces(S.people(spark, sf_dir), S.faces(spark, sf_dir)))
-    people = S.people(spark, sf_dir).join(reps, "person_id").join(sizes.select("person_id", "faces"), "person_id").withColumn("declined", F.array().cast("array<string>"))
-    return P.suggestion_pairs(people.select("person_id", "name", "faces", "rep", "declined")).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    """A library's people who are alike, with who is merged into whom."""
+    return P.suggestion_pairs(_persons(spark, sf_dir), _ALIKE).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def suggestion_report(spark, sf_dir):
+    """At most 20 suggestions a library and two a source; the greedy order is beyond SQL."""
+    return P.suggestions(P.suggestion_pairs(_persons(spark, sf_dir), _ALIKE)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def incremental_assignment(spark, sf_dir):
+    """P10: each library's later faces go to its earlier people or become people; decided in order."""
+    f = S.faces(spark, sf_dir)
+    people = _persons(spark, sf_dir).where(F.substring("person_id", 2, 9).cast("int") < 40).select("library_id", "person_id", "rep")
+    return P.assign_incrementally(f.where("pos >= 40"), people, 0.3, 0.02)
 
 
 @query(f"""{WP} SELECT person_id, len(face_ids) AS n, name FROM person WHERE person_id NOT IN ('p3', 'p5', 'p6') UNION ALL SELECT 'p3', (SELECT count(DISTINCT face_id) FROM member WHERE person_id IN ('p3', 'p5', 'p6')), (SELECT name FROM person WHERE person_id IN ('p3', 'p5', 'p6') AND name <> '' ORDER BY len(face_ids) DESC LIMIT 1)""")
@@ -156,11 +200,11 @@ def merge_undone(spark, sf_dir):
     return back.select("person_id", "name", F.array_join(F.array_sort("face_ids"), ",").alias("face_ids"))
 
 
-@query(f"{WP} SELECT person_id, len(face_ids) - CASE WHEN person_id = 'p1' THEN (SELECT count(*) FROM face WHERE person_id = 'p1' AND pos < 100) ELSE 0 END AS n FROM person UNION ALL SELECT 'p1b', count(*) FROM face WHERE person_id = 'p1' AND pos < 100")
+@query(f"{WP} SELECT person_id, len(face_ids) - CASE WHEN person_id = 'p1' THEN (SELECT count(*) FROM face WHERE person_id = 'p1' AND confidence < 0.4) ELSE 0 END AS n FROM person UNION ALL SELECT 'p1b', count(*) FROM face WHERE person_id = 'p1' AND confidence < 0.4")
 def split_person(spark, sf_dir):
     """Some faces become a person of their own."""
     f = S.faces(spark, sf_dir)
-    moved = [r.face_id for r in f.where("person_id = 'p1' and pos < 100").select("face_id").collect()]
+    moved = f.where("person_id = 'p1' and confidence < 0.4").select("face_id")
     people, _ = X.split_person(S.people(spark, sf_dir), f, "p1", moved, "p1b")
     return people.select("person_id", F.size("face_ids").cast("long").alias("n"))
 
@@ -173,13 +217,48 @@ def repaired_lists(spark, sf_dir):
     return people.select("person_id", "name", F.size("face_ids").cast("long").alias("n"))
 
 
-@query(f"{WP}, plan AS (SELECT face_id, CASE WHEN pos % 2 = 0 THEN 'new' ELSE 'p2' END AS to_id FROM face WHERE pos % 7 = 0), l AS (SELECT person_id, face_id FROM member WHERE face_id NOT IN (SELECT face_id FROM plan) UNION SELECT to_id, face_id FROM plan) SELECT person_id, count(*) AS n FROM l GROUP BY 1")
+@query(f"""{WP}, plan AS (SELECT face_id, CASE WHEN pos % 2 = 0 THEN 'new' ELSE 'p2' END AS to_id FROM face WHERE pos % 7 = 0 OR person_id = 'p5'), can AS (SELECT face_id FROM face WHERE NOT rejected AND (confirmed OR (review <> 'suspicious' AND confidence >= 0.6))),
+ moved AS (SELECT * FROM plan WHERE face_id IN (SELECT face_id FROM can)), given AS (SELECT to_id AS person_id, CASE WHEN to_id = 'new' THEN 'Newcomer' ELSE 'Ann p2' END AS name, string_agg(face_id, ',' ORDER BY face_id) AS face_ids FROM plan GROUP BY 1),
+ rest AS (SELECT person_id, name, face_id, i FROM (SELECT person_id, name, unnest(face_ids) AS face_id, generate_subscripts(face_ids, 1) AS i FROM person WHERE person_id NOT IN ('new', 'p2')) WHERE face_id NOT IN (SELECT face_id FROM moved)),
+ alive AS (SELECT f.face_id, coalesce(to_id, person_id) AS owner FROM face f LEFT JOIN moved m ON f.face_id = m.face_id WHERE NOT rejected)
+SELECT * FROM given UNION ALL SELECT r.person_id, any_value(name), string_agg(r.face_id, ',' ORDER BY i) FROM rest r LEFT JOIN alive a USING (face_id) GROUP BY 1 HAVING count(*) FILTER (a.owner = r.person_id) > 0""")
 def applied_plan(spark, sf_dir):
-    """P9."""
+    """A plan of two people, which takes all it can of a third."""
     f = S.faces(spark, sf_dir)
-    plan = f.where("pos % 7 = 0").select("face_id", F.when(F.col("pos") % 2 == 0, "new").otherwise("p2").alias("person_id"))
-    people, _ = X.apply_plan(S.people(spark, sf_dir), f, plan)
-    return people.select("person_id", F.size("face_ids").cast("long").alias("n"))
+    plan = f.where("pos % 7 = 0 or person_id = 'p5'").select("face_id", F.when(F.col("pos") % 2 == 0, "new").otherwise("p2").alias("person_id"))
+    planned = plan.groupBy("person_id").agg(F.array_sort(F.collect_list("face_id")).alias("face_ids")).withColumn("name", F.when(F.col("person_id") == "new", "Newcomer").otherwise(""))
+    people, _ = X.apply_plan(S.people(spark, sf_dir), f, planned, plan)
+    return people.select("person_id", "name", F.array_join("face_ids", ",").alias("face_ids"))
+
+
+def _library_people(spark, sf_dir):
+    """Faces whose person is one of their library, and those people."""
+    f = S.faces(spark, sf_dir).withColumn("person_id", F.concat("library_id", "person_id"))
+    people = f.where("person_id is not null and pos % 3 <> 0").groupBy("library_id", "person_id").agg(F.array_sort(F.collect_list("face_id")).alias("face_ids"))
+    return people.withColumn("name", F.when(F.col("person_id").endswith("3"), "").otherwise(F.col("person_id"))), f
+
+
+@query()
+def recluster_plan(spark, sf_dir):
+    """What clustering anew would make of each library; the order of choices is beyond SQL."""
+    people, f = _library_people(spark, sf_dir)
+    assignments, _ = R.recluster_plan(f, people, "loose")
+    return assignments
+
+
+@query()
+def recluster_people(spark, sf_dir):
+    """The people of that plan."""
+    people, f = _library_people(spark, sf_dir)
+    _, planned = R.recluster_plan(f, people, "loose")
+    return planned.select("library_id", "person_id", "name", F.array_join("face_ids", ",").alias("face_ids"), F.size("rep").alias("size"))
+
+
+@query(f"{WF} SELECT face_id, what FROM (SELECT face_id, 'x' AS what FROM face) WHERE FALSE")
+def cluster_job(spark, sf_dir):
+    """All faces clustered; no candidate is without an owner, and none has two."""
+    people, f = _library_people(spark, sf_dir)
+    return R.cluster_job(f, people, "loose")[2]
 
 
 @query(f"{WF} SELECT face_id, 'missing' AS what FROM face WHERE pos % 10 = 0 UNION ALL SELECT face_id, 'extra' FROM face WHERE pos % 25 = 1")
@@ -206,8 +285,7 @@ def suppressed_faces(spark, sf_dir):
 def reviewed_faces(spark, sf_dir):
     """Reject faces, delete a person."""
     f = S.faces(spark, sf_dir)
-    ids = [r.face_id for r in f.where("pos % 9 = 4").select("face_id").collect()]
-    _, out = X.delete_person(S.people(spark, sf_dir), X.review(f, ids, "rejected"), "p7")
+    _, out = X.delete_person(S.people(spark, sf_dir), X.review(f, f.where("pos % 9 = 4").select("face_id"), "rejected"), "p7")
     return out.select("face_id", "person_id", "review")
 
 
@@ -252,11 +330,11 @@ def box_values(spark, sf_dir):
     return S.faces(spark, sf_dir).select("face_id", F.round(media.iou(box, other), 6).alias("iou"), clamp["width"].cast("long").alias("clamped"))
 
 
-@query(f"""{WF} SELECT face_id, left(sha256('{{"filename":"' || filename || '","height":' || height || ',"left":' || pos % 80 || ',"top":' || pos % 70 || ',"width":' || width || '}}'), 40) AS identity FROM face""")
+@query(f"""{WF} SELECT face_id, 'face-v1-' || left(sha256('{{"filename":"' || filename || '","height":' || least(height, 90 - top) || ',"imageHeight":90,"imageWidth":100,"left":' || "left" || ',"top":' || top || ',"userId":"' || library_id || '","v":1,"width":' || least(width, 100 - "left") || '}}'), 40) AS identity FROM face""")
 def face_identity(spark, sf_dir):
-    """M9."""
-    k = F.col("pos")
-    return S.faces(spark, sf_dir).select("face_id", media.face_id(F.col("filename"), k % 80, k % 70, F.col("width"), F.col("height")).alias("identity"))
+    """M9: owner, file, and box within the image."""
+    of = [F.col(c) for c in ("library_id", "filename", "left", "top", "width", "height", "image_width", "image_height")]
+    return S.faces(spark, sf_dir).select("face_id", media.face_id(*of).alias("identity"))
 
 
 @query()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from albumen.functions import media, text
+from albumen.operators import maintenance as X
 from albumen.operators import photos as P
+from albumen.operators import status as T
 from albumen.plans import standins as S
 from albumen.plans.registry import query
 from albumen.sources import tables
@@ -84,13 +86,18 @@ def photo_summary(spark, sf_dir):
     return P.summary(S.photos(spark, sf_dir).withColumn("exif", exif), "u3")
 
 
-@query(f"""{W}, g AS (SELECT photo_id, photo_id % 90 AS d, photo_id % 60 AS m, photo_id % 59 AS s FROM photo)
-SELECT photo_id, round(CASE WHEN photo_id % 2 = 0 THEN -1 ELSE 1 END * (d + m / 60.0::DOUBLE + (s + 0.5::DOUBLE) / 3600), 7) AS dms, round((d::DOUBLE + 0.125), 7) AS plain FROM g""")
+@query(f"""{W}, g AS (SELECT photo_id, photo_id % 90 AS d, photo_id % 60 AS m, photo_id % 59 AS s, photo_id % 200 - 100 AS t FROM photo)
+SELECT photo_id, round(CASE WHEN photo_id % 2 = 0 THEN -1 ELSE 1 END * (d + m / 60.0::DOUBLE + (s + 0.5::DOUBLE) / 3600), 7) AS dms, round(d::DOUBLE + m / 120.0::DOUBLE + s / 360000.0::DOUBLE, 7) AS fractions,
+ CASE WHEN abs(t + 0.25) <= 90 THEN CASE WHEN photo_id % 2 = 0 AND t + 0.25 > 0 THEN -(t + 0.25) ELSE t + 0.25 END END::DOUBLE AS latitude, round((d::DOUBLE + 0.125), 7) AS plain FROM g""")
 def gps_decimal(spark, sf_dir):
-    """F16, M14."""
+    """Three numbers, three fractions, and a number that is no latitude over 90."""
     k = F.col("photo_id")
-    t = F.format_string("%d deg %d' %d.5\"", k % 90, k % 60, k % 59)
-    return S.photos(spark, sf_dir).select("photo_id", media.gps_decimal(t, F.when(k % 2 == 0, "S").otherwise("N")).alias("dms"), media.coordinate(F.concat((k % 90).cast("string"), F.lit(".125")), 90).alias("plain"))
+    d, m, s = k % 90, k % 60, k % 59
+    south = F.when(k % 2 == 0, "South").otherwise("n")
+    three = F.format_string("%d deg %d' %d.5\"", d, m, s)
+    six = F.format_string("(%d/1, %d/2, %d/100)", d, m, s)
+    one = (k % 200 - 100 + 0.25).cast("double").cast("string")
+    return S.photos(spark, sf_dir).select("photo_id", media.gps_decimal(three, south, 90).alias("dms"), media.gps_decimal(six, F.lit("E")).alias("fractions"), media.gps_decimal(one, south, 90).alias("latitude"), media.coordinate(F.concat((k % 90).cast("string"), F.lit(".125")), 90).alias("plain"))
 
 
 @query(f"WITH {S.ALBUMS} SELECT album_id, name FROM album WHERE is_public AND coalesce(token, '') <> '' AND (expires IS NULL OR expires > TIMESTAMP '1998-01-01')")
@@ -99,19 +106,29 @@ def public_albums(spark, sf_dir):
     return P.albums_open(S.albums(spark, sf_dir), F.lit("1998-01-01").cast("timestamp")).select("album_id", "name")
 
 
-@query("SELECT o_orderkey AS merge_id, CASE WHEN o_orderkey % 3 = 0 THEN 'payload' ELSE 'column' END AS names FROM orders WHERE NOT starts_with(CASE o_orderkey % 4 WHEN 0 THEN 'recluster_snapshot' WHEN 1 THEN 'snapshot_repair' ELSE 'merge' END, 'snapshot') AND NOT starts_with(CASE o_orderkey % 4 WHEN 0 THEN 'recluster_snapshot' ELSE 'merge' END, 'recluster')")
+_KINDS = ("recluster_snapshot_2", "face_dedupe_snapshot", "suspicious_face_snapshot", "face_membership_snapshot", "snapshot_repair", "merge")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS merge_id, {list(_KINDS)}[o_orderkey % 6 + 1] AS kind, CASE WHEN o_orderkey % 5 <> 0 THEN 'Ann' END AS own_target, CASE WHEN o_orderkey % 7 < 5 THEN 'Bob,Cid' ELSE '' END AS own_names FROM orders)
+SELECT merge_id, coalesce(own_target, 'Base') AS target, CASE WHEN own_names = '' THEN 'Dora' ELSE own_names END AS names FROM r WHERE kind IN ('snapshot_repair', 'merge')""")
 def merge_history(spark, sf_dir):
-    """F19."""
+    """merges without snapshots; what a row lacks is taken from its payload."""
     k = F.col("o_orderkey")
-    rows = S.read(spark, sf_dir, "orders").select(k.alias("merge_id"), F.when(k % 4 == 0, "recluster_snapshot").when(k % 4 == 1, "snapshot_repair").otherwise("merge").alias("kind"), F.when(k % 3 != 0, "column").alias("own"), F.lit("payload").alias("stored"))
-    rows = rows.where(~F.col("kind").startswith("snapshot") & ~F.col("kind").startswith("recluster"))
-    return rows.select("merge_id", F.coalesce("own", "stored").alias("names"))
+    empty = F.array().cast("array<string>")
+    rows = S.read(spark, sf_dir, "orders").select(
+        k.alias("merge_id"), F.element_at(F.array(*map(F.lit, _KINDS)), (k % 6 + 1).cast("int")).alias("kind"), F.when(k % 5 != 0, "Ann").alias("target"),
+        F.when(k % 7 < 5, F.array(F.lit("Bob"), F.lit("Cid"))).otherwise(empty).alias("names"), F.lit("Base").alias("stored_target"), F.array(F.lit("Dora"), F.lit("")).alias("stored_names"),
+    )
+    return X.merge_history(rows).select("merge_id", "target", F.array_join("names", ",").alias("names"))
 
 
-@query(f"WITH {S.FACES} SELECT filename, count(*) AS n FROM face WHERE NOT rejected GROUP BY filename HAVING count(*) > 2")
+@query(f"""{W}, s AS (SELECT photo_id, CASE WHEN photo_id % 5 = 0 THEN 'deleted' END AS state, CASE WHEN photo_id % 4 <> 0 THEN ' Done ' ELSE 'queued' END AS face_status, CASE WHEN photo_id % 3 = 0 THEN photo_id % 2 ELSE 0 END AS n, photo_id % 7 AS listed FROM photo)
+SELECT photo_id, CASE WHEN n > 0 THEN n ELSE listed END AS faces FROM s WHERE state IS NULL AND face_status = ' Done ' AND (n > 0 OR listed > 0)""")
 def autocluster_trigger(spark, sf_dir):
-    """photos with enough active faces."""
-    return S.faces(spark, sf_dir).where("not rejected").groupBy("filename").agg(F.count("*").alias("n")).where("n > 2")
+    """photos whose faces are done and not none."""
+    k = F.col("photo_id")
+    df = S.photos(spark, sf_dir).select(k, F.when(k % 5 == 0, "deleted").alias("processing_state"), F.when(k % 4 != 0, " Done ").otherwise("queued").alias("face_status"), F.when(k % 3 == 0, k % 2).alias("face_count"), F.array_repeat(F.lit("f"), (k % 7).cast("int")).alias("faces"))
+    return T.clustering_due(df).select("photo_id", "faces")
 
 
 @query(f"WITH {S.FACES} SELECT face_id FROM face WHERE confidence < 0.28 OR (confidence < 0.38 AND (width * height / 9000.0 > 0.08 OR greatest(width / 100.0, height / 90.0) > 0.42))")
@@ -145,10 +162,50 @@ for _by, _order in _SORTS.items():
     query(f"{W} SELECT photo_id, filename FROM photo ORDER BY {_order}, photo_id LIMIT 24 OFFSET 24")(_page)
 
 
-@query(f"{W} SELECT photo_id, coalesce(uploaded, TIMESTAMP '1970-01-01') AS uploaded FROM photo ORDER BY 2 DESC, 1 LIMIT 20")
-def recent_uploads(spark, sf_dir):
-    """T8."""
-    return S.photos(spark, sf_dir).select("photo_id", F.coalesce("uploaded", F.lit("1970-01-01").cast("timestamp")).alias("uploaded")).orderBy(F.desc("uploaded"), "photo_id").limit(20)
+for _name, _most in (("recent_uploads", 20), ("recent_preview", 12)):
+
+    def _recent(spark, sf_dir, most=_most):
+        return P.recent(S.photos(spark, sf_dir), most).select("photo_id", "uploaded")
+
+    _recent.__name__, _recent.__doc__ = _name, f"T8: the latest {_most}; their number is the feature."
+    query(f"{W} SELECT photo_id, coalesce(uploaded, TIMESTAMP '1970-01-01') AS uploaded FROM photo ORDER BY 2 DESC, 1 LIMIT {_most}")(_recent)
+
+
+@query(f"{W} SELECT photo_id, filename, (SELECT count(*) FROM photo WHERE coalesce(rating, 0) >= 2) AS total FROM photo WHERE coalesce(rating, 0) >= 2 ORDER BY uploaded DESC NULLS LAST, photo_id LIMIT 24 OFFSET 24")
+def listing_total(spark, sf_dir):
+    """A page, and how many there are in all."""
+    return P.page_with_total(P.listing(P.rated(S.photos(spark, sf_dir), 2), "date"), 24, 24).select("photo_id", "filename", "total")
+
+
+@query("SELECT c_custkey AS person_id, c_name AS name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30 OFFSET 60")
+def people_page(spark, sf_dir):
+    """The third page of people."""
+    c = S.read(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return P.page(c, 60, 30).select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
+
+
+@query(f'WITH {S.FACES} SELECT face_id FROM face QUALIFY row_number() OVER (PARTITION BY filename, "left", width // 10 ORDER BY pos) = 1')
+def first_faces(spark, sf_dir):
+    """Of faces that look alike in a list, the first."""
+    f = S.faces(spark, sf_dir)
+    return P.keep_first(f, [F.col("filename"), F.col("left"), F.floor(F.col("width") / 10)], [F.col("pos")]).select("face_id")
+
+
+_PIXEL = """px AS (SELECT user_id % 3 AS photo_id, 100 AS w, 100 AS h, event_id % 97 AS x, event_id * 7 % 89 AS y, event_id * 31 % 256 AS r, event_id * 17 % 120 AS g, event_id * 5 % 60 AS b, CASE WHEN event_id % 9 = 0 THEN 10 WHEN event_id % 2 = 0 THEN 255 END AS a FROM events)"""
+
+
+@query(f"""WITH {_PIXEL}, s AS (SELECT photo_id, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, 0.75::DOUBLE + (y - 36) / 56.0::DOUBLE * 0.5 AS wt FROM px WHERE x >= 22 AND x < 78 AND y >= 36 AND y < 92 AND coalesce(a, 255) >= 32),
+h AS (SELECT photo_id, wt, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END AS sat,
+ CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0 WHEN greatest(r, g, b) = r THEN CASE WHEN g < b THEN 60 * (g - b) / (greatest(r, g, b) - least(r, g, b)) + 360 ELSE 60 * (g - b) / (greatest(r, g, b) - least(r, g, b)) END WHEN greatest(r, g, b) = g THEN 60 * ((b - r) / (greatest(r, g, b) - least(r, g, b)) + 2) ELSE 60 * ((r - g) / (greatest(r, g, b) - least(r, g, b)) + 4) END AS hue FROM s),
+c AS (SELECT photo_id, sum(wt) AS w, CASE WHEN v < 0.18 THEN 'black' WHEN sat < 0.12 THEN CASE WHEN v > 0.82 THEN 'white' ELSE 'gray' END WHEN hue >= 18 AND hue < 48 AND v < 0.62 AND sat > 0.32 THEN 'brown' WHEN hue >= 18 AND hue < 45 THEN 'orange'
+ WHEN hue >= 45 AND hue < 70 THEN 'yellow' WHEN hue >= 70 AND hue < 165 THEN 'green' WHEN hue >= 165 AND hue < 250 THEN 'blue' WHEN hue >= 250 AND hue < 292 THEN 'purple' WHEN hue >= 292 AND hue < 340 THEN 'pink' ELSE 'red' END AS color FROM h GROUP BY ALL),
+t AS (SELECT photo_id, sum(w) AS total, max(w) AS w, arg_max(color, w) AS color FROM (SELECT photo_id, color, sum(w) AS w FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT photo_id, color, round(w / total, 6) AS share FROM t WHERE total >= 40 AND w / total >= 0.18""")
+def dominant_colors(spark, sf_dir):
+    """Pixels from events, 100 by 100 an image."""
+    k = F.col("event_id")
+    px = S.read(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("photo_id"), F.lit(100).alias("image_width"), F.lit(100).alias("image_height"), (k % 97).alias("x"), (k * 7 % 89).alias("y"), (k * 31 % 256).alias("r"), (k * 17 % 120).alias("g"), (k * 5 % 60).alias("b"), F.when(k % 9 == 0, 10).when(k % 2 == 0, 255).alias("a"))
+    return P.dominant_color(px).withColumn("share", F.round("share", 6))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS public FROM orders")
@@ -195,11 +252,13 @@ def exact_duplicates(spark, sf_dir):
     return P.duplicates(S.photos(spark, sf_dir), "file_hash", "photo_id")
 
 
-@query(f"""{W}, r AS (SELECT substr(file_hash, 1, 8) AS h, min(photo_id) AS k FROM photo GROUP BY 1)
+@query(f"""{W}, r AS (SELECT left(md5((photo_id // 4)::VARCHAR), 13) || right('00' || (photo_id * 37 % 256)::VARCHAR, 3) AS h, min(photo_id) AS k FROM photo GROUP BY 1)
 SELECT a.k AS k1, b.k AS k2, hamming(a.h, b.h)::INT AS distance, (100 - 5 * hamming(a.h, b.h))::INT AS similarity FROM r a JOIN r b ON a.k < b.k AND hamming(a.h, b.h) <= 5""")
 def perceptual_duplicates(spark, sf_dir):
-    """Short hashes of hex digits at five or fewer differing characters."""
-    return P.near_duplicates(S.photos(spark, sf_dir).withColumn("perceptual_hash", F.left("file_hash", F.lit(8))))
+    """Hashes of 16 characters, of which four photos each share all but the last three."""
+    k = F.col("photo_id")
+    h = F.concat(F.left(F.md5(F.floor(k / 4).cast("string").cast("binary")), F.lit(13)), F.lpad((k * 37 % 256).cast("string"), 3, "0"))
+    return P.near_duplicates(S.photos(spark, sf_dir).withColumn("perceptual_hash", h))
 
 
 @query(f"{W}, n AS (SELECT *, photo_id % 50 AS nm FROM photo) SELECT DISTINCT a.photo_id FROM n a JOIN n b ON a.nm = b.nm AND a.library_id <> b.library_id AND a.file_hash <> b.file_hash AND a.file_hash <> '' AND b.file_hash <> ''")
@@ -216,20 +275,23 @@ def name_conflicts(spark, sf_dir):
     return df.join(rows.select("nm", "library_id", "file_hash"), ["nm", "library_id", "file_hash"], "left_semi").select("photo_id")
 
 
-@query(f"{W} SELECT photo_id, array_to_string(list_sort(list_distinct(list_concat(tags, people))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(tags, lambda t: t NOT IN ('red', 'ring')))), ',') AS removed, array_to_string(list_sort(list_distinct(list_filter(tags, lambda t: t IN ('red', 'ring')))), ',') AS chosen FROM photo")
+_FIRSTS = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i{1}), ',')"
+
+
+@query(f"""{W}, l AS (SELECT photo_id, tags, list_concat(tags, people) AS lists FROM photo) SELECT photo_id, {_FIRSTS.format('lists', '')} AS added, {_FIRSTS.format('tags', " AND x NOT IN ('red', 'ring')")} AS removed, {_FIRSTS.format('tags', " AND x IN ('red', 'ring')")} AS chosen FROM l""")
 def album_set_operations(spark, sf_dir):
-    """Union, difference and intersection of lists."""
+    """Union, difference and intersection of lists, in order of first places."""
     some = F.array(F.lit("red"), F.lit("ring"))
-    show = lambda c: F.array_join(F.array_sort(c), ",")
+    show = lambda c: F.array_join(c, ",")
     return S.photos(spark, sf_dir).select("photo_id", show(F.array_union("tags", "people")).alias("added"), show(F.array_except("tags", some)).alias("removed"), show(F.array_intersect("tags", some)).alias("chosen"))
 
 
-@query(f"WITH {S.ALBUM_FILES}, {S.NAMED}, a AS (SELECT e.album_id, n.photo_id, n.filename FROM entry e JOIN named n USING (filename) WHERE album_id = 100) SELECT photo_id FROM a WHERE filename IN (SELECT 'photo' || r FROM range(0, 100000, 2) t(r)) OR NOT EXISTS (SELECT 1 FROM range(0, 100000, 2) t(r))")
+@query(f"WITH {S.ALBUM_FILES}, {S.NAMED}, a AS (SELECT e.album_id, n.photo_id, n.filename FROM entry e JOIN named n USING (filename)) SELECT album_id, photo_id FROM a WHERE photo_id % 2 = 0")
 def archive_selection(spark, sf_dir):
-    """SC11: the chosen photos of one album."""
-    album = P.album_photos(S.album_files(spark, sf_dir).where("album_id = 100"), S.named_photos(spark, sf_dir))
-    wanted = spark.range(0, 100_000, 2).select(F.concat(F.lit("photo"), F.col("id").cast("string")).alias("filename"))
-    return tables.archive_selection(album.select("photo_id", "filename"), wanted).select("photo_id")
+    """SC11, S3: the chosen photos of albums."""
+    albums = P.album_photos(S.album_files(spark, sf_dir), S.named_photos(spark, sf_dir))
+    wanted = S.read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("photo"), F.col("p_partkey").cast("string")).alias("filename"))
+    return tables.archive_selection(albums.select("album_id", "photo_id", "filename"), wanted).select("album_id", "photo_id")
 
 
 @query(f"{W} SELECT photo_id, filename, rating FROM photo WHERE library_id = 'lib2'")

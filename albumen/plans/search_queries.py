@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from albumen import vocabulary as V
-from albumen.functions import text
+from albumen.functions import text, vectors
 from albumen.operators import curation as C
 from albumen.operators import ranking
 from albumen.operators import search as Q
@@ -41,16 +41,16 @@ def singular_words(spark, sf_dir):
     return _words(spark, sf_dir).where("w <> ''").select("w", text.singularize(F.col("w")).alias("singular"))
 
 
-_PLURALS = "VALUES " + ", ".join(f"('{w}')" for w in ["People", "berries", "wolves", "Boxes", "horses", "glass", "BUSES", "Seas", "leaves", "New York", "nyc", "heroes", "Ties", "cats", "yes", "grey", "Bikes!", "  ", "pictures of seas"])
+def _token(c: str) -> str:
+    """X2 as SQL."""
+    words = f"list_filter(string_split({_FOLD.format(c)}, ' '), lambda w: w <> '')"
+    return f"array_to_string(list_transform(list_transform({words}, lambda w: coalesce({_CANON}, w)), lambda w: coalesce({_CANON}, {_SINGULAR.format(w='w')})), ' ')"
 
 
-@query(f"""WITH t(raw) AS ({_PLURALS}), p AS (SELECT raw, i, w FROM (SELECT raw, unnest(string_split({_FOLD.format('raw')}, ' ')) AS w, generate_subscripts(string_split({_FOLD.format('raw')}, ' '), 1) AS i FROM t) WHERE w <> ''),
-m AS (SELECT raw, i, coalesce({_CANON}, w) AS w FROM p), f AS (SELECT raw, i, coalesce({_CANON}, {_SINGULAR.format(w='w')}) AS w FROM m)
-SELECT t.raw, coalesce((SELECT string_agg(w, ' ' ORDER BY i) FROM f WHERE f.raw = t.raw), '') AS token FROM t""")
+@query(f"SELECT doc_id, sha256({_token('text')}) AS token FROM documents")
 def normalize_token(spark, sf_dir):
-    """X2."""
-    raw = ["People", "berries", "wolves", "Boxes", "horses", "glass", "BUSES", "Seas", "leaves", "New York", "nyc", "heroes", "Ties", "cats", "yes", "grey", "Bikes!", "  ", "pictures of seas"]
-    return spark.createDataFrame([(x,) for x in raw], "raw string").select("raw", text.normalize_token(F.col("raw")).alias("token"))
+    """X2 over whole texts; digests keep the report small."""
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_token(F.col("text")), 256).alias("token"))
 
 
 def _in(words):
@@ -133,27 +133,67 @@ def face_presence(spark, sf_dir):
     return S.photos(spark, sf_dir).select("photo_id", F.array_join(text.face_presence_tags((F.col("photo_id") % 4).cast("string")), ",").alias("tags"))
 
 
-_EFFECTIVE = f"""{W}, t AS (SELECT photo_id, tags[1] AS a, tags[2] AS b, tags[3] AS c, 'brand' || photo_id % 7 AS d FROM photo),
- e AS (SELECT photo_id, list_filter([b, d, CASE WHEN a <> b THEN a END, CASE WHEN c NOT IN (a, b) THEN c END], lambda x: x IS NOT NULL) AS tags FROM t)"""
+def _tags(c: str) -> str:
+    """X4 as SQL, but for the order of equals: distinct one-word tokens of a list, as a list with repeats."""
+    return f"list_filter(list_transform({c}, lambda t: {_token('t')}), lambda t: t <> '' AND NOT contains(t, ' '))"
+
+
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_EFFECTIVE = f"""{W}, part_tags AS (SELECT *, CASE WHEN photo_id % 4 <> 0 THEN [tags[2]] ELSE [] END AS subjects, ['Anns', 'Ann ' || photo_id % 5] AS persons, ['Brand' || photo_id % 7, address] AS places, ['Floors', 'SKY'] AS grounds,
+ ['widgets', 'guess' || photo_id % 3] AS guesses, CASE WHEN photo_id % 3 = 1 THEN ['face', 'person', 'portrait', 'person', 'selfie'] ELSE [] END AS shown FROM photo),
+ n1 AS (SELECT *, {_tags('list_concat(subjects, persons, places)')} AS l1, {_tags('list_concat(tags, objects, grounds, guesses)')} AS l2, {_tags('list_concat(subjects, places)')} AS l3 FROM part_tags),
+ n2 AS (SELECT *, list_concat(l2, shown) AS l4 FROM n1),
+ n3 AS (SELECT *, list_concat({_ONCE.format('l1')}, list_filter(l4, lambda x, i: list_position(l4, x) = i AND NOT list_contains(l1, x))) AS effective, {_ONCE.format('l3')} AS own FROM n2),
+ e AS (SELECT *, effective AS etags, CASE WHEN len(own) > 0 THEN own ELSE effective END AS candidates FROM n3)"""
 
 
 def _effective(spark, sf_dir):
+    k, s = F.col("photo_id"), lambda *x: F.array(*x)
     none = F.array().cast("array<string>")
-    place = text.location_tags(F.concat(F.lit("Brand"), (F.col("photo_id") % 7).cast("string")), F.lit(None).cast("string"), F.col("address"))
-    subject = F.array(F.element_at("tags", 2))
-    return S.photos(spark, sf_dir).withColumn("effective", text.effective_tags(subject, none, place, F.col("tags"), none, none, none, none))
+    subjects = F.when(k % 4 != 0, s(F.element_at("tags", 2))).otherwise(none)
+    place = text.location_tags(F.concat(F.lit("Brand"), (k % 7).cast("string")), F.lit(None).cast("string"), F.col("address"))
+    guesses = text.prediction_tags(s(*[F.struct(label.alias("label"), F.lit(p).alias("score")) for label, p in ((F.lit("widgets"), "0.9"), (F.concat(F.lit("guess"), (k % 3).cast("string")), "0.08"), (F.lit("never"), "0.01"))]))
+    faces = text.face_presence_tags(F.when(k % 3 == 1, "1").otherwise("0"))
+    df = S.photos(spark, sf_dir).withColumns({"subjects": subjects, "places": place})
+    out = text.effective_tags(F.col("subjects"), s(F.lit("Anns"), F.concat(F.lit("Ann "), (k % 5).cast("string"))), F.col("places"), F.col("tags"), F.col("objects"), s(F.lit("Floors"), F.lit("SKY")), guesses, faces)
+    df = computed_once(df.withColumn("effective", out))
+    return df.withColumn("candidates", text.semantic_candidates(F.col("subjects"), F.col("places"), F.col("effective")))
 
 
-@query(_EFFECTIVE + " SELECT photo_id, array_to_string(tags, ',') AS tags FROM e")
+@query(_EFFECTIVE + " SELECT photo_id, array_to_string(etags, ',') AS tags FROM e")
 def effective_tags(spark, sf_dir):
     """X13."""
     return _effective(spark, sf_dir).select("photo_id", F.array_join("effective", ",").alias("tags"))
 
 
-@query(_EFFECTIVE + " SELECT photo_id, array_to_string(list_sort(tags), ' ') AS semantic_text FROM e")
+@query(_EFFECTIVE + " SELECT photo_id, array_to_string(list_sort(candidates), ' ') AS semantic_text FROM e")
 def semantic_text(spark, sf_dir):
-    """X15."""
-    return computed_once(_effective(spark, sf_dir)).select("photo_id", text.semantic_text(F.col("effective"), [F.col("filename"), F.col("country")]).alias("semantic_text"))
+    """Subjects and places, or else the effective tags; words of the fields that are among them add nothing new."""
+    return computed_once(_effective(spark, sf_dir)).select("photo_id", text.semantic_text(F.col("candidates"), [F.col("filename"), F.col("country")]).alias("semantic_text"))
+
+
+@query(_EFFECTIVE + """, y AS (SELECT photo_id, CASE WHEN len(subjects) > 0 THEN """ + _tags("subjects") + " ELSE effective END AS s, " + _tags("places") + """ AS l FROM e)
+SELECT photo_id, array_to_string(s, ',') AS subjects, array_to_string(l, ',') AS locations, 'floor,sky' AS backgrounds, 'box' AS weak FROM y""")
+def semantic_layers(spark, sf_dir):
+    """X16."""
+    layers = text.semantic_layers(F.col("subjects"), F.col("places"), F.array(F.lit("Floors"), F.lit("sky")), F.array(F.lit(" boxes "), F.lit(None).cast("string")), F.col("effective"))
+    return computed_once(_effective(spark, sf_dir).withColumn("x", layers)).select("photo_id", *[F.array_join(f"x.{c}", ",").alias(c) for c in ("subjects", "locations", "backgrounds", "weak")])
+
+
+@query(f"{W}, l AS (SELECT photo_id, list_filter(list_transform(list_concat(objects, tags), lambda t: lower(trim(t))), lambda t: t <> '') AS l FROM photo) SELECT photo_id, array_to_string({_ONCE.format('l')}, ',') AS tags FROM l")
+def merged_tags(spark, sf_dir):
+    """Groups of tags, each tag once, in order."""
+    return S.photos(spark, sf_dir).select("photo_id", F.array_join(text.merge_tags(F.col("objects"), F.array(F.lit(" "), F.lit(None).cast("string")), F.col("tags")), ",").alias("tags"))
+
+
+@query(f"""{W} SELECT photo_id, lower(replace(city, '#', '')) AS label, round(least(greatest(coalesce(rating, 0) / 3.0::DOUBLE - 0.2::DOUBLE, 0), 1), 4)::DOUBLE AS score FROM photo WHERE city IS NOT NULL
+ UNION ALL SELECT photo_id, 'low', 0.0::DOUBLE FROM photo""")
+def clean_predictions(spark, sf_dir):
+    """Labels that are too long or empty go, scores are held within 0 and 1."""
+    number = (F.coalesce("rating", F.lit(0)) / F.lit(3.0) - F.lit(0.2)).cast("string")
+    item = lambda label, score: F.struct(label.alias("label"), score.alias("score"))
+    raw = F.array(item(F.coalesce("city", F.lit("!?")), number), item(F.lit(" LOW "), F.lit("much")), item(F.lit("x" * 81), F.lit("1")))
+    return S.photos(spark, sf_dir).select("photo_id", F.inline(text.sanitize_predictions(raw)))
 
 
 @query("SELECT p_partkey AS photo_id, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title, lower(p_brand[1:5]) || p_brand[7:] AS tag, p_name AS clean FROM part")
@@ -217,30 +257,34 @@ def lexical_sql(q: Q.Query) -> str:
 
 #: Queries over photos: words, a place, and a color with a thing.
 SEARCHES = {"search_words": "widgets and rings", "search_place": "bolt in economy", "search_context": "red ring", "search_filler": "gear color blue"}
-_FIELDS = f"""{_EFFECTIVE}, f AS (SELECT p.photo_id, e.tags, array_to_string(list_sort(e.tags), ' ') AS semantic, trim(regexp_replace(lower(p.filename), '[^a-z0-9]+', ' ', 'g')) || ' ' || array_to_string(list_sort(e.tags), ' ') || ' ' AS subject,
- lower(concat_ws(' ', p.address, p.city, p.country, array_to_string(e.tags, ' '))) AS place FROM photo p JOIN e USING (photo_id))"""
+_SAID = "array_to_string(list_sort(candidates), ' ')"
+_FIELDS = f"""{_EFFECTIVE}, f0 AS (SELECT *, {_token(_SAID)} AS semantic, {_token('filename')} AS fname, {_token("concat_ws(' ', address, city, country, array_to_string(etags, ' '))")} AS place,
+ lower(concat_ws(' ', filename, {_SAID}, array_to_string(objects, ' '), address, city, country, array_to_string(tags, ' '))) AS raw FROM e),
+f AS (SELECT photo_id, people, cap_date, etags AS tags, semantic, fname || ' ' || semantic || ' ' AS subject, place, raw, {_FOLD.format("concat_ws(' ', address, city, country)")} AS spot FROM f0)"""
+
 
+def _searchable(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return _effective(spark, sf_dir).withColumns({"caption": none, "ocr_text": none, "model": none, "names": F.array().cast("array<string>")})
 
-def _fields(spark, sf_dir):
-    df = computed_once(_effective(spark, sf_dir))
-    semantic = text.semantic_text(F.col("effective"), [F.col("country")])
-    df = computed_once(df.withColumn("said", semantic))
-    semantic = F.col("said")
-    return computed_once(df.select("photo_id", F.col("effective").alias("tags"), semantic.alias("semantic"), F.concat(text.normalize_phrase(F.col("filename")), F.lit(" "), semantic, F.lit(" ")).alias("subject"), F.lower(F.concat_ws(" ", "address", "city", "country", F.array_join("effective", " "))).alias("place")))
+
+def _found_sql(q: Q.Query, where: str = "TRUE", extra: str = "0.0", join: str = "") -> str:
+    """P2's choice of rows: what is over the cut and says the modifier, or else all."""
+    s = f"{_FIELDS}, s AS (SELECT f.photo_id, {lexical_sql(q)} AS lexical, {extra} AS more, contains(raw, '{q.modifier}') AS said FROM f {join} WHERE {where}), g AS (SELECT photo_id, lexical + more AS score, lexical, NOT said OR lexical < {Q.CONTEXT_CUT} AS low FROM s WHERE lexical + more > 0)"
+    cut = "lexical > 0 AND (NOT low OR NOT EXISTS (SELECT 1 FROM g WHERE lexical > 0 AND NOT low))" if q.thing else "TRUE"
+    return f"{s} SELECT photo_id, round(score, 6) AS score FROM g WHERE {cut}"
 
 
 for _name, _text in SEARCHES.items():
 
     def _search(spark, sf_dir, words=_text):
-        q = Q.parse(words)
-        rows = _fields(spark, sf_dir)
-        scored = rows.select("photo_id", Q.lexical_score(q, *(F.col(c) for c in ("tags", "subject", "semantic", "place"))).alias("lexical"))
-        return Q.hybrid(scored, q, None).select("photo_id", F.round("score", 6).alias("score"))
+        rows, q = Q.search_fields(_searchable(spark, sf_dir)), Q.parse(words)
+        lexical = Q.lexical_score(q, *(F.col(c) for c in ("effective", "__subject", "__semantic", "__place")))
+        said = F.col("__raw").contains(q.modifier) if q.thing else F.lit(True)
+        return Q.hybrid(rows.select("photo_id", lexical.alias("lexical"), said.alias("said")), q, None).select("photo_id", F.round("score", 6).alias("score"))
 
-    _search.__name__, _search.__doc__ = _name, f"P1, P2: '{_text}' over all photos, without vectors."
-    _q = Q.parse(_text)
-    _cut = " WHERE score > 0" + (f" AND (score >= {Q.CONTEXT_CUT} OR (SELECT max(score) FROM s) < {Q.CONTEXT_CUT})" if _q.thing else "")
-    query(f"{_FIELDS}, s AS (SELECT photo_id, {lexical_sql(_q)} AS score FROM f) SELECT photo_id, round(score, 6) AS score FROM s{_cut}")(_search)
+    _search.__name__, _search.__doc__ = _name, f"P1: '{_text}' over all photos, without people, places and vectors."
+    query(_found_sql(Q.parse(_text)))(_search)
 
 
 @functools.cache
@@ -258,14 +302,34 @@ def vector_search(spark, sf_dir):
     return top.select("vec_id", F.round("semantic", 6).alias("semantic"))
 
 
-@query(f"""{_FIELDS}, v AS (SELECT vec_id AS photo_id, {_COS} AS sim FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY sim DESC, photo_id LIMIT 500),
-s AS (SELECT f.photo_id, {lexical_sql(Q.parse('widgets and rings'))} + CASE WHEN sim >= 0.16 THEN sim * 10 ELSE 0 END AS score FROM f LEFT JOIN v USING (photo_id)) SELECT photo_id, round(score, 6) AS score FROM s WHERE score > 0""")
+_SIM = f"(SELECT vec_id AS photo_id, {_COS} AS sim FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY sim DESC, photo_id LIMIT 500)"
+_CLOSE = "CASE WHEN sim >= 0.16 THEN sim * 10 ELSE 0.0 END"
+_ASKED = "red rings with Ann in Economy"
+
+
+def _top(spark, sf_dir):
+    return Q.vector_top(S.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "photo_id"), _probe(sf_dir, spark), Q.candidates(20))
+
+
+@query(_found_sql(Q.parse("widgets and rings"), "TRUE", _CLOSE, f"LEFT JOIN {_SIM} v ON f.photo_id = v.photo_id"))
 def hybrid_search(spark, sf_dir):
     """Words and vectors; the vector of a photo is that of its number."""
-    q = Q.parse("widgets and rings")
-    scored = _fields(spark, sf_dir).select("photo_id", Q.lexical_score(q, *(F.col(c) for c in ("tags", "subject", "semantic", "place"))).alias("lexical"))
-    top = Q.vector_top(S.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "photo_id"), _probe(sf_dir, spark), Q.candidates(20))
-    return Q.hybrid(scored, q, top).select("photo_id", F.round("score", 6).alias("score"))
+    return Q.search_photos(_searchable(spark, sf_dir), "widgets and rings", None, _top(spark, sf_dir)).select("photo_id", F.round("score", 6).alias("score"))
+
+
+@query(_found_sql(Q.parse(_ASKED), "list_has_any(people, ['p1', 'p4']) AND contains(spot, 'economy') AND cap_date BETWEEN DATE '2020-06-03' AND DATE '2020-07-15'", f"8.0 + 5.0 + {_CLOSE}", f"LEFT JOIN {_SIM} v ON f.photo_id = v.photo_id"))
+def people_place_search(spark, sf_dir):
+    """P2 with F2, F5, F6, J13 and A22: a color with a thing, a name of two people, a place and dates."""
+    people = spark.createDataFrame([("p1", "Ann Ek"), ("p2", "Bo  Li"), ("p3", "Unnamed 3"), ("p4", "ann"), ("p5", "")], "person_id string, name string")
+    return Q.search_photos(_searchable(spark, sf_dir), _ASKED, people, _top(spark, sf_dir), "2020-06-03", "2020-07-15").select("photo_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def hashed_embeddings(spark, sf_dir):
+    """Vectors of texts without a model, under a version of their own: length, and likeness to the next text."""
+    df = S.read(spark, sf_dir, "documents").select("doc_id", text.hashed_embedding(F.col("text")).alias("v"))
+    df = computed_once(df)
+    return df.select("doc_id", F.lit(text.HASHED_VERSION).alias("version"), F.size("v").alias("size"), F.round(vectors.norm(F.col("v")), 6).alias("len"), F.sha2(F.to_json("v"), 256).alias("digest"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k=' || json_extract_string(props, '$.k') ELSE '' END AS entries FROM events")

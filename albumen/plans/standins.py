@@ -33,6 +33,7 @@ def photos(spark, sf_dir: str) -> DataFrame:
         F.when(k % 9 != 0, F.col("p_brand")).alias("city"),
         F.when(k % 6 != 0, F.col("p_type")).alias("country"),
         F.concat(F.split("p_name", " "), F.array(F.lower("p_type"))).alias("tags"),
+        F.array(F.col("p_brand"), F.element_at(F.split("p_name", " "), 1)).alias("objects"),
         F.array(F.concat(F.lit("p"), (k % 10).cast("string")), F.concat(F.lit("p"), (k % 4).cast("string"))).alias("people"),
         F.md5(F.concat("p_name", F.col("p_size").cast("string")).cast("binary")).alias("file_hash"),
         F.array(F.concat(F.lit("u"), (k % 5).cast("string"))).alias("liked_by"),
@@ -50,7 +51,7 @@ PHOTOS = """photo AS (SELECT p_partkey AS photo_id, 'lib' || (p_partkey % 4) AS
   CASE WHEN p_partkey % 13 = 0 THEN 'n/a' WHEN p_partkey % 11 <> 0 THEN (p_partkey % 170 - 85) || '.5' END AS latitude,
   CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey % 340 - 170) || '.25' END AS longitude,
   p_brand || ' Street' AS address, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS city, CASE WHEN p_partkey % 6 <> 0 THEN p_type END AS country,
-  list_append(string_split(p_name, ' '), lower(p_type)) AS tags, ['p' || (p_partkey % 10), 'p' || (p_partkey % 4)] AS people,
+  list_append(string_split(p_name, ' '), lower(p_type)) AS tags, [p_brand, string_split(p_name, ' ')[1]] AS objects, ['p' || (p_partkey % 10), 'p' || (p_partkey % 4)] AS people,
   md5(p_name || p_size) AS file_hash, ['u' || (p_partkey % 5)] AS liked_by, p_partkey % 3 = 0 AS liked, p_partkey AS pos FROM part)"""
 
 
@@ -59,13 +60,20 @@ def states(spark, sf_dir: str) -> DataFrame:
     from albumen.operators.status import STAGES
 
     df = photos(spark, sf_dir)
+    item = lambda step, status, reason: F.struct(F.lit(step).alias("step"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
     table = F.array(*map(F.lit, STATES))
     cols = {f"{s}_status": F.element_at(table, ((F.col("photo_id") * (i + 3) + F.floor(F.col("photo_id") / 7)) % 6 + 1).cast("int")) for i, s in enumerate(STAGES)}
     return df.withColumns(cols).withColumns({
         "updated": F.coalesce("uploaded", F.lit("2024-01-01").cast("timestamp")),
         "lease_expires": F.when(F.col("photo_id") % 2 == 0, F.lit("2024-02-10").cast("timestamp")).otherwise(F.lit("2024-01-20").cast("timestamp")),
-        "retry_ai": F.col("photo_id") % 8 == 0,
-        "face_throttled": F.col("photo_id") % 12 == 0,
+        "accepted_ai": F.col("photo_id") % 16 == 1,
+        "fallback_ai": F.col("photo_id") % 32 == 1,
+        "deferred": F.when(F.col("photo_id") % 12 == 0, "Background_Throttled"),
+        "report": F.filter(F.array(
+            F.when(F.col("photo_id") % 3 == 0, item("ai_vision", "failed", "model_load_failed")),
+            F.when(F.col("photo_id") % 3 == 1, item("ai_vision", "done", "model_load_failed")),
+            F.when(F.col("photo_id") % 18 == 5, item("face", "skipped", "background_throttled")),
+        ), lambda x: x.isNotNull()),
         "processing_state": F.when(F.col("photo_id") % 29 == 0, "deleted"),
     })
 
@@ -74,7 +82,7 @@ _STAGES = ("thumbnail", "exif", "ocr", "ai_vision", "map_detection", "face", "ve
 _STATE_LIST = "['done', 'queued', 'pending', 'running', 'failed', 'no_data']"
 STATES_SQL = (
     PHOTOS
-    + ", state AS (SELECT *, coalesce(uploaded, TIMESTAMP '2024-01-01') AS updated, CASE WHEN photo_id % 2 = 0 THEN TIMESTAMP '2024-02-10' ELSE TIMESTAMP '2024-01-20' END AS lease_expires, photo_id % 8 = 0 AS retry_ai, photo_id % 12 = 0 AS face_throttled, CASE WHEN photo_id % 29 = 0 THEN 'deleted' END AS processing_state, "
+    + ", state AS (SELECT *, coalesce(uploaded, TIMESTAMP '2024-01-01') AS updated, CASE WHEN photo_id % 2 = 0 THEN TIMESTAMP '2024-02-10' ELSE TIMESTAMP '2024-01-20' END AS lease_expires, ends_with(filename, '.nef') AND CASE WHEN photo_id % 16 = 1 THEN photo_id % 32 = 1 ELSE photo_id % 3 = 0 END AS retry_ai, photo_id % 12 = 0 OR photo_id % 18 = 5 AS face_throttled, CASE WHEN photo_id % 29 = 0 THEN 'deleted' END AS processing_state, "
     + ", ".join(f"{_STATE_LIST}[(photo_id * {i + 3} + photo_id // 7) % 6 + 1] AS {s}_status" for i, s in enumerate(_STAGES))
     + " FROM photo), long_state AS ("
     + " UNION ALL ".join(f"SELECT photo_id, '{s}' AS stage, {s}_status AS status FROM state" for s in _STAGES)
@@ -89,6 +97,7 @@ def faces(spark, sf_dir: str) -> DataFrame:
         ((k * 37 % 100) / 100.0).alias("confidence"), (k % 5 == 0).alias("confirmed"), (k % 29 == 0).alias("rejected"),
         F.when(k % 31 == 0, "suspicious").otherwise("").alias("review"), F.concat(F.lit("photo"), (k % 120).cast("string")).alias("filename"),
         F.concat(F.lit("key"), F.floor(k / 2).cast("string")).alias("identity_key"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.concat(F.lit("lib"), (k % 4).cast("string")).alias("library_id"), (k % 80).alias("left"), (k % 70).alias("top"),
         (k % 50 + 1).alias("width"), (k % 40 + 1).alias("height"), F.lit(100).alias("image_width"), F.lit(90).alias("image_height"),
     )
 
@@ -96,7 +105,7 @@ def faces(spark, sf_dir: str) -> DataFrame:
 FACES = """face AS (SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS face_id, vec_id AS pos, CASE WHEN vec_id % 14 <> 0 THEN 'p' || label END AS person_id,
   (vec_id * 37 % 100) / 100.0 AS confidence, vec_id % 5 = 0 AS confirmed, vec_id % 29 = 0 AS rejected, CASE WHEN vec_id % 31 = 0 THEN 'suspicious' ELSE '' END AS review,
   'photo' || (vec_id % 120) AS filename, 'key' || (vec_id // 2) AS identity_key, embedding::DOUBLE[] AS embedding,
-  vec_id % 50 + 1 AS width, vec_id % 40 + 1 AS height, 100 AS image_width, 90 AS image_height FROM embeddings)"""
+  'lib' || (vec_id % 4) AS library_id, vec_id % 80 AS "left", vec_id % 70 AS top, vec_id % 50 + 1 AS width, vec_id % 40 + 1 AS height, 100 AS image_width, 90 AS image_height FROM embeddings)"""
 
 
 def people(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from albumen.functions import text
@@ -55,11 +56,11 @@ def needs_attention(spark, sf_dir):
 
 
 _PENDING = f"""{ST}, e AS (SELECT l.photo_id, l.stage, s.updated, CASE WHEN l.stage = 'face' AND s.face_throttled AND l.status <> 'done' THEN 'pending'
- WHEN l.stage = 'ai_vision' AND s.retry_ai AND l.status IN ('failed', 'no_data') THEN 'pending'
+ WHEN l.stage = 'ai_vision' AND s.retry_ai AND l.status IN ('failed', 'no_data', 'skipped', 'timeout') THEN 'pending'
  WHEN l.status = 'running' AND s.lease_expires > TIMESTAMP '{S.NOW}' THEN 'held' WHEN l.status = 'running' THEN 'pending' ELSE l.status END AS status
- FROM long_state l JOIN state s USING (photo_id) WHERE coalesce(s.processing_state, '') <> 'deleted')
-SELECT photo_id, string_agg(stage, ',' ORDER BY list_position(['thumbnail', 'exif', 'ocr', 'ai_vision', 'map_detection', 'face', 'verify'], stage)) AS stages, min(updated) AS updated
-FROM e WHERE status NOT IN ('held', 'done', 'failed', 'no_data', 'skipped', 'unsupported') GROUP BY photo_id"""
+ FROM long_state l JOIN state s USING (photo_id) WHERE coalesce(s.processing_state, '') <> 'deleted' AND l.stage <> 'verify')
+SELECT photo_id, string_agg(stage, ',' ORDER BY list_position(['thumbnail', 'exif', 'ocr', 'ai_vision', 'map_detection', 'face'], stage)) AS stages, min(updated) AS updated
+FROM e WHERE status NOT IN ('held', 'done', 'no_data', 'deleted', 'skipped', 'unsupported', 'failed', 'timeout') GROUP BY photo_id"""
 
 
 @query(_PENDING)
@@ -86,43 +87,53 @@ def requeue_steps(spark, sf_dir):
     return S.states(spark, sf_dir).select("photo_id", T.requeue(F.col("exif_status"), F.col("updated") < F.lit("2024-01-20").cast("timestamp"), False).alias("result"))
 
 
-_REPORTS = """report AS (SELECT e.event_id AS pos, user_id AS key, ['exif', 'ocr', 'face', 'ai_vision'][event_id % 4 + 1] AS step,
+_REPORTS = """report AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, user_id AS key, ['exif', 'ocr', 'face', 'ai_vision'][event_id % 4 + 1] AS step,
  ['done', 'failed', 'skipped', 'timeout', 'unsupported', 'other'][event_id // 4 % 6 + 1] AS status, ['none', 'background_throttled', 'model_unavailable', 'raw_preview_missing'][event_id // 24 % 4 + 1] AS reason FROM events e)"""
 
 
 @query(f"""WITH {_REPORTS}, cur AS (SELECT u.user_id AS key, s.stage, ['done', 'running', 'queued', 'no_data'][(u.user_id + length(s.stage)) % 4 + 1] AS status FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0) u, (VALUES ('exif'), ('ocr'), ('face'), ('verify')) s(stage)),
-n AS (SELECT key, step, pos, CASE WHEN status = 'done' THEN 'done' WHEN status IN ('failed', 'timeout') THEN CASE WHEN step = 'ai_vision' AND reason = 'model_unavailable' THEN 'pending' ELSE 'failed' END
- WHEN status = 'unsupported' THEN 'unsupported' WHEN status = 'skipped' THEN CASE WHEN step = 'face' AND reason = 'background_throttled' OR step = 'ai_vision' AND reason = 'model_unavailable' THEN 'pending' WHEN reason = 'raw_preview_missing' THEN 'no_data' ELSE 'skipped' END END AS new FROM report),
-l AS (SELECT key, step AS stage, max_by(new, pos) AS new FROM n WHERE new IS NOT NULL GROUP BY 1, 2)
-SELECT c.key, c.stage, CASE WHEN c.status IN ('done', 'no_data') THEN c.status WHEN l.new IS NOT NULL THEN l.new WHEN c.status = 'running' AND c.key IN (SELECT key FROM l) THEN 'no_data' ELSE c.status END AS status
+n0 AS (SELECT * FROM report WHERE pos < 20), n AS (SELECT key, step, pos, CASE WHEN status = 'done' THEN 'done' WHEN status IN ('failed', 'timeout') THEN CASE WHEN step = 'ai_vision' AND reason IN ('model_unavailable', 'raw_preview_missing') THEN 'pending' ELSE 'failed' END
+ WHEN status = 'unsupported' THEN 'unsupported' WHEN status = 'skipped' THEN CASE WHEN step = 'face' AND reason = 'background_throttled' OR step = 'ai_vision' AND reason IN ('model_unavailable', 'raw_preview_missing') THEN 'pending' WHEN reason = 'raw_preview_missing' THEN 'no_data' ELSE 'skipped' END END AS new FROM n0),
+l AS (SELECT key, step AS stage, coalesce(min_by(new, pos) FILTER (new IN ('done', 'no_data')), max_by(new, pos)) AS new FROM n WHERE new IS NOT NULL GROUP BY 1, 2)
+SELECT c.key, c.stage, CASE WHEN c.status IN ('done', 'no_data') THEN c.status WHEN l.new IS NOT NULL THEN l.new WHEN c.status = 'running' AND c.stage <> 'verify' AND c.key IN (SELECT key FROM l) THEN 'no_data' ELSE c.status END AS status
 FROM cur c LEFT JOIN l ON c.key = l.key AND c.stage = l.stage""")
 def report_merge(spark, sf_dir):
     """Reports merged into states."""
     pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
     e = S.read(spark, sf_dir, "events")
     k = F.col("event_id")
-    reports = e.select(k.alias("pos"), F.col("user_id").alias("key"), pick(k % 4, "exif", "ocr", "face", "ai_vision").alias("step"), pick(F.floor(k / 4) % 6, "done", "failed", "skipped", "timeout", "unsupported", "other").alias("status"), pick(F.floor(k / 24) % 4, "none", "background_throttled", "model_unavailable", "raw_preview_missing").alias("reason"))
+    reports = e.select((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"), F.col("user_id").alias("key"), pick(k % 4, "exif", "ocr", "face", "ai_vision").alias("step"), pick(F.floor(k / 4) % 6, "done", "failed", "skipped", "timeout", "unsupported", "other").alias("status"), pick(F.floor(k / 24) % 4, "none", "background_throttled", "model_unavailable", "raw_preview_missing").alias("reason"))
     cur = e.where("event_id % 3 = 0").select(F.col("user_id").alias("key")).distinct().select("key", F.explode(F.array(*map(F.lit, ("exif", "ocr", "face", "verify")))).alias("stage"))
     cur = cur.withColumn("status", pick((F.col("key") + F.length("stage")) % 4, "done", "running", "queued", "no_data"))
-    return T.merge_reports(cur, reports, most=1 << 60, retryable=("model_unavailable",))
+    return T.merge_reports(cur, reports)
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'ocr' WHEN event_id % 4 = 1 THEN 'face' WHEN event_id % 3 = 0 THEN 'exif' ELSE 'unknown' END AS stage FROM events""")
+_MESSAGES = ("no idea", "BACKGROUND_THROTTLED", "unsupported_runtime: timeout", "model_budget_exceeded", "ArcFace_model_load_failed", "face_api_load_failed", "module_import_failed")
+_MARKS = ((), ("model_load_started",), ("model_load_started", "model_load_done", "detection_started"), ("descriptor_started", "detection_started", "detection_done"), ("embedding_model_load_started", "descriptor_started"), ("descriptor_started", "descriptor_done"))
+
+
+@query(f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'dedupe_failed' END AS stated, {list(_MESSAGES)}[event_id % 7 + 1] AS message, event_id % 6 AS m FROM events)
+SELECT event_id, CASE WHEN stated IS NOT NULL THEN stated WHEN contains(lower(message), 'background_throttled') THEN 'background_throttled' WHEN contains(message, 'unsupported_runtime') THEN 'unsupported_runtime'
+ WHEN contains(message, 'model_budget_exceeded') THEN 'timeout' WHEN contains(lower(message), 'arcface_model_load_failed') THEN 'embedding_model_load_failed' WHEN contains(message, 'face_api_load_failed') THEN 'face_api_load_failed' WHEN contains(message, 'module_import_failed') THEN 'model_load_failed'
+ ELSE ['unknown', 'model_load_failed', 'detection_failed', 'descriptor_failed', 'embedding_model_load_failed', 'unknown'][m + 1] END AS stage FROM x""")
 def failure_stage(spark, sf_dir):
     """X23."""
     k = F.col("event_id")
-    message = F.when(k % 4 == 0, "OCR engine broke").when(k % 4 == 1, "face model failed").otherwise("no idea")
-    started = F.when(k % 3 == 0, F.array(F.lit("thumbnail"), F.lit("exif"))).otherwise(F.array(F.lit("thumbnail")))
-    return S.read(spark, sf_dir, "events").select("event_id", T.failure_stage(message, started, F.array(F.lit("thumbnail"))).alias("stage"))
+    pick = lambda values, n: F.element_at(F.array(*values), (n + 1).cast("int"))
+    marks = [F.array(*map(F.lit, m)).cast("array<string>") for m in _MARKS]
+    return S.read(spark, sf_dir, "events").select("event_id", T.failure_stage(F.when(k % 11 == 0, "dedupe_failed"), pick(map(F.lit, _MESSAGES), k % 7), pick(marks, k % 6)).alias("stage"))
 
 
 _N = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_TAKEN = "coalesce(strptime(captured, '%Y:%m:%d %H:%M:%S'), uploaded)"
+_PLACE = "coalesce(nullif(concat_ws(', ', city, country), ''), address)"
+# Rule: label, rows, time, key, order of rows.
 _RULES = {
-    "location": ("coalesce(nullif(concat_ws(', ', city, country), ''), address)", "photo", "strftime(uploaded, '%Y-%m-%d')", _N.format("{label}")),
-    "recent": ("strftime(uploaded, '%Y-%m-%d')", "photo", "strftime(uploaded, '%Y-%m-%d')", "{label}"),
-    "event": ("coalesce(strftime(cap_date, '%Y-%m-%d'), strftime(uploaded, '%Y-%m-%d'))", "photo", "coalesce(strftime(cap_date, '%Y-%m-%d'), strftime(uploaded, '%Y-%m-%d'))", "{label}"),
-    "tag": ("upper(tag[1]) || tag[2:]", "(SELECT *, unnest(list_distinct(tags)) AS tag FROM photo)", "strftime(uploaded, '%Y-%m-%d')", "tag"),
-    "person": ("CASE WHEN substr(person, 2)::INT % 3 <> 0 THEN 'Ann ' || person ELSE 'Person ' || person END", "(SELECT *, unnest(list_distinct(people)) AS person FROM photo)", "strftime(uploaded, '%Y-%m-%d')", "person"),
+    "location": (f"'Location: ' || {_PLACE}", "photo", _TAKEN, _N.format(_PLACE), "pos"),
+    "recent": ("'Uploaded: ' || strftime(uploaded, '%b %-d, %Y')", "photo", "uploaded", "strftime(uploaded, '%Y-%m-%d')", "pos"),
+    "event": (f"'Event: ' || strftime({_TAKEN}, '%b %-d, %Y')", "photo", _TAKEN, f"strftime({_TAKEN}, '%Y-%m-%d')", "pos"),
+    "tag": ("'Tag/Object: ' || CASE WHEN tag = lower(tag) THEN upper(tag[1]) || tag[2:] ELSE tag END", "(SELECT *, unnest(list_concat(tags, objects)) AS tag, generate_subscripts(list_concat(tags, objects), 1) AS k FROM photo)", _TAKEN, _N.format("tag"), "pos * 1000 + k"),
+    "person": ("'Person: ' || CASE WHEN substr(person, 2)::INT % 3 <> 0 THEN 'Ann ' || person ELSE 'Person ' || person END", "(SELECT *, unnest(list_distinct(people)) AS person FROM photo)", _TAKEN, "person", "pos"),
 }
 _ORDER = {"recent": "latest DESC NULLS LAST, n DESC", "event": "latest DESC NULLS LAST, n DESC"}
 
@@ -132,8 +143,8 @@ def _names(spark):
     return spark.range(10).select(F.concat(F.lit("p"), n).alias("person_id"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("Ann p"), n)).otherwise("").alias("name"))
 
 
-for _rule, (_label, _from, _day, _key) in _RULES.items():
-    _sql = f"{W}, r AS (SELECT {_key.format(label=_label)} AS key, {_label} AS label, filename, {_day} AS day, pos FROM {_from}), g AS (SELECT key, min_by(label, pos) AS name, max(day) AS latest, count(DISTINCT filename) AS n FROM r WHERE key <> '' GROUP BY key) "
+for _rule, (_label, _from, _at, _key, _pos) in _RULES.items():
+    _sql = f"{W}, r AS (SELECT {_key} AS key, {_label} AS label, filename, {_at} AS moment, {_pos} AS pos FROM {_from}), g AS (SELECT key, min_by(label, pos) AS name, max(moment) AS latest, count(DISTINCT filename) AS n FROM r WHERE key <> '' GROUP BY key) "
 
     def _groups(spark, sf_dir, rule=_rule):
         return G.fold(G.keyed(S.photos(spark, sf_dir), rule, _names(spark)))
@@ -170,17 +181,17 @@ def library_members(spark, sf_dir):
     return M.members_of(S.memberships(spark, sf_dir), accounts, 7).select("user_id", "is_owner", "email")
 
 
-@query(f"""WITH {S.MEMBERS}, {S.INVITES}, m AS (SELECT library_id, count(*) AS members FROM membership WHERE user_id % 7 = 0 GROUP BY 1), i AS (SELECT library_id, count(*) AS n FROM invite WHERE status = 'pending' AND target = 'join' AND expires > TIMESTAMP '2001-07-25' GROUP BY 1)
+@query(f"""WITH {S.MEMBERS}, {S.INVITES}, m AS (SELECT library_id, count(*) AS members FROM membership GROUP BY 1), i AS (SELECT library_id, count(*) AS n FROM invite WHERE status = 'pending' AND target = 'join' AND expires > TIMESTAMP '2001-07-25' GROUP BY 1)
 SELECT coalesce(m.library_id, i.library_id) AS library_id, coalesce(members, 0) AS members, coalesce(n, 0) AS open_invites, coalesce(members, 0) + coalesce(n, 0) < 15 AS may_invite FROM m FULL JOIN i ON m.library_id = i.library_id""")
 def invite_capacity(spark, sf_dir):
     """A15."""
-    return M.capacity(S.memberships(spark, sf_dir).where("user_id % 7 = 0"), S.invites(spark, sf_dir), F.lit("2001-07-25").cast("timestamp"))
+    return M.capacity(S.memberships(spark, sf_dir), S.invites(spark, sf_dir), F.lit("2001-07-25").cast("timestamp"))
 
 
-@query(f"WITH {S.MEMBERS} SELECT library_id, count(*) AS members, count(*) < 15 AS may_accept FROM membership WHERE user_id % 7 = 0 GROUP BY 1")
+@query(f"WITH {S.MEMBERS} SELECT library_id, count(*) AS members, count(*) < 15 AS may_accept FROM membership GROUP BY 1")
 def accept_capacity(spark, sf_dir):
     """A23."""
-    return M.may_accept(S.memberships(spark, sf_dir).where("user_id % 7 = 0"))
+    return M.may_accept(S.memberships(spark, sf_dir))
 
 
 @query(f"WITH {S.INVITES} SELECT invite_id, library_id FROM invite WHERE token_hash = sha256('1234') AND status IN ('pending', 'accepted', 'revoked') AND status = 'pending' AND expires > TIMESTAMP '1990-01-01'")
@@ -217,11 +228,20 @@ def login_lockout(spark, sf_dir):
     return M.locked_out(e, "user_id", "at")
 
 
-@query("SELECT coalesce(max(TRY_CAST(regexp_extract(name, '^[Uu]nnamed ([0-9]+)$', 1) AS INT)), 0) + 1 AS next FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'Unnamed ' || c_custkey ELSE c_name END AS name FROM customer)")
+@query("SELECT coalesce(max(TRY_CAST(regexp_extract(name, '^unnamed *([0-9]+)$', 1, 'i') AS BIGINT)), 0) + 1 AS next FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'Unnamed ' || c_custkey WHEN c_custkey % 3 = 1 THEN 'uNNamed' || 2 * c_custkey ELSE c_name END AS name FROM customer)")
 def next_unnamed(spark, sf_dir):
-    """A18, X21."""
-    c = S.read(spark, sf_dir, "customer")
-    return X.next_unnamed(c.select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Unnamed "), F.col("c_custkey").cast("string"))).otherwise(F.col("c_name")).alias("name")))
+    """A18."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Unnamed "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("uNNamed"), (2 * k).cast("string"))).otherwise(F.col("c_name"))
+    return X.next_unnamed(S.read(spark, sf_dir, "customer").select(name.alias("name")))
+
+
+@query("SELECT c_custkey AS person_id, c_custkey % 5 < 3 AS unnamed FROM customer")
+def unnamed_names(spark, sf_dir):
+    """Names that stand for no name."""
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, " unnamed ").when(k % 5 == 1, F.concat(F.lit("Unnamed"), k.cast("string"))).when(k % 5 == 2, "UNNAMED  12").when(k % 5 == 3, "unnamed x")
+    return S.read(spark, sf_dir, "customer").select(k.alias("person_id"), text.is_unnamed(name).alias("unnamed"))
 
 
 @query("""WITH p AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS name FROM customer), d AS (SELECT *, CASE WHEN name = '' THEN 'Unnamed ' || count(*) FILTER (name = '') OVER (ORDER BY person_id) ELSE name END AS display_name FROM p)
@@ -239,28 +259,45 @@ def email_values(spark, sf_dir):
     return S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), text.normalize_email(e).alias("email"), text.mask_email(F.trim(e)).alias("masked"))
 
 
-@query(f"""{ST} SELECT photo_id, CASE WHEN photo_id % 2 = 0 OR thumbnail_status = 'done' THEN 'clear' ELSE 'delete' END AS action FROM state WHERE photo_id % 3 = 0""")
+@query(f"""{W} SELECT photo_id, CASE WHEN photo_id % 2 = 0 OR photo_id % 5 = 0 OR photo_id % 7 = 0 OR photo_id % 11 = 0 OR photo_id % 13 = 0 THEN 'clear' ELSE 'delete' END AS action FROM photo WHERE photo_id % 3 = 0 OR photo_id % 4 = 1""")
 def failed_upload_cleanup(spark, sf_dir):
     """P19."""
-    k = F.col("photo_id")
-    df = S.states(spark, sf_dir).withColumns({"upload_id": F.when(k % 3 == 0, F.lit("u")), "file_hash": F.when(k % 2 == 0, F.lit("h"))})
+    k, some = F.col("photo_id"), lambda n, v: F.when(F.col("photo_id") % n == 0, v).otherwise("")
+    df = S.photos(spark, sf_dir).select(
+        "photo_id", F.when(k % 3 == 0, F.lit("[]")).alias("received_ranges"), F.when(k % 4 == 1, F.lit(0)).alias("upload_total_size"),
+        some(2, "h").alias("file_hash"), some(5, "p").alias("perceptual_hash"), some(7, "image/png").alias("mime_type"), some(11, "queued").alias("thumbnail_status"), some(13, "failed").alias("verification_status"),
+    )
     return X.clean_failed_uploads(df)
 
 
-@query("SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 90 = 3 OR (o_orderkey % 60 = 1)")
-def job_matching(spark, sf_dir):
-    """P20."""
-    k = F.col("o_orderkey")
-    jobs = S.read(spark, sf_dir, "orders").select(k.alias("job_id"), F.when(k % 50 == 7, "a.jpg").alias("filename"), F.when(k % 90 == 3, "c1").alias("correlation_id"), F.when(k % 60 == 1, "exif:a.jpg:1").when(k % 60 == 2, "other:a.jpg").otherwise("").alias("job_key"))
-    return X.jobs_of(jobs.fillna("", ["filename", "correlation_id"]), "a.jpg", "c1").select("job_id")
+_JOB_KEYS = ("processing:u1:a.jpg:exif", "u1:a.jpg", "a.jpg-7", "processing:u2:a.jpg:exif", "exif:a.jpg", "b.jpg")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS photo_id, b.v AS owner, CASE WHEN a.k IS NULL THEN 'inserted' WHEN b.k IS NULL THEN 'cleared' ELSE 'restored' END AS what
-FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+@query(f"""WITH j AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 50 = 7 THEN 'a.jpg' END AS filename, CASE o_orderkey % 3 WHEN 0 THEN 'u1' WHEN 1 THEN 'u2' END AS user_id,
+ CASE WHEN o_orderkey % 90 = 3 THEN 'a.jpg' WHEN o_orderkey % 90 = 4 THEN 'u1:a.jpg:9' END AS correlation_id, CASE WHEN o_orderkey % 60 < 6 THEN {list(_JOB_KEYS)}[o_orderkey % 60 + 1] END AS job_id, CASE WHEN o_orderkey % 70 < 6 THEN {list(_JOB_KEYS)}[o_orderkey % 70 + 1] END AS row_key FROM orders)
+SELECT n FROM j WHERE (filename = 'a.jpg' OR correlation_id = 'a.jpg') AND coalesce(user_id, 'u1') = 'u1' OR regexp_matches(concat_ws(chr(10), job_id, row_key, correlation_id), '(^|\n)(processing:u1:a[.]jpg|u1:a[.]jpg|a[.]jpg)')""")
+def job_matching(spark, sf_dir):
+    """P20: jobs of a user's photo, by name, user and keys."""
+    k = F.col("o_orderkey")
+    key = lambda n: F.when(k % n < 6, F.element_at(F.array(*map(F.lit, _JOB_KEYS)), F.least(k % n + 1, F.lit(6)).cast("int")))
+    jobs = S.read(spark, sf_dir, "orders").select(
+        k.alias("n"), F.when(k % 50 == 7, "a.jpg").alias("filename"), F.when(k % 3 == 0, "u1").when(k % 3 == 1, "u2").alias("user_id"),
+        F.when(k % 90 == 3, "a.jpg").when(k % 90 == 4, "u1:a.jpg:9").alias("correlation_id"), key(60).alias("job_id"), key(70).alias("row_key"),
+    )
+    return X.jobs_of(jobs, "u1", "a.jpg").select("n")
+
+
+@query("""WITH c AS (SELECT c_custkey AS face_id, 'now' AS person_id, TRUE AS confirmed, c_acctbal AS confidence, c_name AS filename FROM customer WHERE c_custkey % 2 = 0),
+ s AS (SELECT c_custkey AS face_id, 'then' AS person_id, FALSE AS confirmed, -1.0::DOUBLE AS confidence, 'old ' || c_name AS filename FROM customer WHERE c_custkey % 3 = 0)
+SELECT coalesce(c.face_id, s.face_id) AS face_id, s.person_id, s.confirmed, CASE WHEN s.face_id IS NULL THEN c.confidence ELSE s.confidence END AS confidence, coalesce(c.filename, s.filename) AS filename,
+ CASE WHEN c.face_id IS NULL THEN 'inserted' WHEN s.face_id IS NULL THEN 'cleared' ELSE 'restored' END AS what FROM c FULL JOIN s ON c.face_id = s.face_id""")
 def snapshot_restore(spark, sf_dir):
-    """J14."""
-    c = S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("photo_id"), F.col("c_name").alias("owner"))
-    return X.restore_snapshot(c.where("photo_id % 2 = 0").drop("owner"), c.where("photo_id % 3 = 0"), "photo_id", ["owner"])
+    """Faces only in the table lose owner and confirmation, and keep the rest."""
+    c, k = S.read(spark, sf_dir, "customer"), F.col("c_custkey")
+    make = lambda rows, who, sure, score, name: rows.select(k.alias("face_id"), F.lit(who).alias("person_id"), F.lit(sure).alias("confirmed"), score.alias("confidence"), name.alias("filename"))
+    now_ = make(c.where("c_custkey % 2 = 0"), "now", True, F.col("c_acctbal"), F.col("c_name"))
+    then = make(c.where("c_custkey % 3 = 0"), "then", False, F.lit(-1.0), F.concat(F.lit("old "), F.col("c_name")))
+    return X.restore_snapshot(now_, then)
 
 
 @query(f"WITH {S.ALBUM_FILES}, e AS (SELECT album_id, pos, filename FROM entry WHERE substr(filename, 6)::INT % 7 <> 0) SELECT o_orderkey AS album_id, coalesce((SELECT string_agg(filename, ',' ORDER BY pos) FROM e WHERE e.album_id = o_orderkey), '') AS filenames FROM orders WHERE o_orderkey IN (SELECT album_id FROM entry)")

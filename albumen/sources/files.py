@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from albumen.functions import media
 
 # Least bytes by kind of file; the sizes to which metadata entries and all of them are cut.
-LEAST_BYTES = {"native": 128, "raw": 50_000, "video": 1024}
+LEAST_BYTES = {"raw": 512 * 1024, "cinema": 1024 * 1024, "video": 1024}
+HEADER_BYTES = 4096
 ENTRY_CHARS, ALL_CHARS = 512, 60_000
 PREVIEW_BYTES = 1024
 
 
 def kind_of(path: Column) -> Column:
     ext = media.file_extension(path)
-    return F.when(ext.isin(*media.NATIVE), "native").when(ext.isin(*media.RAW), "raw").when(ext.isin(*media.VIDEO), "video")
+    return F.when(ext.isin(*media.NATIVE), "native").when(ext.isin(*media.RAW), "raw").when(ext.isin(*media.CINEMA), "cinema").when(ext.isin(*media.VIDEO), "video")
 
 
 def media_files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +27,11 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def integrity(files: DataFrame) -> DataFrame:
-    """path, kind, and what is wrong: too small, an empty header, a header of another format, or nothing."""
+    """path, kind, and what is wrong: too small, an empty header, a header of another format, or nothing.
+
+    RAW and cinema files and videos have a least size and a header that is not all zeros; native images have no least
+    size, and a header of their format (a whole decode is left to an imaging library).
+    """
     least = F
     for k, n in LEAST_BYTES.items():
         least = least.when(F.col("kind") == k, n)
@@ -34,7 +39,9 @@ def integrity(files: DataFrame) -> DataFrame:
     ext = media.file_extension(F.col("path"))
     wrong = (ext.isin("jpg", "jpeg") & ~head.startswith("FFD8FF")) | ((ext == "png") & ~head.startswith("89504E470D0A1A0A")) | ((ext == "gif") & ~head.startswith("47494638"))
     size = F.octet_length("content")
-    problem = F.when(size < least.otherwise(1), "too small").when(F.substring(head, 1, 32).rlike("^0+$"), "empty header").when(wrong, "header mismatch")
+    native = F.col("kind") == "native"
+    empty = ~F.hex(F.substring("content", 1, HEADER_BYTES)).rlike("[1-9A-F]")
+    problem = F.when(~native & (size < least.otherwise(0)), "too small").when(empty, "empty header").when(wrong, "header mismatch")
     return files.select("path", "kind", problem.alias("problem"))
 
 

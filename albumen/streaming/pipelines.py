@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from albumen.operators.membership import FORGET_SECONDS, FREE_TRIES, INVITE_GAP, INVITES_PER_HOUR, LOCK_SECONDS, MOST_LOCK
 from albumen.operators.status import LEASE_SECONDS
 
 
@@ -27,23 +28,19 @@ def work_queue(messages: DataFrame, handle: Callable[[DataFrame, int], None], ch
 
 def _lease(key, frames, state: GroupState):
     owner, until = state.get if state.exists else (None, 0.0)
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"key": [key[0]], "owner": [owner], "event": ["expired"], "accepted": [True]})
-        return
     out = []
-    for pdf in frames:
-        for r in pdf.sort_values("at").itertuples(index=False):
-            free = owner is None or r.at >= until
-            if r.action == "claim":
-                ok = free or owner == r.owner
-            else:
-                ok = owner == r.owner and r.at < until
-            if ok and r.action in ("claim", "heartbeat"):
-                owner, until = r.owner, r.at + LEASE_SECONDS
-            elif ok:
-                owner, until = None, 0.0
-            out.append((key[0], r.owner, r.action, bool(ok)))
+    # All of a batch's actions on the key, which Arrow may deliver in parts, in the order of their times.
+    for r in pd.concat(list(frames)).sort_values(["at", "owner", "action"]).itertuples(index=False):
+        free = owner is None or r.at >= until
+        if r.action == "claim":
+            ok = free or owner == r.owner
+        else:
+            ok = owner == r.owner and r.at < until
+        if ok and r.action in ("claim", "heartbeat"):
+            owner, until = r.owner, r.at + LEASE_SECONDS
+        elif ok:
+            owner, until = None, 0.0
+        out.append((key[0], r.owner, r.action, bool(ok)))
     if owner is None:
         if state.exists:
             state.remove()
@@ -54,12 +51,59 @@ def _lease(key, frames, state: GroupState):
 
 def leases(actions: DataFrame) -> DataFrame:
     """Claims, heartbeats and releases (key, owner, action, at in seconds) decided in order per key; a lease lasts
-    120 seconds from its claim or last heartbeat."""
+    120 seconds from its claim or last heartbeat. A lease that ran out is noticed by the next action on its key."""
     return actions.groupBy("key").applyInPandasWithState(
         _lease, "key string, owner string, event string, accepted boolean", "owner string, until double", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def _limit(gap: int, per_window: int, window: int):
+    def run(key, frames, state: GroupState):
+        last, start, n = state.get if state.exists else (None, None, 0)
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples(index=False):
+            ok = last is None or r.at - last >= gap
+            if ok and (start is None or r.at - start >= window):
+                start, n = r.at, 0
+            ok = ok and n < per_window
+            if ok:
+                last, n = r.at, n + 1
+            out.append((key[0], r.event_id, bool(ok)))
+        if last is not None or start is not None:
+            state.update((last, start, n))
+        yield pd.DataFrame(out, columns=["key", "event_id", "allowed"])
+
+    return run
+
+
+def rate_limits(events: DataFrame, gap: int = INVITE_GAP, per_window: int = INVITES_PER_HOUR, window: int = 3600) -> DataFrame:
+    """(key, event_id, allowed) of a stream (key, event_id, at in seconds): the rule of membership.rate_limited, with
+    the last that passed and the open window kept as state. Events of a batch are taken by their time."""
+    return events.groupBy("key").applyInPandasWithState(
+        _limit(gap, per_window, window), "key string, event_id long, allowed boolean", "last double, start double, n long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _lock(key, frames, state: GroupState):
+    last, n = state.get if state.exists else (None, 0)
+    out = []
+    for r in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples(index=False):
+        n = 1 if last is None or r.at - last > FORGET_SECONDS else n + 1
+        last = r.at
+        over = n - FREE_TRIES
+        out.append((key[0], r.event_id, min(LOCK_SECONDS * 2 ** min(over - 1, 30), MOST_LOCK) if over > 0 else 0))
+    state.update((last, n))
+    yield pd.DataFrame(out, columns=["key", "event_id", "lock_seconds"])
+
+
+def lockouts(failures: DataFrame) -> DataFrame:
+    """(key, event_id, lock_seconds) of a stream of failures (key, event_id, at in seconds): the rule of
+    membership.locked_out, with the last failure and their number kept as state."""
+    return failures.groupBy("key").applyInPandasWithState(
+        _lock, "key string, event_id long, lock_seconds int", "last double, n long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def lease_state(actions: DataFrame, now: float) -> DataFrame:
     """The batch form: who holds each key at `now` by its last claim or heartbeat that no release follows."""
     last = actions.groupBy("key").agg(F.max_by(F.struct("owner", "action", "at"), "at").alias("x")).select("key", "x.*")
