@@ -167,10 +167,15 @@ def semantic_layers(subjects: Column, location: Column, background: Column, weak
     )
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def merge_tags(*groups: Column) -> Column:
     """The groups' tags in lower case, each once, in the order of groups."""
     tags = F.flatten(F.array(*[F.coalesce(g, F.array().cast("array<string>")) for g in groups]))
-    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.trim(F.coalesce(t, F.lit(""))))), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(stripped(F.coalesce(t, F.lit(""))))), lambda t: t != ""))
 
 
 def semantic_text(candidates: Column, fields: list[Column], most: int = 10_000) -> Column:
@@ -191,7 +196,7 @@ def title_case(c: Column) -> Column:
 
 def sanitize_tag(c: Column, length: int = 80) -> Column:
     """Letters, digits, spaces, - and _ in lower case; empty where nothing is left or more than `length` characters."""
-    clean = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N} _-]", ""))
+    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N} _-]", ""))
     return F.when(F.length(clean) <= length, clean).otherwise("")
 
 

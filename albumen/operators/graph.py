@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, if Spark runs
+    in one process on it (tests); on a cluster that is an error, as executors would write to their own disks."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(sc, "_albumen_dir", None)
     if own is None:
         own = sc._albumen_dir = "file://" + tempfile.mkdtemp(prefix="albumen-")

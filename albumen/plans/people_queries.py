@@ -246,14 +246,6 @@ def recluster_plan(spark, sf_dir):
     return assignments
 
 
-@query()
-def recluster_people(spark, sf_dir):
-    """The people of that plan."""
-    people, f = _library_people(spark, sf_dir)
-    _, planned = R.recluster_plan(f, people, "loose")
-    return planned.select("library_id", "person_id", "name", F.array_join("face_ids", ",").alias("face_ids"), F.size("rep").alias("size"))
-
-
 @query(f"{WF} SELECT face_id, what FROM (SELECT face_id, 'x' AS what FROM face) WHERE FALSE")
 def cluster_job(spark, sf_dir):
     """All faces clustered; no candidate is without an owner, and none has two."""
@@ -337,7 +329,11 @@ def face_identity(spark, sf_dir):
     return S.faces(spark, sf_dir).select("face_id", media.face_id(*of).alias("identity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.FACES}, b AS (SELECT filename, pos AS box_id, ("left")::DOUBLE AS l, top::DOUBLE AS t, width::DOUBLE AS w, height::DOUBLE AS h, row_number() OVER (PARTITION BY filename ORDER BY confidence DESC, pos) AS k FROM face),
+r AS (SELECT filename, k, [{{'id': box_id, 'l': l, 't': t, 'w': w, 'h': h}}] AS kept FROM b WHERE k = 1 UNION ALL
+ SELECT b.filename, b.k, CASE WHEN len(list_filter(kept, lambda x: greatest(0, least(x.l + x.w, b.l + b.w) - greatest(x.l, b.l)) * greatest(0, least(x.t + x.h, b.t + b.h) - greatest(x.t, b.t))
+  > 0.35 * (x.w * x.h + b.w * b.h - greatest(0, least(x.l + x.w, b.l + b.w) - greatest(x.l, b.l)) * greatest(0, least(x.t + x.h, b.t + b.h) - greatest(x.t, b.t))))) > 0 THEN kept ELSE list_append(kept, {{'id': b.box_id, 'l': b.l, 't': b.t, 'w': b.w, 'h': b.h}}) END FROM r JOIN b ON r.filename = b.filename AND b.k = r.k + 1)
+SELECT filename, x.id AS box_id FROM (SELECT filename, unnest(arg_max(kept, k)) AS x FROM r GROUP BY filename)""")
 def suppressed_boxes(spark, sf_dir):
     """Greedy suppression of overlapping boxes per photo."""
     k = F.col("pos")

@@ -214,14 +214,20 @@ def access_gate(spark, sf_dir):
     return M.may_enter(requests, accounts, S.memberships(spark, sf_dir).withColumn("library_id", F.col("library_id").cast("long")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS "at" FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at", event_id, user_id) AS k FROM e),
+r AS (SELECT user_id, k, event_id, "at", TRUE AS allowed, "at" AS last, "at" AS start, 1 AS n FROM k WHERE k = 1 UNION ALL
+ SELECT user_id, k, event_id, "at", ok, CASE WHEN ok THEN "at" ELSE last END, start, n0 + ok::INT FROM (SELECT *, near AND n0 < 3 AS ok FROM (SELECT k.user_id, k.k, k.event_id, k."at", k."at" - last >= 600 AS near, last,
+  CASE WHEN k."at" - last >= 600 AND k."at" - start >= 3600 THEN k."at" ELSE start END AS start, CASE WHEN k."at" - last >= 600 AND k."at" - start >= 3600 THEN 0 ELSE n END AS n0 FROM r JOIN k ON r.user_id = k.user_id AND k.k = r.k + 1)))
+SELECT event_id, user_id, "at", allowed FROM r""")
 def rate_limiter(spark, sf_dir):
     """Which events pass a gap of an hour and 3 a window, per user; decided in order."""
     e = S.read(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return M.rate_limited(e.select("event_id", "user_id", F.floor(F.col("us") / 1_000_000).alias("at")), "user_id", "at", gap=600, per_window=3)
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 24000000 AS "at" FROM events WHERE event_type = 'error'), g AS (SELECT *, CASE WHEN "at" - lag("at") OVER w > 3600 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY "at", event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY "at", event_id) AS part FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY "at", event_id) AS n FROM s)
+SELECT event_id, user_id, "at", CASE WHEN n > 5 THEN least(30 * power(2, least(n - 6, 30)), 900) ELSE 0 END::INT AS lock_seconds FROM n""")
 def login_lockout(spark, sf_dir):
     """Seconds of lock after each failure of an account, a day counted as an hour."""
     e = S.read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 24_000_000).alias("at"))
