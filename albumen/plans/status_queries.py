@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from albumen.functions import text
 from albumen.operators import grouping as G
+from albumen.operators import ingest as I
 from albumen.operators import maintenance as X
 from albumen.operators import membership as M
 from albumen.operators import status as T
@@ -108,6 +109,30 @@ def report_merge(spark, sf_dir):
     return T.merge_reports(cur, reports)
 
 
+@query(f"""{ST} SELECT photo_id, CASE WHEN photo_id % 2 = 0 THEN 'done' ELSE thumbnail_status END AS thumbnail_status, CASE WHEN photo_id % 3 <> 0 THEN 'done' ELSE exif_status END AS exif_status,
+ CASE WHEN photo_id % 5 = 1 THEN 'done' WHEN photo_id % 5 = 2 THEN 'no_data' ELSE ocr_status END AS ocr_status, CASE WHEN photo_id % 7 = 3 AND photo_id % 200 <= 90 THEN 'done' WHEN photo_id % 3 = 1 THEN 'done' WHEN photo_id % 3 = 2 THEN 'no_data' ELSE map_detection_status END AS map_detection_status,
+ CASE WHEN photo_id % 11 = 4 THEN 'no_data' WHEN photo_id % 11 = 5 THEN 'done' ELSE ai_vision_status END AS ai_vision_status, CASE photo_id % 4 WHEN 1 THEN 'done' WHEN 2 THEN 'pending' WHEN 3 THEN 'failed' ELSE face_status END AS face_status,
+ CASE photo_id % 4 WHEN 1 THEN 2 WHEN 0 THEN 9 ELSE 0 END AS face_count, CASE WHEN photo_id % 5 = 1 THEN 'read me' ELSE '' END AS ocr_text, CASE WHEN photo_id % 7 = 3 AND photo_id % 200 <= 90 THEN (photo_id % 200)::DOUBLE WHEN photo_id % 3 = 1 THEN 12.5 END AS latitude FROM state""")
+def ingest_merge(spark, sf_dir):
+    """All six results of an upload applied to its row."""
+    k, df = F.col("photo_id"), S.states(spark, sf_dir)
+    text_ = lambda c: c.cast("string")
+    none, no, yes = F.lit(None).cast("string"), F.lit(False), F.lit(True)
+    face = lambda score: F.struct(F.lit(score).alias("confidence"), *[F.lit(10.0).alias(c) for c in ("width", "height")], *[F.lit(100.0).alias(c) for c in ("image_width", "image_height")], F.array(F.lit(1.0)).alias("embedding"))
+    found = F.when(k % 4 == 1, F.array(face(0.9), face(0.5), face(0.1))).otherwise(F.array(face(0.1)))
+    parts = {
+        "thumbnail": F.struct((k % 2 == 0).alias("uploaded")),
+        "exif": F.when(k % 3 != 0, F.struct(yes.alias("has_data"), F.create_map(F.lit("Make"), F.lit("m")).alias("data"), F.when(k % 3 == 1, "12.5").otherwise("").alias("latitude"), F.lit("7").alias("longitude"))),
+        "ocr": F.when(k % 5 > 0, F.struct((k % 5 != 2).alias("has_data"), F.when(k % 5 == 1, " read me ").otherwise("").alias("text"))),
+        "map": F.when(k % 7 == 3, F.struct(yes.alias("has_data"), text_(k % 200).alias("latitude"), F.lit("8").alias("longitude"), *[none.alias(c) for c in ("address", "city", "country")])),
+        "face": F.when(k % 4 > 0, F.struct(yes.alias("has_data"), found.alias("faces"), F.when(k % 4 == 2, "background_throttled").otherwise("").alias("deferred"), F.when(k % 4 == 3, "descriptor_failed").otherwise("").alias("failure_stage"))),
+        "ai": F.when((k % 11).isin(4, 5, 6), F.struct(yes.alias("has_data"), (k % 11 != 6).alias("model_ready"), (k % 11 == 4).alias("fallback"), F.array(F.lit("dogs")).alias("tags"), *[none.alias(c) for c in ("caption", "ocr_text", "person_label", "person_score")], no.alias("person_candidate"))),
+    }
+    df = df.withColumns({f"r_{n}": p.cast(I.RESULT[n]) for n, p in parts.items()}).withColumns({c: F.lit("") for c in ("ocr_text", "caption", "person_label", "lease_owner")})
+    df = df.withColumns({"latitude": none, "longitude": none, "exif": F.lit(None).cast("map<string,string>"), "face_count": F.lit(9), "person_score": F.lit(0.0), "person_candidate": no, "faces": F.lit(None).cast(I.RESULT["face"].split("faces:")[1].split(",deferred")[0])})
+    return I.merge_results(df).select("photo_id", *[f"{s}_status" for s in T.CLIENT_STAGES], "face_count", "ocr_text", F.col("latitude").cast("double").alias("latitude"))
+
+
 _MESSAGES = ("no idea", "BACKGROUND_THROTTLED", "unsupported_runtime: timeout", "model_budget_exceeded", "ArcFace_model_load_failed", "face_api_load_failed", "module_import_failed")
 _MARKS = ((), ("model_load_started",), ("model_load_started", "model_load_done", "detection_started"), ("descriptor_started", "detection_started", "detection_done"), ("embedding_model_load_started", "descriptor_started"), ("descriptor_started", "descriptor_done"))
 

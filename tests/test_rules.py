@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from albumen.functions import media, text
-from albumen.operators import grouping, maintenance, membership, people, photos, recluster, search, status
+from albumen.operators import grouping, ingest, maintenance, membership, people, photos, recluster, search, status
 from albumen.streaming import pipelines
 
 
@@ -215,3 +215,29 @@ def test_work_queue(spark, tmp_path):
     for _ in range(2):
         pipelines.work_queue(stream, lambda df, n: seen.extend(r.k for r in df.collect()), str(tmp_path / "c")).awaitTermination(120)
     assert sorted(seen) == [1, 2]
+
+
+def test_results_of_an_upload(spark):
+    states = ", ".join(f"{s}_status string" for s in status.CLIENT_STAGES)
+    face = "array<struct<confidence:double,width:double,height:double,image_width:double,image_height:double,embedding:array<double>>>"
+    schema = f"k long, filename string, {states}, ocr_text string, caption string, latitude string, longitude string, address string, city string, country string, exif map<string,string>, tags array<string>, faces {face}, face_count int, person_label string, person_score double, person_candidate boolean, lease_owner string, "
+    schema += ", ".join(f"r_{k} {t}" for k, t in ingest.RESULT.items())
+    before = ("a.jpg", *["running"] * 6, "old", "old", "1", "2", "x", "y", "z", {"A": "b"}, ["cat"], None, 7, None, None, None, "me")
+    good, dim = (0.9, 10.0, 10.0, 100.0, 100.0, [1.0]), (0.1, 10.0, 10.0, 100.0, 100.0, [1.0])
+    rows = [
+        (1, *before, *[None] * 6),
+        (2, *before, (True,), (True, {"Make": "m", "GPS.LatitudeDecimal": "10.5"}, None, "20"), (True, " hi\x00 "), None, (True, [good, dim], "", ""), (True, True, False, ["Dogs", "a" * 81], "cap", "", "Ann!", "0.15", True)),
+        (3, *before, (False,), (True, {}, "95", "20"), (False, ""), (True, "5", "6", "street", "rome", None), (True, [dim], "", "boom"), (True, True, True, ["no"], "cap", "t", "Bo", "1", True)),
+        (4, *before, None, (False, {}, None, None), None, (False, "95", "6", "street", "rome", None), (True, [dim], "Background_throttled", ""), (True, False, False, ["no"], "cap", "t", "Bo", "1", True)),
+        (5, *before, None, None, None, None, (False, None, "", "boom"), (False, True, False, None, None, None, None, None, None)),
+    ]
+    got = {r.k: r for r in ingest.merge_results(spark.createDataFrame(rows, schema)).collect()}
+    show = lambda k: tuple(got[k][f"{s}_status"] for s in status.CLIENT_STAGES)
+    assert show(1) == ("running",) * 6 and got[1].lease_owner == "me" and got[1].face_count == 7
+    assert show(2) == ("done",) * 6 and (got[2].latitude, got[2].longitude) == ("10.5", "20.0") and got[2].exif == {"Make": "m", "GPS.LatitudeDecimal": "10.5", "GPS.LongitudeDecimal": "20.0"}
+    assert (got[2].ocr_text, got[2].caption, got[2].tags, got[2].face_count, got[2].lease_owner) == ("hi", "cap", ["cat", "dog"], 1, "")
+    assert (got[2].person_label, got[2].person_score, got[2].person_candidate) == ("ann", 0.15, False)
+    assert show(3) == ("running", "done", "no_data", "no_data", "done", "failed")
+    assert (got[3].latitude, got[3].city, got[3].country, got[3].tags, got[3].face_count) == ("5.0", "rome", "", ["cat"], 0)
+    assert show(4) == ("running", "running", "running", "running", "no_data", "pending") and got[4].lease_owner == "me" and got[4].latitude == "1"
+    assert show(5) == ("running", "running", "running", "no_data", "running", "no_data")
