@@ -21,6 +21,8 @@ ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
 #: False-positive rate of later levels, and levels and bytes that a cascade may have.
 RATE, MOST_LEVELS, MOST_BYTES = 0.5, 64, 256 << 20
+#: False positives of the first level, a listed key, over which the build stops with an error: a rate gone wrong.
+WRONG_KEYS = 64
 
 
 def host_and_path(url) -> tuple[F.Column, F.Column]:
@@ -36,10 +38,12 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidates(host, path, sizes: list[int]) -> F.Column:
-    """A url's possible keys, the longest first: parent domains times starts of the path of the given lengths."""
+def candidates(host, path, sizes: list[int], most_labels: int) -> F.Column:
+    """A url's possible keys, the longest first: parent domains of up to most_labels labels (no rule has more) times
+    starts of the path of the given lengths. Their number does not grow with the url."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    last = F.slice(labels, -F.least(F.size(labels), F.lit(most_labels)), most_labels)
+    domains = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
     starts = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(sizes, reverse=True)]
     keys = F.flatten(F.transform(domains, lambda d: F.array(*[F.concat(d, s) for s in starts])))
     keys = F.filter(keys, lambda k: k.isNotNull())
@@ -103,28 +107,37 @@ def _hashes(keys: F.Column) -> tuple[F.Column, F.Column]:
 
 def build(spark, listed: list[str], universe: DataFrame) -> Cascade:
     """universe: one column `key`; repeats are fine. Only keys that pass level 1 wrongly are made distinct, about
-    as many as are listed, whatever the universe's size; they too stay distributed but for their bits."""
+    as many as are listed, whatever the universe's size. What is broadcast and collected is bound by the list: its
+    hashes, its bits, and at most WRONG_KEYS hashes a listed key and WRONG_KEYS more."""
     out = Cascade()
     listed = sorted(set(listed))
     if not listed:
         return out
+    if len(listed) * 16 > MOST_BYTES:
+        raise ValueError("the list is too long for one cascade")
     own = spark.createDataFrame([(k,) for k in listed], "key string").select("key", F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2")).collect()
     mine = np.array([r.h1 for r in own], np.int64), np.array([r.h2 for r in own], np.int64)
     size = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
     first = Level(1, len(listed), min(RATE, max(1e-12, len(listed) * math.sqrt(0.5) / size)))
     first.add(*mine)
     out.levels.append(first)
-    shared = spark.sparkContext.broadcast(out)
+    pairs = np.sort(np.rec.fromarrays(mine, names="h1,h2"))
+    shared = spark.sparkContext.broadcast((out, pairs))
 
     @F.pandas_udf("boolean")
     def passes(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.holds(h1.to_numpy(), h2.to_numpy()))
-
-    hashed = universe.where(~F.col("key").isin(listed)) if len(listed) <= 1000 else universe.join(F.broadcast(spark.createDataFrame([(k,) for k in listed], "key string")), "key", "left_anti")
-    hashed = hashed.select("key", F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2"))
-    wrong = hashed.where(passes("h1", "h2")).select("h1", "h2").distinct()
-    # The bound on what reaches the driver: hashes of false positives, by choice of the rate about as many as rules.
-    most = MOST_BYTES // 16
+        """Held by level 1, and not listed."""
+        cascade, listed = shared.value
+        a, b = h1.to_numpy(), h2.to_numpy()
+        held = cascade.holds(a, b)
+        at = np.flatnonzero(held)
+        held[at[np.isin(np.rec.fromarrays((a[at], b[at]), names="h1,h2"), listed)]] = False
+        return pd.Series(held)
+
+    hashed = universe.select(F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2"))
+    wrong = hashed.where(passes("h1", "h2")).distinct()
+    # The rate is such that about as many keys pass wrongly as are listed.
+    most = WRONG_KEYS * (len(listed) + 1)
     rows = wrong.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} false positives at the first level; the list is too long for one cascade")
@@ -145,14 +158,15 @@ def judge(pages: DataFrame, allow: list[str], block: list[str], id_col: str = "p
 
     The longest rule that fits wins (of equally long ones, the first by code points; a rule in both lists
     allows); where none fits, rule is null and the verdict is `default`. Null urls and urls without :// have
-    an empty host and path and fit no rule. Null ids and repeated rows are kept. Only id and url are read, and
-    pages are never shuffled.
+    an empty host and path and fit no rule. Null ids and repeated rows are kept, and urls of any length have a
+    bounded number of keys. An empty table gives no rows. Only id and url are read, and pages are never shuffled.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("__url"))
     sizes = sorted({len(split_rule(r)[1]) for r in [*allow, *block]})
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), sizes) if sizes else F.array().cast("array<string>"))
+    labels = max((split_rule(r)[0].count(".") + 1 for r in [*allow, *block]), default=1)
+    rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), sizes, labels) if sizes else F.array().cast("array<string>"))
     universe = rows.select(F.explode("keys").alias("key"))
     both = spark.sparkContext.broadcast([build(spark, list(x), universe) for x in (allow, block)])
 
