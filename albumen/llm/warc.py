@@ -20,7 +20,9 @@ from albumen.llm.common import materialise, new_path
 
 #: Shorter payloads are always stored. Records of a file: bounds what one task reads back.
 MIN_BYTES = 100
-RECORDS_PER_FILE = 4000
+RECORDS_PER_FILE, FILE_BYTES = 4000, 64 << 20
+#: Bytes that are decompressed at a time, and of payloads that a frame of records read back holds.
+CHUNK, FRAME_BYTES = 1 << 20, 8 << 20
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -42,26 +44,28 @@ def with_digest(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def resolve(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """rows (with_digest) and `original`: the id of the response that a row revisits, or null.
+    """rows (with_digest) with `original` and `original_url`: id and url of the response that a row revisits, or null.
 
     Only digests, lengths and ids are grouped; partial sums make a payload of any number of copies a few rows
     a task. The groups join back by digest, where AQE splits a large group or broadcasts a small table.
     """
     sized = rows.where(F.col("bytes") >= min_bytes)
-    first = sized.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    first = materialise(first, "originals").select(F.col("digest").alias("digest2"), "first")
+    first = sized.groupBy("digest").agg(F.min("id").alias("first"), F.min_by("url", "id").alias("first_url"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first.select("digest", "first", "first_url"), "originals").select(F.col("digest").alias("digest2"), "first", "first_url")
     joined = rows.join(first, (F.col("digest") == F.col("digest2")) & (F.col("bytes") >= min_bytes), "left")
     # A null id never is the original; rows that repeat the original's id are responses too.
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return joined.withColumn("original", F.when(revisit, F.col("first"))).drop("digest2", "first")
+    return joined.withColumns({"original": F.when(revisit, F.col("first")), "original_url": F.when(revisit, F.col("first_url"))}).drop("digest2", "first", "first_url")
 
 
 def record(resolved: DataFrame) -> DataFrame:
     """One column `value`: the records with fresh headers, without their ends."""
     eol, c = F.lit("\r\n"), F.col
-    uri = F.regexp_replace(F.coalesce(c("url"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
+    clean = lambda url: F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7F]", "%20")
     revisit = c("original").isNotNull()
-    name = F.coalesce(c("id").cast("string"), F.lit("null"))
+    # Pages of one id have records of their own as far as their payloads differ.
+    name = F.concat(F.coalesce(c("id").cast("string"), F.lit("null")), F.lit(":"), F.left("digest", F.lit(32)))
+    original = F.concat(c("original").cast("string"), F.lit(":"), F.left("digest", F.lit(32)))
 
     def line(key: str, value) -> F.Column:
         return F.concat(F.lit(f"{key}: "), value, eol)
@@ -74,10 +78,10 @@ def record(resolved: DataFrame) -> DataFrame:
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(name)),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", uri),
+        line("WARC-Target-URI", clean(c("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), c("digest"))),
         line("X-Payload-Length", c("bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(c("original").cast("string"))))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(original)), line("WARC-Refers-To-Target-URI", clean(c("original_url"))), line("WARC-Refers-To-Date", F.lit(DATE)))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, "0").otherwise(c("bytes").cast("string"))),
         eol,
@@ -86,38 +90,68 @@ def record(resolved: DataFrame) -> DataFrame:
     return resolved.select(value.alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(resolved: DataFrame, path: str, records_per_file: int | None = None) -> None:
+    """Without a number, files have as many records as make FILE_BYTES of payload on average, RECORDS_PER_FILE at most."""
+    if records_per_file is None:
+        mean = resolved.agg(F.avg(F.when(F.col("original").isNull(), F.col("bytes")).otherwise(0))).first()[0] or 0
+        records_per_file = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES // (mean + 512))))
     record(resolved).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _inflated(data: bytes):
+    """The bytes of an archive in chunks: gzipped as one or many members, or not at all."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + CHUNK] for at in range(0, len(data), CHUNK))
+        return
+    member, rest = zlib.decompressobj(31), data
+    while rest:
+        yield member.decompress(rest, CHUNK)
+        rest = member.unconsumed_tail
+        if member.eof:
+            rest, member = member.unused_data, zlib.decompressobj(31)
+    yield member.flush()
+
+
 def parse(data: bytes):
-    """(headers with lower-case names, payload) of each record of an archive, gzipped as one or many members or not at all."""
-    if data[:2] == b"\x1f\x8b":
-        parts, rest = [], data
-        while rest:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode("utf-8").split("\r\n")
+    """(headers with lower-case names, payload) of each record of an archive, of which no more is held at a time than
+    a record and a chunk."""
+    chunks, held = _inflated(data), bytearray()
+
+    def more() -> bool:
+        part = next(chunks, None)
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        while (head := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if head < 0:
+            if held:
+                raise ValueError(f"an archive ends within a record: {bytes(held[:40])!r}")
+            return
+        lines = held[:head].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {lines[0][:40]!r}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = head + 4
-        end = start + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
-        yield headers, data[start:end]
-        at = end + 4
+            raise ValueError(f"no WARC record: {lines[0][:40]!r}")
+        headers = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
+        start, end = head + 4, head + 4 + int(headers["content-length"])
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"{headers.get('warc-record-id')} does not end where its length says")
+        yield headers, bytes(held[start:end])
+        del held[: end + 4]
+
+
+COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "payload"]
 
 
 def _read(batches):
+    def frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+
     for pdf in batches:
         for data in pdf["content"]:
-            out = []
+            out, size = [], 0
             for h, payload in parse(bytes(data)):
                 kind = h["warc-type"]
                 stated = h["warc-payload-digest"].removeprefix("sha256:")
@@ -125,12 +159,15 @@ def _read(batches):
                     raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
                 page, refers = (None if x is None or x == "null" else int(x) for x in (_number(h["warc-record-id"]), _number(h.get("warc-refers-to", ""))))
                 out.append((page, int(h["x-payload-length"]), stated, kind, refers, h["warc-target-uri"], payload.decode("utf-8") if kind == "response" else None))
-            frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "payload"])
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                size += len(payload)
+                if size > FRAME_BYTES:
+                    yield frame(out)
+                    out, size = [], 0
+            yield frame(out)
 
 
 def _number(urn: str) -> str | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+|null)>", urn)
+    m = re.fullmatch(r"<urn:page:(-?\d+|null)(?::[0-9a-f]*)?>", urn)
     return m[1] if m else None
 
 
@@ -147,7 +184,8 @@ def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> DataFram
 
     Null html is an empty payload; null urls are empty. Payloads under min_bytes are always responses. Rows
     that repeat a page_id are records of their own: those with the original's id are responses like it. A
-    null page_id is never an original while a copy has an id. An empty table gives an archive of no records.
+    null page_id is never an original while a copy has an id. Payloads of any length are read back record by record;
+    files are cut by their mean. An empty table gives an archive of no records.
     """
     write_archives(resolve(with_digest(pages), min_bytes), path)
     return read_archives(pages.sparkSession, path)
