@@ -3,7 +3,7 @@
 Each task packs the documents it reads, block by block: texts are routed to tiers of context size, whole
 windows of the longest tier are cut off, each remainder opens a window of the smallest tier that holds it,
 and gaps are filled from shorter tiers, the last piece being cut to fit. What is left at the end of a block
-is cut at powers of two, so no sequence is padded. Windows of one tier form step groups of equal tokens.
+is cut at powers of two, so no sequence is padded. Sequences of one length form step groups of equal tokens and cost.
 Nothing is shuffled.
 """
 
@@ -110,63 +110,82 @@ def powers(n: int) -> list[int]:
 
 
 def pack_block(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length). A sequence is as long as a tier or, at the end, a power of two."""
-    top, sequences, pool = tiers[0], [], []
+    """Sequences of (document, start, length). A sequence is as long as a tier or, at the end, a power of two.
+
+    Whole windows of the longest tier are cut off; each remainder is routed to the smallest tier that holds it. Tiers
+    are packed from the longest: a tier's largest piece opens a window, and its gap takes the largest piece that fits,
+    from the tier itself and then from shorter ones; where none fits, the shortest piece there is is cut.
+    """
+    top, sequences = tiers[0], []
+    pools: dict[int, list] = {t: [] for t in tiers}
     for doc, n in enumerate(lengths):
         whole = n - n % top
         sequences += [[(doc, at, top)] for at in range(0, whole, top)]
         if n > whole:
-            pool.append((n - whole, doc, whole))
-    pool.sort()
-    while pool:
-        n, doc, at = pool.pop()
-        tier = min(t for t in tiers if t >= n)
-        window, gap = [(doc, at, n)], tier - n
-        while gap and pool:
-            # The largest piece that fits comes from a shorter tier; if none fits, the smallest is cut.
-            k = bisect_right(pool, (gap, len(lengths), 0)) - 1
-            n, doc, at = pool.pop(max(k, 0))
-            window.append((doc, at, min(n, gap)))
-            if n > gap:
-                insort(pool, (n - gap, doc, at + gap))
-            gap -= min(n, gap)
-        if not gap:
-            sequences.append(window)
-            continue
-        parts = powers(tier - gap)
-        room, current = parts.pop(0), []
-        for doc, at, n in window:
-            while n:
-                take = min(n, room)
-                current.append((doc, at, take))
-                at, n, room = at + take, n - take, room - take
-                if not room:
-                    sequences.append(current)
-                    room, current = parts.pop(0) if parts else 0, []
+            pools[min(t for t in tiers if t >= n - whole)].append((n - whole, doc, whole))
+    for pool in pools.values():
+        pool.sort()
+    for tier in tiers:
+        while pools[tier]:
+            n, doc, at = pools[tier].pop()
+            window, gap = [(doc, at, n)], tier - n
+            while gap and (found := _filler(pools, tiers, gap)):
+                pool, k = found
+                n, doc, at = pool.pop(k)
+                window.append((doc, at, min(n, gap)))
+                if n > gap:
+                    insort(pools[min(t for t in tiers if t >= n - gap)], (n - gap, doc, at + gap))
+                gap -= min(n, gap)
+            sequences += [window] if not gap else _in_powers(window, tier - gap)
     return sequences
 
 
-class _Steps:
-    """Deals the windows of each length to step groups of equal tokens."""
-
-    def __init__(self, base: int):
-        self.next, self.open = base, {}
-
-    def __call__(self, window: int) -> int:
-        step, left = self.open.get(window, (None, 0))
-        if not left:
-            step, left = self.next, max(1, STEP_TOKENS // window)
-            self.next += 1
-        self.open[window] = step, left - 1
-        return step
+def _filler(pools: dict[int, list], tiers: tuple[int, ...], gap: int):
+    """(pool, place) of the piece that a gap takes: the largest that fits, else the shortest; None if there is none."""
+    for tier in tiers:
+        if pools[tier] and pools[tier][0][0] <= gap:
+            return pools[tier], bisect_right(pools[tier], gap, key=lambda piece: piece[0]) - 1
+    return next(((pools[t], 0) for t in reversed(tiers) if pools[t]), None)
+
+
+def _in_powers(window: list, size: int) -> list:
+    """A window's pieces cut into sequences at powers of two."""
+    parts, out, current = powers(size), [], []
+    room = parts.pop(0)
+    for doc, at, n in window:
+        while n:
+            take = min(n, room)
+            current.append((doc, at, take))
+            at, n, room = at + take, n - take, room - take
+            if not room:
+                out.append(current)
+                room, current = parts.pop(0) if parts else 0, []
+    return out
+
+
+def step_groups(sequences: list) -> list[int]:
+    """A group of each sequence, from 0. Sequences of one length are dealt to the fewest groups of at most STEP_TOKENS
+    tokens, each of as many sequences as the others, or one less; the costliest (by the squares of their pieces, which
+    attention pays) go first, forth and back, so that groups cost alike."""
+    by_length: dict[int, list] = {}
+    for k, pieces in enumerate(sequences):
+        by_length.setdefault(sum(n for _, _, n in pieces), []).append((-sum(n * n for _, _, n in pieces), k))
+    out, base = [0] * len(sequences), 0
+    for length, rows in sorted(by_length.items(), reverse=True):
+        groups = -(-len(rows) // max(1, STEP_TOKENS // length))
+        for place, (_, k) in enumerate(sorted(rows)):
+            turn, at = divmod(place, groups)
+            out[k] = base + (groups - 1 - at if turn % 2 else at)
+        base += groups
+    return out
 
 
 def _pack(path: str, end_id: int, tiers: tuple[int, ...], memory_words: int):
-    def rows(block: list, sequence: int, steps: _Steps):
-        out = []
-        for pieces in pack_block([len(ids) for _, ids in block], tiers):
-            window, offset = sum(n for _, _, n in pieces), 0
-            step = steps(window)
+    def rows(block: list, sequence: int, base: int):
+        out, sequences = [], pack_block([len(ids) for _, ids in block], tiers)
+        steps = step_groups(sequences)
+        for pieces, step in zip(sequences, steps):
+            window, offset, step = sum(n for _, _, n in pieces), 0, base + step
             for doc, at, n in pieces:
                 doc_id, ids = block[doc]
                 out.append((doc_id, at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), len(ids), sequence, offset, window, step))
@@ -174,22 +193,22 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], memory_words: int):
             sequence += 1
         frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_id"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame, sequence
+        return frame, sequence, base + max(steps, default=-1) + 1
 
     def run(batches):
         encode, base = kept("packing", f"{path} {memory_words}", lambda: WordEncoder(path, memory_words)), TaskContext.get().partitionId() << 33
-        sequence, steps, block, tokens = base, _Steps(base), [], 0
+        sequence, step, block, tokens = base, base, [], 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = np.append(encode(text or ""), np.array([end_id], encode.kind))
                 block.append((doc_id, ids))
                 tokens += len(ids)
                 if tokens >= BLOCK_TOKENS:
-                    frame, sequence = rows(block, sequence, steps)
+                    frame, sequence, step = rows(block, sequence, step)
                     yield frame
                     block, tokens = [], 0
         if block:
-            yield rows(block, sequence, steps)[0]
+            yield rows(block, sequence, step)[0]
 
     return run
 
