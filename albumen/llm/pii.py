@@ -1,10 +1,11 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find emails, IP addresses, card and phone numbers. The field's variables are a text's pattern
-matches and the number-like and name-like tokens that resemble one of them. Occurrences of equal or similar
-tokens are joined by skip edges however far apart, neighbours in the text by chain edges, and loopy message
-passing spreads the labels. Matches are clamped to their kind, and tokens that then take a kind with high
-probability are added as spans. Potentials are counted over all documents.
+matches, its long runs like numbers, and the name-like tokens that resemble a match. Occurrences of equal or
+similar tokens (equal but for one sign) are joined by skip edges however far apart, neighbours in the text by
+chain edges, and loopy message passing spreads the labels. Matches are clamped to their kind, and tokens that
+then take a kind with high probability are added as spans. Potentials are counted over all documents, on top of
+counts that stand for what is known before.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Links by which tokens share potentials: the same text, the same after folding, and a part of the other.
-LINKS = ("same", "folded", "part")
+#: Links by which tokens share potentials: the same text, the same after folding, a part of the other, and the same
+#: but for one sign.
+LINKS = ("same", "folded", "part", "similar")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Starting within a run of digits never helps: a run is read from its start, and never given back.
@@ -29,12 +31,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGNS = re.compile(r"[0-9@]")
+#: What every run like a number of seven digits has.
+RUN = re.compile(r"[0-9][\x20().-]{0,2}[0-9][\x20().-]{0,2}[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 #: Tokens that may be joined to a match: runs like numbers, and words like the names in addresses.
 NUMBERS = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20().-]{0,2}[0-9])*+(?![0-9A-Za-z])")
 NAMES = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*+(?![@A-Za-z0-9])")
 #: Digits, or characters of a name, that a part must have; rounds of message passing; what a new span needs.
-PART_DIGITS, PART_NAME, ROUNDS, DAMPING, ACCEPT = 7, 6, 20, 0.3, 0.9
+PART_DIGITS, PART_NAME, ROUNDS, DAMPING, ACCEPT = 7, 6, 200, 0.3, 0.9
+#: Digits of a run that is compared by similarity: those of the longest card number.
+MOST_DIGITS = 19
 #: Counts that stand for what is known before any text is read: linked tokens agree, loose tokens are no data.
 AGREE, DISAGREE, LOOSE = 95.0, 5.0, 20.0
 
@@ -92,50 +98,66 @@ def _keys(kind: str, token: str) -> dict[str, str]:
     keys = {digits: "folded"}
     if kind == "phone" and len(digits) >= PART_DIGITS + 3:
         keys[digits[-10:]] = "part"
-    return keys
+    return keys | _masked(digits)
 
 
-def _candidates(text: str, taken: list[tuple[int, int]], wanted: set[str]) -> list[tuple[int, int, str]]:
-    """(start, end, key) of tokens outside the matches whose key is wanted."""
+def _masked(digits: str) -> dict[str, str]:
+    """Keys that long runs share if they are equal but for one digit."""
+    if not PART_DIGITS + 2 <= len(digits) <= MOST_DIGITS:
+        return {}
+    return {digits[:i] + "?" + digits[i + 1 :]: "similar" for i in range(len(digits))}
+
+
+def _tokens(text: str, taken: list[tuple[int, int]], wanted: set[str]) -> list[tuple[int, int, dict[str, str]]]:
+    """(start, end, keys) of tokens outside the matches: all runs like numbers of PART_DIGITS digits or more, and shorter
+    runs and names of which a match has the key."""
     starts = np.array([s for s, _ in taken])
-    most = np.maximum.accumulate(np.array([e for _, e in taken]))
-    out = []
-    for pattern, fold in ((NUMBERS, lambda t: DIGITS.sub("", t)), (NUMBERS, str), (NAMES, str.lower)):
-        for m in pattern.finditer(text):
-            key = fold(m[0].rstrip("."))
-            if key in wanted:
-                start, end = m.start(), m.start() + len(m[0].rstrip("."))
-                k = int(np.searchsorted(starts, end)) - 1
-                if k < 0 or most[k] <= start:
-                    out.append((start, end, key))
-    return sorted(set(out))
+    most = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else starts
+    out: dict[tuple[int, int], dict[str, str]] = {}
+
+    def free(start: int, end: int) -> bool:
+        k = int(np.searchsorted(starts, end)) - 1 if taken else -1
+        return k < 0 or most[k] <= start
+
+    for m in NUMBERS.finditer(text):
+        token = m[0].rstrip(".")
+        digits = DIGITS.sub("", token)
+        if (len(digits) >= PART_DIGITS or not wanted.isdisjoint((token, digits))) and free(m.start(), m.start() + len(token)):
+            out[m.start(), m.start() + len(token)] = {digits: "folded", token: "same"} | _masked(digits)
+    if wanted:
+        for m in NAMES.finditer(text):
+            token = m[0].rstrip(".")
+            if token.lower() in wanted and free(m.start(), m.start() + len(token)):
+                out.setdefault((m.start(), m.start() + len(token)), {})[token.lower()] = "part"
+    return [(s, e, keys) for (s, e), keys in out.items()]
 
 
 def graph(text: str, base: list[tuple[str, int, int]]):
     """Nodes (start, end, kind or '', shape) in the order of the text, and skip edges (i, j, link).
 
-    Occurrences of a key are joined to the next one, so edges grow with tokens and not with their pairs.
+    Occurrences of a key are joined to the one before and to the first match that has it, so edges grow with tokens
+    and not with their pairs. Of several links of two nodes, the closest counts.
     """
-    wanted: dict[str, str] = {}
-    for kind, s, e in base:
-        for key, link in _keys(kind, text[s:e]).items():
-            wanted.setdefault(key, link)
-    spans = sorted((s, e) for _, s, e in base)
-    nodes = sorted([(s, e, kind, _keys(kind, text[s:e])) for kind, s, e in base] + [(s, e, "", {key: wanted[key]}) for s, e, key in _candidates(text, spans, set(wanted))], key=lambda n: n[:3])
+    matches = [(s, e, kind, _keys(kind, text[s:e])) for kind, s, e in base]
+    wanted = {key: link for _, _, _, keys in reversed(matches) for key, link in keys.items()}
+    loose = [(s, e, "", keys) for s, e, keys in _tokens(text, sorted((s, e) for _, s, e in base), set(wanted))]
+    nodes = sorted(matches + loose, key=lambda n: n[:3])
     last: dict[str, int] = {}
     first_base: dict[str, int] = {}
-    edges = set()
+    edges: dict[tuple[int, int], int] = {}
     for i, (_, _, kind, keys) in enumerate(nodes):
-        for key, link in keys.items():
-            if kind:
+        if kind:
+            for key in keys:
                 first_base.setdefault(key, i)
     for i, (_, _, _, keys) in enumerate(nodes):
-        for key in keys:
+        for key, link in keys.items():
+            rank = LINKS.index(wanted.get(key, link))
             for j in (last.get(key), first_base.get(key)):
                 if j is not None and j != i:
-                    edges.add((min(i, j), max(i, j), wanted[key]))
+                    pair = (min(i, j), max(i, j))
+                    edges[pair] = min(edges.get(pair, rank), rank)
             last[key] = i
-    return [(s, e, kind, _shape(text[s:e])) for s, e, kind, _ in nodes], sorted(edges)
+    return [(s, e, kind, _shape(text[s:e])) for s, e, kind, _ in nodes], [(i, j, LINKS[r]) for (i, j), r in sorted(edges.items())]
 
 
 def _count(batches):
@@ -143,9 +165,9 @@ def _count(batches):
     counts: Counter = Counter()
     for pdf in batches:
         for text in pdf["text"]:
-            if not text or not (base := base_spans(text)):
+            if not text or not SIGNS.search(text):
                 continue
-            nodes, edges = graph(text, base)
+            nodes, edges = graph(text, base_spans(text))
             for _, _, kind, shape in nodes:
                 counts["unary", shape, kind or "none"] += 1
             for i, j, link in edges:
@@ -199,7 +221,7 @@ def marginals(nodes: list, edges: list, model: dict) -> np.ndarray:
     pair = np.array([t for _, _, t in links] * 2)  # tables are symmetric
     back = (np.arange(len(src)) + len(links)) % len(src)
     msg = np.zeros((len(src), k))
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS):  # damped messages settle within some 20; a graph that has not by then keeps its last
         belief = own.copy()
         np.add.at(belief, dst, msg)
         new = np.logaddexp.reduce((belief[src] - msg[back])[:, :, None] + pair, axis=1)
@@ -216,7 +238,7 @@ def marginals(nodes: list, edges: list, model: dict) -> np.ndarray:
 def all_spans(text: str | None, model: dict) -> tuple[list, list]:
     """The pattern spans, and those with the spans that the field adds, both by kind and start."""
     base = base_spans(text or "")
-    if not base:
+    if not base and not RUN.search(text or ""):
         return [], []
     nodes, edges = graph(text, base)
     if all(kind for _, _, kind, _ in nodes):
