@@ -25,8 +25,9 @@ BARE = 2 * W
 BITS, HELD, SET, CLASSES = 2048, 160, 5, 1001
 #: Windows with less than this share of the highest entropy (runs of a few bytes) are never features.
 FLAT = 0.1
-#: Characters worked on together, and rows of a range of ids.
-CHUNK, RANGE_ROWS = 1 << 20, 2000
+#: Characters worked on together, rows of a range of ids, and most ranges: one bound of each goes through the driver. A
+#: task reads its range in order and holds two texts of it, so a range may be of any size.
+CHUNK, RANGE_ROWS, MOST_RANGES = 1 << 20, 2000, 20_000
 _G = np.array([0.0, *(c * np.log2(c) for c in range(1, B + 1))])
 _STEP = np.rint((_G[1:] - _G[:-1]) * 4096).astype(np.int32)
 _MOST = int(_STEP.sum())
@@ -203,7 +204,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the next one's first document, the last range with one of the first, so each task sees every successor."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     n, nulls, least = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
-    parts = max(1, n // RANGE_ROWS)
+    parts = min(MOST_RANGES, max(1, n // RANGE_ROWS))
     bounds: list[int] = []
     if parts > 1:
         found = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0]
