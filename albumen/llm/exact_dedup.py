@@ -104,7 +104,10 @@ def name_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             release(old)
         many, longest = after, (longest + 1) // 2
     rest = docs.where("n > 1").select("rid", "id", "sha", "n").join(many.select("rid", "name"), "rid").select("id", "sha", "n", "name")
-    return materialise(one.unionByName(rest).withColumnRenamed("n", "n_blocks"), "identity")
+    found = materialise(one.unionByName(rest).withColumnRenamed("n", "n_blocks"), "identity")
+    for old in (cut, named, many):
+        release(old)
+    return found
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
