@@ -29,8 +29,10 @@ BITS, COMPARED, MOST = 256, 128, 34
 #: bit is equal with probability EQUAL, a pair meets in none with probability exp(-SURE). Anchors hold WIDER times
 #: the pairs that are equal in all bits of a block.
 LEAST_BITS, MOST_BITS, EQUAL, WIDER, SURE = 18, 38, 0.8485, 1.65, 5.0
+#: Bits by which the last pairs are told apart, and that those may differ in: at 0.8, 155 on average, deviation 11.5.
+WIDE_BITS, MOST_WIDE = 1024, 187
 #: Shingles worked on together; pivots of a group in each round; pairs a text, on average, that may be left by then.
-CHUNK, PIVOTS, EACH = 255, (1, 8, 64), 8
+CHUNK, PIVOTS, EACH = 255, (1, 8), 8
 _PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
 
 
@@ -54,10 +56,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def fingerprint(h: np.ndarray) -> np.ndarray:
-    """BITS // 64 words: a bit is 1 if over half of the set's hashes have it."""
-    stirred = np.stack([_mixed(h * np.uint64(c)) for c in _PLACE[: BITS // 64]], axis=1)
-    ones = np.zeros(BITS, np.int64)
+def fingerprint(h: np.ndarray, bits: int = BITS, first: int = 0) -> np.ndarray:
+    """bits // 64 words: a bit is 1 if over half of the set's hashes have it. `first` tells apart families of hashes."""
+    stirred = np.stack([_mixed(_mixed(h * np.uint64(_PLACE[k % 4])) + np.uint64(k // 4)) if k >= 4 else _mixed(h * np.uint64(_PLACE[k])) for k in range(first, first + bits // 64)], axis=1)
+    ones = np.zeros(bits, np.int64)
     for at in range(0, len(h), CHUNK):
         bits = np.unpackbits(stirred[at : at + CHUNK].view(np.uint8), axis=1, bitorder="little")
         ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
@@ -100,6 +102,7 @@ def _sign(batches):
 
 
 FP = [f"f{k}" for k in range(BITS // 64)]
+WIDE = [f"w{k}" for k in range(WIDE_BITS // 64)]
 _COMPARED = FP[: COMPARED // 64]
 
 
@@ -122,14 +125,29 @@ def _spread(bits: int, blocks: int):
     return run
 
 
-def candidates(signed: DataFrame, n: int, root: str | None = None) -> DataFrame:
+def candidates(signed: DataFrame, n: int, root: str | None = None, best: bool = False) -> DataFrame:
     """(a, b): links that span the groups of nodes that meet and differ in at most MOST bits; with `root`, a column
-    of signed, all such pairs of different roots. signed: node, FP and n rows about."""
+    of signed, all pairs of different roots instead, or the nearest of each two roots. signed: node, FP and n rows
+    about; where it has WIDE, pairs are of those bits, MOST_WIDE at most."""
     bits, blocks = layout(n)
-    extra = f", {root} long" if root else ""
-    rows = signed.select("node", *FP, *([root] if root else []))
-    rows = rows.mapInPandas(_spread(bits, blocks), f"anchor long, home byte, node long, {', '.join(f'{c} long' for c in _COMPARED)}{extra}")
-    return meet(rows).mapInPandas(_compare(MOST, _COMPARED, "node", root), "a long, b long")
+    wide = all(c in signed.columns for c in WIDE)
+    columns = ["node", *_COMPARED, *([root] if root else []), *(WIDE if wide else [])]
+    rows = signed.select("node", *FP, *columns[1 + len(_COMPARED) :])
+    rows = rows.mapInPandas(_spread(bits, blocks), f"anchor long, home byte, {', '.join(f'{c} long' for c in columns)}")
+    most, compared = (MOST_WIDE, WIDE) if wide else (MOST, _COMPARED)
+    return meet(rows).mapInPandas(_compare(most, compared, "node", root, best), "a long, b long")
+
+
+def _widen(batches):
+    for pdf in batches:
+        words = np.array([fingerprint(shingles(t), WIDE_BITS, BITS // 64).view(np.int64) for t in pdf["text"]]).reshape(-1, len(WIDE))
+        yield pd.concat([pdf.drop(columns="text"), pd.DataFrame(words, columns=WIDE, index=pdf.index)], axis=1)
+
+
+def widened(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with WIDE bits of their texts, by which pairs near the bound are told apart four times as well."""
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} long" for c in WIDE])
+    return rows.join(texts, "node").select(*rows.columns, "text").mapInPandas(_widen, schema)
 
 
 def _decide(batches):
@@ -171,10 +189,12 @@ def near_roots(docs: DataFrame) -> DataFrame:
     signed = docs.select("node", "text").mapInPandas(_sign, f"node long, size long, {', '.join(f'{c} long' for c in FP)}")
     signed = materialise(signed.dropDuplicates(["node"]), "signed")
     n = signed.count()
-    groups = materialise(connected_components(materialise(candidates(signed, n), "met")), "groups")
+    met = materialise(candidates(signed, n), "met")
+    groups = materialise(connected_components(met), "groups")
     # Few of the texts: all that follows is about these.
     members = materialise(signed.join(groups.withColumnRenamed("root", "bucket"), "node"), "members")
-    texts = docs.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # Sorted and merged at every size: the members of a large corpus are too many to broadcast.
+    texts = docs.hint("merge").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts, "texts")
     links, alone = texts.sparkSession.createDataFrame([], "a long, b long"), members
     for k, each in enumerate(PIVOTS):
@@ -192,13 +212,22 @@ def near_roots(docs: DataFrame) -> DataFrame:
         if work <= EACH * n:
             break
     roots = materialise(connected_components(links), "roots")
-    # What pivots have left: every pair of different components that meets at an anchor.
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted, "rooted")
-    left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    rest = materialise(rooted.join(left.select("bucket"), "bucket", "left_semi"), "rest")
-    more = _links(candidates(rest, n, "root"), texts)
-    return materialise(connected_components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")), "roots")
+    # What pivots have left: of any two components that meet at an anchor first the nearest pair, then every pair.
+    for best in (True, False):
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = materialise(rooted, "rooted")
+        left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        rest = rooted.join(left.select("bucket"), "bucket", "left_semi")
+        rest = materialise(rest if best else widened(rest, texts), "rest")
+        more = _links(candidates(rest, n, "root", best), texts)
+        every = materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
+        found = materialise(connected_components(every), "roots")
+        for old in (roots, rooted, rest, more, every):
+            release(old)
+        roots = found
+    for old in (signed, met, groups, members, texts, links, alone):
+        release(old)
+    return roots
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

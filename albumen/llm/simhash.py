@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumen.llm.common import connected_components, local_components, materialise
+from albumen.llm.common import connected_components, local_components, materialise, release
 
 #: Words, as the contract has them, and what is lower-cased.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,9 +187,10 @@ def _frontier(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list, list
     return a, b
 
 
-def _compare(most: int, bits: list[str], node: str, root: str | None = None):
+def _compare(most: int, bits: list[str], node: str, root: str | None = None, best: bool = False):
     """Among the fingerprints (columns `bits`) that meet at an anchor, spanning links; with `root`, all near pairs
-    of different roots instead. The partition is sorted by anchor and cell, homes first."""
+    of different roots instead, or the nearest (`best`) of each two roots. The partition is sorted by anchor and cell,
+    homes first."""
 
     def links(key: np.ndarray, home: np.ndarray, ids: np.ndarray, fp: np.ndarray, roots: np.ndarray):
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
@@ -214,7 +215,14 @@ def _compare(most: int, bits: list[str], node: str, root: str | None = None):
             x = np.repeat(of[part], n)
             y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cuts[group[part]], n)
             hit = np.flatnonzero(roots[x] != roots[y])
-            hit = hit[_differing(fp[x[hit]], fp[y[hit]]) <= most]
+            far = _differing(fp[x[hit]], fp[y[hit]])
+            hit, far = hit[far <= most], far[far <= most]
+            if best:
+                sides = np.sort(np.c_[roots[x[hit]], roots[y[hit]]], axis=1)
+                order = np.lexsort((far, sides[:, 1], sides[:, 0]))
+                first = np.ones(len(order), bool)
+                first[1:] = (sides[order][1:] != sides[order][:-1]).any(axis=1)
+                hit = hit[order[first]]
             a.append(ids[x[hit]]), b.append(ids[y[hit]])
         if a and len(x := np.concatenate(a)):
             y = np.concatenate(b)
@@ -295,11 +303,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = materialise(with_fingerprint(docs, "text", words).select("doc_id", "fp"), "fingerprints")
     fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     # Written first: two Python stages in one task would need twice the workers.
-    roots = connected_components(materialise(near_links(fps, most), "links")).withColumnRenamed("node", "fp")
+    links = materialise(near_links(fps, most), "links")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = materialise(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    for old in (fps, links, rooted, least):
+        release(old)
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 from albumen.llm import fingerprint, packing, pii, piece_encoding, substring_dedup, toxicity, url_filter, warc
@@ -247,6 +249,34 @@ def test_toxicity_learns_and_leaves_held_out_rows(spark):
     assert toxicity.toxic_scores(docs_df(spark, []), lab).collect() == []
 
 
+def test_scores_against_plain_compression(spark):
+    """Each word compressed by itself with a fresh compressor, and the score worked out from the lengths."""
+    random.seed(9)
+    plain = "river stone water lantern meadow copper window harvest autumn thunder".split()
+    rows = [(" ".join([random.choice(plain) for _ in range(20)] + ["gruxle", "vorpiks"] * (k % 3 == 0)), int(k % 3 == 0)) for k in range(60)]
+    model = toxicity.fit(rows)
+
+    def length(word, content):
+        data = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(
+            window_log=17, hash_log=13, chain_log=13, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2,
+            write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        )
+        return len(zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress(b" " + word.encode() + toxicity.TAIL))
+
+    def score(text):
+        words = (text or "").lower().split()
+        d = sorted((length(w, model["dictionaries"][1]) - length(w, model["dictionaries"][0]) for w in words), reverse=True)
+        top = [*d, *[0] * 8][:8] if len(d) < 8 else d[:8]
+        x = np.array([top[0], top[1], top[2], sum(top[:4]), sum(top), np.log1p(len(words))])
+        return 1 / (1 + np.exp(-((x - model["mean"]) / model["scale"] @ model["weights"][:-1] + model["weights"][-1])))
+
+    texts = [t for t, _ in rows[:12]] + [None, "", "Gruxle!", "unknown words here"]
+    df = docs_df(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.p for r in toxicity.with_score(df, model, name="p").collect()}
+    assert all(abs(got[k] - score(t)) < 1e-6 for k, t in enumerate(texts))
+
+
 # -- packing
 
 
@@ -339,3 +369,94 @@ def test_loopy_messages_spread_a_label():
     nodes = [(0, 1, "phone", "s"), (2, 3, "", "s"), (4, 5, "", "s"), (6, 7, "", "s")]
     p = pii.marginals(nodes, [(0, 1, "folded"), (0, 2, "folded"), (1, 2, "folded")], model)
     assert p[0].argmax() == 4 and p[1].argmax() == 4 and p[2].argmax() == 4 and p[3].argmax() == 0
+
+
+def marginals_by_enumeration(nodes, edges, model):
+    k, n = len(pii.LABELS), len(nodes)
+    plain = np.log(np.array([pii.LOOSE, *[1.0] * 4]) / (pii.LOOSE + 4))
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if any(kind and pii.LABELS[x] != kind for x, (_, _, kind, _) in zip(labels, nodes)):
+            continue
+        score = sum(model["unary"].get(s, plain)[x] for x, (_, _, kind, s) in zip(labels, nodes) if not kind)
+        score += sum(model["skip"][link][labels[i], labels[j]] for i, j, link in edges) + sum(model["chain"][a, b] for a, b in zip(labels, labels[1:]))
+        for i, x in enumerate(labels):
+            total[i, x] += np.exp(score)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_messages_against_enumeration():
+    rng = np.random.default_rng(2)
+    table = lambda p: np.log(np.where(np.eye(5) > 0, p, (1 - p) / 4))
+    for case in range(40):
+        n = int(rng.integers(1, 6))
+        model = {"unary": {"a": np.log(rng.dirichlet(np.ones(5))), "b": np.log(rng.dirichlet(np.ones(5)))}, "skip": {x: table(rng.uniform(0.5, 0.97)) for x in pii.LINKS}, "chain": table(0.3) * 0.1}
+        nodes = [(2 * i, 2 * i + 1, str(rng.choice(["", "", "card", "phone"])), str(rng.choice(["a", "b", "c"]))) for i in range(n)]
+        edges = [(i, j, str(rng.choice(pii.LINKS))) for i in range(n) for j in range(i + 2, n) if rng.random() < 0.4]
+        got, want = pii.marginals(nodes, edges, model), marginals_by_enumeration(nodes, edges, model)
+        loops = len(edges) > 0
+        assert np.abs(got - want).max() < (0.2 if loops else 1e-3), case
+        clear = want.max(axis=1) > 0.7
+        assert (got.argmax(axis=1) == want.argmax(axis=1))[clear].all()
+
+
+def test_similar_runs_are_linked():
+    text = "card 4041894974608795, so 4041894974608796 or 4041 8949 7460 8796; not 4041894974608111"
+    nodes, edges = pii.graph(text, pii.base_spans(text))
+    assert [text[s:e] for s, e, _, _ in nodes] == ["4041894974608795", "4041894974608796", "4041 8949 7460 8796", "4041894974608111"]
+    assert {(i, j): link for i, j, link in edges} == {(0, 1): "similar", (0, 2): "similar", (1, 2): "folded"}
+    nodes, edges = pii.graph("call 555 010 4477 or 555-010-4477", [])
+    assert len(nodes) == 2 and edges == [(0, 1, "folded")]
+
+
+def test_step_groups_are_balanced(monkeypatch):
+    monkeypatch.setattr(packing, "STEP_TOKENS", 16_384)
+    random.seed(3)
+    sequences = packing.pack_block([random.choice([random.randint(1, 300), random.randint(300, 5000)]) for _ in range(400)])
+    groups: dict = {}
+    for pieces, g in zip(sequences, packing.step_groups(sequences)):
+        groups.setdefault(g, []).append(pieces)
+    sizes: dict = {}
+    for rows in groups.values():
+        lengths = {sum(n for _, _, n in pieces) for pieces in rows}
+        assert len(lengths) == 1 and len(rows) * min(lengths) <= packing.STEP_TOKENS
+        sizes.setdefault(lengths.pop(), []).append((len(rows), sum(n * n for pieces in rows for _, _, n in pieces)))
+    assert sorted(groups) == list(range(len(groups)))
+    for length, rows in sizes.items():
+        assert max(n for n, _ in rows) - min(n for n, _ in rows) <= 1
+        if len(rows) > 1 and min(n for n, _ in rows) == max(n for n, _ in rows) > 1:
+            assert max(c for _, c in rows) - min(c for _, c in rows) <= length * length
+
+
+def test_long_tiers_take_what_is_long():
+    sequences = packing.pack_block([3000, 900, 400, 100, 60, 30, 1500, 20])
+    first = next(p for p in sequences if any(d == 0 for d, _, _ in p))
+    assert [(d, n) for d, _, n in first] == [(0, 3000), (1, 900), (3, 100), (4, 60), (5, 30), (7, 6)]
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 20_000 + "net/es/x", "http://" + "a" * 100_000 + "/en/", "http://b." + "x" * 50_000 + ".example.com/en/" + "y" * 50_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, list(url_filter.ALLOW), list(url_filter.BLOCK)).collect()}
+    assert got == {0: ("net/es/", "block"), 1: (None, "allow"), 2: ("example.com/en/", "block")}
+
+
+def test_many_rules(spark):
+    rules = [f"s{k}.org/" for k in range(3000)]
+    df = spark.createDataFrame([(k, f"http://s{k}.org/a") for k in range(2500, 4500)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, [], rules).collect()}
+    assert got == {k: "block" if k < 3000 else "allow" for k in range(2500, 4500)}
+
+
+def test_archives_of_long_payloads(spark, monkeypatch):
+    rows = [(k, None if k % 5 == 0 else f"http://h/{k} x", "é" * (400_000 if k == 3 else 20 * k)) for k in range(12)] + [(None, "u", None), (3, "again", "other " * 50), (20, "copy", "é" * 400_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    path = new_path(spark, "warc")
+    out = warc.archive(df, path).collect()
+    assert len(out) == len(rows) and sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in out) == sorted((i is None, i or 0, len((t or "").encode())) for i, _, t in rows)
+    assert {(r.page_id, r.refers_to, r.payload) for r in out if r.record_type == "revisit"} == {(20, 3, None)}
+    raw = [h for row in spark.read.format("binaryFile").load(path).collect() for h, _ in warc.parse(bytes(row.content))]
+    assert spark.read.format("binaryFile").load(path).count() > 1 and len({h["warc-record-id"] for h in raw}) == len(rows)
+    copy = next(h for h in raw if h["warc-type"] == "revisit")
+    assert copy["warc-refers-to-target-uri"] == "http://h/3%20x" and copy["warc-refers-to-date"] == warc.DATE
