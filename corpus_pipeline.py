@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumen.llm import exact_dedup, near_copies, packing, pii, toxicity
-from albumen.llm.common import materialise
+from albumen.llm.common import materialise, release
 
 #: Words that a worker remembers while packing: fewer than by default, as executors have run other stages before.
 MEMORY_WORDS = 100_000
@@ -28,9 +28,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, dropped: DataFrame, of_text: Column) -> DataFrame:
     """docs without the rows in `dropped`, a table of two columns: doc_id and a digest of the text, which is
-    `of_text` in docs. Null ids match null; another text of the same id stays."""
+    `of_text` in docs. Null ids match null; another text of the same id stays. A merge join at every size: what a
+    large corpus drops is too much to broadcast."""
     dropped = materialise(dropped.toDF(_ID, _DIGEST).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[_ID]) & (of_text == dropped[_DIGEST]), "left_anti")
+    return docs.hint("merge").join(dropped, docs["doc_id"].eqNullSafe(dropped[_ID]) & (of_text == dropped[_DIGEST]), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
