@@ -90,11 +90,13 @@ def record(resolved: DataFrame) -> DataFrame:
     return resolved.select(value.alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, records_per_file: int | None = None) -> None:
-    """Without a number, files have as many records as make FILE_BYTES of payload on average, RECORDS_PER_FILE at most."""
-    if records_per_file is None:
-        mean = resolved.agg(F.avg(F.when(F.col("original").isNull(), F.col("bytes")).otherwise(0))).first()[0] or 0
-        records_per_file = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES // (mean + 512))))
+def records_of_file(rows: DataFrame) -> int:
+    """As many as make FILE_BYTES of payload on average (rows: with_digest), RECORDS_PER_FILE at most."""
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0
+    return max(1, min(RECORDS_PER_FILE, int(FILE_BYTES // (mean + 512))))
+
+
+def write_archives(resolved: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     record(resolved).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -115,7 +117,7 @@ def _inflated(data: bytes):
 def parse(data: bytes):
     """(headers with lower-case names, payload) of each record of an archive, of which no more is held at a time than
     a record and a chunk."""
-    chunks, held = _inflated(data), bytearray()
+    chunks, held, at = _inflated(data), bytearray(), 0
 
     def more() -> bool:
         part = next(chunks, None)
@@ -123,13 +125,13 @@ def parse(data: bytes):
         return part is not None
 
     while True:
-        while (head := held.find(b"\r\n\r\n")) < 0 and more():
+        while (head := held.find(b"\r\n\r\n", at)) < 0 and more():
             pass
         if head < 0:
-            if held:
-                raise ValueError(f"an archive ends within a record: {bytes(held[:40])!r}")
+            if at < len(held):
+                raise ValueError(f"an archive ends within a record: {bytes(held[at : at + 40])!r}")
             return
-        lines = held[:head].decode("utf-8").split("\r\n")
+        lines = held[at:head].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record: {lines[0][:40]!r}")
         headers = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -139,7 +141,10 @@ def parse(data: bytes):
         if held[end : end + 4] != b"\r\n\r\n":
             raise ValueError(f"{headers.get('warc-record-id')} does not end where its length says")
         yield headers, bytes(held[start:end])
-        del held[: end + 4]
+        at = end + 4
+        if at > CHUNK:
+            del held[:at]
+            at = 0
 
 
 COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "payload"]
@@ -187,7 +192,8 @@ def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> DataFram
     null page_id is never an original while a copy has an id. Payloads of any length are read back record by record;
     files are cut by their mean. An empty table gives an archive of no records.
     """
-    write_archives(resolve(with_digest(pages), min_bytes), path)
+    rows = with_digest(pages)
+    write_archives(resolve(rows, min_bytes), path, records_of_file(rows))
     return read_archives(pages.sparkSession, path)
 
 
