@@ -105,6 +105,16 @@ def _hashes(keys: F.Column) -> tuple[F.Column, F.Column]:
     return F.transform(keys, lambda k: F.xxhash64(k, F.lit(1))), F.transform(keys, lambda k: F.xxhash64(k, F.lit(2)))
 
 
+def _among(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which pairs of a and b are among those of first (sorted) and second."""
+    at, end = np.searchsorted(first, a), np.searchsorted(first, a, side="right")
+    out = np.zeros(len(a), bool)
+    while (live := np.flatnonzero(at < end)).size:
+        out[live] |= second[at[live]] == b[live]
+        at[live] += 1
+    return out
+
+
 def build(spark, listed: list[str], universe: DataFrame) -> Cascade:
     """universe: one column `key`; repeats are fine. Only keys that pass level 1 wrongly are made distinct, about
     as many as are listed, whatever the universe's size. What is broadcast and collected is bound by the list: its
@@ -121,8 +131,9 @@ def build(spark, listed: list[str], universe: DataFrame) -> Cascade:
     first = Level(1, len(listed), min(RATE, max(1e-12, len(listed) * math.sqrt(0.5) / size)))
     first.add(*mine)
     out.levels.append(first)
-    pairs = np.sort(np.rec.fromarrays(mine, names="h1,h2"))
-    shared = spark.sparkContext.broadcast((out, pairs))
+    order = np.lexsort(mine[::-1])
+    known = mine[0][order], mine[1][order]
+    shared = spark.sparkContext.broadcast((out, known))
 
     @F.pandas_udf("boolean")
     def passes(h1: pd.Series, h2: pd.Series) -> pd.Series:
@@ -131,7 +142,7 @@ def build(spark, listed: list[str], universe: DataFrame) -> Cascade:
         a, b = h1.to_numpy(), h2.to_numpy()
         held = cascade.holds(a, b)
         at = np.flatnonzero(held)
-        held[at[np.isin(np.rec.fromarrays((a[at], b[at]), names="h1,h2"), listed)]] = False
+        held[at[_among(a[at], b[at], *listed)]] = False
         return pd.Series(held)
 
     hashed = universe.select(F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2"))
