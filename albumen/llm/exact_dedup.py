@@ -143,4 +143,5 @@ FROM documents
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row with its group of equal texts. Null texts and ids, repeated rows and an empty table: as exact_groups() says."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -284,4 +284,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op4_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Digests of every text and its edited form. Null and empty texts, null ids and an empty table: as digests() says."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -228,4 +228,5 @@ def pack(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, tier
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """Every text packed by the default tokenizer: see pack()."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

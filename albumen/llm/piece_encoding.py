@@ -314,7 +314,7 @@ def _encode(path: str):
 
 def encode(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and ids (array of int) for each row of df. Null and empty texts have no ids; lone surrogates
-    read as '?'. Null ids and repeated rows are kept. Only id and text are read; nothing is shuffled. `model` is
+    read as '?'. Null ids and repeated rows are kept, texts may be of any length, and an empty table gives no rows. Only id and text are read; nothing is shuffled. `model` is
     a file at the same path on all machines."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(_encode(model or default_model()), "doc_id long, text string, ids array<int>")

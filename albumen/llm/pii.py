@@ -305,7 +305,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def with_masked(docs: DataFrame, text_col: str = "text", name: str = "masked") -> DataFrame:
-    """docs with `name`: the text with its personal data masked; null stays null."""
+    """docs with `name`: the text with its personal data masked; null stays null, empty and long texts are masked like
+    any other, repeated rows are kept, and an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(potentials(docs, text_col))
 
     @F.pandas_udf("string")
@@ -316,4 +317,5 @@ def with_masked(docs: DataFrame, text_col: str = "text", name: str = "masked") -
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text. Null and empty texts, repeated rows and an empty table: as find_pii() says."""
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))

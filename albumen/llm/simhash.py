@@ -315,4 +315,5 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row with its fingerprint and component. Null texts and ids and an empty table: as near_groups() says."""
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

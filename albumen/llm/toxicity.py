@@ -195,7 +195,8 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null text counts as empty and gets the score of no words. Null ids are not held out. Repeated rows get
-    equal scores. Labels that are null or not 0 or 1 are not used. Only doc_id and text are read.
+    equal scores. Labels that are null or not 0 or 1 are not used; ties of the sample's hash go by id. Texts of any
+    length are scored word by word. An empty table gives no rows. Only doc_id and text are read.
     """
     model = fit(labelled_sample(docs, labels))
     scored = with_score(docs.select("doc_id", "text"), model)
@@ -203,4 +204,5 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every text scored by a model of the labelled rows that may be learned from: see toxic_scores()."""
     return toxic_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

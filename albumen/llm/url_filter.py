@@ -221,4 +221,5 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the fixed rules. Null and long urls, repeated rows and an empty table: as judge() says."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), list(ALLOW), list(BLOCK))

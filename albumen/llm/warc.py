@@ -210,5 +210,6 @@ FROM pages
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back. Null columns, repeated ids and an empty table: as archive() says."""
     out = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
