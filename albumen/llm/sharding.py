@@ -47,9 +47,9 @@ def assign(df: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_c
     ranged = materialise(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     release(narrow)
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a range
-    starts = totals.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "n")))
-    starts = starts.crossJoin(F.broadcast(ranged.agg(F.sum("size").alias("total"))))
+    ranges = W.orderBy("part")  # a row a range
+    earlier, every = ranges.rowsBetween(W.unboundedPreceding, -1), ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    starts = totals.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "n")), F.sum("bytes").over(every).alias("total"))
     within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = ranged.select("*", F.sum("size").over(within).alias("bytes"), F.row_number().over(within).alias("n")).join(F.broadcast(starts), "part")
     twice_middle = 2 * (F.col("bytes_before") + F.col("bytes")) - F.col("size")
