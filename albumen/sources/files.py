@@ -11,7 +11,7 @@ from albumen.functions import media
 # Least bytes by kind of file; the sizes to which metadata entries and all of them are cut.
 LEAST_BYTES = {"raw": 512 * 1024, "cinema": 1024 * 1024, "video": 1024}
 HEADER_BYTES = 4096
-ENTRY_CHARS, ALL_CHARS = 512, 60_000
+ENTRY_CHARS, ALL_CHARS, TRUNCATED = 512, 60_000, "EXIF.Truncated"
 PREVIEW_BYTES = 1024
 
 
@@ -46,18 +46,21 @@ def integrity(files: DataFrame) -> DataFrame:
 
 
 def trim_entries(entries: Column) -> Column:
-    """A metadata map with values of at most 512 characters and, by sorted key, 60 000 in all; a mark tells of a cut."""
-    pairs = F.array_sort(F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("key"), F.left(F.trim(F.coalesce(e["value"], F.lit(""))), F.lit(ENTRY_CHARS)).alias("value"))))
-    start = F.struct(F.lit(0).alias("n"), F.slice(pairs, 1, 0).alias("kept"))
+    """A metadata map as it is stored: values of over 512 characters are cut there and end in `...`; if the map then has over
+    60 000 characters as JSON, its first keys in order whose texts fit, with 6 characters more for each, and a mark."""
+    texts = F.transform_values(entries, lambda k, v: F.coalesce(v, F.lit("")))
+    cut = F.transform_values(texts, lambda k, v: F.when(F.length(v) > ENTRY_CHARS, F.concat(F.left(v, F.lit(ENTRY_CHARS)), F.lit("..."))).otherwise(v))
+    pairs = F.array_sort(F.map_entries(cut))
+    start = F.struct(F.lit(2).alias("n"), F.lit(True).alias("fits"), F.slice(pairs, 1, 0).alias("kept"))
 
     def step(acc: Column, e: Column) -> Column:
-        n = acc["n"] + F.length(e["key"]) + F.length(e["value"])
-        return F.struct(n.alias("n"), F.when(n <= ALL_CHARS, F.concat(acc["kept"], F.array(e))).otherwise(acc["kept"]).alias("kept"))
+        n = acc["n"] + F.length(e["key"]) + F.length(e["value"]) + 6
+        fits = acc["fits"] & (n <= ALL_CHARS)
+        return F.struct(n.alias("n"), fits.alias("fits"), F.when(fits, F.concat(acc["kept"], F.array(e))).otherwise(acc["kept"]).alias("kept"))
 
-    done = F.aggregate(pairs, start, step)
-    kept = F.map_from_entries(done["kept"])
-    mark = F.map_from_arrays(F.array(F.lit("_truncated")), F.array(F.lit("true")))
-    return F.when(done["n"] > ALL_CHARS, F.map_concat(kept, mark)).otherwise(kept)
+    kept = F.map_from_entries(F.aggregate(pairs, start, step)["kept"])
+    mark = F.map_from_arrays(F.array(F.lit(TRUNCATED)), F.array(F.lit("true")))
+    return F.when(F.length(F.to_json(cut)) > ALL_CHARS, F.map_concat(kept, mark)).otherwise(cut)
 
 
 def merge_maps(first: Column, later: Column) -> Column:
