@@ -10,7 +10,7 @@ from albumen.operators import photos as P
 from albumen.operators import status as T
 from albumen.plans import standins as S
 from albumen.plans.registry import query
-from albumen.sources import tables
+from albumen.sources import files, metadata, tables
 
 W = "WITH " + S.PHOTOS
 BEST = "coalesce(rating, 0) DESC, coalesce(likes, 0) DESC, photo_id"
@@ -385,3 +385,21 @@ def scalar_values(spark, sf_dir):
     k = F.col("photo_id")
     loose = F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "0").otherwise("no")
     return S.photos(spark, sf_dir).select("photo_id", text.file_extension(F.col("filename")).alias("ext"), media.rotation((k * 45 - 400).cast("string")).cast("long").alias("rotation"), F.sha2("filename", 256).alias("digest"), media.truthy(loose).alias("truthy"))
+
+
+@query("""SELECT p_partkey AS photo_id, CASE WHEN p_partkey % 11 = 0 AND p_partkey % 2 = 1 THEN 'checksum of a chunk' WHEN p_partkey % 7 = 0 THEN 'truncated' END AS problem FROM part""")
+def image_integrity(spark, sf_dir):
+    """SC7: planted images, walked to their ends. A changed byte of metadata is told by a PNG's checksum; a JPEG has none."""
+    rows = files.integrity(S.image_files(spark, sf_dir))
+    return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("photo_id"), "problem")
+
+
+@query("""SELECT p_partkey AS photo_id, CASE WHEN p_partkey % 11 = 0 THEN '?' || substr(p_brand, 2) ELSE p_brand END AS make, '6' AS orientation,
+  strftime(DATE '2020-06-01' + p_size, '%Y:%m:%d 10:20:30') AS captured, round(-(p_partkey % 90 + (p_partkey % 60) / 60.0 + (p_partkey * 7 % 6000) / 100.0 / 3600), 6)::DOUBLE AS latitude,
+  round(p_partkey % 180 + (p_partkey % 59) / 60.0 + (p_partkey * 3 % 6000) / 100.0 / 3600, 6)::DOUBLE AS longitude FROM part""")
+def image_metadata(spark, sf_dir):
+    """SC8, F16: entries of planted images' EXIF and GPS directories, whether or not their ends are there."""
+    rows = metadata.metadata(S.image_files(spark, sf_dir))
+    of = lambda k: F.try_element_at("exif", F.lit(k))
+    place = {c: F.round(of(f"GPS.{c.title()}Decimal").cast("double"), 6).alias(c) for c in ("latitude", "longitude")}
+    return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("photo_id"), of("Make").alias("make"), of("Orientation").alias("orientation"), of("DateTimeOriginal").alias("captured"), place["latitude"], place["longitude"])

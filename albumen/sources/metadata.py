@@ -63,6 +63,8 @@ class Directories:
         self.seen: set[int] = set()
 
     def number(self, at: int, kind: str) -> int:
+        if at > len(self.data):
+            raise struct.error("beyond the file")
         return struct.unpack_from(self.order + kind, self.data, at)[0]
 
     def first(self) -> int:

@@ -105,7 +105,7 @@ def test_embedded_preview():
 
 
 def test_media_files(spark, tmp_path):
-    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff" + b"x" * 300)
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff\xc0\0\x0b\x08\0\1\0\1\1\1\x11\0\xff\xda\0\x08\1\1\0\0\x3f\0" + b"x" * 300 + b"\xff\xd9")
     (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\n")
     (tmp_path / "c.jpg").write_bytes(b"\x00" * 400)
     (tmp_path / "d.txt").write_text("no")
@@ -116,7 +116,7 @@ def test_media_files(spark, tmp_path):
     (tmp_path / "i.mp4").write_bytes(b"\x00" * 4096 + b"x" * 10)
     (tmp_path / "j.mp4").write_bytes(b"x" * 1023)
     got = {r.path[-5:]: r.problem for r in files.integrity(files.media_files(spark, str(tmp_path))).collect()}
-    want = {"a.jpg": None, "b.png": None, "c.jpg": "empty header", "e.png": "header mismatch", "f.nef": "too small", "g.nef": None, "h.r3d": "too small", "i.mp4": "empty header", "j.mp4": "too small"}
+    want = {"a.jpg": None, "b.png": "truncated", "c.jpg": "empty header", "e.png": "header mismatch", "f.nef": "too small", "g.nef": None, "h.r3d": "too small", "i.mp4": "empty header", "j.mp4": "too small"}
     assert got == want
 
 

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from albumen.sources import files, metadata
+from albumen.sources import files, metadata, structure
 
 
 def tiff(order="<", main=(), exif=(), gps=(), big=False):
@@ -161,3 +161,72 @@ def test_trimmed_maps(spark):
     maps = [{}, {"a": None, "b": "x" * 512, "c": "y" * 513}, {f"k{i:03}": "v" * 500 for i in range(130)}, {f"k{i:03}": "é\"\n" * 100 for i in range(118)}, {f"k{i:03}": "v" * (1000 - i) for i in range(116)}, {f"k{i:04}": "v" * 70 for i in range(740)}]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, m map<string,string>")
     assert [r.m for r in df.select("i", files.trim_entries(F.col("m")).alias("m")).orderBy("i").collect()] == [plain(m) for m in maps]
+
+
+def scans(n=3):
+    """A JPEG of several scans with restarts and stuffed bytes."""
+    out = jpeg()[:-2]
+    for _ in range(n - 1):
+        out += segment(0xC4, bytes(17)) + segment(0xDA, b"\1\1\0\0\x3f\0") + b"\x01\xff\xd0\x02\xff\x00" * 30
+    return out + b"\xff\xd9"
+
+
+def picture(order="<", big=False):
+    """A TIFF with strips: their places are known once its length is."""
+    strips = [(0x0111, 4, [0, 0]), (0x0117, 4, [20, 12])]
+    size = len(tiff(order, (*MAIN, *strips), big=big))
+    return tiff(order, (*MAIN, (0x0111, 4, [size, size + 20]), strips[1]), big=big) + bytes(range(1, 33))
+
+
+WHOLE = {"png": png(), "png with exif": png(tiff("<", MAIN)), "jpeg": jpeg(), "jpeg with exif": jpeg(tiff("<", MAIN, EXIF, GPS)), "scans": scans(), "gif": gif(), "bmp": bmp(), "webp": webp(), "webp with exif": webp(tiff("<", MAIN)), "heif": boxes(), "tiff": picture(), "big-endian": picture(">"), "bigtiff": picture("<", True)}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_each_truncation_is_told(name):
+    data = WHOLE[name]
+    assert structure.problem_of(data) is None
+    # A HEIF file cut where a box ends is told by the boxes it lacks.
+    assert [at for at in range(len(data)) if structure.problem_of(data[:at]) is None] == []
+
+
+@pytest.mark.parametrize("name", ["png", "png with exif"])
+def test_each_bit_flip_in_a_png_is_told(name):
+    data = WHOLE[name]
+    for at in range(len(data)):
+        for bit in range(8):
+            broken = bytearray(data)
+            broken[at] ^= 1 << bit
+            assert structure.problem_of(bytes(broken)) is not None, (at, bit)
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_broken_bytes_never_crash(name):
+    data = WHOLE[name]
+    for at in range(len(data)):
+        for value in (0, 255, data[at] ^ 1):
+            structure.problem_of(data[:at] + bytes((value,)) + data[at + 1 :])
+
+
+def test_flips_in_markers_and_blocks_are_told():
+    data = WHOLE["scans"]
+    marks = [k for k in range(len(data) - 1) if data[k] == 0xFF and data[k + 1] in (0xC0, 0xDA)]
+    for k in [*marks[:1], 2, len(data) - 2]:
+        for bit in range(8):
+            broken = bytearray(data)
+            broken[k] ^= 1 << bit
+            assert structure.problem_of(bytes(broken)) is not None, (k, bit)
+    for frames in (0, 1):
+        assert (structure.problem_of(gif(frames)) is None) == (frames > 0)
+    assert structure.problem_of(gif()[:13 + 6] + b"\x77" + gif()[13 + 7 :]) == "unknown block"
+    assert structure.problem_of(b"text") == structure.problem_of(b"") == "header mismatch"
+
+
+def test_data_behind_the_end_is_no_fault():
+    for name in ("png", "jpeg", "scans", "gif", "bmp", "webp", "tiff"):
+        assert structure.problem_of(WHOLE[name] + b"more bytes") is None, name
+
+
+def test_integrity_over_rows(spark):
+    rows = [("a.jpg", "native", jpeg()), ("b.jpg", "native", png()), ("c.png", "native", png()[:-1]), ("d.gif", "native", bytes(300)), ("e.nef", "raw", b"II" * 100), ("f.mp4", "video", bytes(2000)), ("g.mp4", "video", b"x" * 1024), ("h.braw", "cinema", b"x" * (1 << 20)), ("i.png", "native", None), ("j.tif", "native", b"text"), ("k.png", "native", b"")]
+    df = spark.createDataFrame([r + ("clash",) for r in rows], "path string, kind string, content binary, problem string")
+    assert {r.path: r.problem for r in files.integrity(df).collect()} == {"a.jpg": None, "b.jpg": None, "c.png": "truncated", "d.gif": "empty header", "e.nef": "too small", "f.mp4": "empty header", "g.mp4": None, "h.braw": None, "i.png": None, "j.tif": "header mismatch", "k.png": "empty header"}
