@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from albumen.functions import media, text
 from albumen.operators import maintenance as X
 from albumen.operators import photos as P
+from albumen.operators import places as G
 from albumen.operators import status as T
 from albumen.plans import standins as S
 from albumen.plans.registry import query
@@ -403,3 +404,23 @@ def image_metadata(spark, sf_dir):
     of = lambda k: F.try_element_at("exif", F.lit(k))
     place = {c: F.round(of(f"GPS.{c.title()}Decimal").cast("double"), 6).alias(c) for c in ("latitude", "longitude")}
     return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("photo_id"), of("Make").alias("make"), of("Orientation").alias("orientation"), of("DateTimeOriginal").alias("captured"), place["latitude"], place["longitude"])
+
+
+@query(f"""{W}, place AS (SELECT c_custkey AS place_id, radians((c_custkey * 7919 % 180000) / 1000.0 - 90) AS y, radians((c_custkey * 104729 % 360000) / 1000.0 - 180) AS x,
+    c_name AS address, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'Town ' || c_nationkey END AS city, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  spot AS (SELECT place_id, address, city, country, cos(y) * cos(x) AS a, cos(y) * sin(x) AS b, sin(y) AS c FROM place),
+  asked AS (SELECT photo_id, radians(TRY_CAST(latitude AS DOUBLE)) AS y, radians(TRY_CAST(longitude AS DOUBLE)) AS x FROM photo),
+  here AS (SELECT DISTINCT y, x, cos(y) * cos(x) AS a, cos(y) * sin(x) AS b, sin(y) AS c FROM asked WHERE y IS NOT NULL AND x IS NOT NULL),
+  best AS (SELECT y, x, min({{'d': power(here.a - spot.a, 2) + power(here.b - spot.b, 2) + power(here.c - spot.c, 2), 'p': place_id}}) AS best FROM here, spot GROUP BY y, x)
+SELECT photo_id, best.p AS place_id, round(2 * 6371.0088 * asin(least(1, sqrt(best.d) / 2)), 3) AS distance_km, address, city, country
+FROM asked LEFT JOIN best USING (y, x) LEFT JOIN spot ON place_id = best.p""")
+def nearest_place(spark, sf_dir):
+    """SC12: photos with the address of the nearest place by their coordinates, anywhere on the globe."""
+    k = F.col("c_custkey")
+    c = S.read(spark, sf_dir, "customer").join(S.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = c.select(
+        k.alias("place_id"), ((k * 7919 % 180000) / 1000.0 - 90).alias("latitude"), ((k * 104729 % 360000) / 1000.0 - 180).alias("longitude"), F.col("c_name").alias("address"),
+        F.when(k % 3 == 0, F.col("c_mktsegment")).alias("city"), F.concat(F.lit("Town "), F.col("c_nationkey").cast("string")).alias("town"), F.lit("").alias("village"), F.lit(None).cast("string").alias("state"), F.col("n_name").alias("country"),
+    )
+    found = G.nearest_places(S.photos(spark, sf_dir).select("photo_id", "latitude", "longitude"), known)
+    return found.join(G.address_of(known), "place_id", "left").select("photo_id", "place_id", F.round("distance_km", 3).alias("distance_km"), "address", "city", "country")
