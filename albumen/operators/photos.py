@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumen.functions import media
+from albumen.functions import media, vectors
 from albumen.functions.text import file_extension, normalize_phrase
+from albumen.operators.once import computed_once
 
 # What makes a RAW file's failure an integrity failure.
 INTEGRITY_WORDS = ("too small", "header", "signature", "decode", "embedded preview", "sha256")
@@ -162,26 +162,65 @@ def duplicates(df: DataFrame, hash_col: str, key: str) -> DataFrame:
     return df.join(groups, hash_col).select(key, hash_col, "first_key", "copies")
 
 
-def near_duplicates(df: DataFrame, hash_col: str = "perceptual_hash", key: str = "photo_id", most: int = 5) -> DataFrame:
+#: Bands beyond the differences: so many of a hash's bands are equal in two that are near each other.
+EXTRA_BANDS = 3
+
+
+def _differing(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Differing characters of two hashes of one length: of hexadecimal ones (numbers x and y) by counting the digits of
+    their exclusive or that are not 0, of others one by one."""
+    z = x.bitwiseXOR(y)
+    digit = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+    return F.when(z.isNotNull(), F.bit_count(digit.bitwiseAND(F.lit(0x1111111111111111)))).otherwise(vectors.hamming(a, b))
+
+
+def near_duplicates(df: DataFrame, hash_col: str = "perceptual_hash", key: str = "photo_id", most: int = 5, extra: int = EXTRA_BANDS) -> DataFrame:
     """Pairs of hashes of one length at `most` or fewer differing characters, with 100 - 5 for each.
 
-    Cut into most + 1 bands, two such hashes are equal in one; so only hashes with a common band meet, and a pair is
-    made in the first band that it shares. Hashes of `most` or fewer characters have no band that must be equal: all of
-    one length are pairs, so each such length is one band. Hashes are made distinct first: copies meet once. Returns
+    A hash is cut into most + extra bands (or as many as it has characters), so two such hashes are equal in `extra` of
+    them: hashes meet where a combination of that many bands is equal, and a pair is made at the first combination that it
+    shares. At 5 differences 56 combinations of three of 8 bands, which hold 3/8 of the characters. Hashes of `most`
+    or fewer characters are all pairs of their length. Hashes are made distinct first: copies meet once. Returns
     pairs of representatives (smallest key of each hash).
     """
-    from albumen.functions.vectors import hamming
-
     reps = df.where(F.coalesce(hash_col, F.lit("")) != "").groupBy(F.col(hash_col).alias("h")).agg(F.min(key).alias("k"))
-    bands = most + 1
-    n = F.length("h")
-    edge = lambda i: F.floor(n * i / bands).cast("int")
-    part = lambda h, i: F.substring(h, edge(i) + 1, edge(i + 1) - edge(i))
-    cut = F.when(n < bands, F.array(F.struct(F.lit(0).alias("i"), n.alias("n"), F.lit("").alias("part")))).otherwise(F.array(*[F.struct(F.lit(i).alias("i"), n.alias("n"), part(F.col("h"), i).alias("part")) for i in range(bands)]))
-    spread = reps.select("h", "k", F.explode(cut).alias("band"))
-    a, b = spread.select(F.col("h").alias("h1"), F.col("k").alias("k1"), "band"), spread.select("h", F.col("h").alias("h2"), F.col("k").alias("k2"), "band")
-    pairs = a.join(b, "band").where("k1 < k2")
-    earlier = [(F.col("band.i") > i) & (part(F.col("h1"), i) == part(F.col("h2"), i)) for i in range(bands - 1)]
-    pairs = pairs.where(~reduce(or_, earlier, F.lit(False)) | (n < bands)).select("k1", "k2", "h1", "h2")
-    d = hamming(F.col("h1"), F.col("h2"))
-    return pairs.select("k1", "k2", d.alias("distance"), (100 - 5 * d).alias("similarity")).where(F.col("distance") <= most)
+    number = F.when(F.col("h").rlike("^[0-9a-f]{1,16}$"), F.conv("h", 16, -10).cast("long"))
+    # Of its own number of partitions: each row becomes dozens, which sizes before it do not show.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = reps.select("h", "k", number.alias("x")).repartition(tasks, "k")
+
+    def bands(h: str) -> Column:
+        count, n = F.least(F.length(h), F.lit(most + extra)), F.length(h)
+        edge = lambda i: F.floor(n * i / count).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col(h), edge(i) + 1, edge(i + 1) - edge(i)))
+
+    def chosen(count: int) -> Column:
+        """The combinations of bands, each with a bit set for every band."""
+        at = lambda c: [F.lit(c[j] if j < len(c) else None).cast("int").alias(f"b{j}") for j in range(extra)]
+        return F.array(*[F.struct(F.lit(sum(1 << i for i in c)).alias("mask"), *at(c)) for c in combinations(range(count), count - most)])
+
+    choice = F.when(F.length("h") <= most, chosen(most))
+    for count in range(most + 1, most + extra):
+        choice = choice.when(F.length("h") == count, chosen(count))
+    hashed = F.transform(bands("h"), lambda part, i: F.xxhash64(F.length("h"), i, part))
+    rows = computed_once(reps.select("*", hashed.alias("parts"))).select("*", F.explode(choice.otherwise(chosen(most + extra))).alias("c"))
+    # A combination's hash is the exclusive or of its bands'.
+    mixed = F.length("h").cast("long")
+    for j in range(extra):
+        mixed = mixed.bitwiseXOR(F.coalesce(F.get("parts", F.col(f"c.b{j}")), F.lit(0)))
+    spread = rows.select("h", "k", "x", "c.mask", mixed.alias("hash"))
+    a, b = (spread.select("mask", "hash", F.col("h").alias(f"h{i}"), F.col("k").alias(f"k{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
+    pairs = a.join(b, ["mask", "hash"]).where("k1 < k2 and length(h1) = length(h2)")
+    near = pairs.withColumn("distance", _differing(F.col("h1"), F.col("h2"), F.col("x1"), F.col("x2"))).where(F.col("distance") <= most)
+    # The lowest equal bands of a pair, as many as a combination has: the one at which the pair is made.
+    equal = F.zip_with(bands("h1"), bands("h2"), lambda p, q: (p == q).cast("int"))
+    left = F.aggregate(F.reverse(equal), F.lit(0), lambda bits, e: bits * 2 + e)
+    near, taken = computed_once(near.withColumn("left", left)), F.lit(0)
+    for i in range(extra):
+        more = F.length("h1") - most > i
+        taken = taken + F.when(more, F.col(f"left{i}").bitwiseAND(-F.col(f"left{i}"))).otherwise(0)
+    lowest = [F.col("left")]
+    for _ in range(extra - 1):
+        lowest.append(lowest[-1].bitwiseAND(lowest[-1] - 1))
+    near = near.select("*", *(c.alias(f"left{i}") for i, c in enumerate(lowest)))
+    return near.where(F.col("mask") == taken).select("k1", "k2", "distance", (100 - 5 * F.col("distance")).alias("similarity"))

@@ -412,7 +412,7 @@ def image_metadata(spark, sf_dir):
   asked AS (SELECT photo_id, radians(TRY_CAST(latitude AS DOUBLE)) AS y, radians(TRY_CAST(longitude AS DOUBLE)) AS x FROM photo),
   here AS (SELECT DISTINCT y, x, cos(y) * cos(x) AS a, cos(y) * sin(x) AS b, sin(y) AS c FROM asked WHERE y IS NOT NULL AND x IS NOT NULL),
   best AS (SELECT y, x, min({{'d': power(here.a - spot.a, 2) + power(here.b - spot.b, 2) + power(here.c - spot.c, 2), 'p': place_id}}) AS best FROM here, spot GROUP BY y, x)
-SELECT photo_id, best.p AS place_id, round(2 * 6371.0088 * asin(least(1, sqrt(best.d) / 2)), 3) AS distance_km, address, city, country
+SELECT photo_id, best.p AS place_id, CASE WHEN best.d IS NOT NULL THEN round(2 * 6371.0088 * asin(least(1, sqrt(best.d) / 2)), 3) END AS distance_km, address, city, country
 FROM asked LEFT JOIN best USING (y, x) LEFT JOIN spot ON place_id = best.p""")
 def nearest_place(spark, sf_dir):
     """SC12: photos with the address of the nearest place by their coordinates, anywhere on the globe."""
