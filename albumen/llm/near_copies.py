@@ -97,6 +97,7 @@ def _sign(batches):
                 sizes.append(len(h)), rows.append(fingerprint(h).view(np.int64))
             frame = pd.DataFrame(np.array(rows).reshape(-1, BITS // 64), columns=FP)
             frame.insert(0, "size", np.array(sizes, np.int64))
+            frame.insert(0, "name", part["name"].to_numpy())
             frame.insert(0, "node", part["node"].to_numpy())
             yield frame
 
@@ -176,69 +177,89 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _alike(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(a, b): members and pivots of one group that sizes and bits do not rule out."""
-    p = pivots.select("bucket", *(F.col(c).alias("p_" + c) for c in ("node", "size", *_COMPARED)))
-    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("p_" + c))) for c in _COMPARED), F.lit(0))
-    fit = (F.least("size", "p_size") >= SIMILAR * F.greatest("size", "p_size")) & (far <= MOST) & (F.col("node") != F.col("p_node"))
+    """(a, b): members and pivots of one group that sizes and WIDE bits do not rule out."""
+    p = pivots.select("bucket", *(F.col(c).alias("p_" + c) for c in ("node", "size", *WIDE)))
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("p_" + c))) for c in WIDE), F.lit(0))
+    fit = (F.least("size", "p_size") >= SIMILAR * F.greatest("size", "p_size")) & (far <= MOST_WIDE) & (F.col("node") != F.col("p_node"))
     return members.join(p, "bucket").where(fit).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
 
 
 def near_roots(docs: DataFrame) -> DataFrame:
-    """(node, root) of each text that has a near copy: components of pairs at 0.8 or more. docs: node (long, the
-    same for the same text), text."""
-    signed = docs.select("node", "text").mapInPandas(_sign, f"node long, size long, {', '.join(f'{c} long' for c in FP)}")
-    signed = materialise(signed.dropDuplicates(["node"]), "signed")
+    """(node, root, name) of each text that has a near copy: components of pairs at 0.8 or more. docs: node (long, the
+    same for the same text), text, and name, which tells apart texts that share a node: one of them is looked at."""
+    signed = docs.select("node", "text", "name").mapInPandas(_sign, f"node long, name string, size long, {', '.join(f'{c} long' for c in FP)}")
+    signed = materialise(signed.groupBy("node").agg(F.min_by(F.struct("name", "size", *FP), "name").alias("s")).select("node", "s.*"), "signed")
     n = signed.count()
     met = materialise(candidates(signed, n), "met")
     groups = materialise(connected_components(met), "groups")
     # Few of the texts: all that follows is about these.
     members = materialise(signed.join(groups.withColumnRenamed("root", "bucket"), "node"), "members")
+    for old in (signed, met, groups):
+        release(old)
     # Sorted and merged at every size: the members of a large corpus are too many to broadcast.
-    texts = docs.hint("merge").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.hint("merge").join(members.select("node", "name"), ["node", "name"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts, "texts")
-    links, alone = texts.sparkSession.createDataFrame([], "a long, b long"), members
+    names = materialise(members.select("node", "name"), "names")
+    told = materialise(widened(members.drop("name"), texts), "members")
+    release(members)
+    members = told
+    links, alone = materialise(texts.sparkSession.createDataFrame([], "a long, b long"), "links"), members
     for k, each in enumerate(PIVOTS):
         # Pivots of a group come from its texts that no pivot is like so far.
         order = F.struct(F.xxhash64("node", F.lit(k)), "node")
         if each == 1:
-            pivots = alone.groupBy("bucket").agg(F.min_by(F.struct("node", "size", *_COMPARED), order).alias("p")).select("bucket", "p.*")
+            pivots = alone.groupBy("bucket").agg(F.min_by(F.struct("node", "size", *WIDE), order).alias("p")).select("bucket", "p.*")
         else:
             pivots = alone.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where(F.col("k") <= each).drop("k")
         pivots = materialise(pivots, "pivots")
-        links = materialise(links.unionByName(_links(_alike(members, pivots), texts)), "links")
-        linked = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
-        alone = materialise(alone.join(linked, "node", "left_anti"), "alone")
+        found = _links(_alike(members, pivots), texts)
+        both = materialise(links.unionByName(found), "links")
+        linked = both.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
+        rest = materialise(alone.join(linked, "node", "left_anti"), "alone")
+        for old in (links, found, pivots, *([alone] if alone is not members else [])):
+            release(old)
+        links, alone = both, rest
         work = alone.groupBy("bucket").agg((F.count("*") * F.count("*")).alias("w")).agg(F.sum("w")).first()[0] or 0
         if work <= EACH * n:
             break
+    release(alone)
     roots = materialise(connected_components(links), "roots")
+    release(links)
     # What pivots have left: of any two components that meet at an anchor first the nearest pair, then every pair.
     for best in (True, False):
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = materialise(rooted, "rooted")
         left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        rest = rooted.join(left.select("bucket"), "bucket", "left_semi")
-        rest = materialise(rest if best else widened(rest, texts), "rest")
+        rest = materialise(rooted.join(left.select("bucket"), "bucket", "left_semi"), "rest")
         more = _links(candidates(rest, n, "root", best), texts)
         every = materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
         found = materialise(connected_components(every), "roots")
         for old in (roots, rooted, rest, more, every):
             release(old)
         roots = found
-    for old in (signed, met, groups, members, texts, links, alone):
+    named = materialise(roots.join(names, "node"), "roots")
+    for old in (roots, names, members, texts):
         release(old)
-    return roots
+    return named
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node) of the rows to drop: all of a group but the one with the smallest id, nulls last, then the
-    smallest node. node is xxhash64 of the text; rows of one id and text are one document and go or stay together."""
+    """(doc_id, name) of the rows to drop: all of a group but the one with the smallest id, nulls last, then the
+    smallest name. name is the MD5 of the text; rows of one id and text are one document and go or stay together.
+    Null texts count as empty; texts without words are copies of each other. An empty table gives no rows. Of two
+    texts that share 64 bits of hash only one is looked at, and the other stays."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"node": F.xxhash64("text"), "name": F.md5("text")})
     # A text of several ids is a group of its own; other texts without near copies have one row.
     roots = near_roots(docs)
-    rows = docs.select("doc_id", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = roots.select("node", "name", "root")
+    rows = docs.select("doc_id", "node", "name").distinct().join(known, ["node", "name"], "left")
+    rows = rows.select("doc_id", "name", F.coalesce(F.col("root").cast("string"), "name").alias("group"))
     rows = materialise(rows, "rows")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node")
-    first = materialise(rows.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    return rows.join(first, "root").where(rank != F.col("first")).select("doc_id", "node")
+    release(roots)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "name")
+    first = materialise(rows.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    dropped = materialise(rows.join(first, "group").where(rank != F.col("first")).select("doc_id", "name"), "dropped")
+    for old in (rows, first):
+        release(old)
+    return dropped
