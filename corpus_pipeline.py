@@ -30,7 +30,7 @@ def _without(docs: DataFrame, dropped: DataFrame, of_text: Column) -> DataFrame:
     """docs without the rows in `dropped`, a table of two columns: doc_id and a digest of the text, which is
     `of_text` in docs. Null ids match null; another text of the same id stays. A merge join at every size: what a
     large corpus drops is too much to broadcast."""
-    dropped = materialise(dropped.toDF(_ID, _DIGEST).distinct(), "dropped")
+    dropped = dropped.toDF(_ID, _DIGEST).distinct()
     return docs.hint("merge").join(dropped, docs["doc_id"].eqNullSafe(dropped[_ID]) & (of_text == dropped[_DIGEST]), "left_anti")
 
 
@@ -43,7 +43,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8), the one with the smallest id. Texts without
     words count as copies of each other: one of them stays."""
-    return _without(docs, near_copies.copies(docs), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    return _without(docs, near_copies.copies(docs), F.md5(F.coalesce(docs["text"], F.lit(""))))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
