@@ -168,7 +168,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([(i,) for i in picked], "id long").join(known, "id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(size <= ROW_CHARS).join(few, "id")
-    return [(r.text, r.y) for r in texts.select("id", "text", "y").toLocalIterator() if r.text is not None]
+    # In the order of their hashes: what is fitted must not depend on which task ends first.
+    rows = [(r.h, r.id, r.text, r.y) for r in texts.select(F.xxhash64("id").alias("h"), "id", "text", "y").toLocalIterator() if r.text is not None]
+    return [(text, y) for _, _, text, y in sorted(rows)]
 
 
 def with_score(df: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:

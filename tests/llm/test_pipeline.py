@@ -83,3 +83,15 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_model_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = planted()
+    scores = []
+    for seed in (1, 2):
+        rows = list(docs.items())
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 4 * (seed - 1))
+        model = toxicity.fit(toxicity.labelled_sample(df, spark.createDataFrame(labels, "doc_id long, toxic int")))
+        scores.append(sorted((r.doc_id, r.score) for r in toxicity.with_score(df, model).collect()))
+    assert scores[0] == scores[1]
