@@ -8,24 +8,57 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from albumen.operators.people import clusterable, rejected
+from albumen.functions import media, text
+from albumen.operators.people import SUSPICIOUS, clusterable, confirmed, rejected, suspicious
+
+
+def _confirmed(faces: DataFrame, hit: Column) -> DataFrame:
+    """faces of which those hit are confirmed by a user: no longer rejected, with a confidence of 1 at least."""
+    of = {"confirmed": F.lit(True), "rejected": F.lit(False), "review": F.lit("confirmed"), "confidence": F.greatest(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(1.0))}
+    return faces.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in of.items()})
+
+
+def _unlisted(people: DataFrame, gone: DataFrame) -> DataFrame:
+    """people (person_id, name, face_ids) without the entries of gone (person_id, face_id); whose list is then empty, goes."""
+    people = people.select("person_id", "name", "face_ids")
+    entries = people.select("person_id", F.posexplode("face_ids").alias("pos", "face_id"))
+    touched = entries.join(gone, ["person_id", "face_id"], "left_semi").select("person_id").distinct()
+    left = entries.join(touched, "person_id", "left_semi").join(gone, ["person_id", "face_id"], "left_anti")
+    lists = left.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "face_id"))), lambda x: x["face_id"]).alias("face_ids"))
+    return people.join(touched, "person_id", "left_anti").unionByName(people.drop("face_ids").join(lists, "person_id"))
+
+
+def _listed_elsewhere(people: DataFrame, ids: DataFrame, keep: str) -> DataFrame:
+    """(person_id, face_id) of all entries of faces (face_id) in lists of others than `keep`."""
+    entries = people.where(F.col("person_id") != keep).select("person_id", F.explode("face_ids").alias("face_id"))
+    return entries.join(ids.select("face_id"), "face_id", "left_semi").select("person_id", "face_id")
 
 
 def merge_people(people: DataFrame, faces: DataFrame, base: str, merged: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(people, faces, undo): base takes the merged people's faces, and the name of the one with most faces if it
-    has none; the merged go. `undo` holds what undo_merge needs. people: person_id, name, face_ids."""
-    all_ids = [base, *merged]
-    payload = people.where(F.col("person_id").isin(all_ids))
-    named = F.trim(F.coalesce("name", F.lit(""))) != ""
-    size = F.size("face_ids")
-    one = payload.agg(
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((F.col("person_id") != base).alias("o"), "person_id", "face_ids"))), lambda x: x["face_ids"]))).alias("face_ids"),
-        F.coalesce(F.max(F.when(named & (F.col("person_id") == base), F.col("name"))), F.max_by(F.when(named, F.col("name")), F.when(named, size))).alias("name"),
-    )
-    target = one.select(F.lit(base).alias("person_id"), "name", "face_ids")
-    rest = people.where(~F.col("person_id").isin(all_ids)).select("person_id", "name", "face_ids")
-    moved = faces.withColumn("person_id", F.when(F.col("person_id").isin(merged), F.lit(base)).otherwise(F.col("person_id")))
-    return rest.unionByName(target), moved, payload.select("person_id", "name", "face_ids")
+    """(people, faces, undo): base lists the merged people's faces that exist and are not rejected, after its own; they
+    become its own and confirmed, and leave the list of the person who had them. An `Unnamed n` base takes the name of the
+    merged person with most faces who has a real one, the first of several in the order of `merged`. The merged go.
+    `undo` holds what undo_merge needs. Without base, nothing changes. people: person_id, name, face_ids."""
+    people = people.select("person_id", "name", "face_ids")
+    payload = people.where(F.col("person_id").isin([base, *merged]))
+    place = F.array_position(F.array(*map(F.lit, merged)), F.col("person_id")) if merged else F.lit(0)
+    here = people.where(F.col("person_id") == base)
+    sources = people.where(F.col("person_id").isin(merged)).join(here.select(F.lit(True).alias("there")), F.lit(True), "left_semi")
+    entries = sources.select(place.alias("place"), F.posexplode("face_ids").alias("pos", "face_id"))
+    fit = faces.where(~rejected()).select("face_id", F.col("person_id").alias("owner"))
+    moved = entries.join(fit, "face_id").groupBy("face_id").agg(F.min(F.struct("place", "pos")).alias("at"), F.first("owner").alias("owner"))
+    real = (F.trim(F.coalesce("name", F.lit(""))) != "") & ~text.is_unnamed(F.col("name"))
+    name = sources.where(real).agg(F.max_by(F.trim("name"), F.struct(F.size("face_ids"), -place)).alias("best"))
+    more = moved.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "face_id"))), lambda x: x["face_id"]).alias("more"))
+    one = here.join(name, F.lit(True), "left").join(more, F.lit(True), "left")
+    taken = F.when(text.is_unnamed(F.col("name")), F.coalesce("best", "name")).otherwise(F.col("name"))
+    target = one.select("person_id", taken.alias("name"), F.array_distinct(F.concat("face_ids", "more")).alias("face_ids"))
+    others = people.where(~F.col("person_id").isin([base, *merged]))
+    rest = _unlisted(others, moved.where("owner is not null").select(F.col("owner").alias("person_id"), "face_id"))
+    stay = people.where(F.col("person_id").isin(merged)).join(here.select(F.lit(True).alias("there")), F.lit(True), "left_anti")
+    face = _marked(faces, moved)
+    face = _confirmed(face, F.col("__hit")).withColumn("person_id", F.when(F.col("__hit"), F.lit(base)).otherwise(F.col("person_id")))
+    return rest.unionByName(target).unionByName(stay), face.select(*faces.columns), payload
 
 
 # What the kinds of rows begin with that are snapshots and no merges.
@@ -57,27 +90,46 @@ def _marked(faces: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def split_person(people: DataFrame, faces: DataFrame, person: str, moved: DataFrame, new_id: str) -> tuple[DataFrame, DataFrame]:
-    """The moved faces (face_id) become a person of their own; a person left without faces stays, with none."""
-    one = people.where(F.col("person_id") == person)
-    listed = _marked(one.select("name", F.posexplode("face_ids").alias("pos", "face_id")), moved)
-    pick = lambda hit: F.transform(F.array_sort(F.collect_list(F.when(F.col("__hit") == hit, F.struct("pos", "face_id")))), lambda x: x["face_id"])
-    parts = listed.agg(F.first("name").alias("name"), pick(False).alias("old"), pick(True).alias("new"))
-    rows = F.array(F.struct(F.lit(person).alias("person_id"), F.coalesce("name", F.lit("")).alias("name"), F.col("old").alias("face_ids")), F.struct(F.lit(new_id).alias("person_id"), F.lit("").alias("name"), F.col("new").alias("face_ids")))
-    split = parts.select(F.inline(rows)).where((F.col("person_id") == person) | (F.size("face_ids") > 0)).join(one.select(F.lit(True).alias("there")).limit(1), F.lit(True), "left_semi")
-    face = _marked(faces, moved).withColumn("person_id", F.when((F.col("person_id") == person) & F.col("__hit"), F.lit(new_id)).otherwise(F.col("person_id")))
-    return people.where(~F.col("person_id").eqNullSafe(person)).select("person_id", "name", "face_ids").unionByName(split), face.select(*faces.columns)
+    """(people, faces): faces (face_id) that the person owns and lists become a person of their own, named by the next
+    `Unnamed n`; they are confirmed and leave all other lists. A person left without faces goes."""
+    people = people.select("person_id", "name", "face_ids")
+    listed = people.where(F.col("person_id") == person).select(F.posexplode("face_ids").alias("pos", "face_id"))
+    owned = faces.where(F.col("person_id") == person).select("face_id")
+    taken = listed.join(owned, "face_id", "left_semi").join(moved.select("face_id"), "face_id", "left_semi")
+    lists = taken.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "face_id"))), lambda x: x["face_id"]).alias("face_ids")).where(F.size("face_ids") > 0)
+    new = lists.join(next_unnamed(people), F.lit(True)).select(F.lit(new_id).alias("person_id"), F.concat(F.lit("Unnamed "), F.col("next").cast("string")).alias("name"), F.array_distinct("face_ids").alias("face_ids"))
+    face = _confirmed(_marked(faces, taken), F.col("__hit")).withColumn("person_id", F.when(F.col("__hit"), F.lit(new_id)).otherwise(F.col("person_id")))
+    return _unlisted(people, _listed_elsewhere(people, taken, new_id)).unionByName(new), face.select(*faces.columns)
+
+
+def confirm_faces(people: DataFrame, faces: DataFrame, person: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, faces): faces (face_id) become a person's and confirmed, and leave all other lists. The person lists them
+    last, but for those that were rejected or suspicious. Without the person, nothing changes."""
+    people = people.select("person_id", "name", "face_ids")
+    there = people.where(F.col("person_id") == person).select(F.lit(True).alias("there"))
+    known = faces.select("face_id", "person_id", (~rejected() & ~suspicious()).alias("fit")).join(ids.select("face_id"), "face_id", "left_semi").join(there, F.lit(True), "left_semi")
+    more = known.where("fit").agg(F.array_sort(F.collect_set("face_id")).alias("more"))
+    rest = _unlisted(people, _listed_elsewhere(people, known, person)).join(more, F.lit(True))
+    lists = F.when(F.col("person_id") == person, F.array_distinct(F.concat("face_ids", "more"))).otherwise(F.col("face_ids"))
+    face = _confirmed(_marked(faces, known), F.col("__hit")).withColumn("person_id", F.when(F.col("__hit"), F.lit(person)).otherwise(F.col("person_id")))
+    return rest.select("person_id", "name", lists.alias("face_ids")), face.select(*faces.columns)
 
 
 def review(faces: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     """Confirm or reject the faces of a table (face_id); a rejected face has no owner."""
-    confirm = status == "confirmed"
+    face = _marked(faces, ids)
+    if status == "confirmed":
+        return _confirmed(face, F.col("__hit")).select(*faces.columns)
     set_ = lambda c, v: F.when(F.col("__hit"), v).otherwise(F.col(c))
-    rows = _marked(faces, ids).withColumns({"confirmed": set_("confirmed", F.lit(confirm)), "rejected": set_("rejected", F.lit(not confirm)), "review": set_("review", F.lit(status)), "person_id": F.col("person_id") if confirm else set_("person_id", F.lit(None))})
-    return rows.select(*faces.columns)
+    of = {"confirmed": F.lit(False), "rejected": F.lit(True), "review": F.lit(status), "person_id": F.lit(None)}
+    return face.withColumns({c: set_(c, v) for c, v in of.items()}).select(*faces.columns)
 
 
-def label_person(people: DataFrame, person: str, name: str) -> DataFrame:
-    return people.withColumn("name", F.when(F.col("person_id") == person, F.lit(name.strip())).otherwise(F.col("name")))
+def label_person(people: DataFrame, faces: DataFrame, person: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(people, faces): the person has the name, and the faces of the person's list are confirmed."""
+    listed = people.where(F.col("person_id") == person).select(F.explode("face_ids").alias("face_id"))
+    face = _confirmed(_marked(faces, listed), F.col("__hit")).select(*faces.columns)
+    return people.withColumn("name", F.when(F.col("person_id") == person, F.lit(name)).otherwise(F.col("name"))), face
 
 
 def delete_person(people: DataFrame, faces: DataFrame, person: str) -> tuple[DataFrame, DataFrame]:
@@ -120,9 +172,28 @@ def repair_lists(people: DataFrame, faces: DataFrame) -> DataFrame:
     return people.select("person_id", "name").join(owned, "person_id", "left").withColumn("face_ids", F.coalesce("face_ids", F.array().cast("array<string>")))
 
 
-def suppress_suspicious(faces: DataFrame, hit: Column) -> DataFrame:
-    """Faces under suspicion lose their owner and are marked."""
-    return faces.withColumns({"person_id": F.when(~hit, F.col("person_id")), "review": F.when(hit, "suspicious").otherwise(F.col("review"))})
+def suppress_suspicious(people: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, faces): faces of low confidence, neither rejected nor confirmed, lose their owner. Those that the gate of
+    stored faces would not let in are rejected and leave their owner's list; the others are marked suspicious and stay
+    listed. An unnamed person whose only face is among them goes."""
+    low = ~rejected() & ~confirmed() & (F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) < SUSPICIOUS)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    false_face = low & ~media.face_passes(*map(number, ("confidence", "width", "height", "image_width", "image_height")))
+    rows = faces.withColumns({"__low": low, "__false": false_face})
+    hit = rows.where("__low and person_id is not null").select("person_id", "face_id", "__false")
+    people = people.select("person_id", "name", "face_ids")
+    only = people.where((F.size("face_ids") == 1) & text.is_unnamed(F.col("name"))).select("person_id", F.col("face_ids")[0].alias("face_id"))
+    people = people.join(only.join(hit, ["person_id", "face_id"], "left_semi"), "person_id", "left_anti")
+    dropped = hit.where("__false").groupBy("person_id").agg(F.collect_set("face_id").alias("gone"))
+    lists = people.join(dropped, "person_id", "left")
+    left = F.when(F.col("gone").isNull(), F.col("face_ids")).otherwise(F.filter("face_ids", lambda x: ~F.array_contains("gone", x)))
+    out = rows.withColumns({
+        "review": F.when(F.col("__false"), "rejected").when(F.col("__low"), "suspicious").otherwise(F.col("review")),
+        "rejected": F.when(F.col("__low"), F.col("__false")).otherwise(F.col("rejected")),
+        "confirmed": F.when(F.col("__false"), F.lit(False)).otherwise(F.col("confirmed")),
+        "person_id": F.when(~F.col("__low"), F.col("person_id")),
+    })
+    return lists.select("person_id", "name", left.alias("face_ids")), out.select(*faces.columns)
 
 
 def photo_people(faces: DataFrame, people: DataFrame) -> DataFrame:

@@ -184,11 +184,41 @@ def incremental_assignment(spark, sf_dir):
     return P.assign_incrementally(f.where("pos >= 40"), people, 0.3, 0.02)
 
 
-@query(f"""{WP} SELECT person_id, len(face_ids) AS n, name FROM person WHERE person_id NOT IN ('p3', 'p5', 'p6') UNION ALL SELECT 'p3', (SELECT count(DISTINCT face_id) FROM member WHERE person_id IN ('p3', 'p5', 'p6')), (SELECT name FROM person WHERE person_id IN ('p3', 'p5', 'p6') AND name <> '' ORDER BY len(face_ids) DESC LIMIT 1)""")
+#: People of whom those without a name are `Unnamed n`; and a face after a user has confirmed it.
+_CALLED = WP + ", called AS (SELECT person_id, CASE WHEN name = '' THEN 'Unnamed ' || substr(person_id, 2) ELSE name END AS name, face_ids FROM person)"
+
+
+def _sure(hit: str, owner: str) -> str:
+    return f"SELECT face_id, CASE WHEN {hit} THEN {owner} ELSE person_id END AS person_id, {hit} OR confirmed AS confirmed, rejected AND NOT ({hit}) AS rejected, CASE WHEN {hit} THEN 'confirmed' ELSE review END AS review, CASE WHEN {hit} THEN greatest(confidence, 1.0) ELSE confidence END::DOUBLE AS confidence FROM face"
+
+
+def _called(spark, sf_dir):
+    p = S.people(spark, sf_dir)
+    return p.withColumn("name", F.when(F.col("name") == "", F.concat(F.lit("Unnamed "), F.substring("person_id", 2, 9))).otherwise(F.col("name")))
+
+
+def _lists(people):
+    return people.select("person_id", "name", F.array_join(F.array_sort("face_ids"), ",").alias("face_ids"))
+
+
+def _reviewed(faces):
+    return faces.select("face_id", "person_id", "confirmed", "rejected", "review", F.col("confidence").cast("double").alias("confidence"))
+
+
+_MOVED = "SELECT face_id FROM member WHERE person_id IN ('p5', 'p6') AND face_id IN (SELECT face_id FROM face WHERE NOT rejected)"
+
+
+@query(f"""{_CALLED} SELECT person_id, name, array_to_string(list_sort(face_ids), ',') AS face_ids FROM called WHERE person_id NOT IN ('p3', 'p5', 'p6') UNION ALL
+SELECT 'p3', (SELECT name FROM called WHERE person_id IN ('p5', 'p6') AND NOT starts_with(name, 'Unnamed') ORDER BY len(face_ids) DESC LIMIT 1), (SELECT string_agg(face_id, ',' ORDER BY face_id) FROM (SELECT face_id FROM member WHERE person_id = 'p3' UNION {_MOVED}))""")
 def merge_people(spark, sf_dir):
-    """Two people merged into a nameless third."""
-    people, _, _ = X.merge_people(S.people(spark, sf_dir), S.faces(spark, sf_dir), "p3", ["p5", "p6"])
-    return people.select("person_id", F.size("face_ids").cast("long").alias("n"), "name")
+    """Two people merged into an unnamed third, which takes a name; rejected and missing faces are not taken over."""
+    return _lists(X.merge_people(_called(spark, sf_dir), S.faces(spark, sf_dir), "p3", ["p5", "p6"])[0])
+
+
+@query(f"{_CALLED} {_sure(f'face_id IN ({_MOVED})', chr(39) + 'p3' + chr(39))}")
+def merged_faces(spark, sf_dir):
+    """The faces that were taken over are the third's, and confirmed."""
+    return _reviewed(X.merge_people(_called(spark, sf_dir), S.faces(spark, sf_dir), "p3", ["p5", "p6"])[1])
 
 
 @query(f"{WP} SELECT person_id, name, array_to_string(list_sort(face_ids), ',') AS face_ids FROM person")
@@ -200,13 +230,43 @@ def merge_undone(spark, sf_dir):
     return back.select("person_id", "name", F.array_join(F.array_sort("face_ids"), ",").alias("face_ids"))
 
 
-@query(f"{WP} SELECT person_id, len(face_ids) - CASE WHEN person_id = 'p1' THEN (SELECT count(*) FROM face WHERE person_id = 'p1' AND confidence < 0.4) ELSE 0 END AS n FROM person UNION ALL SELECT 'p1b', count(*) FROM face WHERE person_id = 'p1' AND confidence < 0.4")
+_TAKEN = "SELECT face_id FROM face WHERE person_id = 'p1' AND confidence < 0.4"
+
+
+@query(f"""{_CALLED}, took AS (SELECT list(face_id) AS took FROM ({_TAKEN}))
+SELECT person_id, name, array_to_string(list_sort(list_filter(face_ids, lambda x: NOT (person_id = 'p1' AND list_contains(took, x)))), ',') AS face_ids FROM called, took UNION ALL
+SELECT 'p1b', 'Unnamed ' || (SELECT max(substr(name, 9)::INT) + 1 FROM called WHERE starts_with(name, 'Unnamed')), array_to_string(list_sort(took), ',') FROM took""")
 def split_person(spark, sf_dir):
-    """Some faces become a person of their own."""
+    """Some faces become a person of their own, under the next number."""
     f = S.faces(spark, sf_dir)
-    moved = f.where("person_id = 'p1' and confidence < 0.4").select("face_id")
-    people, _ = X.split_person(S.people(spark, sf_dir), f, "p1", moved, "p1b")
-    return people.select("person_id", F.size("face_ids").cast("long").alias("n"))
+    return _lists(X.split_person(_called(spark, sf_dir), f, "p1", f.where("confidence < 0.4").select("face_id"), "p1b")[0])
+
+
+@query(f"{_CALLED} {_sure(f'face_id IN ({_TAKEN})', chr(39) + 'p1b' + chr(39))}")
+def split_faces(spark, sf_dir):
+    """And are confirmed."""
+    f = S.faces(spark, sf_dir)
+    return _reviewed(X.split_person(_called(spark, sf_dir), f, "p1", f.where("confidence < 0.4").select("face_id"), "p1b")[1])
+
+
+_ASKED_FOR = "SELECT face_id FROM face WHERE pos % 9 = 7"
+
+
+@query(f"""{_CALLED}, entry AS (SELECT person_id, face_id FROM member WHERE person_id = 'p2' OR face_id NOT IN ({_ASKED_FOR}) UNION
+  SELECT 'p2', face_id FROM face WHERE pos % 9 = 7 AND NOT rejected AND (confirmed OR (review <> 'suspicious' AND confidence >= 0.6)))
+SELECT person_id, any_value(name) AS name, string_agg(face_id, ',' ORDER BY face_id) AS face_ids FROM entry JOIN called USING (person_id) GROUP BY 1""")
+def confirmed_people(spark, sf_dir):
+    """Faces confirmed as a person's leave all other lists; rejected and suspicious ones are not listed."""
+    f = S.faces(spark, sf_dir)
+    return _lists(X.confirm_faces(_called(spark, sf_dir), f, "p2", f.where("pos % 9 = 7").select("face_id"))[0])
+
+
+@query(f"{_CALLED}, label AS (SELECT face_id FROM member WHERE person_id = 'p4'), first AS ({_sure('pos % 9 = 7', chr(39) + 'p2' + chr(39))}), face2 AS (SELECT * FROM first) {_sure('face_id IN (FROM label)', 'person_id').replace('FROM face', 'FROM face2')}".replace("IN (FROM label)", "IN (SELECT face_id FROM label)"))
+def confirmed_faces(spark, sf_dir):
+    """Faces confirmed one by one, and those of a person who gets a name."""
+    p, f = _called(spark, sf_dir), S.faces(spark, sf_dir)
+    _, f = X.confirm_faces(p, f, "p2", f.where("pos % 9 = 7").select("face_id"))
+    return _reviewed(X.label_person(p, f, "p4", "Zoe")[1])
 
 
 @query(f"{WP} SELECT person_id, name, (SELECT count(*) FROM face f WHERE f.person_id = person.person_id AND NOT rejected) AS n FROM person")
@@ -267,10 +327,31 @@ def people_changes(spark, sf_dir):
     return rows.select("filename", X.people_changes(F.col("b"), F.col("a")).alias("x")).select("filename", "x.added", "x.removed")
 
 
-@query(f"{WF} SELECT face_id, CASE WHEN NOT (confidence < 0.3) THEN person_id END AS person_id, CASE WHEN confidence < 0.3 THEN 'suspicious' ELSE review END AS review FROM face")
+_LOW = "NOT rejected AND NOT confirmed AND confidence < 0.6"
+_FALSE = f"{_LOW} AND NOT (confidence >= 0.24 AND (confidence >= 0.32 OR (width * height / 9000.0 <= 0.08 AND greatest(width / 100.0, height / 90.0) <= 0.42)))"
+_ALONE = _CALLED + ", lone AS (SELECT 's' || pos AS person_id, 'Unnamed ' || pos AS name, [face_id] AS face_ids FROM face WHERE pos % 40 = 21), every AS (SELECT * FROM called UNION ALL SELECT * FROM lone), own AS (SELECT * REPLACE (CASE WHEN pos % 40 = 21 THEN 's' || pos ELSE person_id END AS person_id) FROM face)"
+
+
+def _with_singles(spark, sf_dir):
+    """People and faces of whom some are unnamed and have one face."""
+    f, one = S.faces(spark, sf_dir), F.col("pos") % 40 == 21
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("pos").cast("string"))
+    single = f.where(one).select(name("s").alias("person_id"), name("Unnamed ").alias("name"), F.array("face_id").alias("face_ids"))
+    return _called(spark, sf_dir).unionByName(single), f.withColumn("person_id", F.when(one, name("s")).otherwise(F.col("person_id")))
+
+
+@query(f"{_ALONE} SELECT face_id, CASE WHEN NOT ({_LOW}) THEN person_id END AS person_id, confirmed, CASE WHEN {_LOW} THEN {_FALSE} ELSE rejected END AS rejected, CASE WHEN {_FALSE} THEN 'rejected' WHEN {_LOW} THEN 'suspicious' ELSE review END AS review, confidence::DOUBLE AS confidence FROM own")
 def suppressed_faces(spark, sf_dir):
-    """Faces under suspicion lose their owner."""
-    return X.suppress_suspicious(S.faces(spark, sf_dir), F.col("confidence") < 0.3).select("face_id", "person_id", "review")
+    """Faces of low confidence lose their owner; false ones are rejected, confirmed ones are spared."""
+    return _reviewed(X.suppress_suspicious(*_with_singles(spark, sf_dir))[1])
+
+
+@query(f"""{_ALONE}, gone AS (SELECT person_id, list(face_id) FILTER ({_FALSE}) AS false_faces, list(face_id) AS low FROM own WHERE {_LOW} AND person_id IS NOT NULL GROUP BY 1)
+SELECT e.person_id, name, array_to_string(list_sort(list_filter(face_ids, lambda x: NOT coalesce(list_contains(false_faces, x), FALSE))), ',') AS face_ids FROM every e LEFT JOIN gone g ON e.person_id = g.person_id
+WHERE NOT (len(face_ids) = 1 AND starts_with(name, 'Unnamed') AND coalesce(list_contains(low, face_ids[1]), FALSE))""")
+def suppressed_people(spark, sf_dir):
+    """False faces leave their lists, and unnamed people of one such face go."""
+    return _lists(X.suppress_suspicious(*_with_singles(spark, sf_dir))[0])
 
 
 @query(f"{WF} SELECT face_id, CASE WHEN pos % 9 = 4 THEN NULL WHEN person_id = 'p7' THEN NULL ELSE person_id END AS person_id, CASE WHEN pos % 9 = 4 THEN 'rejected' ELSE review END AS review FROM face")
