@@ -166,14 +166,19 @@ def _decide(batches):
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those similar enough."""
-    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+def _links(pairs: DataFrame, texts: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, decided): of pairs (a, b) that are not among those decided before, the ones similar enough; and all decided."""
+    side = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    new = pairs.select("a", "b", *(c.alias(n) for c, n in zip(side, ("low", "high")))).distinct()
+    new = new.join(decided.toDF("low", "high"), ["low", "high"], "left_anti").select("a", "b")
+    pairs = materialise(new, "pairs")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     links = materialise(both.select("a", "b", "text_a", "text_b").mapInPandas(_decide, "a long, b long"), "links")
-    release(pairs)
-    return links
+    every = materialise(decided.unionByName(pairs.select(*side)), "decided")
+    for old in (pairs, decided):
+        release(old)
+    return links, every
 
 
 def _alike(members: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -203,7 +208,8 @@ def near_roots(docs: DataFrame) -> DataFrame:
     told = materialise(widened(members.drop("name"), texts), "members")
     release(members)
     members = told
-    links, alone = materialise(texts.sparkSession.createDataFrame([], "a long, b long"), "links"), members
+    none = texts.sparkSession.createDataFrame([], "a long, b long")
+    links, decided, alone = materialise(none, "links"), materialise(none, "decided"), members
     for k, each in enumerate(PIVOTS):
         # Pivots of a group come from its texts that no pivot is like so far.
         order = F.struct(F.xxhash64("node", F.lit(k)), "node")
@@ -212,7 +218,7 @@ def near_roots(docs: DataFrame) -> DataFrame:
         else:
             pivots = alone.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where(F.col("k") <= each).drop("k")
         pivots = materialise(pivots, "pivots")
-        found = _links(_alike(members, pivots), texts)
+        found, decided = _links(_alike(members, pivots), texts, decided)
         both = materialise(links.unionByName(found), "links")
         linked = both.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
         rest = materialise(alone.join(linked, "node", "left_anti"), "alone")
@@ -231,14 +237,14 @@ def near_roots(docs: DataFrame) -> DataFrame:
         rooted = materialise(rooted, "rooted")
         left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
         rest = materialise(rooted.join(left.select("bucket"), "bucket", "left_semi"), "rest")
-        more = _links(candidates(rest, n, "root", best), texts)
+        more, decided = _links(candidates(rest, n, "root", best), texts, decided)
         every = materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
         found = materialise(connected_components(every), "roots")
         for old in (roots, rooted, rest, more, every):
             release(old)
         roots = found
     named = materialise(roots.join(names, "node"), "roots")
-    for old in (roots, names, members, texts):
+    for old in (roots, names, members, texts, decided):
         release(old)
     return named
 
