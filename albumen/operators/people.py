@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from albumen.functions import media, vectors
-from albumen.operators.graph import connected_components, materialise
+from albumen.operators.graph import connected_components, materialise, release
 
 # Clustering presets: eps, largest pair distance, match threshold and margin, assign threshold and margin.
 PRESETS = {
@@ -22,6 +24,10 @@ PRESETS = {
 SUGGEST, SUGGESTIONS, PER_PERSON, SUSPICIOUS = 0.78, 20, 2, 0.60
 #: Vectors of a block of the pair computation.
 BLOCK_ROWS = 2000
+#: Vectors whose angles tell which blocks can meet, and the rows of the sample that they are taken from.
+PIVOTS, PIVOT_SAMPLE = 24, 1000
+#: What rounding can add to an angle (a cosine's last digit is 1.5e-8 near an angle of 0).
+ANGLE_SLACK = 1e-6
 
 
 def rejected() -> Column:
@@ -41,39 +47,107 @@ def clusterable() -> Column:
     return ~rejected() & (confirmed() | ((F.lower(F.coalesce("review", F.lit(""))) != "suspicious") & sure))
 
 
+def _units(vs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have a direction, and those vectors at length 1, padded to one size."""
+    width = max(map(len, vs), default=0)
+    x = np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vs]).reshape(len(vs), width)
+    size = np.sqrt((x * x).sum(axis=1))
+    ok = np.flatnonzero(np.isfinite(size) & (size > 0))
+    return ok, x[ok] / size[ok, None]
+
+
+def _pivots(rows: DataFrame, count: int) -> np.ndarray:
+    """`count` unit vectors far from each other: of a sample (PIVOT_SAMPLE rows, by the hash of their keys) the first,
+    then each time the one whose nearest pivot is furthest. They bear on what is pruned, never on the result."""
+    sample = rows.where(F.size("v") > 0).orderBy(F.xxhash64("k"), "k").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
+    _, x = _units(sample)
+    if not len(x):
+        return np.zeros((1, 1))
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(count, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def located(df: DataFrame, key: str, col: str, rows_of_block: int = BLOCK_ROWS, by: str | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """(g, k, v, angles, cell, block), written: the vectors that have a direction, at length 1, with their angles to the
+    pivots, the nearest pivot, and the block they are dealt to. A group that fits one block is one; the cells of a
+    larger one are cut by hash into blocks of about `rows_of_block`, so a cell that holds most of a group is many."""
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    rows = df.select(F.col(key).alias("k"), F.col(col).cast("array<double>").alias("v"), group.alias("g"))
+    # Where every group is one block, there is nothing that pivots could tell apart.
+    crowded = not rows.groupBy("g").count().where(F.col("count") > rows_of_block).isEmpty()
+    points = _pivots(rows, pivots) if crowded else np.zeros((1, 1))
+
+    def locate(batches):
+        for pdf in batches:
+            ok, x = _units(pdf["v"])
+            if len(ok):
+                width = min(x.shape[1], points.shape[1])
+                angles = np.arccos(np.clip(x[:, :width] @ points[:, :width].T, -1, 1))
+                yield pd.DataFrame({"g": pdf["g"].to_numpy()[ok], "k": pdf["k"].to_numpy()[ok], "v": list(x), "angles": list(angles), "cell": angles.argmin(axis=1)})
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = materialise(rows.where(F.size("v") > 0).mapInPandas(locate, f"g string, k {kind}, v array<double>, angles array<double>, cell int"), "located")
+    if not crowded:
+        return rows.withColumn("block", F.lit(0))
+    cells = materialise(rows.groupBy("g", "cell").agg(F.count("*").alias("n")), "cells")
+    whole = W.partitionBy("g")
+    first = F.sum("blocks").over(whole.orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    cells = cells.withColumn("cut", F.sum("n").over(whole) > rows_of_block).withColumn("blocks", F.ceil(F.col("n") / rows_of_block))
+    cells = cells.select("g", "cell", F.when(F.col("cut"), F.coalesce(first, F.lit(0))).otherwise(0).alias("first"), F.when(F.col("cut"), F.col("blocks")).otherwise(1).alias("blocks"))
+    dealt = (F.col("first") + F.pmod(F.xxhash64("k"), F.col("blocks"))).cast("int")
+    out = materialise(rows.join(cells, ["g", "cell"]).withColumn("block", dealt).drop("first", "blocks"), "blocks")
+    release(rows)
+    return out
+
+
+def meeting_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """(g, i, j), i <= j, of the blocks that may hold a pair with cosine of at least `least`.
+
+    Angles keep the triangle inequality: two vectors at most t apart differ by t at most in their angles to any
+    pivot, so blocks whose ranges of angles to some pivot lie further apart hold no pair. A block is one narrow row
+    of ranges, met by cell of the other side, so a group's blocks are not met in one task.
+    """
+    widest = float(np.arccos(np.clip(least, -1, 1))) + ANGLE_SLACK
+    some = rows.select("angles").first()
+    count = len(some["angles"]) if some else 0
+    angle = [F.col("angles")[p] for p in range(count)]
+    spans = [f(a).alias(f"{n}{p}") for p, a in enumerate(angle) for n, f in (("low", F.min), ("high", F.max))]
+    spans = materialise(rows.groupBy("g", "block").agg(F.min("cell").alias("cell"), *spans), "spans")
+    # A block of a group that is one block spans cells; it is met through its first.
+    rest = [c for c in spans.columns if c not in ("g", "cell")]
+    cells = spans.select("g", "cell").distinct()
+    right = spans.drop("cell").join(cells, "g").select("g", "cell", *[F.col(c).alias(f"o_{c}") for c in rest])
+    near = F.col("block") <= F.col("o_block")
+    for p in range(count):
+        near = near & (F.col(f"low{p}") - F.col(f"o_high{p}") <= widest) & (F.col(f"o_low{p}") - F.col(f"high{p}") <= widest)
+    return spans.join(right, ["g", "cell"]).where(near).select("g", F.col("block").alias("i"), F.col("o_block").alias("j"))
+
+
 def similar_pairs(df: DataFrame, key: str, col: str, least: float, rows_of_block: int = BLOCK_ROWS, by: str | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of all vectors with cosine of at least `least`; with `by` (a library, say) only of
     those that share it.
 
-    A group's vectors are dealt to blocks of about `rows_of_block`, by its size, and its blocks meet pairwise, each
-    pair as one matrix product: memory is two blocks, a small group is one block, and a vector is sent once per block
-    of its own group only. Zero and non-finite vectors match nothing.
+    A group's vectors are dealt to blocks around pivots; blocks that may hold a pair meet, each two as one matrix
+    product: memory is two blocks, a small group is one block, and a vector is sent once per block that its own can
+    meet. Zero and non-finite vectors match nothing; no vectors give no pairs.
     """
-    group = F.col(by).cast("string") if by else F.lit("")
-    rows = df.select(F.col(key).alias("k"), F.col(col).cast("array<double>").alias("v"), F.coalesce(group, F.lit("")).alias("g"))
-    sizes = materialise(rows.groupBy("g").agg(F.ceil(F.count("*") / rows_of_block).cast("int").alias("blocks")), "sizes")
-    rows = rows.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    # Pair {i, j} is one group; a vector of block i goes to all pairs with i.
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    spread = rows.select("g", "k", "v", "block", F.explode(meets).alias("pair")).select("g", "k", "v", "block", "pair.i", "pair.j")
-
+    rows = located(df, key, col, rows_of_block, by)
+    if rows.where("block > 0").isEmpty():
+        spread = rows.select("g", "k", "v", "block", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    else:
+        meets = materialise(meeting_blocks(rows, least), "meets")
+        sides = meets.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        spread = rows.select("g", "k", "v", "block").join(sides, ["g", "block"])
     kind = df.schema[key].dataType.simpleString()
 
-    def units(vs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the vectors that have a direction, and those vectors at length 1, padded to one size."""
-        width = max(map(len, vs))
-        x = np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vs])
-        size = np.sqrt((x * x).sum(axis=1))
-        ok = np.flatnonzero(np.isfinite(size) & (size > 0))
-        return ok, x[ok] / size[ok, None]
-
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        ok, x = units(pdf["v"])
-        pdf = pdf.iloc[ok]
-        a, b = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in (i, j))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        width = max(map(len, pdf["v"]))
+        x = np.array([np.pad(v, (0, width - len(v))) for v in pdf["v"]])
+        a, b = (np.flatnonzero(pdf["block"].to_numpy() == n) for n in (i, j))
         out, keys = [], pdf["k"].to_numpy()
         for at in range(0, len(a), 512):
             s = x[a[at : at + 512]] @ x[b].T
@@ -132,35 +206,51 @@ def _components(pairs: DataFrame, key: str, min_samples: int) -> DataFrame:
     return core.select(F.col("core").alias(key), "cluster").unionByName(border.select(F.col("a").alias(key), "cluster"))
 
 
-def split_by_diameter(matrix: np.ndarray, most: float) -> list[list[int]]:
-    """Groups of row numbers in which no distance is over `most`: each grows from the row nearest to all others by
-    the row that keeps the largest distance, then the sum, then the number least."""
-    left, out = np.arange(len(matrix)), []
+def split_in_order(n: int, distances: Callable[[int, np.ndarray], np.ndarray], sums: Callable[[np.ndarray], np.ndarray], most: float) -> list[list[int]]:
+    """Groups of the rows 0 to n - 1 in which no distance is over `most`: each grows from the row nearest to all
+    others by the row that keeps the largest distance, then the sum, then the number least.
+
+    Only rows that are within `most` of the whole group so far are looked at again, and only their distances to the
+    latest member are asked for: `distances(row, rows)`; `sums(rows)` is each row's sum of distances to all of them.
+    """
+    left, out = np.arange(n), []
     while len(left):
-        inner = matrix[np.ix_(left, left)]
-        seed = int(np.lexsort((left, inner.sum(axis=1) - np.diag(inner)))[0])
-        group, widest, total = [left[seed]], 0.0, matrix[left[seed]].copy()
-        far = matrix[left[seed]].copy()
-        rest = np.delete(left, seed)
+        seed = left[np.lexsort((left, sums(left)))[0]]
+        group, widest, latest = [seed], 0.0, seed
+        rest = left[left != seed]
+        far, total = np.zeros(len(rest)), np.zeros(len(rest))
         while len(rest):
-            reach = np.maximum(far[rest], widest)
-            ok = np.flatnonzero(reach <= most)
-            if not len(ok):
+            d = distances(latest, rest)
+            far, total = np.maximum(far, d), total + d
+            ok = far <= most
+            rest, far, total = rest[ok], far[ok], total[ok]
+            if not len(rest):
                 break
-            k = ok[np.lexsort((rest[ok], total[rest[ok]], reach[ok]))[0]]
-            row = rest[k]
-            widest = float(reach[k])
-            group.append(row)
-            far, total = np.maximum(far, matrix[row]), total + matrix[row]
-            rest = np.delete(rest, k)
+            k = np.lexsort((rest, total, np.maximum(far, widest)))[0]
+            latest, widest = rest[k], max(widest, float(far[k]))
+            group.append(latest)
+            rest, far, total = np.delete(rest, k), np.delete(far, k), np.delete(total, k)
         out.append(sorted(int(x) for x in group))
-        left = rest
+        left = left[~np.isin(left, group)]
     return out
 
 
+def split_by_diameter(matrix: np.ndarray, most: float) -> list[list[int]]:
+    """split_in_order of a matrix of distances."""
+    return split_in_order(len(matrix), lambda i, rows: matrix[i, rows], lambda rows: matrix[np.ix_(rows, rows)].sum(axis=1) - np.diag(matrix)[rows], most)
+
+
+def split_vectors(x: np.ndarray, most: float) -> list[list[int]]:
+    """split_in_order of unit vectors by cosine distance, without a matrix of distances: memory is the vectors.
+    Distances and sums are rounded, so that equal ones are equal by whichever product they are found."""
+    return split_in_order(
+        len(x), lambda i, rows: np.clip(1 - x[rows] @ x[i], 0, 2).round(12), lambda rows: (len(rows) - x[rows] @ x[rows].sum(axis=0)).round(9), most
+    )
+
+
 def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float) -> DataFrame:
     """(key, cluster, part): clusters cut so that no pair in a part is further apart than `most`; part is the
-    smallest key in it. One task holds a cluster's distances, as the greedy order needs them all."""
+    smallest key in it. One task holds a cluster's vectors, as the greedy order needs them all, but no distances."""
     kind = df.schema[key].dataType.simpleString()
     rows = clusters.join(df.select(key, vectors.unit(F.col(col)).alias("v")), key).where("v is not null")
 
@@ -168,9 +258,8 @@ def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float)
         pdf = pdf.sort_values(key, ignore_index=True)
         width = max(map(len, pdf["v"]))
         x = np.array([np.pad(v, (0, width - len(v))) for v in pdf["v"]])
-        d = np.clip(1 - x @ x.T, 0, 2)
         part = np.empty(len(pdf), object)
-        for group in split_by_diameter(d, most):
+        for group in split_vectors(x, most):
             part[group] = pdf[key].iloc[group[0]]
         return pd.DataFrame({key: pdf[key], "cluster": pdf["cluster"], "part": list(part)})
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from albumen.functions import media, text
@@ -62,6 +63,42 @@ def test_diameter_split_against_loops():
         x = rng.integers(0, 40, (14, 1)) / 8
         d = np.abs(x - x.T)
         assert people.split_by_diameter(d, 1.0) == split_by_loops(d.tolist(), 1.0)
+        y = rng.normal(size=(14, 3)).round(1)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        y = np.vstack([y, y[:4]])
+        assert people.split_vectors(y, 0.6) == split_by_loops((1 - y @ y.T).clip(0, 2).round(12).tolist(), 0.6)
+
+
+@pytest.mark.parametrize("least", [-0.2, 0.0, 0.4, 0.9, 0.999])
+def test_pairs_by_pivots_against_all_pairs(spark, least):
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(8, 6))
+    rows = [(i, [float(v) for v in centers[i % 8] + rng.normal(scale=0.15 * (i % 3), size=6)][: 6 - i % 2]) for i in range(120)]
+    rows += [(200, []), (201, None), (202, [float("nan")] * 6), (203, [0.0] * 6), (204, rows[0][1]), (205, [2 * v for v in rows[0][1]])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    pad = {k: np.pad(v, (0, 6 - len(v))) for k, v in rows if v and np.isfinite(v).all() and any(v)}
+    unit = {k: v / np.linalg.norm(v) for k, v in pad.items()}
+    want = {(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= least}
+    edge = {(a, b) for a in unit for b in unit if a < b and abs(unit[a] @ unit[b] - least) < 1e-9}
+    got = [(r.a, r.b) for r in people.similar_pairs(df, "k", "v", least, rows_of_block=9).collect()]
+    assert len(got) == len(set(got)) and set(got) - edge == want - edge
+
+
+def test_blocks_that_cannot_meet_are_not_sent(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(20, 16))
+    rows = [(i, [float(v) for v in centers[min(i % 30, 19)] + rng.normal(scale=0.02, size=16)]) for i in range(1200)]
+    near = people.located(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", rows_of_block=30)
+    blocks = near.select("block").distinct().count()
+    sent = people.meeting_blocks(near, 0.95).count()
+    # A third of the rows is one person: its 15 blocks meet each other, all else only itself.
+    assert blocks >= 40 and sent < 0.25 * blocks * (blocks + 1) / 2
+    assert near.groupBy("block").count().agg(F.max("count")).first()[0] < 100
+
+
+def test_pairs_of_no_vectors(spark):
+    assert people.similar_pairs(spark.createDataFrame([], "k long, v array<double>"), "k", "v", 0.5).collect() == []
+    assert people.similar_pairs(spark.createDataFrame([(1, [0.0]), (2, None)], "k long, v array<double>"), "k", "v", 0.5).collect() == []
 
 
 def test_clusters_of_planted_faces(spark):
