@@ -217,6 +217,28 @@ def known_terms(query: str, vocabulary: DataFrame, col: str = "term") -> DataFra
     return hit.orderBy(F.length("term").desc(), "term")
 
 
+def terms_of(queries: DataFrame, vocabulary: DataFrame, query_id: str, query: str, col: str = "term") -> DataFrame:
+    """(query_id, term): known_terms for every row of a table of queries at once.
+
+    A query's runs of words, of the lengths that terms have, are looked up by equality: what is shuffled is a query's
+    words times the distinct lengths of terms in words, and neither side is broadcast or scanned per query. Queries
+    without an id, words or known terms give no rows.
+    """
+    terms = materialise(vocabulary.select(text.normalize_phrase(F.col(col)).alias("term")).where("term <> ''").distinct(), "terms")
+    sizes = [r.n for r in terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()]
+    if not sizes:
+        return queries.select(query_id, F.lit("").alias("term")).where(F.lit(False))
+    words = F.split(text.normalize_phrase(F.col(query)), " ")
+    rows = computed_once(queries.select(F.col(query_id), words.alias("__words")).where(F.col(query_id).isNotNull()))
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("__words") >= n, F.sequence(F.lit(1), F.size("__words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.array_join(F.slice("__words", at, n), " "))
+
+    runs = F.concat(*map(runs_of, sorted(sizes)))
+    return rows.select(query_id, F.explode(F.array_distinct(runs)).alias("term")).join(terms, "term").select(query_id, "term")
+
+
 def place_terms(df: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
     """Distinct words of some length, and whole names, of the place columns; longest first."""
     names = df.select(F.explode(F.array(*[text.normalize_phrase(F.coalesce(c, F.lit(""))) for c in columns])).alias("term")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from albumen.functions import vectors
+from albumen.sources.snapshots import Snapshots
 
 
 def scan(spark: SparkSession, path: str, library: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -44,18 +45,26 @@ def vector_index(df: DataFrame, key: str, photo: str, text: str, version_col: st
 
 
 def save_index(index: DataFrame, path: str, source_version: str, embedding_version: str) -> None:
-    """The vectors, then the manifest that makes them valid."""
-    index.write.mode("overwrite").parquet(f"{path}/vectors")
-    manifest = index.sparkSession.createDataFrame([(source_version, embedding_version, False)], "source_version string, embedding_version string, dirty boolean")
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    """A version of the index; one that is being read stays as it is."""
+    note = {"source_version": source_version, "embedding_version": embedding_version, "dirty": False}
+    Snapshots(index.sparkSession, path).replace(index, note)
+
+
+def mark_dirty(spark: SparkSession, path: str) -> None:
+    """Let no reader use the latest index until it is built again; no vector is written."""
+    log = Snapshots(spark, path)
+    last = log.version()
+    if last:
+        log.restore(last.number, last.note | {"dirty": True}, after=last.number)
 
 
 def load_index(spark: SparkSession, path: str, source_version: str, embedding_version: str) -> DataFrame | None:
-    """The vectors, or None if they are of other versions or marked dirty."""
-    m = spark.read.parquet(f"{path}/manifest").first()
-    if m is None or m.dirty or (m.source_version, m.embedding_version) != (source_version, embedding_version):
+    """The latest vectors, or None if there are none, or they are of other versions or marked dirty."""
+    log = Snapshots(spark, path)
+    last = log.version()
+    if last is None or last.note["dirty"] or (last.note["source_version"], last.note["embedding_version"]) != (source_version, embedding_version):
         return None
-    return spark.read.parquet(f"{path}/vectors")
+    return log.read(last.number)
 
 
 def append_audit(df: DataFrame, path: str) -> None:
