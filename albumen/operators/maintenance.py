@@ -234,6 +234,42 @@ def delete_photos(names: DataFrame, photos: DataFrame, faces: DataFrame, albums:
     return keep, face, rest
 
 
+def _without(df: DataFrame, key: str, col: str, gone: DataFrame) -> DataFrame:
+    """df with the values in `gone` (one column) taken out of its lists, in their order; `touched` tells which lost any."""
+    rows = df.select(key, F.posexplode(col).alias("pos", "__x")).join(gone.toDF("__x").distinct().withColumn("__gone", F.lit(True)), "__x", "left")
+    stay = F.collect_list(F.when(F.col("__gone").isNull(), F.struct("pos", F.col("__x").alias("x"))))
+    lists = rows.groupBy(key).agg(F.transform(F.array_sort(stay), lambda e: e["x"]).alias("__list"), F.coalesce(F.bool_or("__gone"), F.lit(False)).alias("touched"))
+    rest = df.join(lists, key, "left").withColumn(col, F.coalesce("__list", col))
+    return rest.withColumn("touched", F.coalesce("touched", F.lit(False))).drop("__list")
+
+
+def delete_people_of(names: DataFrame, photos: DataFrame, faces: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, photos) of a library after photos are deleted. Their faces leave all people's lists, and a person whose
+    list that empties goes. A person whom a deleted photo shows, but who is not there (any more), leaves the people
+    of the photos that stay. names: filename; photos: filename (unique), people_ids; people: person_id, face_ids."""
+    dead = faces.join(names, "filename", "left_semi").select("face_id")
+    left = _without(people, "person_id", "face_ids", dead)
+    left = left.where(~F.col("touched") | (F.size("face_ids") > 0)).drop("touched")
+    shown = photos.join(names, "filename", "left_semi").select(F.explode("people_ids").alias("person_id")).distinct()
+    lost = shown.join(left, "person_id", "left_anti")
+    return left, _without(photos.join(names, "filename", "left_anti"), "filename", "people_ids", lost).drop("touched")
+
+
+def delete_jobs_of(names: DataFrame, jobs: DataFrame, user: str, key: str = "row_key") -> DataFrame:
+    """The jobs that stay when a user's photos are deleted: jobs_of for a table of names. A key is looked up by its
+    beginnings, of the lengths that the photos' keys have, so there is no pair of every job and photo. Jobs are told
+    apart by `key`, which is unique."""
+    name = F.col("filename")
+    starts = names.where(name != "").select(F.explode(F.array(F.concat(F.lit(f"processing:{user}:"), name), F.concat(F.lit(f"{user}:"), name), name)).alias("__start")).distinct()
+    lengths = starts.select(F.length("__start").alias("__n")).distinct()
+    keys = jobs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.array_compact(F.array("job_id", "row_key", "correlation_id")))).alias("__k"))
+    begun = keys.join(lengths, F.length("__k") >= F.col("__n")).select("__key", F.substring(F.col("__k"), F.lit(1), F.col("__n")).alias("__start"))
+    mine = F.coalesce(F.col("user_id"), F.lit("")).isin("", user)
+    named = jobs.where(mine).select(F.col(key).alias("__key"), F.explode(F.array_compact(F.array("filename", "correlation_id"))).alias("filename")).join(names, "filename", "left_semi").select("__key")
+    hit = begun.join(starts, "__start", "left_semi").select("__key").unionByName(named).distinct()
+    return jobs.join(hit, jobs[key] == hit["__key"], "left_anti")
+
+
 def purge_library(tables: dict[str, DataFrame], library) -> dict[str, DataFrame]:
     return {name: t.where(~F.col("library_id").eqNullSafe(F.lit(library))) for name, t in tables.items()}
 

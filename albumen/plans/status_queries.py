@@ -338,3 +338,17 @@ def cascade_delete(spark, sf_dir):
     none = gone.limit(0)
     _, _, albums = X.delete_photos(gone, none, none, S.album_files(spark, sf_dir))
     return albums.select("album_id", F.array_join("filenames", ",").alias("filenames"))
+
+
+@query(f"""WITH {S.PEOPLE}, gone AS (SELECT DISTINCT filename FROM face WHERE substr(filename, 6)::INT % 7 = 0), dead AS (SELECT face_id FROM face WHERE filename IN (FROM gone)),
+ lost AS (SELECT DISTINCT person_id FROM face WHERE filename IN (FROM gone) AND person_id NOT IN (SELECT person_id FROM person))
+SELECT 'person' AS what, person_id AS key, string_agg(face_id, ',' ORDER BY face_id) AS value FROM member WHERE face_id NOT IN (FROM dead) GROUP BY person_id
+UNION ALL SELECT 'photo', filename, coalesce(string_agg(DISTINCT person_id, ',' ORDER BY person_id) FILTER (person_id NOT IN (FROM lost)), '') FROM face WHERE person_id IS NOT NULL AND filename NOT IN (FROM gone) GROUP BY filename""")
+def cascade_people(spark, sf_dir):
+    """people's lists without the deleted photos' faces, and photos without people who are not there."""
+    faces = S.faces(spark, sf_dir)
+    photos = faces.where("person_id is not null").groupBy("filename").agg(F.array_sort(F.collect_set("person_id")).alias("people_ids"))
+    gone = faces.where(F.substring("filename", 6, 9).cast("int") % 7 == 0).select("filename").distinct()
+    people, rest = X.delete_people_of(gone, photos, faces, S.people(spark, sf_dir))
+    shown = people.select(F.lit("person").alias("what"), F.col("person_id").alias("key"), F.array_join(F.array_sort("face_ids"), ",").alias("value"))
+    return shown.unionByName(rest.select(F.lit("photo").alias("what"), F.col("filename").alias("key"), F.array_join("people_ids", ",").alias("value")))

@@ -76,3 +76,23 @@ def test_suppression(spark):
         "f1": (None, False, False, "suspicious", 0.5), "f2": (None, False, True, "rejected", 0.2), "f3": ("a", True, False, "", 0.2), "f4": (None, False, False, "suspicious", 0.5), "f5": ("c", False, False, "", 0.6),
         "f6": (None, False, True, "rejected", 0.1), "f7": ("e", False, True, "", 0.1), "f8": (None, False, True, "rejected", None),
     }
+
+
+def test_deleted_photos_leave_people_and_jobs(spark):
+    names = spark.createDataFrame([("a.jpg",), ("b.jpg",)], "filename string")
+    photos = spark.createDataFrame([("a.jpg", ["ann", "bob", "ghost"]), ("b.jpg", []), ("c.jpg", ["ghost", "bob", "ann"]), ("d.jpg", ["other", "ann"]), ("e.jpg", None)], "filename string, people_ids array<string>")
+    faces = spark.createDataFrame([("f1", "a.jpg"), ("f2", "c.jpg"), ("f3", "a.jpg")], "face_id string, filename string")
+    people = spark.createDataFrame([("ann", ["f2", "f1", "x"]), ("bob", ["f3"]), ("eve", [])], "person_id string, face_ids array<string>")
+    left, rest = maintenance.delete_people_of(names, photos, faces, people)
+    # Bob had the one face; Eve's list was empty before. Ghost never had a row; nobody asks for other.
+    assert {r.person_id: r.face_ids for r in left.collect()} == {"ann": ["f2", "x"], "eve": []}
+    assert {r.filename: r.people_ids for r in rest.collect()} == {"c.jpg": ["ann"], "d.jpg": ["other", "ann"], "e.jpg": None}
+
+    values = ["a.jpg", "a.jpg-7", "u1:b.jpg:9", "processing:u1:b.jpg", "processing:u2:a.jpg", "exif:a.jpg", "c.jpg", None]
+    jobs = [(f"k{i}{j}{m}", v, w, u, v if j == 1 else None) for i, v in enumerate(values) for j, w in enumerate(["a.jpg", "z", None]) for m, u in enumerate(["u1", "u2", None])]
+    jobs = spark.createDataFrame(jobs, "row_key string, job_id string, filename string, user_id string, correlation_id string")
+    want = jobs
+    for name in ("a.jpg", "b.jpg"):
+        want = want.join(maintenance.jobs_of(jobs, "u1", name).select("row_key"), "row_key", "left_anti")
+    got = sorted(r.row_key for r in maintenance.delete_jobs_of(names, jobs, "u1").collect())
+    assert got == sorted(r.row_key for r in want.collect()) and 0 < len(got) < 72
