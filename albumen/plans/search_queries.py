@@ -216,12 +216,13 @@ def known_terms(spark, sf_dir):
     return Q.known_terms("beach near Nation 7, nation 12s & NATION_12", S.read(spark, sf_dir, "nation"), "n_name")
 
 
-@query(f"""WITH term AS (SELECT DISTINCT {_FOLD.format('n_name')} AS term FROM nation UNION SELECT {_FOLD.format('r_name')} FROM region UNION SELECT DISTINCT {_FOLD.format("substr(p_name, 1, strpos(p_name || ' ', ' ') - 1)")} FROM part), said AS (SELECT doc_id, ' ' || {_FOLD.format("coalesce(text, '') || ' ' || n_name")} || ' ' AS words FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 25)
+@query(f"""WITH term AS (SELECT DISTINCT {_FOLD.format('n_name')} AS term FROM nation UNION SELECT {_FOLD.format('r_name')} FROM region UNION SELECT array_to_string(string_split({_FOLD.format('text')}, ' ')[1:5], ' ') FROM benchmark), said AS (SELECT doc_id, ' ' || {_FOLD.format("coalesce(text, '') || ' ' || n_name")} || ' ' AS words FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 25)
 SELECT doc_id, term FROM said, term WHERE term <> '' AND contains(words, ' ' || term || ' ')""")
 def terms_of_queries(spark, sf_dir):
-    """J13 for a table of queries: places and first words of parts' names in whole documents, each with a nation's name."""
-    first = F.substring_index("p_name", " ", 1)
-    vocabulary = S.read(spark, sf_dir, "nation").select(F.col("n_name").alias("term")).unionByName(S.read(spark, sf_dir, "region").select(F.col("r_name").alias("term"))).unionByName(S.read(spark, sf_dir, "part").select(first.alias("term")))
+    """J13 for a table of queries: places, and the first five words of benchmark passages, in whole documents, each with
+    a nation's name."""
+    first = F.array_join(F.slice(F.split(text.normalize_phrase(F.col("text")), " "), 1, 5), " ")
+    vocabulary = S.read(spark, sf_dir, "nation").select(F.col("n_name").alias("term")).unionByName(S.read(spark, sf_dir, "region").select(F.col("r_name").alias("term"))).unionByName(S.read(spark, sf_dir, "benchmark").select(first.alias("term")))
     docs = S.read(spark, sf_dir, "documents").join(F.broadcast(S.read(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("doc_id") % 25, "left")
     return Q.terms_of(docs.withColumn("said", F.concat_ws(" ", "text", "n_name")), vocabulary, "doc_id", "said")
 
