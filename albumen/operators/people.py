@@ -491,10 +491,12 @@ def suppress(df: DataFrame, by: str, most: float = 0.35) -> DataFrame:
     return df.groupBy(by).applyInPandas(lambda pdf: suppress_boxes(pdf, most), df.schema)
 
 
-def dedupe_faces(faces: DataFrame) -> DataFrame:
+def dedupe_faces(faces: DataFrame, pos: str | None = None) -> DataFrame:
     """Groups of faces of one identity key, as the entity that stays: the fields of the best face (confirmed, then
-    owned, then confident, then of a deterministic id, then first by id), the best confidence, any confirmation, and
-    the deterministic id, under which it is stored. `deleted` counts the faces of other ids, which go.
+    owned, then confident, then of a deterministic id, then first by id, then by the column `pos`), the best
+    confidence, any confirmation, and the deterministic id, under which it is stored. `deleted` counts the faces of
+    other ids, which go. Faces that are stored already share the deterministic id: without `pos`, of equal ones the one
+    of the smallest person counts.
 
     faces: library_id, face_id, filename, left, top, width, height, image_width, image_height, person_id, confidence, confirmed.
     """
@@ -504,6 +506,7 @@ def dedupe_faces(faces: DataFrame) -> DataFrame:
     order = F.struct(
         flag(F.coalesce("confirmed", F.lit(False))).alias("c"), flag(F.coalesce("person_id", F.lit("")) != "").alias("a"),
         (-F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))).alias("s"), flag(F.col("face_id").startswith(media.FACE_PREFIX)).alias("d"), F.col("face_id").alias("id"),
+        F.col(pos or "person_id").alias("p"),
     )
     fields = F.struct("face_id", "filename", "person_id", *box)
     rows = faces.withColumn("stored", media.face_id(*(F.col(c) for c in ("library_id", "filename", *box)))).withColumn("key", key)

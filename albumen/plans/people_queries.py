@@ -102,7 +102,7 @@ def _boxed(spark, sf_dir):
 @query(f"WITH {_DUPLICATE} SELECT library_id, stored AS face_id, count(*) AS copies, count(*) FILTER (own_id <> stored) AS deleted, first(own_id ORDER BY confirmed DESC, person_id IS NOT NULL DESC, confidence DESC, starts_with(own_id, 'face-v1-') DESC, own_id) AS canonical, min(filename) AS filename, first(person_id ORDER BY confirmed DESC, person_id IS NOT NULL DESC, confidence DESC, starts_with(own_id, 'face-v1-') DESC, own_id) AS person_id, max(confidence)::DOUBLE AS confidence, bool_or(confirmed) AS confirmed FROM renamed GROUP BY 1, 2 HAVING count(*) > 1")
 def face_dedupe(spark, sf_dir):
     """A13, P14."""
-    return P.dedupe_faces(_boxed(spark, sf_dir))
+    return P.dedupe_faces(_boxed(spark, sf_dir), "pos")
 
 
 @query(f"""{WF}, l AS (SELECT pos, face_id, CASE WHEN pos % 11 = 0 THEN 'p4' ELSE person_id END AS person_id FROM face WHERE person_id IS NOT NULL AND person_id <> 'p8' AND pos % 13 <> 0),

@@ -241,3 +241,15 @@ def test_results_of_an_upload(spark):
     assert (got[3].latitude, got[3].city, got[3].country, got[3].tags, got[3].face_count) == ("5.0", "rome", "", ["cat"], 0)
     assert show(4) == ("running", "running", "running", "running", "no_data", "pending") and got[4].lease_owner == "me" and got[4].latitude == "1"
     assert show(5) == ("running", "running", "running", "no_data", "running", "no_data")
+
+
+def test_duplicate_faces_that_differ_only_in_their_owner(spark):
+    from albumen.functions import media
+
+    box = ("left", "top", "width", "height", "image_width", "image_height")
+    rows = [(k, "L", "x.jpg", 0, 0, 9, 9, 100, 90, f"p{(k * 7 + 3) % 10}", 0.5, True) for k in range(40)]
+    f = spark.createDataFrame(rows, "pos long, library_id string, filename string, left int, top int, width int, height int, image_width int, image_height int, person_id string, confidence double, confirmed boolean")
+    f = f.withColumn("face_id", media.face_id(*(f[c] for c in ("library_id", "filename", *box))))
+    for order, first in (("pos", "p3"), (None, "p0")):
+        for rows in (f.orderBy("pos"), f.orderBy(f["pos"].desc()), f.repartition(7)):
+            assert [(r.person_id, r.copies, r.deleted) for r in people.dedupe_faces(rows, order).collect()] == [(first, 40, 0)]
