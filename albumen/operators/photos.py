@@ -208,10 +208,16 @@ def near_duplicates(df: DataFrame, hash_col: str = "perceptual_hash", key: str =
     mixed = F.length("h").cast("long")
     for j in range(extra):
         mixed = mixed.bitwiseXOR(F.coalesce(F.get("parts", F.col(f"c.b{j}")), F.lit(0)))
-    spread = rows.select("h", "k", "x", "c.mask", mixed.alias("hash"))
-    a, b = (spread.select("mask", "hash", F.col("h").alias(f"h{i}"), F.col("k").alias(f"k{i}"), F.col("x").alias(f"x{i}")) for i in (1, 2))
-    pairs = a.join(b, ["mask", "hash"]).where("k1 < k2 and length(h1) = length(h2)")
+    # A row is sent once a combination, so narrow: a hash that is a number is sent as that and its length.
+    text = F.when(F.col("x").isNull(), F.col("h"))
+    spread = rows.select(text.alias("h"), F.length("h").cast("short").alias("n"), "k", "x", F.col("c.mask").cast("short").alias("mask"), F.xxhash64("c.mask", mixed).alias("hash"))
+    a, b = (spread.select("hash", *[F.col(c).alias(f"{c}{i}") for c in ("mask", "h", "n", "k", "x")]) for i in (1, 2))
+    # By merging: sizes are estimated from before the rows were multiplied, so a large table could be broadcast. By one
+    # number, which sorts fastest; that the combinations are equal, and not only their hashes, is no key of the join.
+    pairs = a.hint("merge").join(b.hint("merge"), "hash").where("k1 < k2 and n1 - n2 = 0 and mask1 - mask2 = 0").withColumnRenamed("mask1", "mask")
     near = pairs.withColumn("distance", _differing(F.col("h1"), F.col("h2"), F.col("x1"), F.col("x2"))).where(F.col("distance") <= most)
+    digits = lambda i: F.coalesce(f"h{i}", F.lpad(F.lower(F.hex(f"x{i}")), F.col(f"n{i}").cast("int"), F.lit("0")))
+    near = near.withColumns({"h1": digits(1), "h2": digits(2)})
     # The lowest equal bands of a pair, as many as a combination has: the one at which the pair is made.
     equal = F.zip_with(bands("h1"), bands("h2"), lambda p, q: (p == q).cast("int"))
     left = F.aggregate(F.reverse(equal), F.lit(0), lambda bits, e: bits * 2 + e)

@@ -253,3 +253,8 @@ def test_duplicate_faces_that_differ_only_in_their_owner(spark):
     for order, first in (("pos", "p3"), (None, "p0")):
         for rows in (f.orderBy("pos"), f.orderBy(f["pos"].desc()), f.repartition(7)):
             assert [(r.person_id, r.copies, r.deleted) for r in people.dedupe_faces(rows, order).collect()] == [(first, 40, 0)]
+
+
+def test_hashes_meet_without_a_broadcast(spark):
+    df = spark.createDataFrame([(k, f"{k * 2654435761:016x}") for k in range(50)], "photo_id long, perceptual_hash string")
+    assert "Broadcast" not in photos.near_duplicates(df)._jdf.queryExecution().executedPlan().toString()
