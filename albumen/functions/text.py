@@ -48,7 +48,8 @@ def _ended(word: str, rules) -> str:
 
 def singularize(w: Column) -> Column:
     """A word's singular by its ending."""
-    out = F.when(F.length(w) < LEAST_LETTERS, w)
+    # Every ending ends in s: most words need no pattern.
+    out = F.when((F.length(w) < LEAST_LETTERS) | ~w.endswith("s"), w)
     for pattern, end in SINGULARS:
         out = out.when(w.rlike(pattern), F.regexp_replace(w, F.lit(pattern), F.lit("$1" + end)))
     return out.otherwise(w)
@@ -60,19 +61,17 @@ def singular(word: str) -> str:
 
 
 def _canonical(w: Column, otherwise: Column) -> Column:
+    # A map is searched one by one, and most words are not in it: those are told by one look into a set.
     table = F.create_map(*[F.lit(x) for pair in V.CANONICAL.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, w), otherwise)
+    return F.when(w.isin(*V.CANONICAL), F.try_element_at(table, w)).otherwise(otherwise)
 
 
 def normalize_token(c: Column) -> Column:
-    """normalize_phrase with each word mapped, made singular, and mapped again."""
-
-    def one(w: Column) -> Column:
-        mapped = _canonical(w, w)
-        return _canonical(mapped, singularize(mapped))
-
+    """normalize_phrase with each word mapped, made singular, and mapped again: step by step, as what is named twice in
+    one step is computed twice."""
     words = F.filter(F.split(normalize_phrase(c), " "), lambda w: w != "")
-    return F.array_join(F.transform(words, one), " ")
+    words = F.transform(words, lambda w: _canonical(w, w))
+    return F.array_join(F.transform(words, lambda w: _canonical(w, singularize(w))), " ")
 
 
 def normalize_tags(tags: Column, most: int = V.TAGS_KEPT, length: int = V.TAG_LENGTH) -> Column:

@@ -154,7 +154,7 @@ def _effective(spark, sf_dir):
     place = text.location_tags(F.concat(F.lit("Brand"), (k % 7).cast("string")), F.lit(None).cast("string"), F.col("address"))
     guesses = text.prediction_tags(s(*[F.struct(label.alias("label"), F.lit(p).alias("score")) for label, p in ((F.lit("widgets"), "0.9"), (F.concat(F.lit("guess"), (k % 3).cast("string")), "0.08"), (F.lit("never"), "0.01"))]))
     faces = text.face_presence_tags(F.when(k % 3 == 1, "1").otherwise("0"))
-    df = S.photos(spark, sf_dir).withColumns({"subjects": subjects, "places": place})
+    df = S.photos(spark, sf_dir, spread=True).withColumns({"subjects": subjects, "places": place})
     out = text.effective_tags(F.col("subjects"), s(F.lit("Anns"), F.concat(F.lit("Ann "), (k % 5).cast("string"))), F.col("places"), F.col("tags"), F.col("objects"), s(F.lit("Floors"), F.lit("SKY")), guesses, faces)
     df = computed_once(df.withColumn("effective", out))
     return df.withColumn("candidates", text.semantic_candidates(F.col("subjects"), F.col("places"), F.col("effective")))

@@ -19,9 +19,13 @@ def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def photos(spark, sf_dir: str) -> DataFrame:
+def photos(spark, sf_dir: str, spread: bool = False) -> DataFrame:
+    """With `spread`, rows are dealt to all tasks by their keys, for columns that cost far more than reading the few
+    bytes a row has: a small file is few tasks."""
     k, e = F.col("p_partkey"), F.expr
-    return read(spark, sf_dir, "part").select(
+    part = read(spark, sf_dir, "part")
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k) if spread else part
+    return part.select(
         k.alias("photo_id"),
         F.concat(F.lit("lib"), (k % 4).cast("string")).alias("library_id"),
         F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), k.cast("string"), F.element_at(F.array(*map(F.lit, (".jpg", ".nef", ".mp4", ".png", ".heic"))), (k % 5 + 1).cast("int"))).alias("filename"),

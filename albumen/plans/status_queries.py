@@ -172,13 +172,13 @@ for _rule, (_label, _from, _at, _key, _pos) in _RULES.items():
     _sql = f"{W}, r AS (SELECT {_key} AS key, {_label} AS label, filename, {_at} AS moment, {_pos} AS pos FROM {_from}), g AS (SELECT key, min_by(label, pos) AS name, max(moment) AS latest, count(DISTINCT filename) AS n FROM r WHERE key <> '' GROUP BY key) "
 
     def _groups(spark, sf_dir, rule=_rule):
-        return G.fold(G.keyed(S.photos(spark, sf_dir), rule, _names(spark)))
+        return G.fold(G.keyed(S.photos(spark, sf_dir, spread=True), rule, _names(spark)))
 
     _groups.__name__, _groups.__doc__ = f"smart_album_{_rule}", "A3-A8: the groups of this rule."
     query(_sql + "SELECT * FROM g")(_groups)
 
     def _next(spark, sf_dir, rule=_rule):
-        groups = G.fold(G.keyed(S.photos(spark, sf_dir), rule, _names(spark)))
+        groups = G.fold(G.keyed(S.photos(spark, sf_dir, spread=True), rule, _names(spark)))
         return G.next_album(groups, rule, groups.where(F.col("key").rlike("[02468]$")).select("name"))
 
     _next.__name__, _next.__doc__ = f"next_smart_album_{_rule}", "T6, J5: the best group whose name no album has."

@@ -258,3 +258,11 @@ def test_duplicate_faces_that_differ_only_in_their_owner(spark):
 def test_hashes_meet_without_a_broadcast(spark):
     df = spark.createDataFrame([(k, f"{k * 2654435761:016x}") for k in range(50)], "photo_id long, perceptual_hash string")
     assert "Broadcast" not in photos.near_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_costly_photo_columns_are_spread_over_tasks(spark):
+    from albumen.plans import QUERIES
+
+    # One small file: one task before, all that the session has now.
+    for name in ("effective_tags", "smart_album_tag"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
