@@ -22,8 +22,9 @@ PRESETS = {
     "loose": (0.14, 0.12, 0.88, 0.06, 0.92, 0.10),
 }
 SUGGEST, SUGGESTIONS, PER_PERSON, SUSPICIOUS = 0.78, 20, 2, 0.60
-#: Vectors of a block of the pair computation.
-BLOCK_ROWS = 2000
+#: Vectors of a block of the pair computation: at least so many, and more for a table of more than BLOCKS such blocks,
+#: as a vector is sent to every block that its own can meet; but of no more components than a task can hold twice.
+BLOCK_ROWS, BLOCKS, BLOCK_COMPONENTS = 2000, 24, 3_000_000
 #: Vectors whose angles tell which blocks can meet, and the rows of the sample that they are taken from.
 PIVOTS, PIVOT_SAMPLE = 24, 1000
 #: What rounding can add to an angle (a cosine's last digit is 1.5e-8 near an angle of 0).
@@ -70,14 +71,22 @@ def _pivots(rows: DataFrame, count: int) -> np.ndarray:
     return x[chosen]
 
 
-def located(df: DataFrame, key: str, col: str, rows_of_block: int = BLOCK_ROWS, by: str | None = None, pivots: int = PIVOTS) -> DataFrame:
+def block_rows(largest: int, width: int) -> int:
+    """Vectors of a block where the largest group has so many, of so many components: about BLOCKS blocks a group."""
+    return max(BLOCK_ROWS, min(BLOCK_COMPONENTS // max(1, width), -(-largest // BLOCKS)))
+
+
+def located(df: DataFrame, key: str, col: str, rows_of_block: int | None = None, by: str | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(g, k, v, angles, cell, block), written: the vectors that have a direction, at length 1, with their angles to the
     pivots, the nearest pivot, and the block they are dealt to. A group that fits one block is one; the cells of a
-    larger one are cut by hash into blocks of about `rows_of_block`, so a cell that holds most of a group is many."""
+    larger one are cut by hash into blocks of about `rows_of_block` (none: block_rows of the largest group), so a cell
+    that holds most of a group is many."""
     group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
     rows = df.select(F.col(key).alias("k"), F.col(col).cast("array<double>").alias("v"), group.alias("g"))
     # Where every group is one block, there is nothing that pivots could tell apart.
-    crowded = not rows.groupBy("g").count().where(F.col("count") > rows_of_block).isEmpty()
+    largest, width = rows.groupBy("g").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("width"), F.lit(0))).first()
+    rows_of_block = rows_of_block or block_rows(largest, width)
+    crowded = largest > rows_of_block
     points = _pivots(rows, pivots) if crowded else np.zeros((1, 1))
 
     def locate(batches):
@@ -126,7 +135,7 @@ def meeting_blocks(rows: DataFrame, least: float) -> DataFrame:
     return spans.join(right, ["g", "cell"]).where(near).select("g", F.col("block").alias("i"), F.col("o_block").alias("j"))
 
 
-def similar_pairs(df: DataFrame, key: str, col: str, least: float, rows_of_block: int = BLOCK_ROWS, by: str | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, col: str, least: float, rows_of_block: int | None = None, by: str | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of all vectors with cosine of at least `least`; with `by` (a library, say) only of
     those that share it.
 

@@ -266,3 +266,10 @@ def test_costly_photo_columns_are_spread_over_tasks(spark):
     # One small file: one task before, all that the session has now.
     for name in ("effective_tags", "smart_album_tag"):
         assert "REPARTITION_BY_NUM" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_a_large_group_stay_few(spark):
+    assert [people.block_rows(n, 64) for n in (10, 48_000, 600_000, 10**8)] == [2000, 2000, 25_000, 46_875]
+    df = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=4).tolist()) for k in range(300)], "k long, v array<double>")
+    rows = people.located(df, "k", "v", people.block_rows(300, 4) // 40)
+    assert rows.select("block").distinct().count() > 1 and rows.count() == 300
