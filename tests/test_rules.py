@@ -4,6 +4,7 @@ import json
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,13 @@ def test_blocks_of_a_large_group_stay_few(spark):
     df = spark.createDataFrame([(k, np.random.default_rng(k).normal(size=4).tolist()) for k in range(300)], "k long, v array<double>")
     rows = people.located(df, "k", "v", people.block_rows(300, 4) // 40)
     assert rows.select("block").distinct().count() > 1 and rows.count() == 300
+
+
+def test_groups_of_vectors_in_the_order_of_a_matrix():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 6))
+    x[:90] = x[90:180]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    plain = people.split_in_order(len(x), lambda i, rows: np.clip(1 - x[rows] @ x[i], 0, 2).round(12), lambda rows: (len(rows) - x[rows] @ x[rows].sum(axis=0)).round(9), 0.4)
+    assert people.split_vectors(x, 0.4) == plain
+    assert people.split_vectors(np.eye(6)[np.zeros(50, int)], 0.1) == [list(range(50))]
