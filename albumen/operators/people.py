@@ -493,27 +493,80 @@ def assign_incrementally(faces: DataFrame, people: DataFrame, threshold: float,
     return new.groupBy("library_id").cogroup(known.groupBy("library_id")).applyInPandas(assign, f"library_id {kind}, face_id string, person_id string, created boolean")
 
 
+#: Faces that are scored against all people at once; those that they make people of are scored among themselves.
+ASSIGN_ROWS = 512
+
+
+class _Known:
+    """Unit vectors of one size and whose they are, in the order that they came in."""
+
+    def __init__(self, width: int):
+        self.x, self.ids = np.empty((64, width)), []
+
+    def add(self, who: str, v: np.ndarray) -> None:
+        if len(self.ids) == len(self.x):
+            self.x = np.concatenate([self.x, np.empty_like(self.x)])
+        self.x[len(self.ids)] = v
+        self.ids.append(who)
+
+
+def _top_two(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the place of the greatest number, the first of equals, that number and the next."""
+    s[np.isnan(s)] = -np.inf
+    at = s.argmax(axis=1)
+    rows = np.arange(len(s))
+    best = s[rows, at]
+    s[rows, at] = -np.inf
+    return at, best, s.max(axis=1)
+
+
 def assign_in_order(faces: pd.DataFrame, people: dict[str, np.ndarray], threshold: float, margin: float) -> pd.DataFrame:
     """(face_id, person_id, created) of a library's new faces in their order; a face that nobody matches by the
-    threshold and the margin becomes a person whom later faces can match."""
-    known, out = dict(people), []
-    for face, v in zip(faces["face_id"], faces["embedding"]):
-        v = np.asarray(v, float)
-        v = v / (np.linalg.norm(v) + 1e-12)
-        best, second, who = 0.0, 0.0, None
-        for person, rep in known.items():
-            if len(rep) != len(v):
-                continue
-            s = float(v @ rep)
-            if s > best:
-                best, second, who = s, best, person
-            elif s > second:
-                second = s
-        new = who is None or best < threshold or best - second < margin
-        if new:
-            who = f"person-{face}"
-            known[who] = v
-        out.append((face, who, new))
+    threshold and the margin becomes a person whom later faces can match.
+
+    Faces are taken by ASSIGN_ROWS: one matrix product gives each its best two of the people there were before, and one
+    its likeness to the others of its lot, of whom those that became people count."""
+    known: dict[int, _Known] = {}
+    for who, rep in people.items():
+        known.setdefault(len(rep), _Known(len(rep))).add(who, rep)
+    out, ids, vectors_ = [], faces["face_id"].to_numpy(), faces["embedding"].to_numpy()
+    for start in range(0, len(ids), ASSIGN_ROWS):
+        units = [np.asarray(v, float) for v in vectors_[start : start + ASSIGN_ROWS]]
+        units = [v / (np.linalg.norm(v) + 1e-12) for v in units]
+        lots: dict[int, list[int]] = {}
+        for i, v in enumerate(units):
+            lots.setdefault(len(v), []).append(i)
+        scores = {}
+        for width, lot in lots.items():
+            own, x = known.setdefault(width, _Known(width)), np.stack([units[i] for i in lot])
+            # Before all there is nobody, at 0.
+            best = np.zeros(len(lot)), np.zeros(len(lot)), np.full(len(lot), -1)
+            for at in range(0, len(own.ids), 8192):
+                place, one, two = _top_two(np.concatenate([x @ own.x[at : min(at + 8192, len(own.ids))].T, np.zeros((len(lot), 1))], axis=1))
+                more = one > best[0]
+                best = np.where(more, one, best[0]), np.where(more, np.maximum(best[0], two), np.maximum(best[1], one)), np.where(more, place + at, best[2])
+            among, made = np.nan_to_num(x @ x.T, nan=-np.inf), []
+            for row, i in enumerate(lot):
+                scores[i] = (row, best[0][row], best[1][row], best[2][row], among, made)
+        for i, v in enumerate(units):
+            row, first, second, place, among, made = scores[i]
+            own = known[len(v)]
+            who = own.ids[place] if place >= 0 else None
+            if made:
+                rows, names = zip(*made)
+                s = among[row, list(rows)]
+                k = int(s.argmax())
+                if s[k] > first:
+                    rest = np.delete(s, k)
+                    first, second, who = s[k], max(first, rest.max(initial=0.0)), names[k]
+                else:
+                    second = max(second, s[k])
+            new = who is None or first < threshold or first - second < margin
+            if new:
+                who = f"person-{ids[start + i]}"
+                own.add(who, v)
+                made.append((row, who))
+            out.append((ids[start + i], who, bool(new)))
     return pd.DataFrame(out, columns=["face_id", "person_id", "created"])
 
 

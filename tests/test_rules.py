@@ -284,3 +284,17 @@ def test_groups_of_vectors_in_the_order_of_a_matrix():
     plain = people.split_in_order(len(x), lambda i, rows: np.clip(1 - x[rows] @ x[i], 0, 2).round(12), lambda rows: (len(rows) - x[rows] @ x[rows].sum(axis=0)).round(9), 0.4)
     assert people.split_vectors(x, 0.4) == plain
     assert people.split_vectors(np.eye(6)[np.zeros(50, int)], 0.1) == [list(range(50))]
+
+
+def test_faces_in_lots_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    f = pd.DataFrame({"face_id": [f"f{k}" for k in range(200)], "embedding": [rng.normal(size=5 if k % 9 else 3) for k in range(200)]})
+    f.at[7, "embedding"] = np.full(5, np.nan)
+    unit = lambda v: v / np.linalg.norm(v)
+    known = {f"p{k}": unit(rng.normal(size=5)) for k in range(9)}
+    monkeypatch.setattr(people, "ASSIGN_ROWS", 1)
+    one = people.assign_in_order(f, known, 0.6, 0.02)
+    for lot in (2, 37, 512):
+        monkeypatch.setattr(people, "ASSIGN_ROWS", lot)
+        assert people.assign_in_order(f, known, 0.6, 0.02).equals(one)
+    assert one["created"].any() and not one["created"].all()
