@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -424,17 +425,23 @@ def suggestion_pairs(people: DataFrame, least: float = SUGGEST) -> DataFrame:
     the named one, then the one with more faces, then the smaller id. people: library_id, person_id (unique), name,
     faces, rep, declined."""
     pairs = similar_pairs(people, "person_id", "rep", least, by="library_id").join(people.select(F.col("person_id").alias("a"), "library_id"), "a")
+    return _directed(pairs, people).select("library_id", "source", "target", "similarity")
+
+
+def _directed(pairs: DataFrame, people: DataFrame) -> DataFrame:
+    """Pairs (library_id, a, b, similarity, ...), a < b, that neither declined, with source and target."""
     side = lambda n: people.select(F.col("person_id").alias(n), F.trim(F.coalesce("name", F.lit(""))).alias(f"name_{n}"), F.col("faces").alias(f"faces_{n}"), F.coalesce("declined", F.array().cast("array<string>")).alias(f"declined_{n}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     rows = rows.where(~F.array_contains("declined_a", F.col("b").cast("string")) & ~F.array_contains("declined_b", F.col("a").cast("string")))
     named_a, named_b = F.col("name_a") != "", F.col("name_b") != ""
     a_wins = F.when(named_a != named_b, named_a).when(F.col("faces_a") != F.col("faces_b"), F.col("faces_a") > F.col("faces_b")).otherwise(F.col("a") <= F.col("b"))
-    return rows.select("library_id", F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("target"), "similarity")
+    return rows.select(*pairs.columns, F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("target"))
 
 
 def _suggest(per_person: int, limit: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, counts, out = set(), {}, []
+    def run(pdf: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+        out = [] if before is None else list(before[["library_id", "source", "target", "similarity"]].itertuples(index=False, name=None))
+        used, counts = {x[1:3] for x in out}, Counter(p for x in out for p in x[1:3])
         pdf = pdf.sort_values(["person_id", "similarity", "other"], ascending=[True, False, True])
         for person, ranked in pdf.groupby("person_id", sort=True):
             if counts.get(person, 0) >= per_person:
@@ -469,7 +476,55 @@ def suggestions(pairs: DataFrame, per_person: int = PER_PERSON, limit: int = SUG
     near = W.partitionBy("library_id", "person_id", "role").orderBy(F.desc("similarity"), "other")
     both = both.withColumn("k", F.row_number().over(near)).where(F.col("k") <= 4 * limit + 1).drop("k", "role")
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("library_id", "source", "target")}
-    return both.groupBy("library_id").applyInPandas(_suggest(per_person, limit), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", similarity double")
+    run = _suggest(per_person, limit)
+    return both.groupBy("library_id").applyInPandas(lambda pdf: run(pdf), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", similarity double")
+
+
+#: People of a library whose pairs are looked at in the first turn of a report, and in one turn at most.
+TURN, TURN_MOST = 64, 4096
+
+
+def suggestion_report(people: DataFrame, least: float = SUGGEST, per_person: int = PER_PERSON, limit: int = SUGGESTIONS, turn: int = TURN) -> DataFrame:
+    """suggestions of suggestion_pairs, without making all pairs: people are asked in the order of their ids until a
+    library has `limit`, so each turn compares the next people of the libraries that have fewer with all of their
+    library. A turn of `turn` people (four times as many in the next, TURN_MOST at most) is what one task holds."""
+    people = materialise(people, "people")
+    lib, kinds = people.schema["library_id"].dataType.simpleString(), people.schema["person_id"].dataType.simpleString()
+    count = people.groupBy("library_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    blocks = max(1, -(-count // BLOCK_ROWS))
+    side = people.select("library_id", F.col("person_id").alias("k"), F.col("rep").cast("array<double>").alias("v"), F.pmod(F.xxhash64("person_id"), F.lit(blocks)).cast("int").alias("block")).where(F.size("v") > 0)
+
+    def alike(asked: pd.DataFrame, everyone: pd.DataFrame) -> pd.DataFrame:
+        vs, n = pd.concat([asked["v"], everyone["v"]], ignore_index=True), len(asked)
+        ok, x = _units(vs)
+        a, b = ok[ok < n], ok[ok >= n] - n
+        s = (x[: len(a)] @ x[len(a) :].T).round(12)
+        r, c = np.nonzero(s >= least)
+        one, other = asked["k"].to_numpy()[a[r]], everyone["k"].to_numpy()[b[c]]
+        out = pd.DataFrame({"library_id": asked["library_id"].iloc[0] if n else None, "person_id": one, "other": other, "similarity": s[r, c]})
+        return out[out["person_id"] != out["other"]]
+
+    run = _suggest(per_person, limit)
+    found = people.sparkSession.createDataFrame([], f"library_id {lib}, source {kinds}, target {kinds}, similarity double")
+    left = people.select("library_id", "person_id")
+    while True:
+        asked = left.withColumn("n", F.row_number().over(W.partitionBy("library_id").orderBy("person_id"))).where(F.col("n") <= turn)
+        asked = materialise(asked.select("library_id", "person_id"), "asked")
+        if asked.isEmpty():
+            return found
+        ask = side.join(F.broadcast(asked.select(F.col("library_id").alias("l"), F.col("person_id").alias("k"))), "k").where(F.col("library_id").eqNullSafe(F.col("l")))
+        ask = ask.select(*[F.col(c).alias(c) for c in ("library_id", "k", "v")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        near = ask.groupBy("library_id", "block").cogroup(side.groupBy("library_id", "block")).applyInPandas(alike, f"library_id {lib}, person_id {kinds}, other {kinds}, similarity double")
+        pairs = _directed(near.withColumns({"a": F.least("person_id", "other"), "b": F.greatest("person_id", "other")}), people)
+        role = F.col("source") == F.col("person_id")
+        best = W.partitionBy("library_id", "person_id", role).orderBy(F.desc("similarity"), "other")
+        pairs = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 4 * limit + 1).select("library_id", "person_id", "other", "source", "target", "similarity")
+        found = materialise(pairs.groupBy("library_id").cogroup(found.groupBy("library_id")).applyInPandas(run, found.schema), "found")
+        last = asked.groupBy(F.col("library_id").alias("l")).agg(F.max("person_id").alias("last"))
+        full = found.groupBy(F.col("library_id").alias("f")).count().where(F.col("count") >= limit)
+        rest = left.join(last, F.col("library_id").eqNullSafe(F.col("l"))).where(F.col("person_id") > F.col("last")).select("library_id", "person_id")
+        left = materialise(rest.join(full, F.col("library_id").eqNullSafe(F.col("f")), "left_anti"), "left")
+        turn = min(TURN_MOST, 4 * turn)
 
 
 def assign_incrementally(faces: DataFrame, people: DataFrame, threshold: float, margin: float) -> DataFrame:

@@ -173,7 +173,7 @@ def merge_suggestions(spark, sf_dir):
 @query()
 def suggestion_report(spark, sf_dir):
     """At most 20 suggestions a library and two a source; the greedy order is beyond SQL."""
-    return P.suggestions(P.suggestion_pairs(_persons(spark, sf_dir), _ALIKE)).withColumn("similarity", F.round("similarity", 6))
+    return P.suggestion_report(_persons(spark, sf_dir), _ALIKE).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()

@@ -276,6 +276,16 @@ def test_blocks_of_a_large_group_stay_few(spark):
     assert rows.select("block").distinct().count() > 1 and rows.count() == 300
 
 
+def test_report_of_suggestions_in_turns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"lib{k % 2}", f"v{k:04d}", "Ann" if k % 3 == 0 else "", k % 7, rng.normal(size=6).tolist(), [f"v{k + 2:04d}"]) for k in range(120)] + [("lone", "x", "", 1, [1.0] * 6, None)]
+    p = spark.createDataFrame(rows, "library_id string, person_id string, name string, faces int, rep array<double>, declined array<string>")
+    key = lambda r: (r.library_id, r.source, r.target, round(r.similarity, 9))
+    for limit in (6, 500):
+        want = sorted(map(key, people.suggestions(people.suggestion_pairs(p, 0.5), 2, limit).collect()))
+        assert sorted(map(key, people.suggestion_report(p, 0.5, 2, limit, turn=3).collect())) == want and want
+
+
 def test_groups_of_vectors_in_the_order_of_a_matrix():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 6))
