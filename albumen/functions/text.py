@@ -221,17 +221,28 @@ def hashed_embedding(c: Column, size: int = 1024) -> Column:
     and empty texts give a vector of zeros."""
     half = size // 2
 
-    def side(grams: list[str]) -> np.ndarray:
-        v = np.bincount([zlib.crc32(g.encode()) % half for g in grams], minlength=half).astype(float) if grams else np.zeros(half)
-        return v / (np.linalg.norm(v) or 1.0)
-
     @F.pandas_udf("array<double>")
     def run(phrases: pd.Series) -> pd.Series:
+        # Words repeat: a word's places are found once a batch.
+        known: dict[str, tuple[bytes, int, np.ndarray]] = {}
+
+        def places(w: str) -> tuple[bytes, int, np.ndarray]:
+            raw = w.encode()
+            p = f" {w} "
+            grams = [zlib.crc32(p[i : i + n].encode()) % half for n in (3, 4, 5) for i in range(max(1, len(p) - n + 1))]
+            known[w] = raw, zlib.crc32(raw), np.array(grams)
+            return known[w]
+
+        def side(at: np.ndarray | list) -> np.ndarray:
+            v = np.bincount(at, minlength=half).astype(float) if len(at) else np.zeros(half)
+            return v / (np.linalg.norm(v) or 1.0)
+
         out = []
         for phrase in phrases:
-            words = (phrase or "").split()
-            padded = [f" {w} " for w in words]
-            v = np.concatenate([side(words + [f"{a} {b}" for a, b in zip(words, words[1:])]), side([w[i : i + n] for w in padded for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))])])
+            words = [known.get(w) or places(w) for w in (phrase or "").split()]
+            # A pair's checksum goes on from that of its first word.
+            pairs = [zlib.crc32(b" " + b[0], a[1]) % half for a, b in zip(words, words[1:])]
+            v = np.concatenate([side([w[1] % half for w in words] + pairs), side(np.concatenate([w[2] for w in words]) if words else [])])
             out.append(v / (np.linalg.norm(v) or 1.0))
         return pd.Series(out)
 

@@ -308,3 +308,15 @@ def test_faces_in_lots_as_one_by_one(monkeypatch):
         monkeypatch.setattr(people, "ASSIGN_ROWS", lot)
         assert people.assign_in_order(f, known, 0.6, 0.02).equals(one)
     assert one["created"].any() and not one["created"].all()
+
+
+def test_hashed_embedding_as_by_plain_loops(spark):
+    import zlib
+
+    said = ["red ring red ring red", "a", "", None, "Ünder the red bridge"]
+    got = [r.v for r in spark.createDataFrame(list(enumerate(said)), "k int, t string").select("k", text.hashed_embedding(F.col("t"), 64).alias("v")).orderBy("k").collect()]
+    for t, v in zip(said, got):
+        words = (t or "").lower().replace("ü", "u").split()
+        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])], [f" {w} "[i : i + n] for w in words for n in (3, 4, 5) for i in range(max(1, len(w) + 3 - n))]
+        want = np.concatenate([(lambda c: c / (np.linalg.norm(c) or 1.0))(np.bincount([zlib.crc32(g.encode()) % 32 for g in side], minlength=32).astype(float)) for side in grams])
+        assert v == pytest.approx((want / (np.linalg.norm(want) or 1.0)).tolist())
