@@ -4,9 +4,10 @@ At that similarity 15 % of a fingerprint's bits differ on average, too many for
 a fixed radius. So fingerprints have 256 bits, and anchors are chosen in many blocks: each block is a draw of
 bits, its anchors are the words of Hamming(15,11) on 15 of them and every word on the rest, and a fingerprint is
 replicated to every anchor within the covering radius. Those that meet at an anchor and differ in few of 128
-bits are candidates; candidates are decided by the similarity of the whole sets. In each group of candidates,
-texts meet a pivot first, then more; pairs that are then linked through others need no comparison, and what is left is
-decided pair by pair.
+bits are candidates; candidates are decided by the similarity of the whole sets. In each group of candidates, texts
+meet first the one nearest to the group's centre, then more; pairs that are then linked through others need no
+comparison. Of what is left, those meet that share one of their rarest shingles: two sets of 0.8 must, so texts that
+are held together by what the whole group has never make a pair.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ LEAST_BITS, MOST_BITS, EQUAL, WIDER, SURE = 18, 38, 0.8485, 1.65, 5.0
 WIDE_BITS, MOST_WIDE = 1024, 187
 #: Shingles worked on together; pivots of a group in each round; pairs a text, on average, that may be left by then.
 CHUNK, PIVOTS, EACH = 255, (1, 8), 8
+#: Texts of a group that its centre is taken from. It only says which text is the first pivot.
+CENTRE = 64
 _PLACE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
 
 
@@ -126,17 +129,13 @@ def _spread(bits: int, blocks: int):
     return run
 
 
-def candidates(signed: DataFrame, n: int, root: str | None = None, best: bool = False) -> DataFrame:
-    """(a, b): links that span the groups of nodes that meet and differ in at most MOST bits; with `root`, a column
-    of signed, all pairs of different roots instead, or the nearest of each two roots. signed: node, FP and n rows
-    about; where it has WIDE, pairs are of those bits, MOST_WIDE at most."""
+def candidates(signed: DataFrame, n: int) -> DataFrame:
+    """(a, b): links that span the groups of nodes that meet and differ in at most MOST bits. signed: node, FP and n
+    rows about."""
     bits, blocks = layout(n)
-    wide = all(c in signed.columns for c in WIDE)
-    columns = ["node", *_COMPARED, *([root] if root else []), *(WIDE if wide else [])]
-    rows = signed.select("node", *FP, *columns[1 + len(_COMPARED) :])
-    rows = rows.mapInPandas(_spread(bits, blocks), f"anchor long, home byte, {', '.join(f'{c} long' for c in columns)}")
-    most, compared = (MOST_WIDE, WIDE) if wide else (MOST, _COMPARED)
-    return meet(rows).mapInPandas(_compare(most, compared, "node", root, best), "a long, b long")
+    columns = ["node", *_COMPARED]
+    rows = signed.select("node", *FP).mapInPandas(_spread(bits, blocks), f"anchor long, home byte, {', '.join(f'{c} long' for c in columns)}")
+    return meet(rows).mapInPandas(_compare(MOST, _COMPARED, "node"), "a long, b long")
 
 
 def _widen(batches):
@@ -181,14 +180,82 @@ def _links(pairs: DataFrame, texts: DataFrame, decided: DataFrame) -> tuple[Data
     return links, every
 
 
+def _far(prefix: str):
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(prefix + c))) for c in WIDE), F.lit(0))
+
+
+def _centre(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.unpackbits(np.ascontiguousarray(pdf[WIDE].to_numpy()).view(np.uint8), axis=1, bitorder="little")
+    words = np.packbits(bits.sum(axis=0) * 2 > len(bits), bitorder="little").view(np.int64)
+    return pd.DataFrame([[pdf["bucket"].iloc[0], *words]], columns=["bucket", *("c_" + c for c in WIDE)])
+
+
+def _central(members: DataFrame, order) -> DataFrame:
+    """Of each group the text nearest to the centre of some of its texts: where edits of one text are a group, an edit
+    is nearer to that text than to other edits, so most are linked to what is nearest to it."""
+    some = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where(F.col("k") <= CENTRE).select("bucket", *WIDE)
+    centres = materialise(some.groupBy("bucket").applyInPandas(_centre, f"bucket long, {', '.join(f'c_{c} long' for c in WIDE)}"), "centres")
+    near = F.struct(_far("c_").alias("far"), order.alias("order"))
+    pivots = members.join(centres, "bucket").groupBy("bucket").agg(F.min_by(F.struct("node", "size", *WIDE), near).alias("p")).select("bucket", "p.*")
+    pivots = materialise(pivots, "pivots")
+    release(centres)
+    return pivots
+
+
 def _alike(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """(a, b): members and pivots of one group that sizes and WIDE bits do not rule out."""
     p = pivots.select("bucket", *(F.col(c).alias("p_" + c) for c in ("node", "size", *WIDE)))
-    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("p_" + c))) for c in WIDE), F.lit(0))
+    far = _far("p_")
     fit = (F.least("size", "p_size") >= SIMILAR * F.greatest("size", "p_size")) & (far <= MOST_WIDE) & (F.col("node") != F.col("p_node"))
     return members.join(p, "bucket").where(fit).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
 
 
+def _tokens(batches):
+    for pdf in batches:
+        for at in range(0, len(pdf), 256):
+            part = pdf.iloc[at : at + 256]
+            sets = [shingles(t).view(np.int64) for t in part["text"]]
+            sizes = [len(h) for h in sets]
+            yield pd.DataFrame({"bucket": np.repeat(part["bucket"].to_numpy(), sizes), "node": np.repeat(part["node"].to_numpy(), sizes), "token": np.concatenate(sets)})
+
+
+def rarest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, token, node, size, at): of each text the shingles, from its group's rarest, of which it shares one with
+    every text of the group that is similar enough; at: shingles before it. Those that no other text of the group has
+    are counted only. members: bucket, node, size."""
+    tokens = members.select("bucket", "node").join(texts, "node").select("bucket", "node", "text").mapInPandas(_tokens, "bucket long, node long, token long")
+    tokens = materialise(tokens, "tokens")
+    counts = materialise(tokens.groupBy("bucket", "token").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    shared = tokens.join(counts, ["bucket", "token"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    # At 4/5 at least 4/5 of the larger set are in both: one of any fifth of it and one more.
+    first = F.col("size") - F.size("shared")
+    most = F.greatest(F.floor(F.col("size") / 5) + 1 - first, F.lit(0)).cast("int")
+    rows = members.select("bucket", "node", "size").join(shared, "node")
+    rows = rows.select("bucket", "node", "size", first.alias("first"), F.posexplode(F.slice("shared", F.lit(1), most)).alias("pos", "x"))
+    rows = materialise(rows.select("bucket", "x.token", "node", "size", (F.col("first") + F.col("pos")).alias("at")), "rarest")
+    for old in (tokens, counts):
+        release(old)
+    return rows
+
+
+def _sharing(rows: DataFrame, roots: DataFrame, star: bool) -> DataFrame:
+    """(a, b): texts of different roots that share a shingle of `rarest` and may be similar enough by sizes and by what
+    is left behind it; with `star`, each with one text of a shingle, at most as many as there are rows."""
+    own = ["node", "size", "at", "root"]
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pick = F.min_by(F.struct(*own), F.struct(F.xxhash64("node"), "node")).alias("p")
+    mixed = rooted.groupBy("bucket", "token").agg(pick, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    mixed = mixed.select("bucket", "token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in own))
+    # 9 x both >= 4 x (sum of sizes) at a similarity of 4/5; at the first shingle that is in both, no more can be than follow.
+    fit = (F.col("root") != F.col("p_root")) & (9 * F.least(F.col("size") - F.col("at"), F.col("p_size") - F.col("p_at")) >= 4 * (F.col("size") + F.col("p_size")))
+    other = mixed
+    if not star:
+        rooted = rooted.join(mixed.select("bucket", "token"), ["bucket", "token"])
+        other = rooted.select("bucket", "token", *(F.col(c).alias(f"p_{c}") for c in own))
+        fit &= F.col("node") < F.col("p_node")
+    return rooted.join(other, ["bucket", "token"]).where(fit).select(F.col("node").alias("a"), F.col("p_node").alias("b"))
+
+
 def near_roots(docs: DataFrame) -> DataFrame:
     """(node, root, name) of each text that has a near copy: components of pairs at 0.8 or more. docs: node (long, the
     same for the same text), text, and name, which tells apart texts that share a node: one of them is looked at."""
@@ -214,10 +281,10 @@ def near_roots(docs: DataFrame) -> DataFrame:
         # Pivots of a group come from its texts that no pivot is like so far.
         order = F.struct(F.xxhash64("node", F.lit(k)), "node")
         if each == 1:
-            pivots = alone.groupBy("bucket").agg(F.min_by(F.struct("node", "size", *WIDE), order).alias("p")).select("bucket", "p.*")
+            pivots = _central(alone, order)
         else:
             pivots = alone.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where(F.col("k") <= each).drop("k")
-        pivots = materialise(pivots, "pivots")
+            pivots = materialise(pivots, "pivots")
         found, decided = _links(_alike(members, pivots), texts, decided)
         both = materialise(links.unionByName(found), "links")
         linked = both.select(F.explode(F.array("a", "b")).alias("node")).unionByName(pivots.select("node")).distinct()
@@ -231,18 +298,21 @@ def near_roots(docs: DataFrame) -> DataFrame:
     release(alone)
     roots = materialise(connected_components(links), "roots")
     release(links)
-    # What pivots have left: of any two components that meet at an anchor first the nearest pair, then every pair.
-    for best in (True, False):
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = materialise(rooted, "rooted")
-        left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        rest = materialise(rooted.join(left.select("bucket"), "bucket", "left_semi"), "rest")
-        more, decided = _links(candidates(rest, n, "root", best), texts, decided)
+    # What pivots have left, of groups of three or more (a pivot has met the other of two): first each text with one
+    # for each of its shingles, then every pair.
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2")
+    rest = materialise(members.select("bucket", "node", "size").join(left.select("bucket"), "bucket", "left_semi"), "rest")
+    rows = rarest(rest, texts)
+    release(rest)
+    for star in (True, False):
+        more, decided = _links(_sharing(rows, roots, star), texts, decided)
         every = materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
         found = materialise(connected_components(every), "roots")
-        for old in (roots, rooted, rest, more, every):
+        for old in (roots, more, every):
             release(old)
         roots = found
+    release(rows)
     named = materialise(roots.join(names, "node"), "roots")
     for old in (roots, names, members, texts, decided):
         release(old)

@@ -187,18 +187,17 @@ def _frontier(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list, list
     return a, b
 
 
-def _compare(most: int, bits: list[str], node: str, root: str | None = None, best: bool = False):
-    """Among the fingerprints (columns `bits`) that meet at an anchor, spanning links; with `root`, all near pairs
-    of different roots instead, or the nearest (`best`) of each two roots. The partition is sorted by anchor and cell,
-    homes first."""
+def _compare(most: int, bits: list[str], node: str):
+    """Among the fingerprints (columns `bits`) that meet at an anchor, spanning links. The partition is sorted by anchor
+    and cell, homes first."""
 
-    def links(key: np.ndarray, home: np.ndarray, ids: np.ndarray, fp: np.ndarray, roots: np.ndarray):
+    def links(key: np.ndarray, home: np.ndarray, ids: np.ndarray, fp: np.ndarray):
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         ends = np.r_[cuts[1:], len(key)]
         homes = np.add.reduceat(home.astype(np.int64), cuts)
         sizes = ends - cuts
         a, b = [], []
-        large = (homes * sizes > LARGE) & (root is None)
+        large = homes * sizes > LARGE
         for k in np.flatnonzero(large):
             x, y = _frontier(ids[cuts[k] : ends[k]], fp[cuts[k] : ends[k]], most)
             a += x
@@ -214,23 +213,11 @@ def _compare(most: int, bits: list[str], node: str, root: str | None = None, bes
             n = sizes[group[part]]
             x = np.repeat(of[part], n)
             y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cuts[group[part]], n)
-            hit = np.flatnonzero(roots[x] != roots[y])
-            far = _differing(fp[x[hit]], fp[y[hit]])
-            hit, far = hit[far <= most], far[far <= most]
-            if best:
-                sides = np.sort(np.c_[roots[x[hit]], roots[y[hit]]], axis=1)
-                order = np.lexsort((far, sides[:, 1], sides[:, 0]))
-                first = np.ones(len(order), bool)
-                first[1:] = (sides[order][1:] != sides[order][:-1]).any(axis=1)
-                hit = hit[order[first]]
+            hit = np.flatnonzero(ids[x] != ids[y])
+            hit = hit[_differing(fp[x[hit]], fp[y[hit]]) <= most]
             a.append(ids[x[hit]]), b.append(ids[y[hit]])
         if a and len(x := np.concatenate(a)):
-            y = np.concatenate(b)
-            if root is not None:
-                pairs = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)], axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-                return
-            nodes, least = local_components(x, y)
+            nodes, least = local_components(x, np.concatenate(b))
             far = nodes != least
             yield pd.DataFrame({"a": nodes[far], "b": least[far]})
 
@@ -241,7 +228,7 @@ def _compare(most: int, bits: list[str], node: str, root: str | None = None, bes
                 continue
             key = pdf[["anchor", "cell"]].to_numpy()
             fp = np.stack([pdf[c].to_numpy().view(np.uint64) for c in bits], axis=1)
-            part = key, pdf["home"].to_numpy(), pdf[node].to_numpy(), fp, pdf[root or node].to_numpy()
+            part = key, pdf["home"].to_numpy(), pdf[node].to_numpy(), fp
             if held and (held[0][0][0] == key[-1]).all():
                 held.append(part)
                 continue

@@ -65,6 +65,34 @@ def test_a_loose_group_is_told_apart(spark):
     assert 1 < len(got) < 30 and got == {k for k in docs if root[k] == k}
 
 
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts of one passage and an end of their own, similar by 0.75: as many comparisons as texts, not all pairs."""
+    random.seed(9)
+    passage, pairs, links = " ".join(f"w{k}" for k in range(138)), [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda p, *rest: (pairs.append(p.distinct().count()), links(p, *rest))[1])
+    docs = {k: f"{passage} " + " ".join(f"e{k}x{j}" for j in range(22)) for k in range(120)}
+    docs |= {1000 + k: f"{docs[k]} more" for k in range(0, 120, 8)}
+    docs |= {2000 + k: docs[1000 + k].replace(f" e{k}x11 ", " other ") for k in range(0, 120, 16)}
+    got = {r.doc_id for r in corpus_pipeline.near(spark, frame(spark, list(docs.items())), "").collect()}
+    assert got == {k for k in docs if k < 1000}
+    assert sum(pairs) < 12 * len(docs)
+
+
+def test_rarest_shingles_of_similar_sets(spark):
+    """Every pair at 0.8 or more shares one of its rarest shingles, where sizes and what follows allow the similarity."""
+    random.seed(12)
+    docs = {k: " ".join(f"w{j}" for j in range(random.randint(40, 60)) if random.random() > 0.02 * (k % 3)) for k in range(40)}
+    sets = {k: near_copies.shingles(t) for k, t in docs.items()}
+    members = spark.createDataFrame([(1, k, len(h)) for k, h in sets.items()], "bucket long, node long, size long")
+    rows = near_copies.rarest(members, spark.createDataFrame(list(docs.items()), "node long, text string"))
+    none = spark.createDataFrame([], "node long, root long")
+    got = {tuple(sorted(r)) for r in near_copies._sharing(rows, none, False).collect()}
+    want = {(a, b) for a in docs for b in docs if a < b and near_copies.similarity(sets[a], sets[b]) >= 0.8}
+    assert want and want <= got
+    stars = near_copies._sharing(rows, none, True)
+    assert stars.count() <= rows.count()
+
+
 def test_recall_of_anchors_at_the_bound():
     """Pairs of sets at a similarity of 0.8 that meet at an anchor and are near enough."""
     rng = np.random.default_rng(3)
