@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +40,20 @@ def align(a: Column, size: int) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(0.0), size)), 1, size)
 
 
+def divided(a: Column, by: Column, where: Callable[[Column], Column] = lambda n: n.isNotNull()) -> Column:
+    """a over a number that is found once a row, null unless the number is as `where` says: named within the function
+    over a's components, it would be found again for each of them."""
+    return F.transform(F.array(by), lambda n: F.when(where(n), F.transform(a, lambda x: x.cast("double") / n)))[0]
+
+
+def has_length(n: Column) -> Column:
+    """Whether n is the norm of a vector with a direction: not of one that is empty, zero or not finite."""
+    return (n > 0) & ~F.isnan(n) & (n < float("inf"))
+
+
 def unit(a: Column) -> Column:
     """Length 1; null for vectors that are empty, zero or not finite."""
-    n = norm(a)
-    return F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(a, lambda x: x.cast("double") / n))
+    return divided(a, norm(a), has_length)
 
 
 def hybrid(a: Column, b: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,10 +49,17 @@ def clusterable() -> Column:
     return ~rejected() & (confirmed() | ((F.lower(F.coalesce("review", F.lit(""))) != "suspicious") & sure))
 
 
+def _matrix(vs: pd.Series) -> np.ndarray:
+    """Vectors as rows, padded to one size."""
+    width = max(map(len, vs), default=0)
+    if all(len(v) == width for v in vs):
+        return np.array(list(vs), float).reshape(len(vs), width)
+    return np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vs]).reshape(len(vs), width)
+
+
 def _units(vs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Places of the vectors that have a direction, and those vectors at length 1, padded to one size."""
-    width = max(map(len, vs), default=0)
-    x = np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vs]).reshape(len(vs), width)
+    x = _matrix(vs)
     size = np.sqrt((x * x).sum(axis=1))
     ok = np.flatnonzero(np.isfinite(size) & (size > 0))
     return ok, x[ok] / size[ok, None]
@@ -155,8 +162,7 @@ def similar_pairs(df: DataFrame, key: str, col: str, least: float, rows_of_block
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        width = max(map(len, pdf["v"]))
-        x = np.array([np.pad(v, (0, width - len(v))) for v in pdf["v"]])
+        x = _matrix(pdf["v"])
         a, b = (np.flatnonzero(pdf["block"].to_numpy() == n) for n in (i, j))
         out, keys = [], pdf["k"].to_numpy()
         for at in range(0, len(a), 512):
@@ -294,22 +300,48 @@ def _grow(x: np.ndarray, seed: int, rest: np.ndarray, most: float) -> list[int]:
     return group
 
 
+def _runs(batches: Iterable[pd.DataFrame], by: str) -> Iterator[list[pd.DataFrame]]:
+    """Rows sorted by a column, as lists of whole groups: a batch's, of which the last waits for the next batch."""
+    begun: list[pd.DataFrame] = []
+    for pdf in batches:
+        keys = pdf[by].to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        groups = [pdf.iloc[x:y] for x, y in zip(cuts, cuts[1:]) if x < y]
+        whole = []
+        for group in groups:
+            if begun and begun[0][by].iloc[0] != group[by].iloc[0]:
+                whole.append(pd.concat(begun, ignore_index=True))
+                begun = []
+            begun.append(group)
+        if whole:
+            yield whole
+    if begun:
+        yield [pd.concat(begun, ignore_index=True)]
+
+
 def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float) -> DataFrame:
     """(key, cluster, part): clusters cut so that no pair in a part is further apart than `most`; part is the
-    smallest key in it. One task holds a cluster's vectors, as the greedy order needs them all, but no distances."""
+    smallest key in it. A cluster of one is left as it is, and its vector is not moved; the others are read in order,
+    and one task holds one cluster's vectors at a time, as the greedy order needs them all, but no distances."""
     kind = df.schema[key].dataType.simpleString()
-    rows = clusters.join(df.select(key, vectors.unit(F.col(col)).alias("v")), key).where("v is not null")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sized = materialise(clusters.select(key, "cluster").join(sizes, "cluster").select(key, "cluster", "n"), "sized")
+    one = sized.where("n = 1").join(df.where(vectors.has_length(vectors.norm(F.col(col)))).select(key), key).select(key, "cluster", F.col(key).alias("part"))
+    rows = sized.where("n > 1").join(df.select(key, F.col(col).alias("v")), key)
+    rows = rows.select(key, "cluster", vectors.unit(F.col("v")).alias("v")).where("v is not null")
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        width = max(map(len, pdf["v"]))
-        x = np.array([np.pad(v, (0, width - len(v))) for v in pdf["v"]])
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
         part = np.empty(len(pdf), object)
-        for group in split_vectors(x, most):
+        for group in split_vectors(_matrix(pdf["v"]), most):
             part[group] = pdf[key].iloc[group[0]]
         return pd.DataFrame({key: pdf[key], "cluster": pdf["cluster"], "part": list(part)})
 
-    return rows.groupBy("cluster").applyInPandas(cut, f"{key} {kind}, cluster {kind}, part {kind}")
+    def cut(batches):
+        for groups in _runs(batches, "cluster"):
+            yield pd.concat([parts(pdf) for pdf in groups])
+
+    rows = rows.repartition("cluster").sortWithinPartitions("cluster", key)
+    return one.unionByName(rows.mapInPandas(cut, f"{key} {kind}, cluster {kind}, part {kind}"))
 
 
 def face_weight() -> Column:
@@ -326,31 +358,52 @@ SUM_GROUPS = 2000
 def _mean(df: DataFrame, by: str, weight: str) -> DataFrame:
     """The unit weighted mean of vectors v per group: (by, m). Shorter vectors count as if they ended in zeros.
 
-    A task adds up its rows of each group, so a group of any size is a few rows of sums to shuffle.
+    A task adds up its rows of each group, so a group of any size is a few rows of sums to shuffle, whole and not by
+    component: those of a group meet in order of groups, one sum at a time.
     """
 
+    def longer(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = max(len(a), len(b))
+        return np.pad(a, (0, n - len(a))), np.pad(b, (0, n - len(b)))
+
+    def plus(old: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        if old is None:
+            return x
+        if len(old) != len(x):
+            old, x = longer(old, x)
+        return old + x
+
     def add(batches):
         sums: dict = {}
         for pdf in batches:
             for key, w, v in zip(pdf[by], pdf[weight], pdf["v"]):
-                x = np.asarray(v, float) * w
-                old = sums.get(key)
-                if old is not None and len(old) != len(x):
-                    n = max(len(old), len(x))
-                    old, x = np.pad(old, (0, n - len(old))), np.pad(x, (0, n - len(x)))
-                sums[key] = x if old is None else old + x
+                sums[key] = plus(sums.get(key), np.asarray(v, float) * w)
             if len(sums) > SUM_GROUPS:
                 yield pd.DataFrame({by: list(sums), "v": list(sums.values())})
                 sums = {}
         if sums:
             yield pd.DataFrame({by: list(sums), "v": list(sums.values())})
 
+    def mean(batches):
+        # The weights' sum only scales the mean, which has length 1 in the end.
+        unit = lambda x: x / (np.sqrt(x @ x) + 1e-12)
+        key, whole = None, None
+        for pdf in batches:
+            keys, out = [], []
+            for k, v in zip(pdf[by], pdf["v"]):
+                if whole is not None and k != key:
+                    keys.append(key)
+                    out.append(unit(whole))
+                    whole = None
+                key, whole = k, plus(whole, np.asarray(v, float))
+            if keys:
+                yield pd.DataFrame({by: keys, "m": out})
+        if whole is not None:
+            yield pd.DataFrame({by: [key], "m": [unit(whole)]})
+
     kind = df.schema[by].dataType.simpleString()
-    parts = df.select(by, weight, "v").mapInPandas(add, f"{by} {kind}, v array<double>")
-    sums = parts.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
-    whole = sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
-    # The weights' sum only scales the mean, which has length 1 in the end.
-    return whole.withColumn("m", F.transform("m", lambda x: x / (vectors.norm(F.col("m")) + 1e-12)))
+    sums = df.select(by, weight, "v").mapInPandas(add, f"{by} {kind}, v array<double>")
+    return sums.repartition(by).sortWithinPartitions(by).mapInPandas(mean, f"{by} {kind}, m array<double>")
 
 
 def representatives(faces: DataFrame, by: str = "person_id", col: str = "embedding", versions: tuple[str, ...] = ()) -> DataFrame:

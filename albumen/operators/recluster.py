@@ -1,8 +1,8 @@
 """Clustering of a library's faces into people: a plan that writes nothing, and the job that builds from it.
 
 Everything that grows with faces runs as joins, groups and block kernels: near pairs by library, components, cuts by
-diameter, representative vectors, votes and scores. What is left, one row a cluster, is decided in order, as each
-choice of a person bears on later ones; that is one group a library.
+diameter, representative vectors, votes and scores. What is left, one row a cluster that matches a person, is decided in
+order, as each choice of a person bears on later ones; that is one group a library. Clusters that match nobody are not in it.
 """
 
 from __future__ import annotations
@@ -44,10 +44,11 @@ def _matches(parts: DataFrame, reps: DataFrame, active: DataFrame, known: DataFr
     """(part, person_id): the person that most of a cluster's faces are listed by and that is alike enough; else the one
     most alike, if by the threshold and the margin. known: library_id, person_id, rep."""
     side = reps.join(parts.select("part", "library_id").distinct(), "part")
-    pair = side.join(known.select("library_id", "person_id", F.col("rep").alias("person_rep")), "library_id")
-    pair = pair.where(F.size("rep") == F.size("person_rep"))
+    length = F.sqrt(F.aggregate("rep", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
+    people = materialise(known.select("library_id", "person_id", F.col("rep").alias("person_rep"), length.alias("length")), "lengths")
+    pair = side.join(people, "library_id").where(F.size("rep") == F.size("person_rep"))
     dot = F.aggregate(F.zip_with("rep", "person_rep", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pair = materialise(pair.select("part", "person_id", (dot / (F.sqrt(F.aggregate("person_rep", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12)).alias("score")), "scores")
+    pair = materialise(pair.select("part", "person_id", (dot / F.col("length")).alias("score")), "scores")
     votes = parts.join(active.select("face_id", "person_id"), "face_id").groupBy("part", "person_id").agg(F.count("*").alias("votes"))
     voted = votes.join(pair, ["part", "person_id"]).where(F.col("score") >= threshold)
     voted = voted.groupBy("part").agg(F.max_by("person_id", F.struct("votes", "score", "person_id")).alias("voted"))
@@ -110,7 +111,14 @@ def _build(rows: DataFrame, faces: DataFrame, people: DataFrame, eps: float, wid
     one = one.groupBy("library_id", "part", "rank", "person_id").agg(F.bool_or(F.coalesce(F.col("owner") == F.col("person_id"), F.lit(False))).alias("shares"), F.count("*").cast("double").alias("weight"))
     one = one.join(reps, "part").select("library_id", "part", "person_id", "shares", "weight", "rep", "rank.single", "rank.first")
     kind = faces.schema["library_id"].dataType.simpleString()
-    decided = materialise(one.groupBy("library_id").applyInPandas(_decide(threshold), f"library_id {kind}, part string, person_id string, created boolean"), "decided")
+    # A cluster that matches nobody becomes a person of its own, whatever the others do. It is decided with them only if
+    # they may match somebody of its new name (from a plan before).
+    one = materialise(one.withColumn("own", F.concat(F.lit("person-"), "part")), "chosen")
+    taken = one.where("person_id is not null").select("library_id", F.col("person_id").alias("own")).distinct()
+    alone = one.where("person_id is null").join(taken, ["library_id", "own"], "left_anti").select("library_id", "part", F.col("own").alias("person_id"), F.lit(True).alias("created"))
+    met = one.where("person_id is not null").unionByName(one.where("person_id is null").join(taken, ["library_id", "own"], "left_semi").select(*one.columns)).drop("own")
+    met = met.groupBy("library_id").applyInPandas(_decide(threshold), f"library_id {kind}, part string, person_id string, created boolean")
+    decided = materialise(alone.unionByName(met), "decided")
     assignments = materialise(parts.join(decided, ["library_id", "part"]).select("library_id", "face_id", "person_id", "created"), "assignments")
     # Lists: active faces of people who were chosen, in their order, then the faces of their clusters.
     chosen = assignments.groupBy("library_id", "person_id").agg(F.bool_and("created").alias("created"))

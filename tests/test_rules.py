@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from albumen.functions import media, text
+from albumen.functions import media, text, vectors
 from albumen.operators import grouping, ingest, maintenance, membership, people, photos, recluster, search, status
 from albumen.streaming import pipelines
 
@@ -148,6 +148,61 @@ def test_recluster_plan(spark):
     assert problems.count() == 0 and owners["a0"] == owners["d0"] == "ann" and people_.count() == 4
 
 
+def test_clusters_that_match_nobody_are_decided_apart(spark, monkeypatch):
+    e = np.eye(8).tolist()
+    rows = [("b0", e[3], None, 0.9), ("b1", e[3], None, 0.9), ("c0", e[6], None, 0.9), ("c1", e[6], None, 0.9), ("d0", e[0], None, 0.9), ("k0", e[6], "person-b0", 0.5)]
+    f = spark.createDataFrame(rows, "face_id string, embedding array<double>, person_id string, confidence double")
+    f = f.withColumns({"library_id": F.lit("L"), "confirmed": F.lit(False), "rejected": F.lit(False), "review": F.lit("")})
+    p = spark.createDataFrame([("L", "person-b0", "", ["k0"])], "library_id string, person_id string, name string, face_ids array<string>")
+    real = recluster._decide
+
+    def watched(threshold):
+        run = real(threshold)
+
+        def decide(pdf):
+            assert sorted(pdf["part"]) == ["b0", "c0"], "d0 bears on nobody"
+            return run(pdf)
+
+        return decide
+
+    monkeypatch.setattr(recluster, "_decide", watched)
+    assignments, _ = recluster.recluster_plan(f, p)
+    # c0 is like person-b0, but b0 has become one of that name before.
+    got = {r.face_id: (r.person_id, r.created) for r in assignments.collect()}
+    assert got == {"b0": ("person-b0", True), "b1": ("person-b0", True), "c0": ("person-c0", True), "c1": ("person-c0", True), "d0": ("person-d0", True)}
+
+
+def test_clusters_are_cut_in_order_and_single_ones_not_at_all(spark):
+    rng = np.random.default_rng(7)
+    x = [*rng.normal(size=(30, 6)).tolist(), [0.0] * 6, [float("nan")] * 6]
+    rows = [(k, v, 30 if k >= 30 else 0 if k < 13 else 13 if k < 15 else k) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, cluster long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        cut = people.refine(df.select("k", "cluster"), df, "k", "v", 0.5)
+        got = {r.k: (r.cluster, r.part) for r in cut.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {k: (k, k) for k in range(15, 30)}
+    for first, end in ((0, 13), (13, 15)):
+        u = np.array(x[first:end]) / np.linalg.norm(x[first:end], axis=1, keepdims=True)
+        want |= {first + k: (first, first + group[0]) for group in people.split_vectors(u, 0.5) for k in group}
+    assert got == want
+    # One Python call a cluster is what made it slow.
+    assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().toString()
+
+
+def test_a_length_is_found_once_a_vector(spark):
+    df = spark.createDataFrame([("p", 0.5, [3.0, 4.0]), ("q", 0.5, [0.0, 0.0]), ("r", 0.5, []), ("s", 0.5, None), ("t", 0.5, [1.0, None])], "person_id string, confidence double, embedding array<double>")
+    unit = df.select("person_id", vectors.unit(F.col("embedding")).alias("u"))
+    assert {r.person_id: r.u for r in unit.collect()} == {"p": [0.6, 0.8], "q": None, "r": None, "s": None, "t": [1.0, None]}
+    assert unit._jdf.queryExecution().executedPlan().toString().lower().count("sqrt(") == 1
+    whole = people.representatives(df.withColumns({"confirmed": F.lit(False), "rejected": F.lit(False), "review": F.lit("")}))
+    # Sums of a group are met whole, not as a row a component.
+    assert "posexplode" not in whole._jdf.queryExecution().toString().lower()
+
+
 def test_incremental_assignment_by_library(spark):
     e = np.eye(3).tolist()
     rows = [("x", 1, "b", e[1]), ("x", 0, "a", e[0]), ("x", 2, "c", e[1]), ("y", 0, "d", e[0]), ("x", 3, "bad", [])]
