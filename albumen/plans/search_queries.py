@@ -337,10 +337,12 @@ def people_place_search(spark, sf_dir):
 
 @query()
 def hashed_embeddings(spark, sf_dir):
-    """Vectors of texts without a model, under a version of their own: length, and likeness to the next text."""
-    df = S.read(spark, sf_dir, "documents").select("doc_id", text.hashed_embedding(F.col("text")).alias("v"))
-    df = computed_once(df)
-    return df.select("doc_id", F.lit(text.HASHED_VERSION).alias("version"), F.size("v").alias("size"), F.round(vectors.norm(F.col("v")), 6).alias("len"), F.sha2(F.to_json("v"), 256).alias("digest"))
+    """Vectors of texts without a model, under a version of their own: length, digest, and likeness to the next text
+    in the order of doc_id (after the last, the first)."""
+    df = ranking.dealt(S.read(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("order")), "doc_id", "order")
+    df = computed_once(df.select("doc_id", "order", text.hashed_embedding(F.col("text")).alias("v")))
+    df = df.select("doc_id", "order", F.lit(text.HASHED_VERSION).alias("version"), F.size("v").alias("size"), F.round(vectors.norm(F.col("v")), 6).alias("len"), F.sha2(F.to_json("v"), 256).alias("digest"), "v")
+    return ranking.like_next(df, "doc_id", "order", "v", "near_next").withColumn("near_next", F.round("near_next", 6))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k=' || json_extract_string(props, '$.k') ELSE '' END AS entries FROM events")

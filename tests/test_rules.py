@@ -375,3 +375,34 @@ def test_hashed_embedding_as_by_plain_loops(spark):
         grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])], [f" {w} "[i : i + n] for w in words for n in (3, 4, 5) for i in range(max(1, len(w) + 3 - n))]
         want = np.concatenate([(lambda c: c / (np.linalg.norm(c) or 1.0))(np.bincount([zlib.crc32(g.encode()) % 32 for g in side], minlength=32).astype(float)) for side in grams])
         assert v == pytest.approx((want / (np.linalg.norm(want) or 1.0)).tolist())
+
+
+def test_likeness_of_hashed_texts_to_the_next(spark, tmp_path):
+    from albumen.plans import QUERIES
+
+    said = [(k, f"red boat {k % 7} at sea {k % 3}") for k in range(0, 120, 2)] + [(7, None), (9, "red ring"), (9, "blue ring"), (None, "old maps"), (None, "")]
+    spark.createDataFrame(said, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    # Several ranges, of several batches.
+    confs = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = QUERIES["hashed_embeddings"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    df = spark.createDataFrame(said, "doc_id long, text string").withColumn("v", text.hashed_embedding(F.col("text")))
+    rows = df.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).withColumn("digest", F.sha2(F.to_json("v"), 256)).collect()
+    want = [(r.doc_id, r.digest, round(float(np.dot(r.v, after.v)), 6)) for r, after in zip(rows, rows[1:] + rows[:1])]
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    assert sorted([(r.doc_id, r.digest, r.near_next + 0.0) for r in got], key=key) == sorted(want, key=key)
+    assert 0.3 < max(r.near_next for r in got) and any(r.near_next == 0 for r in got)
+
+
+def test_likeness_to_the_next_of_one_text_and_of_none(spark, tmp_path):
+    from albumen.plans import QUERIES
+
+    for name, said, want in (("one", [(1, "red boat")], [1.0]), ("none", [], [])):
+        spark.createDataFrame(said, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert [r.near_next for r in QUERIES["hashed_embeddings"](spark, f"{tmp_path}/{name}").collect()] == want
