@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from albumen.functions import media, vectors
+from albumen.operators import large_cuts
 from albumen.operators.graph import connected_components, materialise, release
 
 # Clustering presets: eps, largest pair distance, match threshold and margin, assign threshold and margin.
@@ -30,6 +31,8 @@ BLOCK_ROWS, BLOCKS, BLOCK_COMPONENTS = 2000, 24, 3_000_000
 PIVOTS, PIVOT_SAMPLE = 24, 1000
 #: What rounding can add to an angle (a cosine's last digit is 1.5e-8 near an angle of 0).
 ANGLE_SLACK = 1e-6
+#: Rows of a cluster that is cut with its near rows found before: smaller ones take seconds.
+LARGE = 20_000
 
 
 def rejected() -> Column:
@@ -265,7 +268,7 @@ def split_vectors(x: np.ndarray, most: float) -> list[list[int]]:
     rows are looked at that can be the first or near it. Rows that are gone are passed over, and cut off by the quarter.
     """
     left, out = np.arange(len(x)), []
-    error = 2.4e-7 * (x.shape[1] + 2)
+    error = large_cuts.rounding(x.shape[1])
     while len(left):
         v = x[left]
         single, alive, count, total = v.astype(np.float32), np.ones(len(left), bool), len(left), v.sum(axis=0)
@@ -275,31 +278,13 @@ def split_vectors(x: np.ndarray, most: float) -> list[list[int]]:
             seeds = np.flatnonzero(near >= near.max() - 2 * error * np.linalg.norm(total) - 1e-8)
             seed = int(seeds[np.lexsort((seeds, (count - v[seeds] @ total).round(9)))[0]])
             rest = np.flatnonzero((single @ single[seed] >= 1 - most - error) & alive)
-            group = _grow(v, seed, rest[rest != seed], most)
+            group = large_cuts.grow(v, seed, rest[rest != seed], most)
             out.append(sorted(left[group].tolist()))
             alive[group], count, total = False, count - len(group), total - v[group].sum(axis=0)
         left = left[alive]
     return out
 
 
-def _grow(x: np.ndarray, seed: int, rest: np.ndarray, most: float) -> list[int]:
-    """A group of split_in_order: the seed and those of `rest` that join it."""
-    group, widest, latest = [seed], 0.0, seed
-    far, total = np.zeros(len(rest)), np.zeros(len(rest))
-    while len(rest):
-        d = np.clip(1 - x[rest] @ x[latest], 0, 2).round(12)
-        far, total = np.maximum(far, d), total + d
-        ok = far <= most
-        rest, far, total = rest[ok], far[ok], total[ok]
-        if not len(rest):
-            break
-        k = np.lexsort((rest, total, np.maximum(far, widest)))[0]
-        latest, widest = int(rest[k]), max(widest, float(far[k]))
-        group.append(latest)
-        rest, far, total = np.delete(rest, k), np.delete(far, k), np.delete(total, k)
-    return group
-
-
 def _runs(batches: Iterable[pd.DataFrame], by: str) -> Iterator[list[pd.DataFrame]]:
     """Rows sorted by a column, as lists of whole groups: a batch's, of which the last waits for the next batch."""
     begun: list[pd.DataFrame] = []
@@ -319,16 +304,22 @@ def _runs(batches: Iterable[pd.DataFrame], by: str) -> Iterator[list[pd.DataFram
         yield [pd.concat(begun, ignore_index=True)]
 
 
-def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float) -> DataFrame:
+def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float, large: int = LARGE) -> DataFrame:
     """(key, cluster, part): clusters cut so that no pair in a part is further apart than `most`; part is the
     smallest key in it. A cluster of one is left as it is, and its vector is not moved; the others are read in order,
-    and one task holds one cluster's vectors at a time, as the greedy order needs them all, but no distances."""
+    and one task holds one cluster's vectors at a time, as the greedy order needs them all, but no distances. Clusters
+    of more than `large` rows are cut by large_cuts."""
     kind = df.schema[key].dataType.simpleString()
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     sized = materialise(clusters.select(key, "cluster").join(sizes, "cluster").select(key, "cluster", "n"), "sized")
     one = sized.where("n = 1").join(df.where(vectors.has_length(vectors.norm(F.col(col)))).select(key), key).select(key, "cluster", F.col(key).alias("part"))
     rows = sized.where("n > 1").join(df.select(key, F.col(col).alias("v")), key)
-    rows = rows.select(key, "cluster", vectors.unit(F.col("v")).alias("v")).where("v is not null")
+    rows = rows.select(key, "cluster", "n", vectors.unit(F.col("v")).alias("v")).where("v is not null")
+    largest, width = sized.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0], 0
+    if largest > large:
+        width = rows.where(F.col("n") > large).agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    large = large if width <= large_cuts.WIDEST else largest
+    whole, rows = rows.where(F.col("n") > large).drop("n"), rows.where(F.col("n") <= large).drop("n")
 
     def parts(pdf: pd.DataFrame) -> pd.DataFrame:
         part = np.empty(len(pdf), object)
@@ -341,7 +332,11 @@ def refine(clusters: DataFrame, df: DataFrame, key: str, col: str, most: float)
             yield pd.concat([parts(pdf) for pdf in groups])
 
     rows = rows.repartition("cluster").sortWithinPartitions("cluster", key)
-    return one.unionByName(rows.mapInPandas(cut, f"{key} {kind}, cluster {kind}, part {kind}"))
+    out = one.unionByName(rows.mapInPandas(cut, f"{key} {kind}, cluster {kind}, part {kind}"))
+    if largest <= large:
+        return out
+    whole = whole.withColumn("v", vectors.align(F.col("v"), width))
+    return out.unionByName(large_cuts.cut_large(whole, key, most, block_rows(largest, width)))
 
 
 def face_weight() -> Column:

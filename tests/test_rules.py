@@ -406,3 +406,58 @@ def test_likeness_to_the_next_of_one_text_and_of_none(spark, tmp_path):
     for name, said, want in (("one", [(1, "red boat")], [1.0]), ("none", [], [])):
         spark.createDataFrame(said, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         assert [r.near_next for r in QUERIES["hashed_embeddings"](spark, f"{tmp_path}/{name}").collect()] == want
+
+
+def test_large_clusters_are_cut_by_near_rows_as_others(spark):
+    from albumen.operators import large_cuts
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 6))
+    # Equal vectors, opposite ones (the sum of all can be 0) and a second large cluster, whose rows lie between.
+    x[:60], x[60:90] = x[300:360], -x[300:330]
+    far = 2**60 + 1
+    rows = [(far + k, v[: 6 - k % 2], far + 1 if k % 3 else far) for k, v in enumerate(x.tolist())] + [(far + 700, [0.0] * 6, far), (far + 701, [float("nan")] * 6, far + 1)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, cluster long")
+    want = {(r.k, r.cluster, r.part) for r in people.refine(df.select("k", "cluster"), df, "k", "v", 0.4).collect()}
+    real, blocks = large_cuts.cut_large, []
+
+    def small_blocks(rows, key, most, block):
+        blocks.append(block)
+        return real(rows, key, most, 64)
+
+    large_cuts.cut_large = small_blocks
+    try:
+        for large in (100, 300):
+            got = people.refine(df.select("k", "cluster"), df, "k", "v", 0.4, large=large)
+            assert {(r.k, r.cluster, r.part) for r in got.collect()} == want
+    finally:
+        large_cuts.cut_large = real
+    assert len(blocks) == 2 and len(want) == 700
+
+
+def test_packed_search_finds_the_row_nearest_to_all():
+    from albumen.operators import large_cuts
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[1000:1010] = x[5]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    left = np.flatnonzero(rng.random(3000) < 0.9)
+    packed, alive = large_cuts._Packed(x, left), np.isin(np.arange(3000), left)
+    for t in [*(rng.normal(size=(40, 64)) * 3), x[5] * 2, np.zeros(64)]:
+        rows = np.flatnonzero(alive)
+        seed = packed.nearest(t, len(rows))
+        assert seed == rows[np.lexsort((rows, (len(rows) - x[rows] @ t).round(9)))[0]]
+        packed.drop(np.array([seed]))
+        alive[seed] = False
+
+
+def test_a_large_cluster_is_not_searched_for_near_rows(monkeypatch):
+    from albumen.operators import large_cuts
+
+    x = np.random.default_rng(10).normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = {i: np.flatnonzero(x @ x[i] >= 0.5) for i in range(400)}
+    asked = []
+    assert large_cuts.split_with_near(x, 0.5, lambda i: asked.append(i) or near[i]) == people.split_vectors(x, 0.5)
+    assert len(asked) == len(set(asked)) < 400
